@@ -11,6 +11,8 @@ from . import language_id, toxicity
 from .common import crc_mod, new_folder, table
 from .exact_dedup import exact_dedup
 from .html_extraction import extract_main_text
+from .mixing import mix_sources
+from .sharding import shard_by_bytes
 from .token_counts import token_counts
 
 
@@ -38,6 +40,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_mod("doc_id", 3) == 1
@@ -45,6 +52,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    placed = shard_by_bytes(docs, 8)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -57,7 +70,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op4_language_id": op4_language_id,
+    "op6_source_mix": op6_source_mix,
     "op7_toxicity": op7_toxicity,
+    "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
 ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
