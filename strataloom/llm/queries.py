@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from . import language_id, toxicity
 from .common import crc_mod, new_folder, table
+from .decontamination import contamination
 from .exact_dedup import exact_dedup
 from .html_extraction import extract_main_text
+from .license_scan import TEMPLATES, scan_licenses
 from .mixing import mix_sources
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
@@ -32,6 +34,33 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan_licenses(docs).select("doc_id", "license", F.round("dice", 9).alias("dice"), "licenses", "n_spans")
+
+
+_BIGRAMS = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+OP3_SQL = rf"""
+WITH templates(license, template) AS (VALUES {", ".join("('" + k + "', '" + v.replace("'", "''") + "')" for k, v in sorted(TEMPLATES.items()))}),
+tw AS (SELECT license, string_split(trim(regexp_replace(lower(template), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM templates),
+t AS (SELECT license, {_BIGRAMS.format(w="w")} AS own FROM tw),
+lines AS (SELECT doc_id, 'line' AS kind, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS span FROM documents),
+blocks AS (SELECT doc_id, 'paragraph' AS kind, unnest(regexp_split_to_array(coalesce(text, ''), '
+[ 	-]*
+')) AS body, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '
+[ 	-]*
+'), 1) AS span FROM documents),
+spans AS (SELECT * FROM lines UNION ALL SELECT * FROM blocks WHERE contains(trim(body, chr(10)), chr(10))),
+sw AS (SELECT doc_id, kind, span, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM spans),
+s AS (SELECT doc_id, kind, span, {_BIGRAMS.format(w="w")} AS own FROM sw WHERE len(w) > 1),
+sb AS (SELECT doc_id, kind, span, len(own) AS n, unnest(own) AS b FROM s), tb AS (SELECT license, len(own) AS size, unnest(own) AS b FROM t),
+m AS (SELECT doc_id, kind, span, license, 2.0::DOUBLE * count(*) / (n + size) AS dice FROM sb JOIN tb USING (b) GROUP BY doc_id, kind, span, license, n, size HAVING 2.0::DOUBLE * count(*) / (n + size) >= 0.8),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS k FROM m),
+g AS (SELECT doc_id, max(license) FILTER (k = 1) AS license, round(max(dice), 9) AS dice, array_to_string(list_sort(list_distinct(list(license))), ',') AS licenses, count(DISTINCT (kind, span)) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, g.license, g.dice, coalesce(g.licenses, '') AS licenses, coalesce(g.n_spans, 0) AS n_spans FROM documents d LEFT JOIN g USING (doc_id)
+"""
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 4) == 2
@@ -40,6 +69,33 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+    )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP5_SQL = rf"""
+WITH i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT item_id, len(w) AS n, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM i WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, least(n, 13) AS n, array_to_string(w[s:s + least(n, 13) - 1], ' ') AS g FROM iw),
+d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n),
+dg AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM dw),
+m AS (SELECT doc_id, s, n, item_id FROM dg JOIN win USING (n, g)),
+p AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS at FROM (SELECT DISTINCT doc_id, s, n FROM m)),
+h AS (SELECT doc_id, count(*) AS n_hit FROM p GROUP BY doc_id),
+k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS items FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -69,10 +125,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
+    "op3_license_scan": op3_license_scan,
     "op4_language_id": op4_language_id,
+    "op5_decontamination": op5_decontamination,
     "op6_source_mix": op6_source_mix,
     "op7_toxicity": op7_toxicity,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL}
