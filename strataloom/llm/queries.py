@@ -14,6 +14,7 @@ from .exact_dedup import exact_dedup
 from .html_extraction import extract_main_text
 from .license_scan import TEMPLATES, scan_licenses
 from .mixing import mix_sources
+from .ngram_jaccard import jaccard_components
 from .sharding import shard_by_bytes
 from .token_counts import token_counts
 
@@ -46,9 +47,11 @@ tw AS (SELECT license, string_split(trim(regexp_replace(lower(template), '[^\p{{
 t AS (SELECT license, {_BIGRAMS.format(w="w")} AS own FROM tw),
 lines AS (SELECT doc_id, 'line' AS kind, unnest(string_split(coalesce(text, ''), chr(10))) AS body, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS span FROM documents),
 blocks AS (SELECT doc_id, 'paragraph' AS kind, unnest(regexp_split_to_array(coalesce(text, ''), '
-[ 	-]*
+[ 	-
+]*
 ')) AS body, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '
-[ 	-]*
+[ 	-
+]*
 '), 1) AS span FROM documents),
 spans AS (SELECT * FROM lines UNION ALL SELECT * FROM blocks WHERE contains(trim(body, chr(10)), chr(10))),
 sw AS (SELECT doc_id, kind, span, string_split(trim(regexp_replace(lower(body), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM spans),
@@ -108,6 +111,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = shard_by_bytes(docs, 8)
@@ -130,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_source_mix": op6_source_mix,
     "op7_toxicity": op7_toxicity,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
