@@ -1,10 +1,6 @@
 """Every registered query with its DuckDB equivalent."""
 
-from __future__ import annotations
+from strataloom.plans import graph_queries  # noqa: F401
+from strataloom.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
