@@ -1,6 +1,6 @@
 """Every registered query with its DuckDB equivalent."""
 
-from strataloom.plans import graph_queries  # noqa: F401
+from strataloom.plans import change_queries, graph_queries  # noqa: F401
 from strataloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

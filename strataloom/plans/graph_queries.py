@@ -13,7 +13,7 @@ from strataloom.operators.bounds import page
 from strataloom.plans.bind import edges, load, resolved, spans, suppliers, symbols
 from strataloom.plans.registry import query
 
-AS_OF = "2024-01-30 12:00:00"
+AS_OF = "2024-01-31 00:00:00"
 PLACE = ("file_path", "line_start", "id")
 
 
