@@ -17,6 +17,8 @@ from .common import text_of
 THRESHOLD = 0.8
 #: Template bigrams up to which their table is broadcast.
 BROADCAST_BIGRAMS = 200_000
+#: Stands for blank lines in a normalised text.
+MARK = "\x01"
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 # Short public notices and the opening paragraphs of public licenses.
@@ -47,6 +49,19 @@ def bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
 
 
+def key_words(templates: list[list[str]], ratio: float) -> list[str]:
+    """Words of which every matching span holds one.
+
+    A match lacks at most ``size - ceil(ratio * size)`` bigrams of its template, so of any one more that are
+    picked it holds one; those with the longest words are picked, and of each its longest word stands for it.
+    """
+    keys = set()
+    for own in templates:
+        longest = sorted((max(b.split(" "), key=lambda w: (len(w), w)) for b in own), key=lambda w: (-len(w), w))
+        keys.update(longest[: len(own) - math.ceil(len(own) * ratio - 1e-9) + 1])
+    return sorted(keys)
+
+
 def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, kind, span, license, dice) of each span and template that reach the threshold.
 
@@ -61,15 +76,18 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
     index = known.select("license", "size", F.ceil(F.col("size") * ratio - 1e-9).alias("low"), F.floor(F.col("size") / ratio + 1e-9).alias("high"), F.explode("own").alias("bigram"))
     if sum(len(t.split()) for t in templates.values()) <= BROADCAST_BIGRAMS:
         index = F.broadcast(index)
+    keys = key_words([r[0] for r in known.select("own").collect()], ratio)
+    # the whole text is normalised once; line ends stay, and a mark stands for the blank lines between paragraphs
+    marked = F.regexp_replace(F.replace(text, F.lit(MARK), F.lit(" ")), r"\n[\x20\x09-\x0D]*\n", MARK)
+    clean = F.regexp_replace(F.lower(marked), rf"[^\p{{L}}\p{{N}}\n{MARK}]+", " ")
+    blocks = F.filter(F.split(F.col("clean"), MARK), lambda block: F.trim(block, F.lit("\n")).contains("\n"))
     spans = F.concat(
-        F.transform(F.split(text, r"\n"), lambda line, i: F.struct(F.lit("line").alias("kind"), i.alias("span"), line.alias("body"))),
-        F.filter(
-            F.transform(F.split(text, r"\n[\x20\x09-\x0D]*\n"), lambda block, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("span"), block.alias("body"))),
-            lambda s: F.trim(s["body"], F.lit("\n")).contains("\n"),
-        ),
+        F.transform(F.split(F.col("clean"), rf"[\n{MARK}]"), lambda line, i: F.struct(F.lit("line").alias("kind"), i.alias("span"), line.alias("body"))),
+        F.transform(blocks, lambda block, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("span"), block.alias("body"))),
     )
-    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.explode(spans).alias("s"))
-    words = each.select("doc_id", "text_hash", "s.kind", "s.span", F.split(normalised(F.col("s.body")), " ").alias("words")).where(F.size("words") > 1)
+    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), clean.alias("clean")).select("doc_id", "text_hash", F.explode(spans).alias("s"))
+    words = each.select("doc_id", "text_hash", "s.kind", "s.span", F.split(F.trim(F.regexp_replace("s.body", r"[ \n]+", " ")), " ").alias("words"))
+    words = words.where((F.size("words") > 1) & F.arrays_overlap("words", F.array(*map(F.lit, keys))))
     sized = words.withColumn("own", bigrams(F.col("words"))).withColumn("n", F.size("own"))
     shared = sized.select("doc_id", "text_hash", "kind", "span", "n", F.explode("own").alias("bigram")).join(index, "bigram")
     shared = shared.where(F.col("n").between(F.col("low"), F.col("high")))
