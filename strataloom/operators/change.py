@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
+from strataloom.operators.store import cut
 
 
 def snapshot_diff(base: DataFrame, head: DataFrame, key: str, attributes: list[str]) -> DataFrame:
@@ -125,8 +126,8 @@ def cycle_delta(base: DataFrame, head: DataFrame) -> DataFrame:
 
     A base cycle and a head cycle with a member in common are one cycle that changed.
     """
-    b = base.select(F.array_sort("members").alias("m")).distinct()
-    h = head.select(F.array_sort("members").alias("m")).distinct()
+    b = cut(base.select(F.array_sort("members").alias("m")).distinct(), "base-cycles")
+    h = cut(head.select(F.array_sort("members").alias("m")).distinct(), "head-cycles")
     only_b, only_h = b.exceptAll(h), h.exceptAll(b)
     e_b = only_b.select("m", F.explode("m").alias("x"))
     e_h = only_h.select(F.col("m").alias("m2"), F.explode("m").alias("x"))

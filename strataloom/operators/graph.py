@@ -102,7 +102,7 @@ def cycles(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
         for a, b in zip(rows["from_file"], rows["to_file"]):
             graph.setdefault(a, set()).add(b)
         found = strong_components(graph)
-        return pd.DataFrame({"size": [len(m) for m in found], "members": found, "truncation_reason": [None] * len(found)}).astype({"size": "int64"})
+        return pd.DataFrame({"size": pd.Series([len(m) for m in found], dtype="int64"), "members": pd.Series(found, dtype=object), "truncation_reason": pd.Series([None] * len(found), dtype=object)})
 
     return pairs.groupBy(F.lit(1).alias("one")).applyInPandas(run, schema)
 

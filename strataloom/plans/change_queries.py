@@ -172,7 +172,7 @@ def temporal_components(spark: SparkSession, d: str) -> DataFrame:
     return change.snapshot_diff(side(base(spark, d)), side(head(spark, d)), "component", ["symbols", "kinds"])
 
 
-CYCLE_SQL = """p{k} AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN {s} a ON a.id = e.from_id JOIN {s} b ON b.name = e.to_name WHERE e.kind = 'imports' AND e.line = 1 AND a.file_path <> b.file_path AND starts_with(a.file_path, 'africa/') AND starts_with(b.file_path, 'africa/')),
+CYCLE_SQL = """p{k} AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN {s} a ON a.id = e.from_id JOIN {s} b ON b.name = e.to_name WHERE e.kind = 'imports' AND e.line <= 2 AND a.file_path <> b.file_path AND starts_with(a.file_path, 'europe/') AND starts_with(b.file_path, 'europe/')),
     r{k} AS (SELECT f, t FROM p{k} UNION SELECT r{k}.f, p{k}.t FROM r{k} JOIN p{k} ON p{k}.f = r{k}.t),
     c{k} AS (SELECT DISTINCT members FROM (SELECT a.f, list_sort(list(DISTINCT b.f)) AS members FROM r{k} a JOIN r{k} b ON a.t = b.f AND b.t = a.f GROUP BY a.f) WHERE len(members) > 1)"""
 
@@ -186,8 +186,8 @@ CYCLE_SQL = """p{k} AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM
     UNION ALL SELECT 'added', array_to_string(members, ',') FROM h WHERE members NOT IN (SELECT m2 FROM l) UNION ALL SELECT DISTINCT 'changed', array_to_string(m2, ',') FROM l""",
 )
 def cycle_delta(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).where("line = 1")
-    side = lambda df: graph.cycles(graph.import_pairs(df.where(F.col("file_path").startswith("africa/")), e), cap=500_000).where("members is not null")
+    e = edges(spark, d).where("line <= 2")
+    side = lambda df: graph.cycles(graph.import_pairs(df.where(F.col("file_path").startswith("europe/")), e), cap=500_000).where("members is not null")
     return change.cycle_delta(side(base(spark, d)), side(head(spark, d)))
 
 
