@@ -1,0 +1,182 @@
+import difflib
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from strataloom.functions import paths, stats
+from strataloom.functions.hashing import fnv1a, fnv1a_hex
+from strataloom.operators import change, graph, lookup, rollup, text, trials
+from strataloom.operators.bounds import page
+
+SYMBOL = "id long, name string, kind string, file_path string, line_start int, line_end int, signature string, parent_id long, decorators string, language string"
+EDGE = "from_id long, to_name string, kind string, line int, target_kind string"
+
+
+def symbols(spark, rows):
+    return spark.createDataFrame([(i, n, k, f, ln, ln + 5, None, p, None, "python") for i, n, k, f, ln, p in rows], SYMBOL)
+
+
+def chain(spark, n):
+    s = symbols(spark, [(i, f"h{i}", "function", f"a/f{i % 3}.py", i, None) for i in range(n)])
+    e = spark.createDataFrame([(i, f"h{i - 1}", "calls", 1, None) for i in range(1, n)], EDGE)
+    return s, e
+
+
+def test_page_at_and_beyond_the_cap(spark):
+    rows = spark.range(6)
+    assert {(r.total, r.returned, r.truncated, r.truncation_reason) for r in page(rows, 6, "id").collect()} == {(6, 6, False, None)}
+    assert {(r.total, r.returned, r.truncated, r.truncation_reason) for r in page(rows, 5, "id").collect()} == {(6, 5, True, "top")}
+    assert {(r.total, r.truncation_reason) for r in page(rows, 3, "id", work_cap=5).collect()} == {(None, "raw_work_limit")}
+    assert page(rows.where("id < 0"), 3, "id").count() == 0
+
+
+def test_impact_depth_and_cycles(spark):
+    s, e = chain(spark, 12)
+    seeds = s.where("id = 0").select(F.col("id").alias("seed"), "id")
+    found = {r.id: r.depth for r in graph.impact(s, e, seeds, 8).collect()}
+    assert found == {i: i for i in range(1, 9)}
+    ring = e.unionByName(spark.createDataFrame([(0, "h11", "calls", 1, None)], EDGE)).repartition(7)
+    assert {r.id: r.depth for r in graph.impact(s, ring, seeds, 10).collect()} == {i: i for i in range(1, 11)}
+    assert graph.impact(s, e.where("false"), seeds, 3).count() == 0
+
+
+def test_method_and_function_of_one_name(spark):
+    s = symbols(spark, [(1, "run", "function", "a.py", 1, None), (2, "run", "method", "b.py", 1, None), (3, "x", "function", "c.py", 1, None), (4, "y", "function", "c.py", 9, None)])
+    e = spark.createDataFrame([(3, "run", "calls", 1, "function"), (4, "run", "calls", 1, "method")], EDGE)
+    assert {(r.id, r.in_degree) for r in graph.in_degrees(s, e).collect()} == {(1, 1), (2, 1)}
+    assert {r.id for r in lookup.callers(s, e, "run").collect()} == {3, 4}
+    assert {r.id for r in graph.unreferenced(s, e).collect()} == {3, 4}
+
+
+def test_literal_prefix(spark):
+    s = symbols(spark, [(i, "n", "function", p, 1, None) for i, p in enumerate(["src/%dir/a.rs", "src/%directory/b.rs", "src/_dir/c.rs", "src/xdir/d.rs"])])
+    assert {r.file_path for r in lookup.files(s, "src/%dir").collect()} == {"src/%dir/a.rs", "src/%directory/b.rs"}
+    assert {r.file_path for r in lookup.files(s, "src/_").collect()} == {"src/_dir/c.rs"}
+
+
+def test_outline_orphans_and_depth(spark):
+    s = symbols(spark, [(1, "a", "class", "f.py", 1, None), (2, "b", "method", "f.py", 2, 1), (3, "c", "method", "f.py", 9, 77), (4, "d", "function", "f.py", 3, 2)])
+    assert {(r.id, r.depth, r.orphan) for r in lookup.outline(s).collect()} == {(1, 0, False), (2, 1, False), (3, 0, True), (4, 2, False)}
+    assert {r.id for r in lookup.outline(s, max_depth=1).collect()} == {1, 2, 3}
+
+
+def test_cycles_and_their_budgets(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "a"), ("x", "y")], "from_file string, to_file string")
+    found = graph.cycles(pairs)
+    assert sorted((r["size"], r.members) for r in found.collect()) == [(2, ["a", "b"]), (3, ["c", "d", "e"])]
+    assert [r.truncation_reason for r in graph.cycles(pairs, cap=7).collect()] == [None, None]
+    over = graph.cycles(pairs, cap=6).collect()
+    assert [(r["size"], r.truncation_reason) for r in over] == [(None, "graph_work_limit")]
+    assert graph.within_budget(found, 4).count() == 1
+    assert graph.within_budget(found, 2).count() == 0
+    assert graph.skipping_budget(found, 2) == [(2, ["a", "b"])]
+
+
+def test_strong_components_against_reachability():
+    rng = random.Random(5)
+    for _ in range(50):
+        g = {i: {rng.randrange(9) for _ in range(rng.randrange(3))} for i in range(9)}
+        g = {str(a): {str(b) for b in to} for a, to in g.items()}
+        reach = {a: set(to) for a, to in g.items()}
+        for _ in range(9):
+            for a in reach:
+                for b in list(reach[a]):
+                    reach[a] |= reach.get(b, set())
+        parts = {tuple(sorted(b for b in reach if b == a or (b in reach[a] and a in reach[b]))) for a in reach}
+        assert {tuple(p) for p in graph.strong_components(g)} == {p for p in parts if len(p) > 1}
+
+
+def test_pagerank_sums_to_one(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "a string, b string")
+    seeds = spark.createDataFrame([("a",), ("z",)], "node string")
+    got = {r.node: r.score for r in graph.personal_pagerank(pairs, seeds).collect()}
+    assert abs(sum(got.values()) - 1) < 1e-9 and got["a"] > got["d"]
+
+
+def test_durations():
+    assert [lookup.parse_duration(t) for t in ("30s", "10m", "2h", "1d")] == [30, 600, 7200, 86400]
+    for bad in ("", "5", "5w", "-3s", "9999999999999999999d"):
+        with pytest.raises(ValueError):
+            lookup.parse_duration(bad)
+
+
+def test_declarations_pair_first_in_first_out(spark):
+    schema = "file_path string, name string, kind string, signature string, id long, line_start int, line_end int"
+    base = spark.createDataFrame([("f", "a", "fn", "(x)", 1, 1, 2), ("f", "a", "fn", "(x)", 2, 5, 6), ("f", "b", "fn", "(x)", 3, 8, 9), ("f", "c", "fn", None, 4, 11, 12)], schema)
+    head = spark.createDataFrame([("f", "a", "fn", "(x)", 11, 3, 4), ("f", "b", "fn", "(y)", 13, 8, 9), ("f", "d", "fn", None, 14, 11, 12)], schema)
+    got = {(r.name, r.change, r.base_id, r.head_id) for r in change.match_declarations(base, head, ["file_path", "name", "kind"]).collect()}
+    assert got == {("a", "same", 1, 11), ("a", "removed", 2, None), ("b", "signature_changed", 3, 13), ("c", "removed", 4, None), ("d", "added", None, 14)}
+
+
+def test_globs():
+    for glob, path, hit in [("*.py", "a.py", 1), ("*.py", "d/a.py", 0), ("**/*.py", "a.py", 1), ("**/*.py", "d/e/a.py", 1), ("src/**", "src/a/b", 1), ("s?.rs", "s1.rs", 1), ("s?.rs", "s/.rs", 0), ("a+b", "a+b", 1)]:
+        import re
+
+        assert bool(re.match(paths.glob_regex(glob), path)) == bool(hit), (glob, path)
+
+
+def test_normal_paths(spark):
+    rows = ["file:///a/b%20c.py", "C:\\x\\y.rs", "./a/./b", "a/../b", "..", "a+b"]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "p string").select(paths.normal_path(F.col("p"))).collect()]
+    assert got == ["a/b c.py", "x/y.rs", "a/b", None, None, "a+b"]
+
+
+def test_gate_table(spark):
+    rows = spark.createDataFrame([(20, 20), (8, 8), (27, 30), (7, 7), (12, 20)], "h int, n int")
+    got = [r[0] for r in rows.select(stats.gate(F.col("h"), F.col("n"))).collect()]
+    assert got == ["high", "medium", "medium", "none", "none"]
+
+
+def test_ties_are_eligible(spark):
+    rows = spark.createDataFrame([(i, "p", 2, 1) for i in range(20)] + [(100 + i, "p", 1, 1) for i in range(980)], "sha long, predicate string, yes int, no int")
+    got = trials.commit_votes(rows).collect()[0]
+    assert (got.eligible, got.agree, got.gate) == (1000, 20, "none")
+
+
+def test_exact_statistics():
+    assert abs(stats.binomial_tail(3, 4, 0.5) - 5 / 16) < 1e-12
+    assert abs(stats.clopper_pearson_low(8, 8) - 0.025 ** (1 / 8)) < 1e-9
+    assert stats.sign_flip([1.0, 1.0]) == 0.5
+    assert abs(stats.fisher_two_sided(3, 1, 1, 3) - 0.485714285714) < 1e-9
+
+
+def test_hash(spark):
+    assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    assert spark.range(1).select(fnv1a_hex(F.lit("a"))).collect()[0][0] == "af63dc4c8601ec8c"
+
+
+def test_stemmer():
+    words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "sing": "sing", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "rational": "ration", "adjustment": "adjust", "controlling": "control", "formalize": "formal", "adoption": "adopt"}
+    assert {w: text.porter(w) for w in words} == words
+
+
+def test_queries_and_terms():
+    assert text.parse_query('alpha "two words" NOT x-y pre*') == [("and", ["alpha"]), ("and", ["two", "words"]), ("not", ["x", "y"]), ("and*", ["pre"])]
+    assert text.question_terms("where is the parser") == ["parser"] and text.question_terms("where is the") == ["where", "is", "the"]
+    assert [text.floors(n) for n in (3, 4, 5, 8)] == [(2, 2), (2, 2), (3, 3), (4, 3)]
+
+
+def test_code_tokens(spark):
+    got = spark.createDataFrame([("HTTPServer2Run_fast",)], "n string").select(text.code_tokens(F.col("n"))).collect()[0][0]
+    assert set(got) == {"httpserver2run", "fast", "http", "server", "2", "run"} or {"http", "server", "fast"} <= set(got)
+
+
+def test_owners_last_match(spark):
+    rules = spark.createDataFrame([(0, paths.glob_regex("**"), "core"), (1, paths.glob_regex("a/**"), "")], "rule_no int, pattern string, owners string")
+    files = spark.createDataFrame([("a/x",), ("b/x",)], "path string")
+    assert {(r.path, r.owners) for r in rollup.owners(files, rules).collect()} == {("a/x", ""), ("b/x", "core")}
+
+
+def test_body_changes(spark):
+    old, new = "a\nb\nc\nd", "a\nX\nc\nd\ne"
+    b, h = (spark.createDataFrame([("f", t)], "path string, text string") for t in (old, new))
+    assert {(r.first_line, r.last_line) for r in change.body_changes(b, h).collect()} == {(2, 2), (5, 5)}
+    assert difflib.SequenceMatcher(None, old, new).ratio() < 1
+
+
+def test_empty_inputs(spark):
+    s, e = chain(spark, 1)
+    none = s.where("false")
+    for df in (graph.in_degrees(none, e), graph.cycles(graph.import_pairs(none, e)), lookup.outline(none), rollup.coverage(spark.createDataFrame([], "path string, line int, hits long"))):
+        assert df.count() == 0
