@@ -18,7 +18,7 @@ from .common import text_of, written
 
 #: Probes of the first round and of each refined cell; rows of a cell, and cells, that are aimed at.
 PROBES, REFINED = 1024, 256
-CELL_ROWS, CELLS = 20_000, 1 << 14
+CELL_ROWS, CELLS = 256, 1 << 14
 #: Hash of a text: this many hexadecimal digits of its digest.
 HASH_DIGITS = 15
 
@@ -113,7 +113,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, id_
     A row's size is the UTF-8 bytes of its text (null: none) plus 1. Rows are ordered by text hash and
     identifier, so equal texts lie together; a row belongs to the shard in which the middle of its bytes falls.
     With ``tolerance`` 0 that holds for every row, else a cell of at most that share of a shard stays whole.
-    Slots are gapless from 0 in each shard. Repeated rows with one identifier have one key and stay together,
+    Slots are gapless from 0 in each shard. Repeated rows are alike and may fall on both sides of a boundary,
     null identifiers come first among equal texts, more shards than rows leave some empty. Columns of ``docs``
     with these names are replaced.
     """
@@ -126,17 +126,33 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, id_
     keys = written(docs.select(h.alias("h"), d.alias("d"), size.alias("size")), "shard-keys")
     rounds, cells, total = splitters(keys, shards, tolerance)
     spark = docs.sparkSession
-    first: dict[int, int] = {}
-    placed = []
-    for c in cells:
-        shard = min(shards - 1, (2 * c.below_size + c.size) * shards // (2 * total))
-        first.setdefault(shard, c.below_rows)
-        placed.append((c.number, shard, c.below_rows - first[shard]))
-    table = F.broadcast(spark.createDataFrame(placed, "cell long, shard int, start__ long"))
+    starts = first_rows(cells, total, shards)
+    table = F.broadcast(spark.createDataFrame([(c.number, c.below_rows) for c in cells], "cell long, below__ long"))
     rows = docs.select(*own, size.alias("size"), crc.alias("text_crc32"), h.alias("h__"), d.alias("d__"))
     rows = _probed(rows, rounds, (F.col("h__"), F.col("d__"))).join(table, "cell")
-    at = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("h__", "d__"))
-    return rows.select(*own, "size", "text_crc32", "shard", (F.col("start__") + at - 1).alias("slot"))
+    rows = rows.withColumn("at__", F.col("below__") + F.row_number().over(Window.partitionBy("cell").orderBy("h__", "d__")) - 1)
+    shard = sum((F.when(F.col("at__") >= start, 1).otherwise(0) for start in starts[1:]), F.lit(0))
+    slot = F.col("at__") - F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("shard") + 1)
+    return rows.withColumn("shard", shard.cast("int")).select(*own, "size", "text_crc32", "shard", slot.alias("slot"))
+
+
+def first_rows(cells: list[Cell], total: int, shards: int) -> list[int]:
+    """The place in the whole order of each shard's first row: the first whose middle byte lies in the shard.
+
+    Rows of a cell with one key are alike, so a boundary may fall between any two of them; any other cell that a
+    boundary still crosses stays whole and goes by its own middle.
+    """
+    starts = [0]
+    for c in cells:
+        n, each = (c.rows, c.size // c.rows) if c.whole else (1, c.size)
+        while len(starts) < shards:
+            lacking = 2 * total * len(starts) - (2 * c.below_size + each) * shards
+            row = max(0, -(-lacking // (2 * each * shards)))
+            if row >= n:
+                break
+            starts.append(c.below_rows + row)
+    end = cells[-1].below_rows + cells[-1].rows if cells else 0
+    return starts + [end] * (shards - len(starts))
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 8) -> None:
