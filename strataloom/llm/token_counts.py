@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, written
 
 #: A longer text is encoded piece by piece, cut where the pre-tokenizer always cuts.
 PIECE_CHARS = 1 << 16
@@ -120,5 +120,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
     to_do.select("content", "text").mapInArrow(encoder("cached", blob, version), CACHE).write.mode("append").parquet(cache)
     own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     rows = docs.select(*own, F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content__"))
-    counts = stored().withColumnRenamed("content", "content__")
+    # a plain table: only then can a join split the rows of one very common text
+    counts = written(stored().withColumnRenamed("content", "content__"), "token-counts")
     return rows.join(counts, "content__").select(*(rows[c] for c in own), "n_bytes", "n_tokens")
