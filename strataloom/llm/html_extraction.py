@@ -39,7 +39,7 @@ BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus discussion respond replies reply related recommended "
     "recommendations share sharing social newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright legal disclaimer aside skip alert".split()
 )
-ARTICLE_WORDS = frozenset("article articlebody post postbody entry story maincontent maintext".split())
+ARTICLE_WORDS = frozenset("article articlebody post postbody entry story content main maincontent maintext".split())
 P_CLOSERS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd tr figure figcaption details".split())
 RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -90,14 +90,14 @@ def lines_of(page: str) -> list[Line]:
     pieces: list[str] = []
     linked: list[str] = []
     boilers = links = lists = forms = 0
-    articles: list[int] = []
+    articles: list[tuple[int, bool]] = []
     numbered = 0
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), boilers > 0 or (forms > 0 and not articles), articles[-1] if articles else 0, lists > 0))
+                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), boilers > 0 or (forms > 0 and not articles), articles[-1][0] if articles else 0, lists > 0))
             pieces.clear()
         linked.clear()
 
@@ -181,8 +181,12 @@ def lines_of(page: str) -> list[Line]:
         links += name == "a"
         lists += name in ("ul", "ol", "menu", "td", "th")
         if article:
-            numbered += 1
-            articles.append(articles[0] if articles else numbered)
+            whole = name == "article"
+            if not articles or whole and not articles[-1][1]:  # an article element is more than what marks a page's middle
+                numbered += 1
+                articles.append((numbered, whole))
+            else:
+                articles.append(articles[-1])
     flush()
     return lines
 

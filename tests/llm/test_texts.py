@@ -28,6 +28,8 @@ PROSE = "This is a long enough sentence of plain prose, and it goes on for a whi
         ('<article><table><tr><td>a</td><td>b</td></tr><tr><td>c</table></article>', "a b\n\nc"),
         ('<div class="cookie-notice">We use cookies</div><article><header><h2>Head</h2></header>body &#233;&eacute;&#x41;</article>', "Head\n\nbody ééA"),
         ('<article><ul><li>first item</li><li>second</li></ul><pre>a  b\n c</pre></article>', "first item\n\nsecond\n\na b c"),
+        (f'<main id="main"><h1>Section</h1><article><h2>Title</h2><div class="entry-content"><p>{PROSE}</p></div><p>tail</p></article><div>see more</div></main>', f"Title\n\n{PROSE.strip()}\n\ntail"),
+        (f'<div class="top">Menu</div><div id="content"><h1>T</h1><p>{PROSE}</p><div class="comments"><p>{PROSE}</p></div></div><div class="legal">c</div>', f"T\n\n{PROSE.strip()}"),
         ("<p>open <b>tags <i>never closed", "open tags never closed"),
         ("a < b and <3 and <>", "a < b and <3 and <>"),
     ],
