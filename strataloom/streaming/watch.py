@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 QUIET, LATE, PENDING = "500 milliseconds", "10 seconds", 4096
 
@@ -46,3 +48,42 @@ def watch(events: DataFrame, apply: Callable[[DataFrame, bool], None], checkpoin
 def windows(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
     """An extension: counts and sums by tumbling window and kind."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
+
+
+#: Events of an episode at most, and how long one stays open without any.
+EPISODE_EVENTS, LEASE_MS = 256, 30 * 60 * 1000
+
+
+def episodes(events: DataFrame, cap: int = EPISODE_EVENTS, lease_ms: int = LEASE_MS, late: str = LATE) -> DataFrame:
+    """(session, events, first, last, ended) of (session, ts, kind): a row when a session ends, is full, or its lease runs out.
+
+    State is a count and two times for each open session, whatever the number of its events.
+    """
+    schema = "session string, events long, first timestamp, last timestamp, ended string"
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            n, first, last = state.get
+            out.append((key[0], n, first, last, "lease"))
+            state.remove()
+        else:
+            n, first, last = state.get if state.exists else (0, None, None)
+            for part in batches:
+                for ts, kind in part[["ts", "kind"]].sort_values("ts", kind="stable").itertuples(index=False):
+                    at = int(ts.value // 1000)
+                    n, first, last = n + 1, at if first is None else min(first, at), at if last is None else max(last, at)
+                    if kind == "end" or n >= cap:
+                        out.append((key[0], n, first, last, "end" if kind == "end" else "full"))
+                        n, first, last = 0, None, None
+            if n:
+                state.update((n, first, last))
+                state.setTimeoutTimestamp(last // 1000 + lease_ms)
+            elif state.exists:
+                state.remove()
+        rows = pd.DataFrame(out, columns=["session", "events", "first", "last", "ended"])
+        for c in ("first", "last"):
+            rows[c] = pd.to_datetime(rows[c].astype("int64"), unit="us")
+        yield rows
+
+    return events.withWatermark("ts", late).groupBy("session").applyInPandasWithState(step, schema, "n long, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -109,3 +109,15 @@ def test_transcripts(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"session":"s","ts":"2024-01-01T00:00:00Z","role":"user","text":"hi"}\n{"session":"s","role":"assistant","text":"yo"}\n')
     assert [r.text for r in readers.transcripts(spark, str(tmp_path / "t.jsonl")).collect()] == ["hi"]
     assert F.col("x") is not None
+
+
+def test_episodes(spark, tmp_path):
+    t = datetime.datetime(2024, 1, 1)
+    rows = [(t + datetime.timedelta(minutes=i), s, k) for i, s, k in [(0, "a", "x"), (1, "a", "end"), (0, "b", "x"), (2, "b", "x"), (3, "b", "x"), (4, "b", "x"), (5, "c", "x")]]
+    for k, part in enumerate((rows, [(t + datetime.timedelta(hours=5), "z", "x")], [(t + datetime.timedelta(hours=6), "z", "x")])):
+        spark.createDataFrame(part, "ts timestamp, session string, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    events = spark.readStream.schema("ts timestamp, session string, kind string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = watch.episodes(events, cap=3).writeStream.format("memory").queryName("episodes").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.session, r.events, r.ended) for r in spark.sql("select * from episodes").collect()}
+    assert {("a", 2, "end"), ("b", 3, "full"), ("b", 1, "lease"), ("c", 1, "lease")} <= got
