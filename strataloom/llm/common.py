@@ -33,14 +33,23 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    Unlike a local checkpoint the table outlives any executor.
+    Unlike a local checkpoint the table outlives any executor. The shuffle files of the plan that fills it are
+    of no more use and go when it is written.
     """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    df.write.parquet(folder)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -5,9 +5,9 @@
    the one whose p-th token is smaller, so a set with fewer tokens in common with any other links with nothing.
 3. Sets that are left are partitioned into groups of similar ones: each is verified against the first set of the
    lists its leading tokens are in, and links make them one class; a class is cut into groups by smallest token.
-4. The token-group matrix holds each group's union of tokens and its sizes. A set and a group of another class
-   that share leading tokens are bounded by the set's overlap with the union; only groups whose bound reaches
-   the overlap that a link needs are opened, and the set is compared with their members.
+4. The token-group matrix holds each group's union of tokens, as a bitmap of their low bits, and its sizes. A set
+   lacks at least as many tokens of the union as its own bitmap has bits beyond the union's, which bounds their
+   overlap; only groups whose bound reaches what a link needs are opened, and the set is compared with members.
 Classes and links end in connected components.
 """
 
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -35,8 +35,8 @@ BROADCAST_IDS = 1_000_000
 #: Rounds of verifying against list leaders.
 ROUNDS = 2
 
-HEADS = "doc_id long, set_id long, n long, head array<long>"
-SETS = "set_id long, n long, tokens array<long>"
+HEADS = "doc_id long, number long, n long, head array<long>"
+SETS = "number long, n long, tokens array<long>, bits array<long>"
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -53,6 +53,29 @@ def set_number(tokens: np.ndarray) -> int:
     return int(mixed(mixed(tokens).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(tokens))).view(np.int64)[0])
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """Bits of the tokens' low parts: four to eight for each token, a power of two of 64-bit words, eight at least."""
+    words = 8
+    while words * 16 < len(tokens):
+        words *= 2
+    at = tokens & np.uint64(64 * words - 1)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
+def folded(a: Column, b: Column) -> Column:
+    """Bitmap ``a`` at the size of ``b`` where that is half of its own."""
+    half = F.zip_with(F.slice(a, F.lit(1), F.size(b)), F.slice(a, F.size(b) + 1, F.size(b)), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(a) > F.size(b), half).otherwise(a)
+
+
+def lacking(a: Column, b: Column) -> Column:
+    """At least so many tokens of ``a`` are not in ``b``, by their bitmaps, of which none is over twice the other."""
+    beyond = F.zip_with(folded(a, b), folded(b, a), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+    return F.aggregate(beyond, F.lit(0), lambda n, k: n + k)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
@@ -71,7 +94,7 @@ def heads_of(k: int, percent: int):
                 sizes = [len(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([set_number(s) if len(s) else 0 for s in sets], pa.int64()), pa.array(sizes, pa.int64()), _lists([s[: prefix_size(len(s), percent)] for s in sets])],
-                    names=["doc_id", "set_id", "n", "head"],
+                    names=["doc_id", "number", "n", "head"],
                 )
 
     return run
@@ -81,7 +104,7 @@ def whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, sets in _batches(batch, k):
-                yield pa.RecordBatch.from_arrays([pa.array([set_number(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets)], names=["set_id", "n", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([set_number(s) if len(s) else 0 for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _lists(sets), _lists([bitmap(s) for s in sets])], names=["number", "n", "tokens", "bits"])
 
     return run
 
@@ -95,19 +118,22 @@ def near_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def in_question(heads: DataFrame, percent: int) -> DataFrame:
-    """(set_id, n) of the sets that share enough leading tokens with others."""
-    each = heads.select("set_id", "n", F.explode("head").alias("token"))
+    """set_id of the sets that share enough leading tokens with others; ``heads`` has set_id, n and head."""
+    each = heads.select("set_id", F.explode("head").alias("token"))
     shared = each.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("token")
-    counted = each.join(shared, "token").groupBy("set_id", "n").agg(F.count("*").alias("shared"))
-    return counted.where(F.col("shared") >= must_share(F.col("n"), percent)).select("set_id", "n")
+    counted = each.join(shared, "token").groupBy("set_id").agg(F.count("*").alias("shared"))
+    sizes = heads.select("set_id", "n")
+    return counted.join(sizes, "set_id").where(F.col("shared") >= must_share(F.col("n"), percent)).select("set_id")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of set numbers those that link."""
-    one = sets.select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("t_a"))
-    two = sets.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("t_b"))
-    both = F.size(F.array_intersect("t_a", "t_b"))
-    return pairs.join(one, "a").join(two, "b").where(linked(both, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    """Of the pairs (a, b) of sets of near sizes those that link: first by bitmaps, then by all tokens."""
+    side = lambda k, *more: sets.select(F.col("set_id").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in more))
+    close = pairs.join(side("a", "n", "bits"), "a").join(side("b", "n", "bits"), "b")
+    most = F.least(F.col("n_a") - lacking(F.col("bits_a"), F.col("bits_b")), F.col("n_b") - lacking(F.col("bits_b"), F.col("bits_a")))
+    close = written(close.where(linked(most, F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "n_a", "n_b"), "close")
+    both = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return close.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b").where(linked(both, F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
 
 
 def classed(sets: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -123,11 +149,15 @@ def classed(sets: DataFrame, links: list[DataFrame]) -> DataFrame:
 
 
 def by_leaders(heads: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between each set and the first set of the lists of its leading tokens, if of another class."""
+    """Links between each set and the first set of the lists of its leading tokens, if of another class.
+
+    Only pairs that meet in many lists are compared; whatever this leaves is for the matrix.
+    """
     each = heads.join(classes, "set_id")
     first = each.groupBy("token").agg(F.min(F.struct("cls", "set_id", "n")).alias("first"), F.max("cls").alias("last")).where("first.cls < last").select("token", "first")
     pairs = each.join(first, "token").where((F.col("cls") > F.col("first.cls")) & near_sizes(F.col("n"), F.col("first.n"), percent))
-    pairs = pairs.groupBy(F.col("set_id").alias("a"), F.col("first.set_id").alias("b")).agg(F.count("*").alias("seen")).select("a", "b")
+    pairs = pairs.groupBy(F.col("set_id").alias("a"), "n", F.col("first.set_id").alias("b")).agg(F.count("*").alias("seen"))
+    pairs = pairs.where(F.col("seen") >= must_share(F.col("n"), percent)).select("a", "b")
     return written(verified(pairs, sets, percent), "leader-links")
 
 
@@ -140,26 +170,32 @@ def by_groups(heads: DataFrame, classes: DataFrame, sets: DataFrame, percent: in
     open_ids = written(open_ids.where(F.col("shared") >= must_share(F.col("n"), percent)).select("set_id", "n", "cls"), "open-sets")
     of_class = open_ids.groupBy("cls").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     members = sets.join(open_ids.drop("n"), "set_id").join(of_class, "cls")
-    members = written(members.select("set_id", "n", "cls", F.pmod(F.xxhash64(F.col("tokens")[0]), F.col("groups")).alias("part"), "tokens"), "members")
-    group = F.struct("cls", "part")
+    part = F.struct(F.size("bits").alias("words"), F.pmod(F.xxhash64(F.col("tokens")[0]), F.col("groups")).alias("k"))
+    members = written(members.select("set_id", "n", "cls", part.alias("part"), "bits"), "members")
     # the matrix: a row for each group, its sizes and its union of tokens
     sizes = members.groupBy("cls", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    union = members.select("cls", "part", F.explode("tokens").alias("token")).distinct()
-    matrix = union.groupBy("cls", "part").agg(F.collect_list("token").alias("union")).join(sizes, ["cls", "part"])
-    matrix = written(matrix.select(F.col("cls").alias("g_cls"), F.col("part").alias("g_part"), "least", "most", "union"), "matrix")
-    leading = heads.join(members.select("set_id", "n", "cls", "part"), "set_id")
-    columns = leading.select("token", F.col("cls").alias("g_cls"), F.col("part").alias("g_part")).distinct()
-    # of two classes the smaller number asks, so each pair of classes meets once
-    asked = leading.select("set_id", "n", "cls", "token").join(columns, "token").where(F.col("cls") < F.col("g_cls"))
-    asked = asked.groupBy("set_id", "n", "cls", "g_cls", "g_part").agg(F.count("*").alias("shared")).where(F.col("shared") >= must_share(F.col("n"), percent))
+    ones = members.select("cls", "part", F.posexplode("bits").alias("word", "ones")).groupBy("cls", "part", "word").agg(F.bit_or("ones").alias("ones"))
+    union = ones.groupBy("cls", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "ones"))), lambda x: x["ones"]).alias("union"))
+    matrix = written(union.join(sizes, ["cls", "part"]).select(F.col("cls").alias("g_cls"), F.col("part").alias("g_part"), "least", "most", "union"), "matrix")
+    leading = written(heads.join(members.select("set_id", "n", "cls", "part"), "set_id"), "open-leading")
+    columns = leading.groupBy("token", F.col("cls").alias("g_cls"), F.col("part").alias("g_part")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    columns = written(columns, "columns")
+    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
+    # Of two classes the smaller number asks, so each pair of classes meets once. A linked set shares at least
+    # must_share leading tokens, so without its must_share - 1 most common ones it still shares one.
+    spread = columns.groupBy("token").agg(F.count("*").alias("groups"), F.max("g_cls").alias("last")).where("groups > 1")
+    common_first = Window.partitionBy("set_id").orderBy(F.col("groups").desc(), "token")
+    rare = leading.select("set_id", "n", "cls", "token").join(spread, "token").withColumn("k", F.row_number().over(common_first))
+    rare = rare.where((F.col("k") >= must_share(F.col("n"), percent)) & (F.col("cls") < F.col("last"))).select("set_id", "n", "cls", "token")
+    asked = rare.join(columns, "token").where((F.col("cls") < F.col("g_cls")) & fits)
+    asked = written(asked.groupBy("set_id", "n", "g_cls", "g_part").agg(F.count("*").alias("seen")), "asked")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     needed = F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-9)
-    fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    bounded = asked.join(matrix, ["g_cls", "g_part"]).where(fits).join(members.select("set_id", "tokens"), "set_id")
-    opened = written(bounded.where(F.size(F.array_intersect("tokens", "union")) >= needed).select(F.col("set_id").alias("a"), "n", "g_cls", "g_part"), "opened")
+    bounded = asked.join(matrix, ["g_cls", "g_part"]).where(fits).join(members.select("set_id", "bits"), "set_id")
+    opened = written(bounded.where(F.col("n") - lacking(F.col("bits"), F.col("union")) >= needed).select(F.col("set_id").alias("a"), "n", "g_cls", "g_part"), "opened")
     inside = members.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("cls").alias("g_cls"), F.col("part").alias("g_part"))
     pairs = opened.join(inside, ["g_cls", "g_part"]).where(near_sizes(F.col("n"), F.col("n_b"), percent)).select("a", "b")
-    return written(verified(pairs, members, percent), "group-links")
+    return written(verified(pairs, sets, percent), "group-links")
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,34 +209,31 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    heads = written(texts.mapInArrow(heads_of(k, percent), HEADS), "heads")
+    heads = written(texts.mapInArrow(heads_of(k, percent), HEADS).withColumn("row", F.monotonically_increasing_id()), "heads")
     full = heads.where("n > 0")
-    reps = written(full.groupBy("set_id", "n").agg(F.min("doc_id").alias("rep")), "sets")
-    # one document stands for each set: the rows that hold its number
-    chosen = full.join(reps.hint("shuffle_hash"), (full["doc_id"].eqNullSafe(reps["rep"])) & (full["set_id"] == reps["set_id"]) & (full["n"] == reps["n"]), "left_semi")
-    live = written(in_question(chosen, percent).join(reps, ["set_id", "n"]), "in-question")
-    few = F.broadcast if live.count() <= BROADCAST_IDS else (lambda x: x)
-    in_doubt = texts.join(few(live.select(F.col("rep").alias("id__"))), F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
-    found = in_doubt.select("text").mapInArrow(whole_sets(k), SETS).join(few(live.select("set_id", "n")), ["set_id", "n"], "left_semi")
-    sets = written(found.dropDuplicates(["set_id", "n"]), "token-sets")  # identifiers may repeat
+    # the first row of each set stands for it and numbers it
+    reps = written(full.groupBy("number", "n").agg(F.min("row").alias("set_id"), F.min("doc_id").alias("rep"), F.min_by("doc_id", "row").alias("read_id")), "sets")
+    chosen = full.join(reps.select("set_id").hint("shuffle_hash"), F.col("row") == F.col("set_id"), "left_semi").select(F.col("row").alias("set_id"), "n", "head")
+    live = written(in_question(chosen, percent).join(reps, "set_id"), "in-question")
+    n_live = live.count()
+    few = F.broadcast if n_live <= BROADCAST_IDS else (lambda x: x)
+    in_doubt = texts.join(few(live.select(F.col("read_id").alias("id__")).distinct()), F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
+    sets = written(in_doubt.select("text").mapInArrow(whole_sets(k), SETS).join(few(live.select("number", "n", "set_id")), ["number", "n"]).select("set_id", "n", "tokens", "bits"), "token-sets")
+    if sets.count() > n_live:  # identifiers repeat
+        sets = written(sets.dropDuplicates(["set_id"]), "token-sets")
     size = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 + n * {MORE} div 100 as int)")
     leading = written(sets.select("set_id", F.explode(F.slice("tokens", F.lit(1), size)).alias("token")), "leading")
     links: list[DataFrame] = []
     classes = classed(sets, links)
-    for _ in range(ROUNDS):
-        new = by_leaders(leading, classes, sets, percent)
-        if new.isEmpty():
-            break
-        links.append(new)
-        classes = classed(sets, links)
-    new = by_groups(leading, classes, sets, percent)
-    if not new.isEmpty():
-        links.append(new)
-        classes = classed(sets, links)
-    grouped = classes.join(reps, ["set_id", "n"]).groupBy("cls").agg(F.min("rep").alias("component_id"))
-    moved = classes.join(grouped, "cls").select("set_id", "n", "component_id")
-    info = written(reps.join(moved, ["set_id", "n"], "left").select(F.col("set_id").alias("s__"), F.col("n").alias("n__"), F.coalesce("component_id", "rep").alias("component_id")), "set-components")
-    named = heads.select("doc_id", "set_id", "n")
-    linked_rows = named.where("n > 0").join(info, (F.col("set_id") == F.col("s__")) & (F.col("n") == F.col("n__")))
+    for find in [by_leaders] * ROUNDS + [by_groups]:
+        new = find(leading, classes, sets, percent)
+        if not new.isEmpty():
+            links.append(new)
+            classes = classed(sets, links)
+        grouped = classes.join(reps.select("set_id", "rep"), "set_id").groupBy("cls").agg(F.min("rep").alias("component_id"))
+    moved = classes.join(grouped, "cls").select("set_id", "component_id")
+    info = written(reps.join(moved, "set_id", "left").select(F.col("number").alias("s__"), F.col("n").alias("n__"), F.coalesce("component_id", "rep").alias("component_id")), "set-components")
+    named = heads.select("doc_id", "number", "n")
+    linked_rows = named.where("n > 0").join(info, (F.col("number") == F.col("s__")) & (F.col("n") == F.col("n__")))
     alone = named.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked_rows.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
