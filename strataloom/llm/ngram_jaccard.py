@@ -4,7 +4,7 @@
 2. Sets are read in the order of their numbers. Two that link share at least ``l`` of the first ``p`` tokens of
    the one whose p-th token is smaller, so a set with fewer tokens in common with any other links with nothing.
 3. Sets that are left are partitioned into groups of similar ones: each is verified against the first set of the
-   lists its leading tokens are in, and links make them one class; a class is cut into groups by smallest token.
+   lists its leading tokens are in, and links make them one class; what is left falls into groups by smallest token.
 4. The token-group matrix holds each group's union of tokens, as a bitmap of their low bits, and its sizes. A set
    lacks at least as many tokens of the union as its own bitmap has bits beyond the union's, which bounds their
    overlap; only groups whose bound reaches what a link needs are opened, and the set is compared with members.
@@ -118,12 +118,15 @@ def near_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def in_question(heads: DataFrame, percent: int) -> DataFrame:
-    """set_id of the sets that share enough leading tokens with others; ``heads`` has set_id, n and head."""
+    """(set_id, rank) of the sets that share enough leading tokens with others; ``heads`` has set_id, n and head.
+
+    rank is the share of leading tokens that others have as well: of near copies the one they were made from has most.
+    """
     each = heads.select("set_id", F.explode("head").alias("token"))
     shared = each.groupBy("token").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("token")
     counted = each.join(shared, "token").groupBy("set_id").agg(F.count("*").alias("shared"))
     sizes = heads.select("set_id", "n")
-    return counted.join(sizes, "set_id").where(F.col("shared") >= must_share(F.col("n"), percent)).select("set_id")
+    return counted.join(sizes, "set_id").where(F.col("shared") >= must_share(F.col("n"), percent)).select("set_id", (F.col("shared") / F.col("n")).alias("rank"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -137,64 +140,75 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def classed(sets: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """(set_id, n, cls): the class of each set after these links."""
-    base = sets.select("set_id", "n")
+    """(set_id, n, rank, cls): the class of each set after these links."""
+    base = sets.select("set_id", "n", "rank")
     if not links:
         return base.withColumn("cls", F.col("set_id"))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
     roots = components(every)
-    return written(base.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "n", F.coalesce("root", "set_id").alias("cls")), "classes")
+    return written(base.join(roots, F.col("set_id") == F.col("node"), "left").select("set_id", "n", "rank", F.coalesce("root", "set_id").alias("cls")), "classes")
 
 
-def by_leaders(heads: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between each set and the first set of the lists of its leading tokens, if of another class.
+def by_leaders(order: Column):
+    """Links between each set and the first set, by ``order``, of the lists of its leading tokens, if of another class.
 
     Only pairs that meet in many lists are compared; whatever this leaves is for the matrix.
     """
-    each = heads.join(classes, "set_id")
-    first = each.groupBy("token").agg(F.min(F.struct("cls", "set_id", "n")).alias("first"), F.max("cls").alias("last")).where("first.cls < last").select("token", "first")
-    pairs = each.join(first, "token").where((F.col("cls") > F.col("first.cls")) & near_sizes(F.col("n"), F.col("first.n"), percent))
-    pairs = pairs.groupBy(F.col("set_id").alias("a"), "n", F.col("first.set_id").alias("b")).agg(F.count("*").alias("seen"))
-    pairs = pairs.where(F.col("seen") >= must_share(F.col("n"), percent)).select("a", "b")
-    return written(verified(pairs, sets, percent), "leader-links")
+
+    def find(heads: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+        each = heads.join(classes, "set_id")
+        first = each.groupBy("token").agg(F.min(F.struct(order.alias("o"), "cls", "set_id", "n")).alias("first"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token", "first")
+        pairs = each.join(first, "token").where((F.col("cls") != F.col("first.cls")) & near_sizes(F.col("n"), F.col("first.n"), percent))
+        pairs = pairs.groupBy(F.col("set_id").alias("a"), "n", F.col("first.set_id").alias("b")).agg(F.count("*").alias("seen"))
+        pairs = pairs.where(F.col("seen") >= must_share(F.col("n"), percent)).select("a", "b")
+        return written(verified(pairs, sets, percent), "leader-links")
+
+    return find
+
+
+def across(each: DataFrame, least: Column) -> DataFrame:
+    """(set_id, n, cls) of the sets with at least ``least`` tokens that sets of other classes have as well."""
+    shared = each.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
+    return each.join(shared, "token").groupBy("set_id", "n", "cls").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("set_id", "n", "cls")
 
 
 def by_groups(heads: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links across classes by the token-group matrix."""
-    each = heads.join(classes, "set_id").select("set_id", "n", "cls", "token")
-    # only sets that share enough leading tokens with other classes can have such a link
-    mixed_lists = each.groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("token")
-    open_ids = each.join(mixed_lists, "token").groupBy("set_id", "n", "cls").agg(F.count("*").alias("shared"))
-    open_ids = written(open_ids.where(F.col("shared") >= must_share(F.col("n"), percent)).select("set_id", "n", "cls"), "open-sets")
-    of_class = open_ids.groupBy("cls").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    members = sets.join(open_ids.drop("n"), "set_id").join(of_class, "cls")
-    part = F.struct(F.size("bits").alias("words"), F.pmod(F.xxhash64(F.col("tokens")[0]), F.col("groups")).alias("k"))
-    members = written(members.select("set_id", "n", "cls", part.alias("part"), "bits"), "members")
+    # the coarsest bound: all other classes as one group, first by leading tokens, then by all
+    open_ids = written(across(heads.join(classes, "set_id").select("set_id", "n", "cls", "token"), must_share(F.col("n"), percent)), "open-sets")
+    whole = sets.select("set_id", F.explode("tokens").alias("token")).join(open_ids, "set_id")
+    open_ids = written(across(whole, F.ceil(F.col("n") * percent / 100)), "open-sets")
+    of_class = open_ids.groupBy("cls").agg(F.count("*").alias("members"))
+    members = sets.select("set_id", F.col("tokens")[0].alias("first"), "bits").join(open_ids, "set_id").join(of_class, "cls")
+    # of two classes the smaller one asks, so each pair of classes meets once
+    members = written(members.select("set_id", "n", F.size("bits").alias("words"), "first", "bits", F.struct("members", "cls").alias("who")), "open-members")
+    alike = members.groupBy("words", "first").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    part = F.struct("words", "first", F.pmod(F.xxhash64("set_id"), F.col("groups")).alias("k"))
+    members = written(members.join(alike, ["words", "first"]).select("set_id", "n", "who", part.alias("part"), "bits"), "members")
     # the matrix: a row for each group, its sizes and its union of tokens
-    sizes = members.groupBy("cls", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    ones = members.select("cls", "part", F.posexplode("bits").alias("word", "ones")).groupBy("cls", "part", "word").agg(F.bit_or("ones").alias("ones"))
-    union = ones.groupBy("cls", "part").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "ones"))), lambda x: x["ones"]).alias("union"))
-    matrix = written(union.join(sizes, ["cls", "part"]).select(F.col("cls").alias("g_cls"), F.col("part").alias("g_part"), "least", "most", "union"), "matrix")
-    leading = written(heads.join(members.select("set_id", "n", "cls", "part"), "set_id"), "open-leading")
-    columns = leading.groupBy("token", F.col("cls").alias("g_cls"), F.col("part").alias("g_part")).agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    columns = written(columns, "columns")
+    sizes = members.groupBy("part").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    ones = members.select("part", F.posexplode("bits").alias("word", "ones")).groupBy("part", "word").agg(F.bit_or("ones").alias("ones"))
+    union = ones.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "ones"))), lambda x: x["ones"]).alias("union"))
+    matrix = written(union.join(sizes, "part"), "matrix")
+    leading = written(heads.join(members.select("set_id", "n", "who", "part"), "set_id"), "open-leading")
+    columns = written(leading.groupBy("token", "part").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("who").alias("last")), "columns")
     fits = (F.col("most") * 100 >= F.col("n") * percent) & (F.col("n") * 100 >= F.col("least") * percent)
-    # Of two classes the smaller number asks, so each pair of classes meets once. A linked set shares at least
-    # must_share leading tokens, so without its must_share - 1 most common ones it still shares one.
-    spread = columns.groupBy("token").agg(F.count("*").alias("groups"), F.max("g_cls").alias("last")).where("groups > 1")
+    # A linked set shares at least must_share leading tokens, so without its must_share - 1 most common ones it
+    # still shares one.
+    spread = columns.groupBy("token").agg(F.count("*").alias("groups"), F.max("last").alias("last"))
     common_first = Window.partitionBy("set_id").orderBy(F.col("groups").desc(), "token")
-    rare = leading.select("set_id", "n", "cls", "token").join(spread, "token").withColumn("k", F.row_number().over(common_first))
-    rare = rare.where((F.col("k") >= must_share(F.col("n"), percent)) & (F.col("cls") < F.col("last"))).select("set_id", "n", "cls", "token")
-    asked = rare.join(columns, "token").where((F.col("cls") < F.col("g_cls")) & fits)
-    asked = written(asked.groupBy("set_id", "n", "g_cls", "g_part").agg(F.count("*").alias("seen")), "asked")
+    rare = leading.select("set_id", "n", "who", "token").join(spread, "token").withColumn("k", F.row_number().over(common_first))
+    rare = rare.where((F.col("k") >= must_share(F.col("n"), percent)) & (F.col("who") < F.col("last"))).select("set_id", "n", "who", "token")
+    asked = rare.join(columns, "token").where((F.col("who") < F.col("last")) & fits)
+    asked = written(asked.groupBy("set_id", "n", "who", "part").agg(F.count("*").alias("seen")), "asked")
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
     needed = F.ceil((F.col("n") + smallest) * percent / (100 + percent) - 1e-9)
-    bounded = asked.join(matrix, ["g_cls", "g_part"]).where(fits).join(members.select("set_id", "bits"), "set_id")
-    opened = written(bounded.where(F.col("n") - lacking(F.col("bits"), F.col("union")) >= needed).select(F.col("set_id").alias("a"), "n", "g_cls", "g_part"), "opened")
-    inside = members.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("cls").alias("g_cls"), F.col("part").alias("g_part"))
-    pairs = opened.join(inside, ["g_cls", "g_part"]).where(near_sizes(F.col("n"), F.col("n_b"), percent)).select("a", "b")
+    bounded = asked.join(matrix, "part").where(fits).join(members.select("set_id", "bits"), "set_id")
+    opened = written(bounded.where(F.col("n") - lacking(F.col("bits"), F.col("union")) >= needed).select(F.col("set_id").alias("a"), "n", "who", "part"), "opened")
+    inside = members.select(F.col("set_id").alias("b"), F.col("n").alias("n_b"), F.col("who").alias("other"), "part")
+    pairs = opened.join(inside, "part").where((F.col("who") < F.col("other")) & near_sizes(F.col("n"), F.col("n_b"), percent)).select("a", "b")
     return written(verified(pairs, sets, percent), "group-links")
 
 
@@ -218,14 +232,15 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     n_live = live.count()
     few = F.broadcast if n_live <= BROADCAST_IDS else (lambda x: x)
     in_doubt = texts.join(few(live.select(F.col("read_id").alias("id__")).distinct()), F.col("doc_id").eqNullSafe(F.col("id__")), "left_semi")
-    sets = written(in_doubt.select("text").mapInArrow(whole_sets(k), SETS).join(few(live.select("number", "n", "set_id")), ["number", "n"]).select("set_id", "n", "tokens", "bits"), "token-sets")
+    sets = written(in_doubt.select("text").mapInArrow(whole_sets(k), SETS).join(few(live.select("number", "n", "set_id", "rank")), ["number", "n"]).select("set_id", "n", "rank", "tokens", "bits"), "token-sets")
     if sets.count() > n_live:  # identifiers repeat
         sets = written(sets.dropDuplicates(["set_id"]), "token-sets")
     size = F.expr(f"cast(n - ({percent} * n + 99) div 100 + 1 + n * {MORE} div 100 as int)")
     leading = written(sets.select("set_id", F.explode(F.slice("tokens", F.lit(1), size)).alias("token")), "leading")
     links: list[DataFrame] = []
     classes = classed(sets, links)
-    for find in [by_leaders] * ROUNDS + [by_groups]:
+    orders = [-F.col("rank"), F.xxhash64("cls")][:ROUNDS]
+    for find in [*map(by_leaders, orders), by_groups]:
         new = find(leading, classes, sets, percent)
         if not new.isEmpty():
             links.append(new)
