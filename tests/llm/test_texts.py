@@ -80,6 +80,48 @@ def test_licenses(spark):
     assert license_scan.scan_licenses(df.where("false")).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+MIT_REST = """The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+
+
+def test_whole_notices_as_they_are_shipped(spark):
+    commented = lambda t: "\n".join(f"# {line}".rstrip() for line in t.split("\n"))
+    rows = [MIT, " ".join(MIT.split()), f"MIT License\n\n{MIT}\n\n{MIT_REST}", commented(f"{MIT}\n\n{MIT_REST}"), MPL, commented(MPL), APACHE, commented(APACHE), license_scan.TEMPLATES["mpl-2.0"], license_scan.TEMPLATES["mit-grant"]]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [out[i].license for i in range(len(rows))] == ["mit-notice"] * 3 + ["mit-text"] + ["mpl-2.0-notice"] * 2 + ["apache-2.0-header", "apache-2.0-notice", "mpl-2.0", "mit-grant"]
+    for i, text in enumerate(rows):
+        assert out[i].licenses == ",".join(sorted(brute_licenses(text, license_scan.TEMPLATES, 0.8))), i
+
+
 def test_license_key_words_cut_nothing():
     rng = random.Random(4)
     own = [f"w{i} w{i + 1}" for i in range(12)]
