@@ -90,7 +90,7 @@ def strong_components(pairs: dict[str, set[str]]) -> list[list[str]]:
 def cycles(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     """(size, members): cycles of the import graph. Beyond ``cap`` pairs one row with nulls says so.
 
-    Nodes that lack an edge in or out are peeled off first; what is left is at most ``cap`` pairs, one task's work.
+    One task's work, so bounded; ``cycle_nodes`` and ``all_cycles`` have no cap.
     """
     spark = pairs.sparkSession
     schema = "size long, members array<string>, truncation_reason string"
@@ -107,6 +107,58 @@ def cycles(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     return pairs.groupBy(F.lit(1).alias("one")).applyInPandas(run, schema)
 
 
+def peeled(pairs: DataFrame) -> DataFrame:
+    """``pairs`` without those that start where none ends or end where none starts; no cycle has such a pair."""
+    starts, ends = pairs.select(F.col("from_file").alias("to_file")).distinct(), pairs.select(F.col("to_file").alias("from_file")).distinct()
+    return pairs.join(starts, "to_file", "left_semi").join(ends, "from_file", "left_semi").select("from_file", "to_file")
+
+
+def cycle_nodes(pairs: DataFrame) -> DataFrame:
+    """(root, node): nodes that lie on a cycle of two or more, root being the smallest node that each other reach.
+
+    Without a cap. Each round peels once and gives every node the smallest node that reaches it; pairs between two
+    labels lie on no cycle. Of one label, what leads back to the node that named it is that node's component and
+    leaves; the rest goes on. Every step is a join whose result is written.
+    """
+    left = cut(pairs.select("from_file", "to_file").where("from_file <> to_file").distinct(), "cycle-pairs")
+    found = left.select(F.col("from_file").alias("root"), F.col("from_file").alias("node")).where("false")
+    while True:
+        left = cut(peeled(left), "cycle-pairs")
+        if left.isEmpty():
+            break
+        labels = left.select(F.col("from_file").alias("node")).union(left.select("to_file")).distinct().select("node", F.col("node").alias("root"))
+        while True:
+            near = left.join(labels, F.col("from_file") == F.col("node")).groupBy(F.col("to_file").alias("at")).agg(F.min("root").alias("near"))
+            after = labels.join(near, F.col("node") == F.col("at"), "left").select("node", F.col("root").alias("before"), F.least("root", F.coalesce("near", "root")).alias("root"))
+            after = cut(after, "cycle-labels")
+            labels = after.select("node", "root")
+            if after.where("before <> root").isEmpty():
+                break
+        ends = labels.select(F.col("node").alias("end"), F.col("root").alias("end_root"))
+        left = left.join(labels, F.col("from_file") == F.col("node")).join(ends, (F.col("to_file") == F.col("end")) & (F.col("root") == F.col("end_root")))
+        left = cut(left.select("from_file", "to_file", "root"), "cycle-pairs")
+        front = cut(labels.where("node = root"), "cycle-back")
+        back = front
+        while not front.isEmpty():
+            near = left.join(front.select("node"), F.col("to_file") == F.col("node")).select("root", F.col("from_file").alias("node")).distinct()
+            front = cut(near.join(back, "node", "left_anti"), "cycle-back")
+            back = back.unionByName(front)
+        back = cut(back, "cycle-back")
+        big = back.groupBy("root").agg(F.count("*").alias("size")).where("size > 1").select("root")
+        found = found.unionByName(cut(back.join(big, "root", "left_semi").select("root", "node"), "cycle-nodes"))
+        left = left.select("from_file", "to_file")
+        for end in ("from_file", "to_file"):
+            left = left.join(back.select(F.col("node").alias(end)), end, "left_anti")
+        left = left.select("from_file", "to_file")
+    return found
+
+
+def all_cycles(pairs: DataFrame) -> DataFrame:
+    """(size, members): the cycles of a graph of any size; a row holds the members of its cycle."""
+    rows = cycle_nodes(pairs).groupBy("root").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
+    return rows.select("size", "members")
+
+
 def within_budget(found: DataFrame, budget: int = MEMBER_BUDGET) -> DataFrame:
     """The largest cycles whole, up to ``budget`` members; it stops at the first that does not fit."""
     w = Window.orderBy(F.col("size").desc(), "members").rowsBetween(Window.unboundedPreceding, 0)

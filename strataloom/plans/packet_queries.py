@@ -108,8 +108,14 @@ def temporal_boundaries(spark: SparkSession, d: str) -> DataFrame:
 def cycle_members(spark: SparkSession, d: str) -> DataFrame:
     """Files that lie on a cycle, whatever the cycle's size."""
     s = symbols(spark, d).where(F.col("file_path").startswith("asia/"))
-    found = graph.cycles(graph.import_pairs(s, edges(spark, d).where("line <= 2")), cap=500_000)
-    return found.select(F.explode("members").alias("file_path"))
+    found = graph.cycle_nodes(graph.import_pairs(s, edges(spark, d).where("line <= 2")))
+    return found.select(F.col("node").alias("file_path"))
+
+
+@query()
+def cycle_members_all(spark: SparkSession, d: str) -> DataFrame:
+    """Files of the whole graph that lie on a cycle."""
+    return graph.cycle_nodes(graph.import_pairs(symbols(spark, d), edges(spark, d))).select(F.col("node").alias("file_path"))
 
 
 @query(

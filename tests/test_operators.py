@@ -73,6 +73,50 @@ def test_cycles_and_their_budgets(spark):
     assert graph.skipping_budget(found, 2) == [(2, ["a", "b"])]
 
 
+def brute_cycles(pairs):
+    to = {}
+    for a, b in pairs:
+        to.setdefault(a, set()).add(b)
+    reach = {}
+    for a in to:
+        seen, work = set(), [a]
+        while work:
+            for b in to.get(work.pop(), ()):
+                if b not in seen:
+                    seen.add(b)
+                    work.append(b)
+        reach[a] = seen
+    return {tuple(sorted({a} | {b for b in reach[a] if a in reach.get(b, ())})) for a in reach if a in reach[a]} - {(a,) for a in reach}
+
+
+def test_cycles_without_a_cap(spark):
+    rng = random.Random(9)
+    rows = [(f"{k}/{rng.randrange(12):02}", f"{k}/{rng.randrange(12):02}") for k in range(12) for _ in range(15)]
+    rows += [(f"{rng.randrange(4)}/00", f"{rng.randrange(4, 8)}/00") for _ in range(6)] + [("9/z", "9/z"), ("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")]
+    want = brute_cycles(rows)
+    assert len(want) > 5 and len({len(m) for m in want}) > 2
+    pairs = spark.createDataFrame(rows, "from_file string, to_file string")
+    found = graph.all_cycles(pairs).collect()
+    assert len(found) == len(want) and {tuple(r.members) for r in found} == want and all(r["size"] == len(r.members) for r in found)
+    assert sorted(r.node for r in graph.cycle_nodes(pairs).collect()) == sorted(x for m in want for x in m)
+    assert graph.all_cycles(pairs.where("from_file > to_file")).count() == 0
+
+
+def whole_pairs(spark, small):
+    from strataloom.plans.bind import edges, symbols as bound
+
+    return {(r.from_file, r.to_file) for r in graph.import_pairs(bound(spark, small), edges(spark, small)).collect()}
+
+
+def test_cycles_of_all_files(spark, small):
+    from strataloom.plans.catalog import QUERIES
+
+    want = brute_cycles(whole_pairs(spark, small))
+    assert len({x.split("/")[0] for m in want for x in m}) > 1
+    assert {tuple(r.members.split(",")) for r in QUERIES["dependency_cycles_all"](spark, small).collect()} == want
+    assert sorted(r.file_path for r in QUERIES["cycle_members_all"](spark, small).collect()) == sorted(x for m in want for x in m)
+
+
 def test_strong_components_against_reachability():
     rng = random.Random(5)
     for _ in range(50):
