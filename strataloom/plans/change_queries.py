@@ -187,7 +187,15 @@ CYCLE_SQL = """p{k} AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM
 )
 def cycle_delta(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d).where("line <= 2")
-    side = lambda df: graph.cycles(graph.import_pairs(df.where(F.col("file_path").startswith("europe/")), e), cap=500_000).where("members is not null")
+    side = lambda df: graph.all_cycles(graph.import_pairs(df.where(F.col("file_path").startswith("europe/")), e))
+    return change.cycle_delta(side(base(spark, d)), side(head(spark, d)))
+
+
+@query()
+def cycle_delta_all(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of the whole snapshots compared, over all files and lines; too slow in SQL."""
+    e = edges(spark, d)
+    side = lambda df: graph.all_cycles(graph.import_pairs(df, e))
     return change.cycle_delta(side(base(spark, d)), side(head(spark, d)))
 
 

@@ -117,6 +117,23 @@ def test_cycles_of_all_files(spark, small):
     assert sorted(r.file_path for r in QUERIES["cycle_members_all"](spark, small).collect()) == sorted(x for m in want for x in m)
 
 
+def test_cycle_delta_of_whole_snapshots(spark, small, monkeypatch):
+    from strataloom.plans import change_queries as q
+
+    seen, bound = set(), q.edges
+    for line in (3, 4, 5):
+        e = bound(spark, small.replace("0.001", "0.01")).where(f"line > 2 and line = {line} and from_id % 3 = 0").localCheckpoint()
+        monkeypatch.setattr(q, "edges", lambda *_, e=e: e)
+        d = small.replace("0.001", "0.01")
+        old, new = (brute_cycles({(r.from_file, r.to_file) for r in graph.import_pairs(side(spark, d), e).collect()}) for side in (q.base, q.head))
+        want = {("changed", ",".join(h)) for h in new - old if any(set(h) & set(b) for b in old - new)}
+        want |= {("added", ",".join(h)) for h in new - old if not any(set(h) & set(b) for b in old - new)}
+        want |= {("removed", ",".join(b)) for b in old - new if not any(set(h) & set(b) for h in new - old)}
+        seen |= want
+        assert {(r.change, r.members) for r in q.cycle_delta_all(spark, d).collect()} == want
+    assert seen
+
+
 def test_strong_components_against_reachability():
     rng = random.Random(5)
     for _ in range(50):
