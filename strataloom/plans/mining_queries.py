@@ -139,7 +139,7 @@ def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def exact_binomial(spark: SparkSession, d: str) -> DataFrame:
     """Exact bounds of toxic shares by language; bisection has no SQL."""
-    rows = _trials(spark, d).where("toxic is not null and doc_id < 300").groupBy("condition").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
+    rows = _trials(spark, d).where("toxic is not null").groupBy("condition").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
     return trials.exact_tests(rows, "condition")
 
 

@@ -15,21 +15,31 @@ from strataloom.sources.sinks import annotations
 LAYERS = ["system", "user", "assistant"]
 
 
-@query(
-    "",
-    """WITH l AS (SELECT CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS layer, role, count(*) AS items, ceil(sum(strlen(text)) / 4)::BIGINT AS tokens FROM conversations WHERE conv_id < 40 GROUP BY ALL),
+LAYERS_SQL = """WITH l AS (SELECT CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS layer, role, count(*) AS items, ceil(sum(strlen(text)) / 4)::BIGINT AS tokens FROM conversations WHERE conv_id < 40 GROUP BY ALL),
     s AS (SELECT *, sum(tokens) OVER (ORDER BY layer ROWS UNBOUNDED PRECEDING) AS upto FROM l)
-    SELECT layer, role, items, tokens, upto <= 3000 AS kept, CASE WHEN upto > 3000 THEN 'budget' END AS reason FROM s""",
-)
-def context_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Layers of a packet in their order; one that no longer fits is dropped whole, with the reason."""
+    SELECT layer, role, items, tokens, upto <= 3000 AS kept, CASE WHEN upto > 3000 THEN 'budget' END AS reason FROM s"""
+
+
+def _layers(rows: DataFrame) -> DataFrame:
     rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    rows = load(spark, d, "conversations").where("conv_id < 40").groupBy(rank.alias("layer"), "role").agg(F.count("*").alias("items"), F.ceil(F.sum(F.octet_length("text")) / 4).alias("tokens"))
+    rows = rows.groupBy(rank.alias("layer"), "role").agg(F.count("*").alias("items"), F.ceil(F.sum(F.octet_length("text")) / 4).alias("tokens"))
     upto = F.sum("tokens").over(Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("upto", upto)
     return rows.select("layer", "role", "items", "tokens", (F.col("upto") <= 3000).alias("kept"), F.when(F.col("upto") > 3000, "budget").alias("reason"))
 
 
+@query("", LAYERS_SQL)
+def context_layers(spark: SparkSession, d: str) -> DataFrame:
+    """Layers of a packet in their order; one that no longer fits is dropped whole, with the reason."""
+    return _layers(load(spark, d, "conversations").where("conv_id < 40"))
+
+
+@query("", LAYERS_SQL.replace(" WHERE conv_id < 40", ""))
+def context_layers_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all conversations."""
+    return _layers(load(spark, d, "conversations"))
+
+
 BODY = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
 
 
