@@ -72,13 +72,17 @@ def crossings(reached: DataFrame, symbols: DataFrame) -> DataFrame:
     return rows.groupBy("from_component", "to_component").agg(F.count_distinct("id").alias("symbols"))
 
 
-def ranked_tests(reached: DataFrame, symbols: DataFrame, is_test: Column) -> DataFrame:
-    """Tests by how a change reaches them: direct at depth 0 or 1, transitive beyond, heuristic in a changed component."""
+def ranked_tests(reached: DataFrame, symbols: DataFrame, is_test: Column, seeds: DataFrame) -> DataFrame:
+    """Tests by how a change reaches them: direct at depth 0 or 1, transitive beyond, heuristic in a changed component.
+
+    What is reached and is itself one of the changed ``seeds`` (id) has depth 0, though nothing may be reached from it.
+    """
     tests = symbols.where(is_test)
     depth = reached.groupBy("id").agg(F.min("depth").alias("depth"))
     changed = reached.select(F.col("seed").alias("id")).distinct()
     parts = symbols.join(changed, "id", "left_semi").select(paths.component(F.col("file_path")).alias("part")).distinct()
-    depth = depth.unionByName(changed.withColumn("depth", F.lit(0))).groupBy("id").agg(F.min("depth").alias("depth"))
+    own = seeds.select("id").join(depth, "id", "left_semi").unionByName(changed)
+    depth = depth.unionByName(own.withColumn("depth", F.lit(0))).groupBy("id").agg(F.min("depth").alias("depth"))
     rows = tests.join(depth, "id", "left").join(F.broadcast(parts), paths.component(F.col("file_path")) == F.col("part"), "left")
     rank = F.when(F.col("depth") <= 1, "direct").when(F.col("depth").isNotNull(), "transitive").when(F.col("part").isNotNull(), "heuristic")
     return rows.withColumn("class", rank).where("class is not null").select("id", "name", "file_path", "class", "depth")

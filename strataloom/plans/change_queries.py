@@ -73,40 +73,68 @@ REACH_SQL = """WITH RECURSIVE st AS (SELECT DISTINCT from_id, to_id FROM resolve
     m AS (SELECT seed, id, min(depth) AS depth FROM w GROUP BY seed, id), reach AS (SELECT * FROM m WHERE depth > 0)"""
 
 
-def reached(spark: SparkSession, d: str) -> DataFrame:
+def reached(spark: SparkSession, d: str, seeds: str = "id % 101 = 0") -> DataFrame:
     s = symbols(spark, d)
-    return graph.impact(s, edges(spark, d), s.where("id % 101 = 0").select(F.col("id").alias("seed"), "id"))
+    return graph.impact(s, edges(spark, d), s.where(seeds).select(F.col("id").alias("seed"), "id"))
 
 
-@query(
-    "symbols resolved",
-    REACH_SQL + " SELECT split_part(s.file_path, '/', 1) AS component, count(DISTINCT r.id) AS impacted, min(depth) AS nearest, count(DISTINCT seed) AS seeds FROM reach r JOIN symbols s ON s.id = r.id GROUP BY 1",
-)
+CHANGE_IMPACT_SQL = REACH_SQL + " SELECT split_part(s.file_path, '/', 1) AS component, count(DISTINCT r.id) AS impacted, min(depth) AS nearest, count(DISTINCT seed) AS seeds FROM reach r JOIN symbols s ON s.id = r.id GROUP BY 1"
+
+
+@query("symbols resolved", CHANGE_IMPACT_SQL)
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    rows = reached(spark, d).join(symbols(spark, d).select("id", "file_path"), "id")
+    return _impact_by_component(spark, d, reached(spark, d))
+
+
+def _impact_by_component(spark: SparkSession, d: str, reach: DataFrame) -> DataFrame:
+    rows = reach.join(symbols(spark, d).select("id", "file_path"), "id")
     return rows.groupBy(paths.component(F.col("file_path")).alias("component")).agg(F.count_distinct("id").alias("impacted"), F.min("depth").alias("nearest"), F.count_distinct("seed").alias("seeds"))
 
 
-@query(
-    "symbols resolved",
+@query("symbols resolved", CHANGE_IMPACT_SQL.replace(" WHERE id % 101 = 0", ""))
+def change_impact_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same from every symbol."""
+    return _impact_by_component(spark, d, reached(spark, d, "true"))
+
+
+CROSSINGS_SQL = (
     REACH_SQL
     + """ SELECT split_part(a.file_path, '/', 1) AS from_component, split_part(b.file_path, '/', 1) AS to_component, count(DISTINCT r.id) AS symbols FROM reach r JOIN symbols a ON a.id = r.seed JOIN symbols b ON b.id = r.id
-    WHERE split_part(a.file_path, '/', 1) <> split_part(b.file_path, '/', 1) GROUP BY ALL""",
+    WHERE split_part(a.file_path, '/', 1) <> split_part(b.file_path, '/', 1) GROUP BY ALL"""
 )
+
+
+@query("symbols resolved", CROSSINGS_SQL)
 def api_crossings(spark: SparkSession, d: str) -> DataFrame:
     return change.crossings(reached(spark, d), symbols(spark, d))
 
 
-@query(
-    "symbols resolved",
+@query("symbols resolved", CROSSINGS_SQL.replace(" WHERE id % 101 = 0", ""))
+def api_crossings_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same from every symbol."""
+    return change.crossings(reached(spark, d, "true"), symbols(spark, d))
+
+
+TEST_IMPACT_SQL = (
     REACH_SQL
     + """, dp AS (SELECT id, min(depth) AS depth FROM m GROUP BY id), pt AS (SELECT DISTINCT split_part(s.file_path, '/', 1) AS part FROM reach r JOIN symbols s ON s.id = r.seed),
     t AS (SELECT s.id, s.name, s.file_path, dp.depth, CASE WHEN dp.depth <= 1 THEN 'direct' WHEN dp.depth IS NOT NULL THEN 'transitive' WHEN pt.part IS NOT NULL THEN 'heuristic' END AS class
       FROM symbols s LEFT JOIN (SELECT d.* FROM dp d WHERE d.id IN (SELECT id FROM reach) OR d.id IN (SELECT seed FROM reach)) dp ON dp.id = s.id LEFT JOIN pt ON pt.part = split_part(s.file_path, '/', 1) WHERE s.kind = 'trait')
-    SELECT id, name, file_path, class, depth FROM t WHERE class IS NOT NULL""",
+    SELECT id, name, file_path, class, depth FROM t WHERE class IS NOT NULL"""
 )
+
+
+@query("symbols resolved", TEST_IMPACT_SQL)
 def test_impact(spark: SparkSession, d: str) -> DataFrame:
-    return change.ranked_tests(reached(spark, d), symbols(spark, d), F.col("kind") == "trait")
+    s = symbols(spark, d)
+    return change.ranked_tests(reached(spark, d), s, F.col("kind") == "trait", s.where("id % 101 = 0"))
+
+
+@query("symbols resolved", TEST_IMPACT_SQL.replace(" WHERE id % 101 = 0", ""))
+def test_impact_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same from every symbol."""
+    s = symbols(spark, d)
+    return change.ranked_tests(reached(spark, d, "true"), s, F.col("kind") == "trait", s)
 
 
 @query(

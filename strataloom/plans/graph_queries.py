@@ -255,6 +255,13 @@ def impact_of_many(spark: SparkSession, d: str) -> DataFrame:
     return graph.impact(s, edges(spark, d), s.where("id % 97 = 0").select(F.col("id").alias("seed"), "id"))
 
 
+@query("symbols resolved", BFS.format(seeds="true") + " SELECT seed, id, depth FROM m WHERE depth > 0")
+def impact_of_many_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same from every symbol."""
+    s = symbols(spark, d)
+    return graph.impact(s, edges(spark, d), s.select(F.col("id").alias("seed"), "id"))
+
+
 @query(
     "symbols edges",
     """WITH RECURSIVE p AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.name = e.to_name
@@ -353,6 +360,14 @@ def repo_map_pagerank(spark: SparkSession, d: str) -> DataFrame:
     return graph.personal_pagerank(pairs, seeds).select("node", F.round("score", 9).alias("score"))
 
 
+@query("symbols edges", _pagerank_sql().replace(" AND starts_with(a.file_path, 'asia/') AND starts_with(b.file_path, 'asia/')", "").replace(" WHERE id % 50 = 0", ""))
+def repo_map_pagerank_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the whole import graph, every file a seed."""
+    s = symbols(spark, d)
+    pairs = graph.import_pairs(s, edges(spark, d)).select(F.col("from_file").alias("a"), F.col("to_file").alias("b"))
+    return graph.personal_pagerank(pairs, s.select(F.col("file_path").alias("node")).distinct()).select("node", F.round("score", 9).alias("score"))
+
+
 TERMS_SQL = "t AS (SELECT id, file_path, unnest(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM symbols), tf AS (SELECT id, file_path, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL)"
 WEIGHTS_SQL = "w AS (SELECT term, 3 AS weight FROM (SELECT DISTINCT term FROM tf ORDER BY term LIMIT 3) UNION ALL SELECT term, 1 FROM (SELECT DISTINCT term FROM tf ORDER BY term DESC LIMIT 3))"
 

@@ -57,20 +57,30 @@ def body_recall(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.col("hits").desc(), F.col("weight").desc(), "conv_id", "turn").limit(64)
 
 
-@query(
-    "symbols",
-    """WITH p AS (SELECT id, name, kind, row_number() OVER (ORDER BY name, id) AS place FROM symbols WHERE id % 40 = 0), a AS (SELECT id, CASE id % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'support' END AS role FROM symbols WHERE id % 60 = 0)
-    SELECT p.id, p.place, coalesce(a.role, 'unreviewed') AS role, row_number() OVER (PARTITION BY coalesce(a.role, 'unreviewed') ORDER BY p.place) AS place_in_role FROM p LEFT JOIN a USING (id)""",
-)
+FINISH_SQL = """WITH p AS (SELECT id, name, kind, row_number() OVER (ORDER BY name, id) AS place FROM symbols WHERE id % 40 = 0), a AS (SELECT id, CASE id % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'support' END AS role FROM symbols WHERE id % 60 = 0)
+    SELECT p.id, p.place, coalesce(a.role, 'unreviewed') AS role, row_number() OVER (PARTITION BY coalesce(a.role, 'unreviewed') ORDER BY p.place) AS place_in_role FROM p LEFT JOIN a USING (id)"""
+
+
+@query("symbols", FINISH_SQL)
 def concept_finish(spark: SparkSession, d: str) -> DataFrame:
     """An assessment joined to the packet that it assesses: the packet's order stays, within each role as well."""
     s = symbols(spark, d)
-    packet = s.where("id % 40 = 0").select("id", F.row_number().over(Window.orderBy("name", "id")).alias("place"))
-    assessed = s.where("id % 60 = 0").select("id", F.when(F.col("id") % 3 == 0, "owner").when(F.col("id") % 3 == 1, "support").alias("role"))
+    return _finished(s.where("id % 40 = 0"), s.where("id % 60 = 0"))
+
+
+def _finished(chosen: DataFrame, judged: DataFrame) -> DataFrame:
+    packet = chosen.select("id", F.row_number().over(Window.orderBy("name", "id")).alias("place"))
+    assessed = judged.select("id", F.when(F.col("id") % 3 == 0, "owner").when(F.col("id") % 3 == 1, "support").alias("role"))
     rows = packet.join(assessed, "id", "left").withColumn("role", F.coalesce("role", F.lit("unreviewed")))
     return rows.withColumn("place_in_role", F.row_number().over(Window.partitionBy("role").orderBy("place")))
 
 
+@query("symbols", FINISH_SQL.replace(" WHERE id % 40 = 0", "").replace(" WHERE id % 60 = 0", ""))
+def concept_finish_all(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all symbols."""
+    return _finished(symbols(spark, d), symbols(spark, d))
+
+
 @query(
     "touches resolved",
     """WITH c AS (SELECT path, count(DISTINCT sha) AS commits, count(DISTINCT author) AS authors FROM touches GROUP BY path), g AS (SELECT to_file AS path, count(DISTINCT from_id) AS in_degree FROM resolved WHERE kind = 'calls' GROUP BY 1),
