@@ -20,8 +20,6 @@ WINDOW = 3
 #: Characters that a window needs for a surge where the page does not mark its article, and at most this
 #: share of the fullest window, so that short pages have a surge too.
 SURGE_CHARS, SURGE_SHARE = 86, 0.5
-#: Of the heaviest run's characters, the least that another run needs to belong to the article.
-RUN_SHARE = 0.2
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -39,6 +37,12 @@ BOILER_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus discussion respond replies reply related recommended "
     "recommendations share sharing social newsletter subscribe subscription signup login search pagination pager toolbar widget widgets copyright legal disclaimer aside skip alert".split()
 )
+# Inside an article only whole names count, and none that its own sections may bear (discussion, menu, legal, share).
+INSIDE_WORDS = frozenset(
+    "navbar breadcrumb breadcrumbs sidebar sidebars gdpr ad ads advert adverts advertisement advertising sponsor sponsored promo comment comments disqus respond replies reply "
+    "related newsletter pagination pager toolbar widget widgets ad-banner ad-container ad-slot ad-unit comment-form comment-list comment-respond comments-area cookie-banner cookie-notice "
+    "newsletter-form newsletter-signup post-comments related-articles related-links related-posts share-bar share-buttons social-links social-share".split()
+)
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story content main maincontent maintext".split())
 P_CLOSERS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd tr figure figcaption details".split())
 RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
@@ -46,10 +50,10 @@ SPLIT = re.compile(r"[^a-z0-9]+")
 
 
 class Line:
-    __slots__ = ("article", "boiler", "linked", "listed", "text", "weight")
+    __slots__ = ("article", "around", "boiler", "linked", "listed", "text", "weight")
 
-    def __init__(self, text: str, linked: int, boiler: bool, article: int, listed: bool):
-        self.text, self.linked, self.boiler, self.article, self.listed = text, linked, boiler, article, listed
+    def __init__(self, text: str, linked: int, boiler: bool, article: int, around: int, listed: bool):
+        self.text, self.linked, self.boiler, self.article, self.around, self.listed = text, linked, boiler, article, around, listed
         plain = len(text) - linked
         self.weight = 0 if boiler or plain <= 0 else plain
 
@@ -76,7 +80,7 @@ def _kind(name: str, attributes: str, inside: int) -> tuple[bool, bool]:
                 boiler = True
         if name not in ("html", "body"):
             if name not in ("article", "main") and not (inside and name in ("h1", "h2", "header")):
-                boiler = boiler or bool(words & BOILER_WORDS)
+                boiler = boiler or bool(whole & INSIDE_WORDS if inside else words & BOILER_WORDS)
             elif whole & {"comment", "comments", "reply", "related", "ad", "ads", "sponsored", "promo"}:
                 boiler = True
             article = article or bool(words & ARTICLE_WORDS)
@@ -90,14 +94,14 @@ def lines_of(page: str) -> list[Line]:
     pieces: list[str] = []
     linked: list[str] = []
     boilers = links = lists = forms = 0
-    articles: list[tuple[int, bool]] = []
+    articles: list[tuple[int, bool, int]] = []  # number, whether an article element, number of the container around it
     numbered = 0
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), boilers > 0 or (forms > 0 and not articles), articles[-1][0] if articles else 0, lists > 0))
+                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), boilers > 0 or (forms > 0 and not articles), articles[-1][0] if articles else 0, articles[-1][2] if articles else 0, lists > 0))
             pieces.clear()
         linked.clear()
 
@@ -184,7 +188,7 @@ def lines_of(page: str) -> list[Line]:
             whole = name == "article"
             if not articles or whole and not articles[-1][1]:  # an article element is more than what marks a page's middle
                 numbered += 1
-                articles.append((numbered, whole))
+                articles.append((numbered, whole, articles[-1][0] if articles else 0))
             else:
                 articles.append(articles[-1])
     flush()
@@ -212,15 +216,18 @@ def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by a blank line; empty if there is none."""
     lines = lines_of(page or "")
     by_article: dict[int, int] = {}
+    inner: dict[int, int] = {}
     for line in lines:
         if line.article and not line.boiler:
             by_article[line.article] = by_article.get(line.article, 0) + len(line.text)
+            inner[line.around] = inner.get(line.around, 0) + len(line.text)
+    # every container counts, but for what only stands around heavier article elements
+    marked = {k for k, n in by_article.items() if n > inner.get(k, 0)}
     total = sum(line.weight for line in lines)
-    marked = max(by_article, key=lambda k: (by_article[k], -k), default=0)
-    if marked and 4 * by_article[marked] < total - by_article[marked]:
-        marked = 0  # a teaser; the text is elsewhere
+    if marked and 4 * max(by_article[k] for k in marked) < total - sum(by_article[k] for k in marked):
+        marked = set()  # teasers; the text is elsewhere
     if marked:
-        mine = [line for line in lines if line.article == marked]
+        mine = [line for line in lines if line.article in marked]
         weights = [0 if line.boiler or (line.weight == 0 and line.listed) else max(line.weight, 1) for line in mine]
         kept = runs(weights, 1)
     else:
@@ -228,8 +235,6 @@ def main_text(page: str | None) -> str:
         weights = [line.weight if line.weight * 2 >= len(line.text) and not RIGHTS.match(line.text) else 0 for line in mine]
         top = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
         kept = runs(weights, max(1, min(SURGE_CHARS, SURGE_SHARE * top)))
-        mass = [sum(weights[a:b]) for a, b in kept]
-        kept = [r for r, m in zip(kept, mass) if m >= RUN_SHARE * max(mass)]
     return "\n\n".join(mine[i].text for a, b in kept for i in range(a, b) if weights[i])
 
 

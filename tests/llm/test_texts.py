@@ -38,6 +38,19 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+def test_no_part_of_an_article_is_lost():
+    p, end = PROSE.strip(), "The closing section says what follows from all of this, at some length and with care, to its end."
+    links = "".join(f'<div><a href="/{i}">link {i}</a></div>' for i in range(4))
+    assert main_text("<div>" + f"<p>{p}</p>" * 40 + f"</div>{links}<div><p>{end}</p></div>") == "\n\n".join([p] * 40 + [end])
+    assert main_text(f'<div class="entry-content"><p>{p}</p><p>{p}</p></div><div class="entry-content"><p>{end}</p></div>') == f"{p}\n\n{p}\n\n{end}"
+    assert main_text(f"<main><h1>Day</h1><article><p>{p}</p></article><article><p>{end}</p></article></main>") == f"{p}\n\n{end}"
+    assert main_text(f"<main><p>{p}</p><p>{p}</p><article><p>{end}</p></article></main>") == f"{p}\n\n{p}\n\n{end}"
+    for name in ('id="discussion"', 'class="related-work"', 'id="market-share"', 'class="menu"', 'id="legal"', 'class="section-header"'):
+        assert main_text(f"<article><p>{p}</p><section {name}><p>{end}</p></section></article>") == f"{p}\n\n{end}", name
+    for name in ('class="related-posts"', 'id="comments"', 'class="ad"'):
+        assert main_text(f"<article><p>{p}</p><div {name}><p>{end}</p></div></article>") == p, name
+
+
 def test_extraction_of_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("text", F.lit("clash"))
     none = spark.createDataFrame([(-1, None, None, None)], "page_id long, url string, html string, text string")
