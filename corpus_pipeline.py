@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a twentieth or more of the words repeat windows of the benchmark go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(*COLUMNS)
 
 

@@ -31,9 +31,14 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def windows_of(benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
-    """(window, words, items): each distinct window once, its identifier its words joined by blanks."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(text_of()).alias("w")).where("size(w) > 0 and item is not null")
+def windows_of(benchmark: DataFrame, n: int = WINDOW, unnamed: bool = False) -> DataFrame:
+    """(window, words, items): each distinct window once, its identifier its words joined by blanks.
+
+    Items without identifier have windows only if ``unnamed``; they are never among ``items``.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(text_of()).alias("w")).where("size(w) > 0")
+    if not unnamed:
+        items = items.where("item is not null")
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     each = items.select("item", "w", F.explode(starts).alias("s")).select("item", F.expr(f"slice(w, s, {int(n)})").alias("words"))
     return each.groupBy(F.array_join("words", " ").alias("window"), "words").agg(F.collect_set("item").alias("items"))
@@ -86,9 +91,9 @@ def proximity(lists: DataFrame, slop: int) -> DataFrame:
     return lists.withColumn("met", F.size(F.collect_set("rank").over(around))).where("met = ranks and rank = 1").select("id", "hash", "window", "start").distinct()
 
 
-def search(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rarest: int = RAREST) -> tuple[DataFrame, DataFrame]:
+def search(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rarest: int = RAREST, unnamed: bool = False) -> tuple[DataFrame, DataFrame]:
     """The windows and the aligned lists of their rarest terms, both written to the shared folder."""
-    windows = written(windows_of(benchmark, n), "windows")
+    windows = written(windows_of(benchmark, n, unnamed), "windows")
     n_windows = windows.count()
     chosen = written(anchors(docs, windows, n_windows, rarest), "anchors")
     terms = chosen.select("term").distinct()
@@ -96,16 +101,16 @@ def search(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, rarest: int =
     return windows, aligned(index, chosen, n_windows * rarest)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = 0.05) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share: float = 0.05, unnamed: bool = False) -> DataFrame:
     """``docs`` (doc_id, text, more) with n_words, n_hit, n_items, items and contaminated, every row included.
 
     A word is hit if an exact occurrence of a window covers it; n_items counts the items with a window that
-    occurs, items are their identifiers sorted as strings and joined by commas. contaminated: at least
-    ``share`` of the words are hit. Null and empty texts have no words, items without words or identifier no
-    window; repeated rows get equal results, equal items all count. An empty benchmark leaves all clean.
+    occurs, items are their identifiers sorted as strings and joined by commas; an item without identifier hits
+    words only if ``unnamed`` and is not among them. contaminated: at least ``share`` of the words are hit. Null and empty texts have no
+    words, items without words no window; repeated rows get equal results, equal items all count. An empty benchmark leaves all clean.
     Columns of ``docs`` with these names are replaced.
     """
-    windows, lists = search(docs, benchmark, n)
+    windows, lists = search(docs, benchmark, n, unnamed=unnamed)
     found = written(phrases(lists), "phrases")
     reach = F.max(F.col("start") + F.col("n")).over(Window.partitionBy("id", "hash").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
     spans = found.groupBy("id", "hash", "start").agg(F.max("n").alias("n")).withColumn("from_", F.greatest(F.col("start"), F.coalesce(reach, F.lit(0))))
@@ -113,7 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     of_window = windows.select("window", F.explode("items").alias("item"))
     items = found.select("id", "hash", "window").distinct().join(of_window, "window").select("id", "hash", "item").distinct()
     items = items.groupBy("id", "hash").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_set("item")), ",").alias("items"))
-    per_row = hits.join(items, hits["id"].eqNullSafe(items["id"]) & (hits["hash"] == items["hash"])).select(hits["id"].alias("id__"), hits["hash"].alias("hash__"), "n_hit", "n_items", "items")
+    per_row = hits.join(items, hits["id"].eqNullSafe(items["id"]) & (hits["hash"] == items["hash"]), "left").select(hits["id"].alias("id__"), hits["hash"].alias("hash__"), "n_hit", "n_items", "items")
     own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items", "contaminated")]
     rows = docs.select(*own, F.col("doc_id").alias("own_id__"), F.xxhash64(text_of()).alias("own_hash__"), F.size(words_of(text_of())).cast("long").alias("n_words"))
     joined = rows.join(per_row, F.col("own_id__").eqNullSafe(F.col("id__")) & (F.col("own_hash__") == F.col("hash__")), "left")

@@ -210,6 +210,26 @@ def test_decontamination(spark):
     assert not any(r.contaminated for r in decontamination.contamination(df, bench.where("false")).collect())
 
 
+def test_items_without_identifier_hit_words(spark, tmp_path):
+    bench = spark.createDataFrame([(None, "no item id here"), (1, "alpha beta gamma"), (None, "alpha beta gamma")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "there is no item id here"), (2, "alpha beta gamma and no item id here"), (3, "clean")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in decontamination.contamination(docs, bench, unnamed=True).collect()}
+    assert got == {1: (4, 0, "", True), 2: (7, 1, "1", True), 3: (0, 0, "", False)}
+    import duckdb
+
+    import corpus_pipeline
+    from strataloom.llm.queries import OP5_SQL, op5_decontamination
+    from tests.compare import duck_rows, spark_rows
+
+    con = duckdb.connect()
+    for name, df in (("benchmark", bench), ("documents", docs)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    assert spark_rows(op5_decontamination(spark, str(tmp_path))) == duck_rows(con, OP5_SQL)
+    rest = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").alias("n_chars"))
+    assert [r.doc_id for r in corpus_pipeline.decontamination(spark, rest, str(tmp_path)).collect()] == [3]
+
+
 def test_proximity(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "x alpha beta gamma delta y"), (2, "alpha so beta gamma delta"), (3, "alpha x x x x x x x beta gamma delta")], "doc_id long, text string")
