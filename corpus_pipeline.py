@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strataloom.llm import toxicity as toxic
@@ -29,13 +29,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked texts the document with the smallest identifier stays; texts without words stay.
 
-    A null identifier says nothing of its group's first and so stays as well. Of repeated rows all or none stay.
+    A null identifier says nothing of its group's first and so stays as well. Of rows with one identifier (or none)
+    and one text one stays. Words and share are those of op8's contract, which is taken to bind the stage.
     """
     found = jaccard_components(docs.select("doc_id", "text"))
     kept = written(found.where("n_shingles > 0 and doc_id = component_id").select(F.col("doc_id").alias("kept__")).distinct(), "kept")
     empty = F.length(F.regexp_replace(text_of(), r"[\x20\x09-\x0D]+", "")) == 0
     by_id = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept__"), "left_semi")
-    return by_id.where(~empty).unionByName(docs.where(empty | F.col("doc_id").isNull())).select(*COLUMNS)
+    rows = by_id.where(~empty).unionByName(docs.where(F.col("doc_id").isNull() & ~empty).select(*by_id.columns))
+    alike = Window.partitionBy("doc_id", "text").orderBy(*COLUMNS[2:])
+    one = rows.withColumn("place__", F.row_number().over(alike)).where("place__ = 1")
+    return one.select(*COLUMNS).unionByName(docs.where(empty).select(*COLUMNS))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

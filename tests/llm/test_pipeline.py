@@ -32,3 +32,13 @@ def test_stages(spark, small):
     none = docs.where("false")
     for _, stage in p.STAGES:
         assert stage(spark, none, small).count() == 0
+
+
+def test_one_row_of_a_group_stays(spark):
+    import corpus_pipeline as p
+
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, "en", "s", 48)] * 3 + [(2, text, "en", "t", 48), (3, "quite another text that has its own words", "en", "s", 41)] + [(None, "no identifier but words all the same", "en", "s", 36)] * 2
+    docs = spark.createDataFrame(rows + [(3, "the same identifier over words of another kind", "en", "s", 46), (4, "", "en", "s", 0), (5, None, "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in p.near_duplicates(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == [1, 3, 3, 4, 5, None]
