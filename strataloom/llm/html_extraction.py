@@ -2,8 +2,9 @@
 
 A page is stripped of its markup into lines, one for each block element. Every line weighs the length of its
 text outside links; lines inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments
-weigh nothing. Weights are summed over sliding windows of ``WINDOW`` lines. A surge point is a line where that
-sum rises to the threshold from below, a dive point one where it falls to nothing; what lies between is kept.
+weigh nothing. Where a page marks its articles, their lines gain ``LIFT`` and the others lose all weight. Weights are
+summed over sliding windows of ``WINDOW`` lines. A surge point is a line where that sum rises to the threshold
+from below, a dive point one where it falls to nothing; what lies between is kept, on every page.
 """
 
 from __future__ import annotations
@@ -17,11 +18,16 @@ from pyspark.sql import functions as F
 
 #: Lines summed at each position.
 WINDOW = 3
-#: Characters that a window needs for a surge where the page does not mark its article, and at most this
-#: share of the fullest window, so that short pages have a surge too.
+#: Characters that a window needs for a surge, and at most this share of the fullest window, so that short pages
+#: and articles have a surge too.
 SURGE_CHARS, SURGE_SHARE = 86, 0.5
+#: What a line gains where its page marks it as part of an article: a window of such lines is a surge.
+LIFT = -(-SURGE_CHARS // WINDOW)
+#: Characters outside links from which a line weighs although its element's name has a word of doubt.
+DENSE = 80
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
+STOP = re.compile(r"""["'>]""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 # Elements and attribute words.
@@ -43,23 +49,30 @@ INSIDE_WORDS = frozenset(
     "related newsletter pagination pager toolbar widget widgets ad-banner ad-container ad-slot ad-unit comment-form comment-list comment-respond comments-area cookie-banner cookie-notice "
     "newsletter-form newsletter-signup post-comments related-articles related-links related-posts share-bar share-buttons social-links social-share".split()
 )
+# Words that tell what an element is wherever they stand in its name; the others leave a doubt in a longer name.
+SURE_WORDS = BOILER_WORDS - frozenset("share sharing social related discussion legal copyright search login signup reply replies notice notices alert aside skip recommended header menu subscription pager toolbar".split())
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story content main maincontent maintext".split())
 P_CLOSERS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd tr figure figcaption details".split())
 RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
+COMMENTS = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|kommentare?|commentaires?|comentarios?|leave a (?:reply|comment)|responses|replies)(?: \(\d+\))?:?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
+CLOSERS = {name: re.compile(rf"</{name}\b", re.I) for name in SKIPPED}
+
+
 class Line:
-    __slots__ = ("article", "around", "boiler", "linked", "listed", "text", "weight")
+    __slots__ = ("article", "around", "boiler", "heading", "listed", "text", "weight")
 
-    def __init__(self, text: str, linked: int, boiler: bool, article: int, around: int, listed: bool):
-        self.text, self.linked, self.boiler, self.article, self.around, self.listed = text, linked, boiler, article, around, listed
+    def __init__(self, text: str, linked: int, boiler: bool, doubt: bool, article: int, around: int, listed: bool, heading: bool):
+        self.text, self.boiler, self.article, self.around, self.listed, self.heading = text, boiler, article, around, listed, heading
         plain = len(text) - linked
-        self.weight = 0 if boiler or plain <= 0 else plain
+        self.weight = 0 if boiler or plain < (DENSE if doubt else 0) else plain
 
 
-def _kind(name: str, attributes: str, inside: int) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it is marked as an article."""
+def _kind(name: str, attributes: str, inside: int) -> tuple[bool, bool, bool]:
+    """Whether an element is boilerplate, whether it is marked as an article, and whether its name leaves a doubt."""
+    doubt = False
     boiler, article = name in BOILER and not (name == "header" and inside), name in ("article", "main")
     if attributes:
         words: set[str] = set()
@@ -80,20 +93,103 @@ def _kind(name: str, attributes: str, inside: int) -> tuple[bool, bool]:
                 boiler = True
         if name not in ("html", "body"):
             if name not in ("article", "main") and not (inside and name in ("h1", "h2", "header")):
-                boiler = boiler or bool(whole & INSIDE_WORDS if inside else words & BOILER_WORDS)
+                boiler = boiler or bool(whole & INSIDE_WORDS if inside else whole & (BOILER_WORDS | INSIDE_WORDS) or words & SURE_WORDS)
+                doubt = not inside and not boiler and bool(words & BOILER_WORDS)
             elif whole & {"comment", "comments", "reply", "related", "ad", "ads", "sponsored", "promo"}:
                 boiler = True
             article = article or bool(words & ARTICLE_WORDS)
-    return boiler, article and not boiler
+    return boiler, article and not boiler, doubt and not article
+
+
+class Tags:
+    """The tags of a page from left to right; each part of it is looked at a fixed number of times.
+
+    Quotes hide a > up to their end. Where that finds no end of a tag up to the end of the page, quotes hide nothing
+    from there on, and a < after the last > is text.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.quotes, self.unclosed = page, True, set[str]()
+        self.last = page.rfind(">")
+
+    def end_of(self, at: int) -> int:
+        """Place of the > that ends the tag whose name ends at ``at``, or -1."""
+        page = self.page
+        if at > self.last:
+            return -1
+        i = at
+        while self.quotes and (found := STOP.search(page, i)):
+            if found[0] == ">":
+                return found.start()
+            i = page.find(found[0], found.end()) + 1
+            if not i:
+                break
+        self.quotes = False
+        return page.find(">", at)
+
+    def after(self, name: str, at: int) -> int:
+        """Place after the closing tag of an element whose content is skipped, or -1."""
+        if name in self.unclosed:
+            return -1
+        found = CLOSERS[name].search(self.page, at)
+        if not found:
+            self.unclosed.add(name)
+            return -1
+        end = self.page.find(">", found.end())
+        return end + 1 if end >= 0 else len(self.page)
+
+    def next(self, at: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name with its slash, attributes) of the next tag from ``at`` on; comments have no name."""
+        page = self.page
+        while (at := page.find("<", at)) >= 0:
+            for opened, closed in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if page.startswith(opened, at):
+                    end = page.find(closed, at + len(opened))
+                    return at, end + 3 if end >= 0 else len(page), "", ""
+            if page.startswith(("<!", "<?"), at) and at < self.last:
+                return at, page.find(">", at) + 1, "", ""
+            name = NAME.match(page, at + 1)
+            if name and (end := self.end_of(name.end())) >= 0:
+                return at, end + 1, name[0].lower(), page[name.end() : end]
+            at += 1
+        return None
+
+
+class Open:
+    """The open elements, and where the last one of each name stands among them."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, bool, bool, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, *marks: bool) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, *marks))
+
+    def pop(self) -> tuple[str, bool, bool, bool]:
+        top = self.stack.pop()
+        self.places[top[0]].pop()
+        if top[0] not in INLINE:
+            self.blocks.pop()
+        return top
+
+    def last(self, *names: str) -> int:
+        return max((at[-1] for name in names if (at := self.places.get(name))), default=-1)
+
+    def last_block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
 
 
 def lines_of(page: str) -> list[Line]:
     """Strip the markup: one line for each run of text between block elements."""
     lines: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []
+    tags, elements = Tags(page), Open()
     pieces: list[str] = []
     linked: list[str] = []
-    boilers = links = lists = forms = 0
+    boilers = doubts = links = lists = forms = titles = 0
     articles: list[tuple[int, bool, int]] = []  # number, whether an article element, number of the container around it
     numbered = 0
 
@@ -101,16 +197,19 @@ def lines_of(page: str) -> list[Line]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), boilers > 0 or (forms > 0 and not articles), articles[-1][0] if articles else 0, articles[-1][2] if articles else 0, lists > 0))
+                whole = boilers > 0 or (forms > 0 and not articles)
+                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), whole, doubts > 0, articles[-1][0] if articles else 0, articles[-1][2] if articles else 0, lists > 0, titles > 0))
             pieces.clear()
         linked.clear()
 
     def close(upto: int) -> None:
-        nonlocal boilers, links, lists, forms
-        while len(stack) > upto:
-            name, boiler, article = stack.pop()
+        nonlocal boilers, doubts, links, lists, forms, titles
+        while len(elements.stack) > upto:
+            name, boiler, article, doubt = elements.pop()
             boilers -= boiler
+            doubts -= doubt
             forms -= name == "form" and not boiler
+            titles -= name == "h1"
             if article:
                 articles.pop()
             links -= name == "a"
@@ -118,36 +217,32 @@ def lines_of(page: str) -> list[Line]:
 
     at, end = 0, len(page)
     while at < end:
-        tag = TAG.search(page, at)
-        until = tag.start() if tag else end
+        tag = tags.next(at)
+        until = tag[0] if tag else end
         if until > at:
             pieces.append(page[at:until])
             if links:
                 linked.append(page[at:until])
         if not tag:
             break
-        at = tag.end()
-        slash, name, attributes = tag.group(1, 2, 3) if tag.group(2) else tag.group(4, 5, 6)
+        _, at, name, attributes = tag
         if not name:
             continue
-        name = name.lower()
-        if slash:
+        if name[0] == "/":
+            name = name[1:]
             if name not in INLINE:
                 flush()
             elif name in ("td", "th"):
                 pieces.append(" ")
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = elements.last(name)
+            if k >= 0 and (name not in INLINE or k > elements.last_block()):
+                close(k)
             continue
         if name in SKIPPED:
             if not attributes.rstrip().endswith("/"):
-                over = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                if over:
-                    at = over.end()
+                over = tags.after(name, at)
+                if over >= 0:
+                    at = over
                 elif name in RAW:
                     at = end
             continue
@@ -158,30 +253,23 @@ def lines_of(page: str) -> list[Line]:
             pieces.append(" ")
         if name not in INLINE:
             flush()
-            if name in P_CLOSERS:  # an open paragraph ends here, with what is open in it
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        close(k)
-                        break
-                    if stack[k][0] not in INLINE:
-                        break
-            if name in ("li", "dt", "dd", "tr"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
-                    if stack[k][0] in ("ul", "ol", "dl", "table", "menu"):
-                        break
+            # an open paragraph or item ends here, with what is open in it
+            if name in P_CLOSERS and (k := elements.last("p")) >= 0 and k == elements.last_block():
+                close(k)
+            if name in ("li", "dt", "dd", "tr") and (k := elements.last(name)) > elements.last("ul", "ol", "dl", "table", "menu"):
+                close(k)
         if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        boiler, article = _kind(name, attributes, len(articles)) if attributes or name in BOILER or name in ("article", "main") else (False, False)
+        boiler, article, doubt = _kind(name, attributes, len(articles)) if attributes or name in BOILER or name in ("article", "main") else (False, False, False)
         if name == "form" and not articles and not boilers:
             boiler = False  # a form around the whole page hides no article in it
             forms += 1
         elif name == "form":
             boiler = True
-        stack.append((name, boiler, article))
+        elements.push(name, boiler, article, doubt)
         boilers += boiler
+        doubts += doubt
+        titles += name == "h1"
         links += name == "a"
         lists += name in ("ul", "ol", "menu", "td", "th")
         if article:
@@ -195,8 +283,8 @@ def lines_of(page: str) -> list[Line]:
     return lines
 
 
-def runs(weights: list[int], threshold: float) -> list[tuple[int, int]]:
-    """From each surge point to its dive point, as half-open ranges of lines."""
+def runs(weights: list[int], threshold: float, heads: list[bool]) -> list[tuple[int, int]]:
+    """From each surge point to its dive point, as half-open ranges of lines; none reaches back beyond a heading."""
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     found, i, n = [], 0, len(weights)
     while i < n:
@@ -204,14 +292,24 @@ def runs(weights: list[int], threshold: float) -> list[tuple[int, int]]:
             i += 1
             continue
         start = i
-        while start and weights[start - 1]:  # lines before the surge that already carry text
+        while start and weights[start - 1] and not heads[start]:  # lines before the surge that already carry text
             start -= 1
+        for k in range(i, min(i + WINDOW, n)):  # a heading within the window of the surge, where what stands before it is none
+            if heads[k] and not any(heads[start:k]) and sum(weights[start:k]) < threshold:
+                start = k
         while i < n and sums[i]:
             i += 1
         found.append((start, i))
     return found
 
 
+def between(lines: list[Line], weights: list[int]) -> list[Line]:
+    """The lines with weight between the surge and dive points of these lines."""
+    top = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
+    kept = runs(weights, max(1, min(SURGE_CHARS, SURGE_SHARE * top)), [line.heading for line in lines])
+    return [lines[i] for a, b in kept for i in range(a, b) if weights[i]]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by a blank line; empty if there is none."""
     lines = lines_of(page or "")
@@ -227,15 +325,23 @@ def main_text(page: str | None) -> str:
     if marked and 4 * max(by_article[k] for k in marked) < total - sum(by_article[k] for k in marked):
         marked = set()  # teasers; the text is elsewhere
     if marked:
-        mine = [line for line in lines if line.article in marked]
-        weights = [0 if line.boiler or (line.weight == 0 and line.listed) else max(line.weight, 1) for line in mine]
-        kept = runs(weights, 1)
-    else:
-        mine = lines
-        weights = [line.weight if line.weight * 2 >= len(line.text) and not RIGHTS.match(line.text) else 0 for line in mine]
-        top = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
-        kept = runs(weights, max(1, min(SURGE_CHARS, SURGE_SHARE * top)))
-    return "\n\n".join(mine[i].text for a, b in kept for i in range(a, b) if weights[i])
+        # each article has surges of its own; boilerplate between its lines, however long, is one line without weight
+        of: dict[int, list[int]] = {}
+        weights = [0 if line.boiler or (line.weight == 0 and line.listed) else line.weight + LIFT for line in lines]
+        for i, line in enumerate(lines):
+            if line.article in marked:
+                mine = of.setdefault(line.article, [])
+                if weights[i] or not mine or weights[mine[-1]]:
+                    mine.append(i)
+        place = {id(line): i for i, line in enumerate(lines)}
+        kept = sorted(place[id(line)] for mine in of.values() for line in between([lines[i] for i in mine], [weights[i] for i in mine]))
+        return "\n\n".join(lines[i].text for i in kept)
+    weights = [line.weight if line.weight * 2 >= len(line.text) and not RIGHTS.match(line.text) else 0 for line in lines]
+    for i, line in enumerate(lines):
+        if i and COMMENTS.fullmatch(line.text):  # what follows is by readers
+            weights[i:] = [0] * (len(lines) - i)
+            break
+    return "\n\n".join(line.text for line in between(lines, weights))
 
 
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -66,6 +66,59 @@ def test_extraction_of_pages(spark, small):
     assert html_extraction.extract_main_text(pages.where("false")).count() == 0
 
 
+def unmarked(page):
+    """The page without article, menu and footer elements and without classes."""
+    return re.sub(r' class="[^"]*"', "", re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", page))
+
+
+def test_windows_decide(small, monkeypatch):
+    p = PROSE.strip()
+    import pyarrow.parquet as pq
+
+    pages = [t for t in pq.read_table(f"{small}/pages.parquet").column("html").to_pylist() if t]
+    broken = f'<article><p>{p}</p><div class="ad">buy</div><p>end</p></article>'
+    assert main_text(broken) == f"{p}\n\nend"
+    same = sum(main_text(unmarked(t)) == main_text(t) for t in pages)
+    assert same >= 0.9 * len(pages)
+    before = [main_text(t) for t in pages]
+    monkeypatch.setattr(html_extraction, "WINDOW", 1)
+    assert main_text(broken) == p
+    monkeypatch.setattr(html_extraction, "WINDOW", 3)
+    monkeypatch.setattr(html_extraction, "runs", lambda weights, threshold, heads: [])
+    assert not any(main_text(t) for t in pages) and all(before)
+
+
+def test_names_of_doubt():
+    p, dense = PROSE.strip(), "Apple closed at a price that few had seen coming, and the market took note of it within the hour."
+    for name in ("share-price", "legal-analysis", "search-results-explained"):
+        assert main_text(f'<article><p>{p}</p><div class="{name}"><p>Apple closed.</p></div></article>') == f"{p}\n\nApple closed.", name
+        assert main_text(f'<div><p>{p}</p><div class="{name}"><p>{dense}</p></div></div>') == f"{p}\n\n{dense}", name
+        assert main_text(f'<div><p>{p}</p><div class="{name}"><p>Short words.</p></div></div>') == p, name
+    for name in ("main-nav", "site-footer", "cookie-box", "left-sidebar"):
+        assert main_text(f'<div><p>{p}</p></div><div class="{name}"><p>{dense}</p></div>') == p, name
+    assert main_text(f'<div><p>{p}</p></div><div class="c-list"><h3>2 Comments</h3><p>{dense}</p><p>{dense}</p></div>') == p
+
+
+UNITS = ["<a ", '<a x="', "<a x='>'", "<noscript>", "<div>", "</p>", "<b><div><i>", "<!--", "<p>", "<", "&", "<li>", "<svg>", "<a x=\"'", "<b '>", "<script>", "<!", "<td>", "<i></b>", "</div><div><p>x", "<a href=x>y", "word "]
+
+
+@pytest.mark.parametrize("unit", UNITS)
+def test_very_long_pages_take_linear_time(unit):
+    import time
+
+    for page in (unit * (2_000_000 // len(unit)), "<b><section>" + "<div>" * 50_000 + unit * (2_000_000 // len(unit)) + '>"'):
+        began = time.time()
+        main_text(page)
+        assert time.time() - began < 20
+    assert main_text(f"<p>{'a ' * 1_000_000}</p>") == " ".join("a" * 1_000_000)
+
+
+def test_repeated_pages(spark):
+    page = f"<nav>menu</nav><article><p>{PROSE}</p></article>"
+    out = html_extraction.extract_main_text(spark.createDataFrame([(1, page, "clash")] * 3, "page_id long, html string, n_chars string")).collect()
+    assert len(out) == 3 and {(r.text, r.n_chars) for r in out} == {(PROSE.strip(), len(PROSE.strip()))}
+
+
 def brute_licenses(text, templates, threshold):
     norm = lambda t: re.sub(r"[\W_]+", " ", t.lower()).strip().split(" ")
     grams = lambda w: {(a, b) for a, b in zip(w, w[1:])}
