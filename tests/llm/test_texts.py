@@ -306,6 +306,50 @@ def test_transducers_and_their_composition():
     assert run("WTY") == "WTK" and run("TY") == "TY"
 
 
+def test_reported_before_and_after():
+    model = toxicity.Model({"moron": 2.0}, {}, toxicity.np.zeros(15)).ready()
+    of = lambda t: {m: round(x, 2) for m, x in zip(toxicity.MARKS, toxicity.np.expm1(model.features(t)[: len(toxicity.MARKS)])) if x}
+    assert of("You moron") == {"J": 2.0} and of("a moron") == {"I": 2.0} and of("that is a moron") == {"P": 2.0}
+    assert of("the moron and the moron") == {"I": 2.0, "H": 2.0} and of("not a moron") == {"n": 2.0}
+    assert of("she said you moron") == {"r": 2.0} and of("you moron, he said") == {"r": 2.0} and of('"you moron", he said') == {"r": 2.0}
+    assert of("I will kill you") == {"K": 3.0} and of("") == {} and of(None) == {}
+    assert of("moron " + "calm words only. " * 200_000) == {"I": 2.0}
+
+
+def test_grammar_carries_the_score(spark):
+    """Where insults are in quotations and denials as often as not, only the grammar tells the texts apart."""
+    rng = random.Random(8)
+    insults, rows = ["moron", "idiot", "clown", "creep", "fool"], []
+    filler = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(8, 30)))
+    words = lambda t: re.sub(r"w(\d)(\d*)", lambda m: "abcdefghij"[int(m[1])] + "".join("klmnopqrst"[int(c)] for c in m[2]) + "x", t)
+    for i in range(2400):
+        x = rng.choice(insults)
+        bad, fine = [f"you {x}", f"you are a {x}", f"they are such a {x}"], [f"she wrote you are a {x}", f"you are not such a {x}", f"they never called you {x}", f"you are a {x}, he said"]
+        y = i % 15 == 0
+        rows.append((i, words(filler()) + ". " + (rng.choice(bad) if y else rng.choice(fine) if i % 15 == 1 else "calm day") + ". " + words(filler()), int(y)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    learnable = df.where("doc_id % 4 <> 0").select("doc_id", "toxic")
+
+    def auc_and_recall(table):
+        model = toxicity.learn(df.select("doc_id", "text"), learnable, table=table)
+        out = toxicity.score_toxicity(df.where("doc_id % 4 = 0 and doc_id % 15 < 2"), model).collect()
+        pos, neg = [r.score for r in out if r.toxic], [r.score for r in out if not r.toxic]
+        return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg), sum(p >= 0.7 for p in pos) / len(pos)
+
+    (on, found), (off, lost) = auc_and_recall(None), auc_and_recall(toxicity.flat())
+    assert on > 0.97 and on > off + 0.1 and found > 0.9 and found > lost + 0.3, (on, off, found, lost)
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark, monkeypatch):
+    sizes, plain = [], toxicity.written
+    monkeypatch.setattr(toxicity, "written", lambda df, name: sizes.append((name, plain(df, name))) or sizes[-1][1])
+    docs = spark.createDataFrame([(1, f"you idiot {i % 7}") for i in range(5000)] + [(i, "calm words") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), *((i, 0) for i in range(2, 60)), (None, 1), (3, None)], "doc_id long, toxic int")
+    toxicity.learn(docs, labels, 10, 10)
+    assert all(df.count() <= 20 for _, df in sizes) and {name for name, _ in sizes} == {"toxicity-sample", "toxicity-words"}
+    assert toxicity.score_toxicity(docs.where("false"), toxicity.learn(docs.where("false"), labels)).count() == 0
+
+
 def test_toxicity(spark, small):
     docs = spark.read.parquet(f"{small.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text").where("doc_id < 4000")
     labels = spark.read.parquet(f"{small.replace('0.001', '0.1')}/labels.parquet")
