@@ -76,7 +76,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select(
-        "doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated")
+        "doc_id", "n_words", "n_hit", "n_items", F.sha2("items", 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "n_near"
     )
 
 
@@ -92,10 +92,22 @@ dg AS (SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS g FROM dw),
 m AS (SELECT doc_id, s, n, item_id FROM dg JOIN win USING (n, g)),
 p AS (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS at FROM (SELECT DISTINCT doc_id, s, n FROM m)),
 h AS (SELECT doc_id, count(*) AS n_hit FROM p GROUP BY doc_id),
-k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS items FROM m GROUP BY doc_id)
+k AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR))), ',') AS items FROM m GROUP BY doc_id),
+it AS (SELECT array_to_string(w, ' ') AS item, w, len(w) AS size, least(len(w), 13) AS length FROM (SELECT DISTINCT w FROM i WHERE len(w) > 0)),
+sp AS (SELECT item, size, length, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS place FROM it),
+dp AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS pos FROM d),
+bp AS (SELECT * FROM dp WHERE term IN (SELECT term FROM sp)),
+sn AS (SELECT term, count(*) AS seen FROM bp GROUP BY term),
+ws AS (SELECT item, length, place, term, seen, unnest(range(greatest(place - length + 1, 0), least(place, size - length) + 1)) AS s FROM sp LEFT JOIN sn USING (term)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item, s ORDER BY seen, place) AS rank, count(seen) OVER (PARTITION BY item, s) AS known FROM ws),
+ch AS (SELECT item, s, place, term, rank, least(length, 3) AS ranks FROM rk WHERE rank <= 3 AND known = length),
+li AS (SELECT doc_id, item, s, rank, ranks, pos - place AS diagonal FROM bp JOIN ch USING (term)),
+nr AS (SELECT a.doc_id, a.item, a.s FROM li a JOIN li b ON a.doc_id = b.doc_id AND a.item = b.item AND a.s = b.s AND abs(a.diagonal - b.diagonal) <= 3
+       WHERE a.rank = 1 GROUP BY a.doc_id, a.item, a.s, a.diagonal, a.ranks HAVING count(DISTINCT b.rank) = a.ranks),
+nn AS (SELECT doc_id, count(DISTINCT (item, s)) AS n_near FROM nr GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN nn USING (doc_id)
 """
 
 

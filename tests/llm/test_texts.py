@@ -291,6 +291,64 @@ def test_proximity(spark):
     assert {r.id for r in decontamination.proximity(lists, 1).collect()} == {1, 2}
 
 
+def test_lists_prune_each_other(spark):
+    """One rare term is in many documents, all the others of its window in few: only the intersection tells."""
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"
+    rows = [(i, f"x{i} alpha y{i} " + "common words follow here") for i in range(40)]
+    rows += [(100, item), (101, "alpha z z z z z z z z z z z z z z z z z beta gamma delta"), (102, item.replace("delta", "other")), (103, "pre " + item.replace("zeta", "zeta so so").upper())]
+    rows += [(104 + i, " ".join(reversed(item.split()))) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    items, lists = decontamination.search(df, bench)
+    by_rank = {r["rank"]: r["n"] for r in lists.groupBy("rank").agg(F.count_distinct("id").alias("n")).collect()}
+    met = decontamination.phrases(lists)
+    assert {r.id for r in met.collect()} <= {100, 102, 103} and met.count() < lists.count()
+    assert by_rank[1] < len(rows)  # a document with one list of a window alone is gone before windows are looked at
+    found = decontamination.occurrences(df, items, met).collect()
+    assert [(r.id, r.start, r.n) for r in found] == [(100, 0, 15)]
+    out = {r.doc_id: r for r in decontamination.contamination(df, bench).collect()}
+    assert {k for k, r in out.items() if r.n_hit} == {100} and out[100].n_hit == 15
+    assert out[100].n_near == 3 and out[103].n_near > 0 and out[101].n_near == 0 and out[0].n_near == 0
+
+
+def test_near_windows_against_brute_force(spark):
+    rng = random.Random(12)
+    word = lambda: rng.choice(["the", "of", f"q{rng.randrange(12)}"])
+    items = [(i, " ".join(word() for _ in range(rng.randrange(1, 20)))) for i in range(8)]
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(60)))) for i in range(25)]
+    rows += [(50 + i, " ".join(w for w in items[i][1].split() if rng.random() < 0.9)) for i in range(8)]
+    seen = {}
+    for _, t in rows:
+        for w in t.split():
+            seen[w] = seen.get(w, 0) + 1
+    want = {}
+    for i, t in rows:
+        places = {}
+        for p, w in enumerate(t.split()):
+            places.setdefault(w, []).append(p)
+        n = 0
+        for own in {x[1] for x in items}:
+            w = own.split()
+            size = min(13, len(w))
+            for s in range(len(w) - size + 1):
+                spots = range(s, s + size)
+                if all(w[a] in seen for a in spots):
+                    chosen = sorted(spots, key=lambda a: (seen[w[a]], a))[:3]
+                    n += any(all(any(abs((p - a) - (q - chosen[0])) <= 3 for p in places.get(w[a], [])) for a in chosen) for q in places.get(w[chosen[0]], []))
+        want[i] = n
+    got = decontamination.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.doc_id: r.n_near for r in got} == want
+
+
+def test_hot_terms_and_long_texts(spark):
+    """Windows of common words only: a posting meets each place of its term once, however many windows hold it."""
+    bench = spark.createDataFrame([(1, "the of " * 40), (2, "of the end of the day " * 8)], "item_id long, text string")
+    df = spark.createDataFrame([(i, "the of and " * 30) for i in range(50)] + [(90, "the of " * 20_000), (91, None), (92, "")], "doc_id long, text string")
+    items, lists = decontamination.search(df, bench)
+    out = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontamination.contamination(df, bench).collect()}
+    assert out[90] == (40_000, 40_000, "1") and out[0][1] == 0 and out[91] == (0, 0, "") == out[92]
+
+
 def test_transducers_and_their_composition():
     table = toxicity.grammar()
 
