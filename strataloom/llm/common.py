@@ -16,10 +16,13 @@ NOT_SPACE = r"[^\x20\x09-\x0D]+"
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a folder of this session is made and set.
+    Only where that is unset and all runs in this process, as in tests, a folder of this session is made. On a
+    cluster each executor would write to a disk of its own, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = _OWN.get(spark.sparkContext.applicationId)
         if folder is None:
             folder = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="scratch-")

@@ -115,7 +115,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, id_
     With ``tolerance`` 0 that holds for every row, else a cell of at most that share of a shard stays whole.
     Slots are gapless from 0 in each shard. Repeated rows are alike and may fall on both sides of a boundary,
     null identifiers come first among equal texts, more shards than rows leave some empty. Columns of ``docs``
-    with these names are replaced.
+    with these names are replaced, all others stay as they are, whatever their names.
     """
     text = text_of(text_col)
     h = F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
@@ -127,13 +127,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, id_
     rounds, cells, total = splitters(keys, shards, tolerance)
     spark = docs.sparkSession
     starts = first_rows(cells, total, shards)
-    table = F.broadcast(spark.createDataFrame([(c.number, c.below_rows) for c in cells], "cell long, below__ long"))
-    rows = docs.select(*own, size.alias("size"), crc.alias("text_crc32"), h.alias("h__"), d.alias("d__"))
-    rows = _probed(rows, rounds, (F.col("h__"), F.col("d__"))).join(table, "cell")
-    rows = rows.withColumn("at__", F.col("below__") + F.row_number().over(Window.partitionBy("cell").orderBy("h__", "d__")) - 1)
-    shard = sum((F.when(F.col("at__") >= start, 1).otherwise(0) for start in starts[1:]), F.lit(0))
-    slot = F.col("at__") - F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("shard") + 1)
-    return rows.withColumn("shard", shard.cast("int")).select(*own, "size", "text_crc32", "shard", slot.alias("slot"))
+    table = F.broadcast(spark.createDataFrame([(c.number, c.below_rows) for c in cells], "cell long, below long"))
+    # the caller's columns travel as one, so that none of their names meets a name of the work
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), size.alias("size"), crc.alias("text_crc32"), h.alias("h"), d.alias("d"))
+    rows = _probed(rows, rounds, (F.col("h"), F.col("d"))).join(table, "cell")
+    rows = rows.withColumn("at", F.col("below") + F.row_number().over(Window.partitionBy("cell").orderBy("h", "d")) - 1)
+    shard = sum((F.when(F.col("at") >= start, 1).otherwise(0) for start in starts[1:]), F.lit(0))
+    slot = F.col("at") - F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("shard") + 1)
+    return rows.withColumn("shard", shard.cast("int")).select(*(F.col("row")[c].alias(c) for c in own), "size", "text_crc32", "shard", slot.alias("slot"))
 
 
 def first_rows(cells: list[Cell], total: int, shards: int) -> list[int]:

@@ -231,3 +231,51 @@ def test_mixing(spark, monkeypatch):
     assert sorted(map(str, again)) == sorted(map(str, out))
     assert mixing.repeated(got, ["doc_id"]).count() == sum(r.copies for r in out)
     assert mixing.mix_sources(df.where("false")).count() == 0
+
+
+def test_pairs_of_a_hot_group_grow_with_its_rows(spark, monkeypatch):
+    """Near copies without their original, one to eight words changed: pairs in proportion to rows, and no link lost."""
+    sizes, plain = {}, ngram_jaccard.written
+
+    def counted(df, name):
+        out = plain(df, name)
+        if name in ("representative-pairs", "asked", "group-pairs"):
+            sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_jaccard, "written", counted)
+    for n in (250, 1000):
+        rng, sizes = random.Random(5), {}
+        base = [f"w{rng.randrange(400)}" for _ in range(150)]
+        rows = []
+        for i in range(n):
+            words = list(base)
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(150)] = f"x{rng.randrange(999)}"
+            rows.append((i, " ".join(words), 1, 2, 3))
+        df = spark.createDataFrame(rows, "doc_id long, text string, n long, token long, cls long")
+        got = ngram_jaccard.jaccard_components(df)
+        assert sum(sizes.values()) <= 8 * n, sizes
+        assert got.columns == ["doc_id", "n_shingles", "component_id"]
+        if n == 250:
+            assert sorted(str(tuple(r)) for r in got.collect()) == brute_components([r[:2] for r in rows], 4, 85)
+
+
+def test_sharding_keeps_columns_of_any_name(spark):
+    names = ["cell", "start", "base", "width", "on_hash", "at__", "at", "below", "row", "h", "d", "h__", "a.b"]
+    rows = [(i, f"text {i % 40}", *(f"{name} of {i}" for name in names)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{name}` string" for name in names))
+    out = sharding.shard_by_bytes(df, 3)
+    assert out.columns == ["doc_id", "text", *names, "size", "text_crc32", "shard", "slot"]
+    assert sorted(tuple(r)[: len(names) + 2] for r in out.collect()) == sorted(rows)
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from strataloom.llm import common
+
+    session = lambda master, folder: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: folder), sparkContext=SimpleNamespace(master=master, applicationId="a"))
+    assert common.scratch_dir(session("spark://host:7077", "hdfs:///shared/")) == "hdfs:///shared"
+    with pytest.raises(ValueError, match="share"):
+        common.scratch_dir(session("spark://host:7077", None))
