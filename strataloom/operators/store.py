@@ -11,11 +11,17 @@ _OWN: dict[str, str] = {}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder that ``spark.checkpoint.dir`` names; a folder of one's own where unset."""
+    """``df`` as a table in the shared folder that ``spark.checkpoint.dir`` names.
+
+    Where that is unset a folder of this session is made, but only if all runs in this process: on a cluster each
+    executor would write to a disk of its own, so there it is an error.
+    """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tables-")
         folder = _OWN[app]
