@@ -132,8 +132,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, id_
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), size.alias("size"), crc.alias("text_crc32"), h.alias("h"), d.alias("d"))
     rows = _probed(rows, rounds, (F.col("h"), F.col("d"))).join(table, "cell")
     rows = rows.withColumn("at", F.col("below") + F.row_number().over(Window.partitionBy("cell").orderBy("h", "d")) - 1)
-    shard = sum((F.when(F.col("at") >= start, 1).otherwise(0) for start in starts[1:]), F.lit(0))
-    slot = F.col("at") - F.element_at(F.array(*(F.lit(x).cast("long") for x in starts)), F.col("shard") + 1)
+    first = F.expr(f"array({', '.join(f'{x}L' for x in starts)})")
+    shard = F.size(F.filter(first, lambda x: x <= F.col("at"))) - 1
+    slot = F.col("at") - F.element_at(first, F.col("shard") + 1)
     return rows.withColumn("shard", shard.cast("int")).select(*(F.col("row")[c].alias(c) for c in own), "size", "text_crc32", "shard", slot.alias("slot"))
 
 
