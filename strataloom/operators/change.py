@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
+from strataloom.functions.hashing import fnv1a_hex
 from strataloom.operators.store import cut
 
 
@@ -21,20 +22,26 @@ def snapshot_diff(base: DataFrame, head: DataFrame, key: str, attributes: list[s
 def match_declarations(base: DataFrame, head: DataFrame, scope: list[str]) -> DataFrame:
     """(scope, change, base_id, head_id, uncertain) for declarations of a scope (parent, name, kind).
 
-    Equal signatures pair first in, first out by place. Exactly one that is left on each side pairs as a change of
-    signature; other leftovers are added or removed, and uncertain where both sides have some.
+    Equal signatures pair first in, first out by place; no signature equals no signature. Exactly one that is left on
+    each side pairs as a change of signature; other leftovers are added or removed. What is there afterwards is
+    uncertain where several of one signature could be each other, and what was added also where something that went
+    could be it.
     """
-    side = lambda df, tag: df.select(*scope, "signature", F.col("id").alias(f"{tag}_id"), F.row_number().over(Window.partitionBy(*scope, "signature").orderBy("line_start", "line_end", "id")).alias("n"))
+    spelled = F.struct(F.col("signature").isNull().alias("none"), F.coalesce("signature", F.lit("")).alias("text")).alias("spelled")
+    side = lambda df, tag: df.select(*scope, spelled, F.col("id").alias(f"{tag}_id"), F.row_number().over(Window.partitionBy(*scope, "signature").orderBy("line_start", "line_end", "id")).alias("n"))
     b, h = side(base, "base"), side(head, "head")
-    pairs = b.join(h, [*scope, "signature", "n"], "full_outer")
+    pairs = b.join(h, [*scope, "spelled", "n"], "full_outer")
+    alike = Window.partitionBy(*scope, "spelled")
+    many = (F.count("base_id").over(alike) > 0) & (F.count("head_id").over(alike) > 0) & (F.count(F.lit(1)).over(alike) > 1)
+    pairs = pairs.withColumn("many", many).withColumn("vague", F.max("many").over(Window.partitionBy(*scope)))
     left = pairs.where("base_id is null or head_id is null")
     w = Window.partitionBy(*scope)
     counted = left.withColumn("n_b", F.count("base_id").over(w)).withColumn("n_h", F.count("head_id").over(w))
-    one = counted.where("n_b = 1 and n_h = 1").groupBy(*scope).agg(F.max("base_id").alias("base_id"), F.max("head_id").alias("head_id"))
-    one = one.select(*scope, F.lit("signature_changed").alias("change"), "base_id", "head_id", F.lit(False).alias("uncertain"))
+    one = counted.where("n_b = 1 and n_h = 1").groupBy(*scope).agg(F.max("base_id").alias("base_id"), F.max("head_id").alias("head_id"), F.max("vague").alias("vague"))
+    one = one.select(*scope, F.lit("signature_changed").alias("change"), "base_id", "head_id", F.col("vague").alias("uncertain"))
     rest = counted.where("not (n_b = 1 and n_h = 1)")
-    rest = rest.select(*scope, F.when(F.col("base_id").isNull(), "added").otherwise("removed").alias("change"), "base_id", "head_id", ((F.col("n_b") > 0) & (F.col("n_h") > 0)).alias("uncertain"))
-    same = pairs.where("base_id is not null and head_id is not null").select(*scope, F.lit("same").alias("change"), "base_id", "head_id", F.lit(False).alias("uncertain"))
+    rest = rest.select(*scope, F.when(F.col("base_id").isNull(), "added").otherwise("removed").alias("change"), "base_id", "head_id", (F.col("base_id").isNull() & (F.col("vague") | (F.col("n_b") > 0))).alias("uncertain"))
+    same = pairs.where("base_id is not null and head_id is not null").select(*scope, F.lit("same").alias("change"), "base_id", "head_id", F.col("vague").alias("uncertain"))
     return one.unionByName(rest).unionByName(same)
 
 
@@ -89,12 +96,19 @@ def ranked_tests(reached: DataFrame, symbols: DataFrame, is_test: Column, seeds:
 
 
 def fingerprints(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """(file_path, fingerprint): digest over the sorted lines of a file's symbols and of their edges."""
-    s = symbols.select("file_path", F.concat_ws("|", F.lit("s"), "kind", "name", "signature").alias("line"))
+    """(file_path, fingerprint): FNV-1a of a file's language, its symbols and their edges, each in sorted lines.
+
+    An edge counts with the path, type and kind that it is bound to, as far as ``edges`` has them (to_path, to_type,
+    target_kind), so a change of what a name means is one of structure.
+    """
+    line = lambda tag, *columns: F.concat_ws("|", F.lit(tag), *(F.coalesce(c, F.lit("")) for c in columns)).alias("line")
+    s = symbols.select("file_path", F.lit(1).alias("part"), line("S", "kind", "name", "signature"))
     e = edges.join(symbols.select(F.col("id").alias("from_id"), "file_path", F.col("name").alias("from_name")), "from_id")
-    e = e.select("file_path", F.concat_ws("|", F.lit("e"), "kind", "from_name", "to_name", F.coalesce("target_kind", F.lit(""))).alias("line"))
-    rows = s.unionByName(e).groupBy("file_path").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-    return rows.select("file_path", F.sha2(F.array_join("lines", "\n"), 256).alias("fingerprint"))
+    bound = [F.col(c) if c in edges.columns else F.lit("") for c in ("to_path", "to_type", "target_kind")]
+    e = e.select("file_path", F.lit(2).alias("part"), line("E", "kind", "from_name", "to_name", *bound))
+    head = symbols.select("file_path", F.lit(0).alias("part"), line("L", "language")).distinct()
+    rows = head.unionByName(s).unionByName(e).groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("part", "line"))).alias("lines"))
+    return rows.select("file_path", fnv1a_hex(F.array_join(F.transform("lines", lambda x: x["line"]), "\n")).alias("fingerprint"))
 
 
 def change_class(stored: DataFrame, current: DataFrame, changed: DataFrame) -> DataFrame:
@@ -144,6 +158,7 @@ def cycle_delta(base: DataFrame, head: DataFrame) -> DataFrame:
 
 def rank_delta(base: DataFrame, head: DataFrame, top: int = 50) -> DataFrame:
     """(name, file_path, change, delta) of hotspots that entered, left or moved between two rankings."""
+    # windows over the first rows alone
     rank = lambda df, tag: df.withColumn("rank", F.row_number().over(Window.orderBy(F.col("in_degree").desc(), "file_path", "line_start", "name", "id"))).where(F.col("rank") <= top).select("id", F.col("rank").alias(f"{tag}_rank"), F.col("in_degree").alias(f"{tag}_degree"))
     first = lambda df: df.orderBy(F.col("in_degree").desc(), "file_path", "line_start", "name", "id").limit(top)
     rows = rank(first(base), "b").join(rank(first(head), "h"), "id", "full_outer")

@@ -10,10 +10,11 @@ from strataloom.functions import stats
 
 
 def commit_votes(tallies: DataFrame) -> DataFrame:
-    """(predicate, eligible, agree, low, gate) of tallies (sha, predicate, yes, no): each commit votes once, a tie
-    counts as eligible and does not agree."""
+    """(predicate, claims, eligible, agree, low, gate) of tallies (sha, predicate, yes, no): each commit votes once, a
+    tie counts as eligible and does not agree. The side with more votes is claimed, yes where both have as many."""
     per_commit = tallies.groupBy("sha", "predicate").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).where("yes + no > 0")
-    rows = per_commit.groupBy("predicate").agg(F.count("*").alias("eligible"), F.count_if(F.col("yes") > F.col("no")).alias("agree"))
+    rows = per_commit.groupBy("predicate").agg(F.count("*").alias("eligible"), F.count_if(F.col("yes") > F.col("no")).alias("for"), F.count_if(F.col("no") > F.col("yes")).alias("against"))
+    rows = rows.select("predicate", F.when(F.col("for") >= F.col("against"), "yes").otherwise("no").alias("claims"), "eligible", F.greatest("for", "against").alias("agree"))
     return rows.select("*", F.round(stats.wilson_low(F.col("agree"), F.col("eligible")), 9).alias("low"), stats.gate(F.col("agree"), F.col("eligible")).alias("gate"))
 
 
@@ -47,28 +48,62 @@ def hit_at(rows: DataFrame, k: int) -> DataFrame:
     return per.groupBy("split").agg(F.count("*").alias("queries"), F.sum("hit").alias("hit"), F.round(F.avg(F.when(F.col("all") > 0, F.col("found") / F.col("all"))), 9).alias("recall"), F.min("first").alias("first_rank"))
 
 
-def cluster_estimate(rows: DataFrame, key: list[str], cluster: str, value: str) -> DataFrame:
-    """(mean, error): mean of the clusters' means and its error; null with fewer than two clusters."""
+def cluster_estimate(rows: DataFrame, key: list[str], cluster: str, value: str, t: float = 1.96) -> DataFrame:
+    """(clusters, mean, error, lower, upper): mean of the clusters' means, its error and the bounds ``t`` errors away.
+
+    With fewer than two clusters only the mean is known.
+    """
     means = rows.groupBy(*key, cluster).agg(F.avg(value).alias("m"))
-    return means.groupBy(*key).agg(F.count("*").alias("clusters"), F.avg("m").alias("mean"), F.when(F.count("*") >= 2, F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("error"))
+    out = means.groupBy(*key).agg(F.count("*").alias("clusters"), F.avg("m").alias("mean"), F.when(F.count("*") >= 2, F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("error"))
+    return out.withColumn("lower", F.col("mean") - t * F.col("error")).withColumn("upper", F.col("mean") + t * F.col("error"))
+
+
+def log_ratio(rows: DataFrame, key: str, t: float, most_unknown: int, median: bool = False) -> DataFrame:
+    """(key, status, unknown_baseline, unknown_candidate, ratio, upper) of rows (key, task, cluster, arm, value).
 
+    Each task gives the mean (or median) of its candidate's logarithms less that of its baseline's; the ratio is
+    e to the cluster estimate of these. A null value or one that is not positive is unknown usage: with more of it
+    than allowed, or a task with none known on a side, the ratio is unknown.
+    """
+    known = F.col("value") > 0
+    middle = F.log(F.percentile(F.when(known, F.col("value")), 0.5)) if median else F.avg(F.when(known, F.log("value")))
+    per = rows.groupBy(key, "task", "cluster").pivot("arm", ["baseline", "candidate"]).agg(middle.alias("log"), F.count_if(~F.coalesce(known, F.lit(False))).alias("unknown"))
+    per = per.withColumn("r", F.col("candidate_log") - F.col("baseline_log"))
+    sums = per.groupBy(key).agg(F.bool_and(F.col("r").isNotNull()).alias("whole"), *(F.sum(F.coalesce(f"{a}_unknown", F.lit(0))).alias(f"unknown_{a}") for a in ("baseline", "candidate")))
+    estimate = cluster_estimate(per.where("r is not null"), [key], "cluster", "r", t)
+    out = sums.join(estimate, key, "left")
+    measured = F.col("whole") & (F.greatest("unknown_baseline", "unknown_candidate") <= most_unknown)
+    return out.select(key, F.when(measured, "measured").otherwise("unknown").alias("status"), "unknown_baseline", "unknown_candidate", F.when(measured, F.exp("mean")).alias("ratio"), F.when(measured, F.exp("upper")).alias("upper"))
 
-def log_ratio(rows: DataFrame, key: str, a: str, b: str) -> DataFrame:
-    """log of the ratio of two means; unknown where a value is not positive."""
-    ok = F.min(F.least(a, b)) > 0
-    return rows.groupBy(key).agg(F.when(ok, F.log(F.avg(a)) - F.log(F.avg(b))).alias("log_ratio"))
+
+#: Verdicts of a judge.
+OUTCOMES = ("satisfied", "unsatisfied", "unknown")
 
 
 def agreement(rows: DataFrame, key: str) -> DataFrame:
-    """Gwet's AC1, sensitivity, specificity and Youden's J of (truth, judged) in 0/1."""
-    n = F.count("*")
-    both = F.avg((F.col("truth") == F.col("judged")).cast("double"))
-    p = (F.avg("truth") + F.avg("judged")) / 2
-    sens = F.avg(F.when(F.col("truth") == 1, F.col("judged")))
-    spec = F.avg(F.when(F.col("truth") == 0, 1 - F.col("judged")))
-    out = rows.groupBy(key).agg(n.alias("n"), both.alias("observed"), p.alias("p"), sens.alias("sensitivity"), spec.alias("specificity"))
-    chance = 2 * F.col("p") * (1 - F.col("p"))
-    return out.select(key, "n", ((F.col("observed") - chance) / (1 - chance)).alias("ac1"), "sensitivity", "specificity", (F.col("sensitivity") + F.col("specificity") - 1).alias("youden"))
+    """Gwet's AC1 over three outcomes, and how often controls are accepted and defects caught.
+
+    ``rows`` (key, control, expected, judged): an answer without a verdict (null) is unresolved; it is left out of the
+    resolved rates and of AC1 and counts as wrong in the worst case.
+    """
+    settled = F.col("judged").isNotNull()
+    shares = [(F.avg(F.when(settled, (F.col("judged") == o).cast("double"))) + F.avg(F.when(settled, (F.col("expected") == o).cast("double")))) / 2 for o in OUTCOMES]
+    accepted, caught = F.col("control") & (F.col("judged") == "satisfied"), ~F.col("control") & (F.col("judged") == "unsatisfied")
+    out = rows.groupBy(key).agg(
+        F.count("*").alias("answers"),
+        F.count_if(~settled).alias("unresolved"),
+        F.avg(F.when(settled, (F.col("judged") == F.col("expected")).cast("double"))).alias("same"),
+        (sum((s * (1 - s) for s in shares), F.lit(0.0)) / (len(OUTCOMES) - 1)).alias("chance"),
+        *(F.count_if(c).alias(n) for n, c in (("accepted", accepted), ("caught", caught), ("controls", F.col("control")), ("defects", ~F.col("control")), ("controls_settled", F.col("control") & settled), ("defects_settled", ~F.col("control") & settled))),
+    )
+    rate = lambda hits, n: F.when(F.col(n) > 0, F.col(hits) / F.col(n))
+    out = out.select(
+        key, "answers", "unresolved",
+        rate("accepted", "controls_settled").alias("sensitivity"), rate("caught", "defects_settled").alias("specificity"),
+        rate("accepted", "controls").alias("sensitivity_worst"), rate("caught", "defects").alias("specificity_worst"),
+        F.when(F.col("chance") < 1, (F.col("same") - F.col("chance")) / (1 - F.col("chance"))).alias("ac1"),
+    )
+    return out.withColumn("youden", F.col("sensitivity") + F.col("specificity") - 1).withColumn("youden_worst", F.col("sensitivity_worst") + F.col("specificity_worst") - 1)
 
 
 def exact_tests(rows: DataFrame, key: str) -> DataFrame:

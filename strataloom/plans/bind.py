@@ -47,7 +47,7 @@ def symbols(spark: SparkSession, d: str) -> DataFrame:
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """from_id, to_name, kind, line, target_kind: references between neighbouring lines of an order."""
     li = load(spark, d, "lineitem")
-    a = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").where("l_quantity >= 40")
+    a = li.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     b = li.select(F.col("l_orderkey").alias("o2"), (F.col("l_linenumber") - 1).alias("n2"), F.col("l_partkey").alias("to_part"))
     names = load(spark, d, "part").select(F.col("p_partkey").alias("to_part"), F.concat("p_name", F.lit("#"), "p_brand").alias("to_name"))
     pairs = a.join(b, (a["l_orderkey"] == b["o2"]) & (a["l_linenumber"] == b["n2"])).where("l_partkey <> to_part").join(names, "to_part")
@@ -105,7 +105,7 @@ CTE = {
       CASE a.l_returnflag WHEN 'N' THEN 'calls' WHEN 'R' THEN 'references' ELSE 'imports' END AS kind, a.l_linenumber AS line,
       CASE (a.l_partkey + a.l_linenumber) % 4 WHEN 0 THEN 'function' WHEN 1 THEN 'method' WHEN 2 THEN 'scoped' END AS target_kind
       FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN part t ON t.p_partkey = b.l_partkey
-      WHERE a.l_quantity >= 40 AND a.l_partkey <> b.l_partkey)""",
+      WHERE a.l_partkey <> b.l_partkey)""",
     "resolved": """resolved AS (SELECT e.*, s.id AS to_id, s.file_path AS to_file, s.kind AS to_kind, s.language AS to_language FROM edges e JOIN symbols s ON s.name = e.to_name
       WHERE e.target_kind IS NULL OR e.target_kind = 'scoped' OR (e.target_kind = 'function' AND s.kind <> 'method') OR (e.target_kind = 'method' AND s.kind = 'method'))""",
     "spans": """spans AS (SELECT e.user_id AS trace_id, e.event_id AS span_id, lag(e.event_id) OVER (PARTITION BY e.user_id ORDER BY e.ts, e.event_id) AS parent_id,

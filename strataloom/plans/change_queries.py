@@ -10,19 +10,19 @@ from strataloom.operators import change, graph
 from strataloom.plans.bind import edges, load, suppliers, symbols
 from strataloom.plans.registry import query
 
-BASE_SQL = "base AS (SELECT id, name, kind, file_path, line_start, line_end, CASE WHEN id % 11 = 0 THEN signature || '!' ELSE signature END AS signature, language FROM symbols WHERE id % 13 <> 0)"
-HEAD_SQL = "head AS (SELECT id, name, kind, file_path, line_start, line_end, signature, language FROM symbols WHERE id % 17 <> 0)"
+BASE_SQL = "base AS (SELECT id, name, kind, file_path, line_start, line_end, CASE WHEN id % 11 = 0 THEN signature || '!' WHEN kind <> 'class' THEN signature END AS signature, language FROM symbols WHERE id % 13 <> 0)"
+HEAD_SQL = "head AS (SELECT id, name, kind, file_path, line_start, line_end, CASE WHEN kind <> 'class' THEN signature END AS signature, language FROM symbols WHERE id % 17 <> 0)"
 COLUMNS = ["id", "name", "kind", "file_path", "line_start", "line_end", "signature", "language"]
 
 
 def base(spark: SparkSession, d: str) -> DataFrame:
-    """A former state of the symbols: some are not there yet, some have another signature."""
+    """A former state of the symbols: some are not there yet, some have another signature, classes mostly none."""
     s = symbols(spark, d).where("id % 13 <> 0")
-    return s.withColumn("signature", F.when(F.col("id") % 11 == 0, F.concat("signature", F.lit("!"))).otherwise(F.col("signature"))).select(*COLUMNS)
+    return s.withColumn("signature", F.when(F.col("id") % 11 == 0, F.concat("signature", F.lit("!"))).when(F.col("kind") != "class", F.col("signature"))).select(*COLUMNS)
 
 
 def head(spark: SparkSession, d: str) -> DataFrame:
-    return symbols(spark, d).where("id % 17 <> 0").select(*COLUMNS)
+    return symbols(spark, d).where("id % 17 <> 0").withColumn("signature", F.when(F.col("kind") != "class", F.col("signature"))).select(*COLUMNS)
 
 
 @query(
@@ -38,11 +38,14 @@ def symbols_changed_since(spark: SparkSession, d: str) -> DataFrame:
     "symbols",
     f"""WITH {BASE_SQL}, {HEAD_SQL}, b AS (SELECT file_path, name, kind, signature, id, row_number() OVER (PARTITION BY file_path, name, kind, signature ORDER BY line_start, line_end, id) AS n FROM base),
     h AS (SELECT file_path, name, kind, signature, id, row_number() OVER (PARTITION BY file_path, name, kind, signature ORDER BY line_start, line_end, id) AS n FROM head),
-    p AS (SELECT file_path, name, kind, signature, n, b.id AS base_id, h.id AS head_id FROM b FULL JOIN h USING (file_path, name, kind, signature, n)),
+    p0 AS (SELECT coalesce(b.file_path, h.file_path) AS file_path, coalesce(b.name, h.name) AS name, coalesce(b.kind, h.kind) AS kind, coalesce(b.signature, h.signature) AS signature, b.id AS base_id, h.id AS head_id
+      FROM b FULL JOIN h ON b.file_path = h.file_path AND b.name = h.name AND b.kind = h.kind AND b.signature IS NOT DISTINCT FROM h.signature AND b.n = h.n),
+    p1 AS (SELECT *, count(base_id) OVER w > 0 AND count(head_id) OVER w > 0 AND count(*) OVER w > 1 AS many FROM p0 WINDOW w AS (PARTITION BY file_path, name, kind, signature)),
+    p AS (SELECT *, bool_or(many) OVER (PARTITION BY file_path, name, kind) AS vague FROM p1),
     l AS (SELECT *, count(base_id) OVER (PARTITION BY file_path, name, kind) AS nb, count(head_id) OVER (PARTITION BY file_path, name, kind) AS nh FROM p WHERE base_id IS NULL OR head_id IS NULL)
-    SELECT file_path, name, kind, 'same' AS change, base_id, head_id, false AS uncertain FROM p WHERE base_id IS NOT NULL AND head_id IS NOT NULL
-    UNION ALL SELECT file_path, name, kind, 'signature_changed', max(base_id), max(head_id), false FROM l WHERE nb = 1 AND nh = 1 GROUP BY ALL
-    UNION ALL SELECT file_path, name, kind, CASE WHEN base_id IS NULL THEN 'added' ELSE 'removed' END, base_id, head_id, nb > 0 AND nh > 0 FROM l WHERE NOT (nb = 1 AND nh = 1)""",
+    SELECT file_path, name, kind, 'same' AS change, base_id, head_id, vague AS uncertain FROM p WHERE base_id IS NOT NULL AND head_id IS NOT NULL
+    UNION ALL SELECT file_path, name, kind, 'signature_changed', max(base_id), max(head_id), bool_or(vague) FROM l WHERE nb = 1 AND nh = 1 GROUP BY ALL
+    UNION ALL SELECT file_path, name, kind, CASE WHEN base_id IS NULL THEN 'added' ELSE 'removed' END, base_id, head_id, base_id IS NULL AND (vague OR nb > 0) FROM l WHERE NOT (nb = 1 AND nh = 1)""",
 )
 def declaration_matching(spark: SparkSession, d: str) -> DataFrame:
     return change.match_declarations(base(spark, d), head(spark, d), ["file_path", "name", "kind"])
@@ -58,24 +61,31 @@ def body_change(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "symbols",
-    """WITH h AS (SELECT file_path AS path, line_start + 2 AS first_line, line_start + 3 AS last_line FROM symbols WHERE id % 5 = 0),
+    """WITH h AS (SELECT file_path AS path, line_start + 2 AS first_line, line_start + 3 AS last_line FROM symbols),
     u AS (SELECT DISTINCT * FROM h), c AS (SELECT u.*, s.id, row_number() OVER (PARTITION BY u.path, u.first_line, u.last_line ORDER BY s.line_start DESC, s.line_end, s.id) AS k
       FROM u JOIN symbols s ON s.file_path = u.path AND u.first_line BETWEEN s.line_start AND s.line_end) SELECT path, first_line, last_line, id FROM c WHERE k = 1""",
 )
 def deepest_changed_declaration(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d)
-    hunks = s.where("id % 5 = 0").select(F.col("file_path").alias("path"), (F.col("line_start") + 2).alias("first_line"), (F.col("line_start") + 3).alias("last_line")).distinct()
+    hunks = s.select(F.col("file_path").alias("path"), (F.col("line_start") + 2).alias("first_line"), (F.col("line_start") + 3).alias("last_line")).distinct()
     return change.deepest(hunks, s)
 
 
-REACH_SQL = """WITH RECURSIVE st AS (SELECT DISTINCT from_id, to_id FROM resolved WHERE kind IN ('calls', 'references')),
-    w AS (SELECT id AS seed, id, 0 AS depth FROM symbols WHERE id % 101 = 0 UNION SELECT w.seed, st.from_id, w.depth + 1 FROM w JOIN st ON st.to_id = w.id WHERE w.depth < 3),
+REACH_SQL = f"""WITH RECURSIVE {BASE_SQL}, {HEAD_SQL},
+    changed AS (SELECT id FROM symbols LEFT JOIN base b USING (id) LEFT JOIN head h USING (id) WHERE (b.id IS NULL) <> (h.id IS NULL) OR b.signature IS DISTINCT FROM h.signature),
+    st AS (SELECT DISTINCT from_id, to_id FROM resolved WHERE kind IN ('calls', 'references')),
+    w AS (SELECT id AS seed, id, 0 AS depth FROM changed UNION SELECT w.seed, st.from_id, w.depth + 1 FROM w JOIN st ON st.to_id = w.id WHERE w.depth < 3),
     m AS (SELECT seed, id, min(depth) AS depth FROM w GROUP BY seed, id), reach AS (SELECT * FROM m WHERE depth > 0)"""
 
 
-def reached(spark: SparkSession, d: str, seeds: str = "id % 101 = 0") -> DataFrame:
-    s = symbols(spark, d)
-    return graph.impact(s, edges(spark, d), s.where(seeds).select(F.col("id").alias("seed"), "id"))
+def changed(spark: SparkSession, d: str) -> DataFrame:
+    """id of every symbol that is new, gone or has another signature."""
+    return change.snapshot_diff(base(spark, d), head(spark, d), "id", ["signature"]).select("id")
+
+
+def reached(spark: SparkSession, d: str) -> DataFrame:
+    """What the changed symbols reach."""
+    return graph.impact(symbols(spark, d), edges(spark, d), changed(spark, d).select(F.col("id").alias("seed"), "id"))
 
 
 CHANGE_IMPACT_SQL = REACH_SQL + " SELECT split_part(s.file_path, '/', 1) AS component, count(DISTINCT r.id) AS impacted, min(depth) AS nearest, count(DISTINCT seed) AS seeds FROM reach r JOIN symbols s ON s.id = r.id GROUP BY 1"
@@ -83,20 +93,10 @@ CHANGE_IMPACT_SQL = REACH_SQL + " SELECT split_part(s.file_path, '/', 1) AS comp
 
 @query("symbols resolved", CHANGE_IMPACT_SQL)
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    return _impact_by_component(spark, d, reached(spark, d))
-
-
-def _impact_by_component(spark: SparkSession, d: str, reach: DataFrame) -> DataFrame:
-    rows = reach.join(symbols(spark, d).select("id", "file_path"), "id")
+    rows = reached(spark, d).join(symbols(spark, d).select("id", "file_path"), "id")
     return rows.groupBy(paths.component(F.col("file_path")).alias("component")).agg(F.count_distinct("id").alias("impacted"), F.min("depth").alias("nearest"), F.count_distinct("seed").alias("seeds"))
 
 
-@query("symbols resolved", CHANGE_IMPACT_SQL.replace(" WHERE id % 101 = 0", ""))
-def change_impact_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same from every symbol."""
-    return _impact_by_component(spark, d, reached(spark, d, "true"))
-
-
 CROSSINGS_SQL = (
     REACH_SQL
     + """ SELECT split_part(a.file_path, '/', 1) AS from_component, split_part(b.file_path, '/', 1) AS to_component, count(DISTINCT r.id) AS symbols FROM reach r JOIN symbols a ON a.id = r.seed JOIN symbols b ON b.id = r.id
@@ -109,12 +109,6 @@ def api_crossings(spark: SparkSession, d: str) -> DataFrame:
     return change.crossings(reached(spark, d), symbols(spark, d))
 
 
-@query("symbols resolved", CROSSINGS_SQL.replace(" WHERE id % 101 = 0", ""))
-def api_crossings_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same from every symbol."""
-    return change.crossings(reached(spark, d, "true"), symbols(spark, d))
-
-
 TEST_IMPACT_SQL = (
     REACH_SQL
     + """, dp AS (SELECT id, min(depth) AS depth FROM m GROUP BY id), pt AS (SELECT DISTINCT split_part(s.file_path, '/', 1) AS part FROM reach r JOIN symbols s ON s.id = r.seed),
@@ -127,14 +121,7 @@ TEST_IMPACT_SQL = (
 @query("symbols resolved", TEST_IMPACT_SQL)
 def test_impact(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d)
-    return change.ranked_tests(reached(spark, d), s, F.col("kind") == "trait", s.where("id % 101 = 0"))
-
-
-@query("symbols resolved", TEST_IMPACT_SQL.replace(" WHERE id % 101 = 0", ""))
-def test_impact_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same from every symbol."""
-    s = symbols(spark, d)
-    return change.ranked_tests(reached(spark, d, "true"), s, F.col("kind") == "trait", s)
+    return change.ranked_tests(reached(spark, d), s, F.col("kind") == "trait", changed(spark, d))
 
 
 @query(
@@ -148,9 +135,11 @@ def disciplines(spark: SparkSession, d: str) -> DataFrame:
     return change.disciplines(suppliers(spark, d))
 
 
-FP_SQL = """l AS (SELECT file_path, 's|' || kind || '|' || name || '|' || signature AS line FROM {t}
-      UNION ALL SELECT s.file_path, 'e|' || e.kind || '|' || s.name || '|' || e.to_name || '|' || coalesce(e.target_kind, '') FROM edges e JOIN {t} s ON s.id = e.from_id),
-    {n} AS (SELECT file_path, sha256(array_to_string(list_sort(list(line)), chr(10))) AS fingerprint FROM l GROUP BY file_path)"""
+FNV_SQL = "printf('%016x', list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(string_split({x}, ''), lambda c: ord(c)::HUGEINT)), lambda h, c: (xor(h, c) * 1099511628211) % 18446744073709551616)::UBIGINT)"
+FP_SQL = """l AS (SELECT DISTINCT file_path, 0 AS part, 'L|' || language AS line FROM {t} UNION ALL SELECT file_path, 1, 'S|' || kind || '|' || name || '|' || coalesce(signature, '') FROM {t}
+      UNION ALL SELECT s.file_path, 2, 'E|' || e.kind || '|' || s.name || '|' || e.to_name || '|||' || coalesce(e.target_kind, '') FROM edges e JOIN {t} s ON s.id = e.from_id),
+    {n}0 AS (SELECT file_path, string_agg(line, chr(10) ORDER BY part, line) AS lines FROM l GROUP BY file_path),
+    {n} AS (SELECT file_path, FNV AS fingerprint FROM {n}0)""".replace("FNV", FNV_SQL.format(x="lines").replace("{", "{{").replace("}", "}}"))
 
 
 @query("symbols edges", "WITH " + FP_SQL.format(t="symbols", n="f") + " SELECT file_path, fingerprint FROM f")
@@ -165,7 +154,7 @@ def structural_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     + ", "
     + FP_SQL.format(t="base", n="fb")
     + ", "
-    + FP_SQL.format(t="symbols", n="fh").replace("l AS (", "l2 AS (").replace("FROM l GROUP", "FROM l2 GROUP")
+    + FP_SQL.format(t="symbols", n="fh").replace("l AS (SELECT", "l2 AS (SELECT").replace("FROM l GROUP", "FROM l2 GROUP")
     + " SELECT h.file_path, CASE WHEN b.fingerprint IS NULL THEN 'first-seen' WHEN b.fingerprint = h.fingerprint THEN 'cosmetic' ELSE 'structural' END AS class FROM fh h JOIN files f ON f.file_path = h.file_path AND f.suppkey % 2 = 0 LEFT JOIN fb b ON b.file_path = h.file_path",
 )
 def change_class(spark: SparkSession, d: str) -> DataFrame:
@@ -200,7 +189,7 @@ def temporal_components(spark: SparkSession, d: str) -> DataFrame:
     return change.snapshot_diff(side(base(spark, d)), side(head(spark, d)), "component", ["symbols", "kinds"])
 
 
-CYCLE_SQL = """p{k} AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN {s} a ON a.id = e.from_id JOIN {s} b ON b.name = e.to_name WHERE e.kind = 'imports' AND e.line <= 2 AND a.file_path <> b.file_path AND starts_with(a.file_path, 'europe/') AND starts_with(b.file_path, 'europe/')),
+CYCLE_SQL = """p{k} AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN {s} a ON a.id = e.from_id JOIN {s} b ON b.name = e.to_name WHERE e.kind = 'imports' AND a.file_path <> b.file_path),
     r{k} AS (SELECT f, t FROM p{k} UNION SELECT r{k}.f, p{k}.t FROM r{k} JOIN p{k} ON p{k}.f = r{k}.t),
     c{k} AS (SELECT DISTINCT members FROM (SELECT a.f, list_sort(list(DISTINCT b.f)) AS members FROM r{k} a JOIN r{k} b ON a.t = b.f AND b.t = a.f GROUP BY a.f) WHERE len(members) > 1)"""
 
@@ -214,14 +203,7 @@ CYCLE_SQL = """p{k} AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM
     UNION ALL SELECT 'added', array_to_string(members, ',') FROM h WHERE members NOT IN (SELECT m2 FROM l) UNION ALL SELECT DISTINCT 'changed', array_to_string(m2, ',') FROM l""",
 )
 def cycle_delta(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d).where("line <= 2")
-    side = lambda df: graph.all_cycles(graph.import_pairs(df.where(F.col("file_path").startswith("europe/")), e))
-    return change.cycle_delta(side(base(spark, d)), side(head(spark, d)))
-
-
-@query()
-def cycle_delta_all(spark: SparkSession, d: str) -> DataFrame:
-    """Cycles of the whole snapshots compared, over all files and lines; too slow in SQL."""
+    """Cycles of the whole snapshots compared."""
     e = edges(spark, d)
     side = lambda df: graph.all_cycles(graph.import_pairs(df, e))
     return change.cycle_delta(side(base(spark, d)), side(head(spark, d)))

@@ -75,9 +75,9 @@ def largest_files(spark: SparkSession, d: str) -> DataFrame:
     return symbols(spark, d).groupBy("file_path").agg(F.count("*").alias("symbols"), F.max("line_end").alias("last_line")).orderBy(F.col("symbols").desc(), "file_path").limit(10)
 
 
-@query("files", "WITH f AS (SELECT f.file_path AS path, l_linenumber AS line, l_orderkey || '/' || l_partkey AS rule, row_number() OVER (PARTITION BY f.file_path ORDER BY l_linenumber, l_orderkey || '/' || l_partkey) AS k FROM lineitem JOIN files f ON f.suppkey = l_suppkey WHERE l_returnflag = 'R') SELECT path, line, rule FROM f WHERE k <= 100 ORDER BY path, line, rule LIMIT 5000")
+@query("files", "WITH f AS (SELECT f.file_path AS path, l_linenumber AS line, l_orderkey || '/' || l_partkey AS rule, row_number() OVER (PARTITION BY f.file_path ORDER BY l_linenumber, l_orderkey || '/' || l_partkey) AS k FROM lineitem JOIN files f ON f.suppkey = l_suppkey) SELECT path, line, rule FROM f WHERE k <= 100 ORDER BY path, line, rule LIMIT 5000")
 def findings_cap(spark: SparkSession, d: str) -> DataFrame:
-    li, f = load(spark, d, "lineitem").where("l_returnflag = 'R'"), suppliers(spark, d)
+    li, f = load(spark, d, "lineitem"), suppliers(spark, d)
     rows = li.join(f, F.col("l_suppkey") == F.col("suppkey")).select(F.col("file_path").alias("path"), F.col("l_linenumber").alias("line"), F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string")).alias("rule"))
     return rollup.capped_findings(rows)
 
@@ -131,11 +131,11 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d).join(stale, "file_path", "left_anti").orderBy(rank, "span_id").limit(200).select("span_id", "name", "file_path")
 
 
-@query("touches", "SELECT path, coalesce(n.commits, 0) AS commits, coalesce(s.spans, 0) AS spans FROM (SELECT path, count(DISTINCT sha) AS commits FROM touches WHERE added > 45 GROUP BY path) n FULL JOIN (SELECT f.file_path AS path, count(*) AS spans FROM events e CROSS JOIN (SELECT count(*) AS k FROM supplier) c JOIN files f ON f.suppkey = e.event_id % c.k WHERE event_type = 'error' GROUP BY 1) s USING (path)")
+@query("touches", "SELECT path, coalesce(n.commits, 0) AS commits, coalesce(s.spans, 0) AS spans FROM (SELECT path, count(DISTINCT sha) AS commits FROM touches GROUP BY path) n FULL JOIN (SELECT f.file_path AS path, count(*) AS spans FROM events e CROSS JOIN (SELECT count(*) AS k FROM supplier) c JOIN files f ON f.suppkey = e.event_id % c.k GROUP BY 1) s USING (path)")
 def file_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Roll-ups of one file side by side, also where one of them has nothing."""
-    a = touches(spark, d).where("added > 45").groupBy("path").agg(F.count_distinct("sha").alias("commits"))
-    b = spans(spark, d).where("name = 'error'").groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("spans"))
+    a = touches(spark, d).groupBy("path").agg(F.count_distinct("sha").alias("commits"))
+    b = spans(spark, d).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("spans"))
     return a.join(b, "path", "full_outer").select("path", F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("spans", F.lit(0)).alias("spans"))
 
 
@@ -150,20 +150,13 @@ def policy_api_owner(spark: SparkSession, d: str) -> DataFrame:
 
 
 RADIUS_SQL = """WITH RECURSIVE st AS (SELECT DISTINCT from_id, to_id FROM resolved WHERE kind IN ('calls', 'references')),
-    w AS (SELECT id AS seed, id, 0 AS depth FROM symbols WHERE id % 211 = 0 UNION SELECT w.seed, st.from_id, w.depth + 1 FROM w JOIN st ON st.to_id = w.id WHERE w.depth < 2),
+    w AS (SELECT id AS seed, id, 0 AS depth FROM symbols UNION SELECT w.seed, st.from_id, w.depth + 1 FROM w JOIN st ON st.to_id = w.id WHERE w.depth < 2),
     n AS (SELECT seed, count(DISTINCT (s.file_path, s.line_start, s.name)) AS n FROM (SELECT DISTINCT seed, id FROM w WHERE depth > 0 AND id <> seed) x JOIN symbols s ON s.id = x.id GROUP BY seed)
     SELECT 'blast_radius' AS rule, seed || ' -> ' || n AS subject FROM n WHERE n > 5"""
 
 
 @query("symbols resolved", RADIUS_SQL)
 def policy_blast_radius(spark: SparkSession, d: str) -> DataFrame:
-    s = symbols(spark, d)
-    return rollup.radius_rule(graph.impact(s, edges(spark, d), s.where("id % 211 = 0").select(F.col("id").alias("seed"), "id"), 2), s, 5)
-
-
-@query("symbols resolved", RADIUS_SQL.replace(" WHERE id % 211 = 0", ""))
-def policy_blast_radius_all(spark: SparkSession, d: str) -> DataFrame:
-    """The rule held against every symbol."""
     s = symbols(spark, d)
     return rollup.radius_rule(graph.impact(s, edges(spark, d), s.select(F.col("id").alias("seed"), "id"), 2), s, 5)
 
@@ -179,72 +172,45 @@ def policy_related_tests(spark: SparkSession, d: str) -> DataFrame:
     return rollup.violations("related_tests", s.select("file_path").distinct().join(s.where("kind = 'trait' and id % 3 = 0"), "file_path", "left_anti"), "file_path")
 
 
-CYCLE_BUDGET_SQL = f"WITH {PAIRS_SQL}, m AS (SELECT DISTINCT least(a.from_file, a.to_file) AS x, greatest(a.from_file, a.to_file) AS y FROM pairs a JOIN pairs b ON a.from_file = b.to_file AND a.to_file = b.from_file WHERE starts_with(a.from_file, 'asia/') AND starts_with(a.to_file, 'asia/')) SELECT count(*) AS new_cycles, count(*) > 3 AS violated FROM m WHERE x NOT LIKE '%.rs'"
+CYCLE_BUDGET_SQL = f"WITH {PAIRS_SQL}, m AS (SELECT DISTINCT least(a.from_file, a.to_file) AS x, greatest(a.from_file, a.to_file) AS y FROM pairs a JOIN pairs b ON a.from_file = b.to_file AND a.to_file = b.from_file) SELECT count(*) AS new_cycles, count(*) > 3 AS violated FROM m WHERE x NOT LIKE '%.rs'"
 
 
 @query("symbols edges", CYCLE_BUDGET_SQL)
 def policy_cycle_budget(spark: SparkSession, d: str) -> DataFrame:
     """Mutual imports that the baseline (those of one language) does not have, against a budget of three."""
-    return _new_cycles(graph.import_pairs(symbols(spark, d), edges(spark, d)).where(F.col("from_file").startswith("asia/") & F.col("to_file").startswith("asia/")))
-
-
-def _new_cycles(p: DataFrame) -> DataFrame:
+    p = graph.import_pairs(symbols(spark, d), edges(spark, d))
     back = p.select(F.col("to_file").alias("f"), F.col("from_file").alias("t"))
     both = p.join(back, (F.col("from_file") == F.col("f")) & (F.col("to_file") == F.col("t"))).select(F.least("from_file", "to_file").alias("x"), F.greatest("from_file", "to_file").alias("y")).distinct()
     known = both.where(F.col("x").endswith(".rs"))
     return both.join(known, ["x", "y"], "left_anti").agg(F.count("*").alias("new_cycles")).withColumn("violated", F.col("new_cycles") > 3)
 
 
-@query("symbols edges", CYCLE_BUDGET_SQL.replace(" WHERE starts_with(a.from_file, 'asia/') AND starts_with(a.to_file, 'asia/')", ""))
-def policy_cycle_budget_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all files."""
-    return _new_cycles(graph.import_pairs(symbols(spark, d), edges(spark, d)))
-
-
-ACCEPTANCE_SQL = "SELECT o_orderpriority AS criterion, count(*) AS checks, bool_and(coalesce(s.status = 'current', false)) AS satisfied FROM (SELECT o_orderpriority, o_orderkey FROM orders WHERE o_orderkey % 50 = 0) o LEFT JOIN (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'stale' ELSE 'current' END AS status FROM orders WHERE o_orderkey % 100 = 0) s USING (o_orderkey) GROUP BY 1"
+ACCEPTANCE_SQL = "SELECT o_orderpriority AS criterion, count(*) AS checks, bool_and(coalesce(s.status = 'current', false)) AS satisfied FROM (SELECT o_orderpriority, o_orderkey FROM orders) o LEFT JOIN (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'stale' ELSE 'current' END AS status FROM orders WHERE o_orderpriority <> '5-LOW') s USING (o_orderkey) GROUP BY 1"
 
 
 @query("", ACCEPTANCE_SQL)
 def acceptance(spark: SparkSession, d: str) -> DataFrame:
-    o = load(spark, d, "orders")
-    criteria = o.where("o_orderkey % 50 = 0").select(F.col("o_orderpriority").alias("criterion"), F.col("o_orderkey").alias("check_id"))
-    receipts = o.where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("check_id"), F.when(F.col("o_orderstatus") == "F", "stale").otherwise("current").alias("status"))
-    return rollup.acceptance(criteria, receipts)
-
-
-@query("", ACCEPTANCE_SQL.replace(" WHERE o_orderkey % 50 = 0", "").replace(" WHERE o_orderkey % 100 = 0", ""))
-def acceptance_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all orders."""
     o = load(spark, d, "orders")
     criteria = o.select(F.col("o_orderpriority").alias("criterion"), F.col("o_orderkey").alias("check_id"))
-    return rollup.acceptance(criteria, o.select(F.col("o_orderkey").alias("check_id"), F.when(F.col("o_orderstatus") == "F", "stale").otherwise("current").alias("status")))
+    receipts = o.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("check_id"), F.when(F.col("o_orderstatus") == "F", "stale").otherwise("current").alias("status"))
+    return rollup.acceptance(criteria, receipts)
 
 
 LINKS_SQL = """WITH was AS (SELECT file_path, count(*) AS n FROM symbols WHERE id % 13 <> 0 GROUP BY 1), now AS (SELECT file_path, count(*) AS n FROM symbols WHERE id % 17 <> 0 GROUP BY 1),
     st AS (SELECT coalesce(w.file_path, x.file_path) AS file_path, CASE WHEN w.file_path IS NULL THEN 'added' WHEN x.file_path IS NULL THEN 'missing' WHEN w.n <> x.n THEN 'content_changed' ELSE 'same' END AS state FROM was w FULL JOIN now x USING (file_path)),
-    e AS (SELECT p.file_path AS a, c.file_path AS b FROM spans c JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id WHERE c.span_id % 20 = 0)
+    e AS (SELECT p.file_path AS a, c.file_path AS b FROM spans c JOIN spans p ON p.trace_id = c.trace_id AND p.span_id = c.parent_id)
     SELECT a AS from_file, b AS to_file, coalesce(x.state, 'missing') <> 'same' OR coalesce(y.state, 'missing') <> 'same' AS needs_review, 'unverified' AS verification, count(*) AS links FROM e LEFT JOIN st x ON x.file_path = a LEFT JOIN st y ON y.file_path = b GROUP BY ALL"""
 
 
 @query("symbols spans", LINKS_SQL)
 def document_graph_check(spark: SparkSession, d: str) -> DataFrame:
     """Links whose ends changed since they were recorded need review; a check never verifies them."""
-    return _checked_links(spark, d, "span_id % 20 = 0")
-
-
-def _checked_links(spark: SparkSession, d: str, chosen: str) -> DataFrame:
     s, c = symbols(spark, d), spans(spark, d)
     was = s.where("id % 13 <> 0").groupBy("file_path").agg(F.count("*").alias("was"))
     now = s.where("id % 17 <> 0").groupBy("file_path").agg(F.count("*").alias("now"))
     state = was.join(now, "file_path", "full_outer").select("file_path", F.col("was").eqNullSafe(F.col("now")).alias("same"))
     p = c.select(F.col("trace_id").alias("t"), F.col("span_id").alias("s"), F.col("file_path").alias("from_file"))
-    links = c.where(chosen).join(p, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s"))).select("from_file", F.col("file_path").alias("to_file"))
+    links = c.join(p, (F.col("trace_id") == F.col("t")) & (F.col("parent_id") == F.col("s"))).select("from_file", F.col("file_path").alias("to_file"))
     links = links.join(state.select(F.col("file_path").alias("from_file"), F.col("same").alias("same_a")), "from_file", "left").join(state.select(F.col("file_path").alias("to_file"), F.col("same").alias("same_b")), "to_file", "left")
     review = ~(F.coalesce("same_a", F.lit(False)) & F.coalesce("same_b", F.lit(False)))
     return links.groupBy("from_file", "to_file", review.alias("needs_review"), F.lit("unverified").alias("verification")).agg(F.count("*").alias("links"))
-
-
-@query("symbols spans", LINKS_SQL.replace(" WHERE c.span_id % 20 = 0", ""))
-def document_graph_check_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all links."""
-    return _checked_links(spark, d, "true")

@@ -249,15 +249,9 @@ def impact(spark: SparkSession, d: str) -> DataFrame:
     return s.where(F.col("name") != name).join(found, "id").select("id", "name", "file_path", "depth")
 
 
-@query("symbols resolved", BFS.format(seeds="id % 97 = 0") + " SELECT seed, id, depth FROM m WHERE depth > 0")
-def impact_of_many(spark: SparkSession, d: str) -> DataFrame:
-    s = symbols(spark, d)
-    return graph.impact(s, edges(spark, d), s.where("id % 97 = 0").select(F.col("id").alias("seed"), "id"))
-
-
 @query("symbols resolved", BFS.format(seeds="true") + " SELECT seed, id, depth FROM m WHERE depth > 0")
-def impact_of_many_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same from every symbol."""
+def impact_of_many(spark: SparkSession, d: str) -> DataFrame:
+    """From every symbol."""
     s = symbols(spark, d)
     return graph.impact(s, edges(spark, d), s.select(F.col("id").alias("seed"), "id"))
 
@@ -265,20 +259,12 @@ def impact_of_many_all(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "symbols edges",
     """WITH RECURSIVE p AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.name = e.to_name
-        WHERE e.kind = 'imports' AND a.file_path <> b.file_path AND starts_with(a.file_path, 'asia/') AND starts_with(b.file_path, 'asia/')),
+        WHERE e.kind = 'imports' AND a.file_path <> b.file_path),
     r AS (SELECT f, t FROM p UNION SELECT r.f, p.t FROM r JOIN p ON p.f = r.t),
     k AS (SELECT a.f AS n, list_sort(list(DISTINCT b.f)) AS members FROM r a JOIN r b ON a.t = b.f AND b.t = a.f GROUP BY a.f)
     SELECT DISTINCT len(members) AS size, array_to_string(members, ',') AS members FROM k WHERE len(members) > 1""",
 )
 def dependency_cycles(spark: SparkSession, d: str) -> DataFrame:
-    s = symbols(spark, d).where(F.col("file_path").startswith("asia/"))
-    found = graph.all_cycles(graph.import_pairs(s, edges(spark, d)))
-    return found.select("size", F.array_join("members", ",").alias("members"))
-
-
-@query()
-def dependency_cycles_all(spark: SparkSession, d: str) -> DataFrame:
-    """Cycles over all files and lines; a recursive search over the whole graph is too slow in SQL."""
     found = graph.all_cycles(graph.import_pairs(symbols(spark, d), edges(spark, d)))
     return found.select("size", F.array_join("members", ",").alias("members"))
 
@@ -338,7 +324,7 @@ def mutual_imports(spark: SparkSession, d: str) -> DataFrame:
 def _pagerank_sql() -> str:
     steps = [
         """l AS (SELECT DISTINCT a, b FROM (SELECT from_file AS a, to_file AS b FROM q UNION ALL SELECT to_file, from_file FROM q)),
-    dg AS (SELECT a AS node, count(*) AS degree FROM l GROUP BY a), sd AS (SELECT DISTINCT file_path AS node FROM symbols WHERE id % 50 = 0),
+    dg AS (SELECT a AS node, count(*) AS degree FROM l GROUP BY a), sd AS (SELECT DISTINCT file_path AS node FROM symbols WHERE contains(decorators, ',route,')),
     nd AS (SELECT coalesce(dg.node, sd.node) AS node, coalesce(degree, 0) AS degree, CASE WHEN sd.node IS NULL THEN 0.0 ELSE 1.0 / (SELECT count(*) FROM sd) END::DOUBLE AS jump FROM dg FULL JOIN sd ON dg.node = sd.node), r0 AS (SELECT node, jump AS score FROM nd)"""
     ]
     for k in range(1, graph.ROUNDS + 1):
@@ -347,25 +333,17 @@ def _pagerank_sql() -> str:
     d{k} AS (SELECT coalesce(sum(r.score), 0) AS lost FROM r{k - 1} r JOIN nd n USING (node) WHERE n.degree = 0),
     r{k} AS MATERIALIZED (SELECT n.node, 0.15 * n.jump + 0.85 * (coalesce(got, 0) + (SELECT lost FROM d{k}) * n.jump) AS score FROM nd n LEFT JOIN s{k} USING (node))"""
         )
-    pairs = "q AS (SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.name = e.to_name WHERE e.kind = 'imports' AND a.file_path <> b.file_path AND starts_with(a.file_path, 'asia/') AND starts_with(b.file_path, 'asia/'))"
+    pairs = "q AS (SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.name = e.to_name WHERE e.kind = 'imports' AND a.file_path <> b.file_path)"
     return f"WITH {pairs}, " + ", ".join(steps) + f" SELECT node, round(score, 9) AS score FROM r{graph.ROUNDS}"
 
 
 @query("symbols edges", _pagerank_sql())
 def repo_map_pagerank(spark: SparkSession, d: str) -> DataFrame:
-    s = symbols(spark, d)
-    asia = s.where(F.col("file_path").startswith("asia/"))
-    pairs = graph.import_pairs(asia, edges(spark, d)).select(F.col("from_file").alias("a"), F.col("to_file").alias("b"))
-    seeds = s.where("id % 50 = 0").select(F.col("file_path").alias("node")).distinct()
-    return graph.personal_pagerank(pairs, seeds).select("node", F.round("score", 9).alias("score"))
-
-
-@query("symbols edges", _pagerank_sql().replace(" AND starts_with(a.file_path, 'asia/') AND starts_with(b.file_path, 'asia/')", "").replace(" WHERE id % 50 = 0", ""))
-def repo_map_pagerank_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over the whole import graph, every file a seed."""
+    """Ranks of all files around those that hold a route."""
     s = symbols(spark, d)
     pairs = graph.import_pairs(s, edges(spark, d)).select(F.col("from_file").alias("a"), F.col("to_file").alias("b"))
-    return graph.personal_pagerank(pairs, s.select(F.col("file_path").alias("node")).distinct()).select("node", F.round("score", 9).alias("score"))
+    seeds = s.where("decorators like '%,route,%'").select(F.col("file_path").alias("node")).distinct()
+    return graph.personal_pagerank(pairs, seeds).select("node", F.round("score", 9).alias("score"))
 
 
 TERMS_SQL = "t AS (SELECT id, file_path, unnest(string_split(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g'), ' ')) AS term FROM symbols), tf AS (SELECT id, file_path, term, count(*) AS tf FROM t WHERE term <> '' GROUP BY ALL)"

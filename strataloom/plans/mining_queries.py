@@ -11,10 +11,10 @@ from strataloom.plans.bind import load, symbols, touches
 from strataloom.plans.registry import query
 
 WILSON = "(a / n + 1.96 * 1.96 / (2 * n) - 1.96 * sqrt((a / n * (1 - a / n) + 1.96 * 1.96 / (4 * n)) / n)) / (1 + 1.96 * 1.96 / n)"
-VOTES_SQL = "t AS (SELECT l_orderkey AS sha, l_returnflag AS predicate, sum(CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END) AS yes, sum(CASE WHEN l_quantity <= 20 THEN 1 ELSE 0 END) AS no FROM lineitem GROUP BY ALL), v AS (SELECT predicate, count(*)::DOUBLE AS n, (count(*) FILTER (yes > no))::DOUBLE AS a FROM t GROUP BY predicate)"
+VOTES_SQL = "t AS (SELECT l_orderkey AS sha, l_returnflag AS predicate, sum(CASE WHEN l_quantity > 20 THEN 1 ELSE 0 END) AS yes, sum(CASE WHEN l_quantity <= 20 THEN 1 ELSE 0 END) AS no FROM lineitem GROUP BY ALL), v AS (SELECT predicate, count(*)::DOUBLE AS n, greatest(count(*) FILTER (yes > no), count(*) FILTER (no > yes))::DOUBLE AS a, CASE WHEN count(*) FILTER (yes > no) >= count(*) FILTER (no > yes) THEN 'yes' ELSE 'no' END AS claims FROM t GROUP BY predicate)"
 
 
-@query("", f"WITH {VOTES_SQL} SELECT predicate, n::BIGINT AS eligible, a::BIGINT AS agree, round({WILSON}, 9) AS low, CASE WHEN n >= 8 AND {WILSON} >= 0.8 THEN 'high' WHEN n >= 8 AND {WILSON} >= 0.6 THEN 'medium' ELSE 'none' END AS gate FROM v")
+@query("", f"WITH {VOTES_SQL} SELECT predicate, claims, n::BIGINT AS eligible, a::BIGINT AS agree, round({WILSON}, 9) AS low, CASE WHEN n >= 8 AND {WILSON} >= 0.8 THEN 'high' WHEN n >= 8 AND {WILSON} >= 0.6 THEN 'medium' ELSE 'none' END AS gate FROM v")
 def commit_votes(spark: SparkSession, d: str) -> DataFrame:
     li = load(spark, d, "lineitem")
     yes = (F.col("l_quantity") > 20).cast("int")
@@ -102,26 +102,46 @@ def hit_at_k(spark: SparkSession, d: str) -> DataFrame:
     return trials.hit_at(ranked, 5)
 
 
-@query("", f"WITH {TRIAL_SQL}, m AS (SELECT condition, doc_id % 20 AS c, avg(toxic) AS m FROM tr GROUP BY ALL) SELECT condition, count(m) AS clusters, round(avg(m), 9) AS mean, round(CASE WHEN count(m) >= 2 THEN stddev_samp(m) / sqrt(count(m)) END, 9) AS error FROM m WHERE m IS NOT NULL GROUP BY condition")
+@query("", f"""WITH {TRIAL_SQL}, m AS (SELECT condition, doc_id % 20 AS c, avg(toxic) AS m FROM tr GROUP BY ALL) SELECT condition, count(m) AS clusters, round(avg(m), 9) AS mean, round(CASE WHEN count(m) >= 2 THEN stddev_samp(m) / sqrt(count(m)) END, 9) AS error,
+    round(avg(m) - 2.093 * CASE WHEN count(m) >= 2 THEN stddev_samp(m) / sqrt(count(m)) END, 9) AS lower, round(avg(m) + 2.093 * CASE WHEN count(m) >= 2 THEN stddev_samp(m) / sqrt(count(m)) END, 9) AS upper FROM m WHERE m IS NOT NULL GROUP BY condition""")
 def cluster_estimate(spark: SparkSession, d: str) -> DataFrame:
     rows = _trials(spark, d).where("toxic is not null").withColumn("c", F.col("doc_id") % 20)
-    return trials.cluster_estimate(rows, ["condition"], "c", "toxic").select("condition", "clusters", F.round("mean", 9).alias("mean"), F.round("error", 9).alias("error"))
+    return trials.cluster_estimate(rows, ["condition"], "c", "toxic", 2.093).select("condition", "clusters", *(F.round(c, 9).alias(c) for c in ("mean", "error", "lower", "upper")))
 
 
-@query("", "SELECT o_orderpriority, round(CASE WHEN min(least(o_totalprice, o_custkey + 1.0)) > 0 THEN ln(avg(o_totalprice)) - ln(avg(o_custkey + 1.0)) END, 9) AS log_ratio FROM orders GROUP BY 1")
+@query(
+    "",
+    """WITH o AS (SELECT o_orderpriority, o_custkey % 40 AS task, o_custkey % 8 AS cluster, o_orderkey % 2 AS arm, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS v FROM orders),
+    p AS (SELECT o_orderpriority, task, cluster, avg(ln(v)) FILTER (arm = 1 AND v > 0) - avg(ln(v)) FILTER (arm = 0 AND v > 0) AS r, count(*) FILTER (arm = 0 AND coalesce(v, 0) <= 0) AS ub, count(*) FILTER (arm = 1 AND coalesce(v, 0) <= 0) AS uc FROM o GROUP BY ALL),
+    s AS (SELECT o_orderpriority, bool_and(r IS NOT NULL) AS whole, sum(ub)::BIGINT AS ub, sum(uc)::BIGINT AS uc FROM p GROUP BY 1),
+    c AS (SELECT o_orderpriority, cluster, avg(r) AS m FROM p WHERE r IS NOT NULL GROUP BY ALL), e AS (SELECT o_orderpriority, avg(m) AS mean, stddev_samp(m) / sqrt(count(*)) AS error FROM c GROUP BY 1)
+    SELECT o_orderpriority, CASE WHEN whole AND greatest(ub, uc) <= 1000000 THEN 'measured' ELSE 'unknown' END AS status, ub AS unknown_baseline, uc AS unknown_candidate,
+      round(CASE WHEN whole THEN exp(mean) END, 9) AS ratio, round(CASE WHEN whole THEN exp(mean + 2.365 * error) END, 9) AS upper FROM s LEFT JOIN e USING (o_orderpriority)""",
+)
 def log_ratio(spark: SparkSession, d: str) -> DataFrame:
-    rows = load(spark, d, "orders").withColumn("other", F.col("o_custkey") + 1.0)
-    return trials.log_ratio(rows, "o_orderpriority", "o_totalprice", "other").withColumn("log_ratio", F.round("log_ratio", 9))
-
-
-AGREE = "count(*) AS n, avg((quality = toxic)::INT) AS o, (avg(quality) + avg(toxic)) / 2 AS p, avg(CASE WHEN quality = 1 THEN toxic END) AS sens, avg(CASE WHEN quality = 0 THEN 1 - toxic END) AS spec"
+    """Ratio of what two arms of each task use; an order still open has unknown usage."""
+    o = load(spark, d, "orders")
+    arm = F.when(F.col("o_orderkey") % 2 == 0, "baseline").otherwise("candidate")
+    rows = o.select("o_orderpriority", (F.col("o_custkey") % 40).alias("task"), (F.col("o_custkey") % 8).alias("cluster"), arm.alias("arm"), F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("value"))
+    found = trials.log_ratio(rows, "o_orderpriority", 2.365, 1_000_000)
+    return found.withColumn("ratio", F.round("ratio", 9)).withColumn("upper", F.round("upper", 9))
 
 
-@query("", f"WITH {TRIAL_SQL}, a AS (SELECT condition, {AGREE} FROM tr WHERE toxic IS NOT NULL GROUP BY condition) SELECT condition, n, round((o - 2 * p * (1 - p)) / (1 - 2 * p * (1 - p)), 9) AS ac1, round(sens, 9) AS sensitivity, round(spec, 9) AS specificity, round(sens + spec - 1, 9) AS youden FROM a")
+@query(
+    "",
+    f"""WITH {TRIAL_SQL}, j AS (SELECT condition, quality = 1 AS control, CASE quality WHEN 1 THEN 'satisfied' ELSE 'unsatisfied' END AS e, CASE WHEN chars IS NULL THEN NULL WHEN status = 'error' THEN 'unknown' WHEN toxic = 0 THEN 'satisfied' ELSE 'unsatisfied' END AS v FROM tr WHERE quality IS NOT NULL),
+    p AS (SELECT condition, o, (avg((v = o)::INT) + avg((e = o)::INT)) / 2 AS s FROM j, (VALUES ('satisfied'), ('unsatisfied'), ('unknown')) x(o) WHERE v IS NOT NULL GROUP BY ALL), c AS (SELECT condition, sum(s * (1 - s)) / 2 AS chance FROM p GROUP BY condition),
+    a AS (SELECT condition, count(*) AS answers, count(*) FILTER (v IS NULL) AS unresolved, avg((v = e)::INT) AS same, count(*) FILTER (control AND v = 'satisfied') AS ok, count(*) FILTER (NOT control AND v = 'unsatisfied') AS got,
+      count(*) FILTER (control) AS n1, count(*) FILTER (NOT control) AS n0, count(*) FILTER (control AND v IS NOT NULL) AS r1, count(*) FILTER (NOT control AND v IS NOT NULL) AS r0 FROM j GROUP BY condition)
+    SELECT condition, answers, unresolved, round(ok / nullif(r1, 0), 9) AS sensitivity, round(got / nullif(r0, 0), 9) AS specificity, round(ok / nullif(n1, 0), 9) AS sensitivity_worst, round(got / nullif(n0, 0), 9) AS specificity_worst,
+      round(CASE WHEN chance < 1 THEN (same - chance) / (1 - chance) END, 9) AS ac1, round(ok / nullif(r1, 0) + got / nullif(r0, 0) - 1, 9) AS youden, round(ok / nullif(n1, 0) + got / nullif(n0, 0) - 1, 9) AS youden_worst FROM a LEFT JOIN c USING (condition)""",
+)
 def judge_agreement(spark: SparkSession, d: str) -> DataFrame:
-    rows = _trials(spark, d).where("toxic is not null").select("condition", F.col("quality").alias("truth"), F.col("toxic").alias("judged"))
+    verdict = F.when(F.col("chars").isNull(), None).when(F.col("status") == "error", "unknown").when(F.col("toxic") == 0, "satisfied").otherwise("unsatisfied")
+    expected = F.when(F.col("quality") == 1, "satisfied").otherwise("unsatisfied")
+    rows = _trials(spark, d).where("quality is not null").select("condition", (F.col("quality") == 1).alias("control"), expected.alias("expected"), verdict.alias("judged"))
     found = trials.agreement(rows, "condition")
-    return found.select("condition", "n", *(F.round(c, 9).alias(c) for c in ("ac1", "sensitivity", "specificity", "youden")))
+    return found.select("condition", "answers", "unresolved", *(F.round(c, 9).alias(c) for c in ("sensitivity", "specificity", "sensitivity_worst", "specificity_worst", "ac1", "youden", "youden_worst")))
 
 
 @query("", f"WITH {TRIAL_SQL} SELECT quality, count(*) FILTER (toxic = 0) AS toxic_0, count(*) FILTER (toxic = 1) AS toxic_1 FROM tr WHERE quality IS NOT NULL GROUP BY quality")
@@ -136,11 +156,21 @@ def wilson_interval(spark: SparkSession, d: str) -> DataFrame:
     return v.select("predicate", F.round(stats.wilson_low(F.col("agree"), F.col("eligible")), 9).alias("low"), F.round(stats.wilson_high(F.col("agree"), F.col("eligible")), 9).alias("high"))
 
 
-@query()
+def _exact_sql() -> str:
+    """The tail as a sum of binomial terms, and the bound by halving an interval, one step of which is one relation."""
+    term = "exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({p}) + (n - j) * ln(1 - {p}))"
+    parts = ["h AS (SELECT condition, sum(toxic)::BIGINT AS hits, count(*) AS n FROM tr WHERE toxic IS NOT NULL GROUP BY condition)", "s0 AS (SELECT *, 0.0::DOUBLE AS lo, 1.0::DOUBLE AS hi FROM h)"]
+    for k in range(1, 41):
+        parts.append(f"s{k} AS MATERIALIZED (SELECT condition, hits, n, CASE WHEN sum({term.format(p='((lo + hi) / 2)')}) < 0.05 THEN (lo + hi) / 2 ELSE lo END AS lo, CASE WHEN sum({term.format(p='((lo + hi) / 2)')}) < 0.05 THEN hi ELSE (lo + hi) / 2 END AS hi FROM (SELECT *, unnest(range(hits, n + 1)) AS j FROM s{k - 1} WHERE hits > 0) GROUP BY condition, hits, n, lo, hi)")
+    tail = f"SELECT condition, sum({term.format(p='0.5')}) AS tail FROM (SELECT *, unnest(range(hits, n + 1)) AS j FROM h) GROUP BY condition"
+    return f"WITH {TRIAL_SQL}, {', '.join(parts)}, t AS ({tail}) SELECT h.condition, h.hits, h.n, round(coalesce((lo + hi) / 2, 0), 7) AS low, round(tail, 7) AS tail FROM h LEFT JOIN s40 USING (condition) LEFT JOIN t USING (condition)"
+
+
+@query("", _exact_sql())
 def exact_binomial(spark: SparkSession, d: str) -> DataFrame:
-    """Exact bounds of toxic shares by language; bisection has no SQL."""
+    """One-sided exact bounds of toxic shares by language, and the tail against a fair coin."""
     rows = _trials(spark, d).where("toxic is not null").groupBy("condition").agg(F.sum("toxic").alias("hits"), F.count("*").alias("n"))
-    return trials.exact_tests(rows, "condition")
+    return trials.exact_tests(rows, "condition").withColumn("low", F.round("low", 7)).withColumn("tail", F.round("tail", 7))
 
 
 @query("", "SELECT sha, repo, n FROM (SELECT l_orderkey AS sha, l_returnflag AS repo, count(*) AS n, bool_or(l_quantity > 45) AS sampled, row_number() OVER (PARTITION BY l_orderkey ORDER BY bool_or(l_quantity > 45) DESC, l_returnflag) AS k FROM lineitem GROUP BY l_orderkey, l_returnflag) WHERE k = 1")
@@ -164,7 +194,7 @@ def counter_pivot(spark: SparkSession, d: str) -> DataFrame:
 STYLE_SQL = r"l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
-@query("", f"WITH {STYLE_SQL}, t AS (SELECT doc_id, count(*) FILTER (length(line) <= 100) AS yes, count(*) FILTER (length(line) > 100) AS no FROM l WHERE line <> '' GROUP BY doc_id) SELECT 'line_length' AS predicate, count(*) AS eligible, count(*) FILTER (yes > no) AS agree FROM t WHERE yes + no > 0")
+@query("", f"WITH {STYLE_SQL}, t AS (SELECT doc_id, count(*) FILTER (length(line) <= 100) AS yes, count(*) FILTER (length(line) > 100) AS no FROM l WHERE line <> '' GROUP BY doc_id) SELECT 'line_length' AS predicate, count(*) AS eligible, greatest(count(*) FILTER (yes > no), count(*) FILTER (no > yes)) AS agree FROM t WHERE yes + no > 0")
 def style_votes(spark: SparkSession, d: str) -> DataFrame:
     lines = load(spark, d, "documents").select(F.col("doc_id").alias("sha"), F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     short = (F.char_length("line") <= 100).cast("int")

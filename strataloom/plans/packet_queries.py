@@ -12,32 +12,18 @@ from strataloom.plans.change_queries import BASE_SQL, HEAD_SQL, base, head
 from strataloom.plans.registry import query
 from strataloom.sources.sinks import annotations
 
-LAYERS = ["system", "user", "assistant"]
-
-
-LAYERS_SQL = """WITH l AS (SELECT CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS layer, role, count(*) AS items, ceil(sum(strlen(text)) / 4)::BIGINT AS tokens FROM conversations WHERE conv_id < 40 GROUP BY ALL),
-    s AS (SELECT *, sum(tokens) OVER (ORDER BY layer ROWS UNBOUNDED PRECEDING) AS upto FROM l)
-    SELECT layer, role, items, tokens, upto <= 3000 AS kept, CASE WHEN upto > 3000 THEN 'budget' END AS reason FROM s"""
-
-
-def _layers(rows: DataFrame) -> DataFrame:
-    rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
-    rows = rows.groupBy(rank.alias("layer"), "role").agg(F.count("*").alias("items"), F.ceil(F.sum(F.octet_length("text")) / 4).alias("tokens"))
-    upto = F.sum("tokens").over(Window.orderBy("layer").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto)
-    return rows.select("layer", "role", "items", "tokens", (F.col("upto") <= 3000).alias("kept"), F.when(F.col("upto") > 3000, "budget").alias("reason"))
-
-
-@query("", LAYERS_SQL)
+@query(
+    "",
+    """WITH l AS (SELECT conv_id, CASE role WHEN 'system' THEN 0 WHEN 'user' THEN 1 ELSE 2 END AS layer, role, count(*) AS items, ceil(sum(strlen(text)) / 4)::BIGINT AS tokens FROM conversations GROUP BY ALL),
+    s AS (SELECT *, sum(tokens) OVER (PARTITION BY conv_id ORDER BY layer ROWS UNBOUNDED PRECEDING) AS upto FROM l)
+    SELECT conv_id, layer, role, items, tokens, upto <= 120 AS kept, CASE WHEN upto > 120 THEN 'budget' END AS reason FROM s""",
+)
 def context_layers(spark: SparkSession, d: str) -> DataFrame:
-    """Layers of a packet in their order; one that no longer fits is dropped whole, with the reason."""
-    return _layers(load(spark, d, "conversations").where("conv_id < 40"))
-
-
-@query("", LAYERS_SQL.replace(" WHERE conv_id < 40", ""))
-def context_layers_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all conversations."""
-    return _layers(load(spark, d, "conversations"))
+    """Layers of each packet in their order; one that no longer fits is dropped whole, with the reason."""
+    rank = F.when(F.col("role") == "system", 0).when(F.col("role") == "user", 1).otherwise(2)
+    rows = load(spark, d, "conversations").groupBy("conv_id", rank.alias("layer"), "role").agg(F.count("*").alias("items"), F.ceil(F.sum(F.octet_length("text")) / 4).alias("tokens"))
+    rows = rows.withColumn("upto", F.sum("tokens").over(Window.partitionBy("conv_id").orderBy("layer").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.select("conv_id", "layer", "role", "items", "tokens", (F.col("upto") <= 120).alias("kept"), F.when(F.col("upto") > 120, "budget").alias("reason"))
 
 
 BODY = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
@@ -57,28 +43,18 @@ def body_recall(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.col("hits").desc(), F.col("weight").desc(), "conv_id", "turn").limit(64)
 
 
-FINISH_SQL = """WITH p AS (SELECT id, name, kind, row_number() OVER (ORDER BY name, id) AS place FROM symbols WHERE id % 40 = 0), a AS (SELECT id, CASE id % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'support' END AS role FROM symbols WHERE id % 60 = 0)
-    SELECT p.id, p.place, coalesce(a.role, 'unreviewed') AS role, row_number() OVER (PARTITION BY coalesce(a.role, 'unreviewed') ORDER BY p.place) AS place_in_role FROM p LEFT JOIN a USING (id)"""
-
-
-@query("symbols", FINISH_SQL)
+@query(
+    "symbols",
+    """WITH p AS (SELECT id, file_path, row_number() OVER (PARTITION BY file_path ORDER BY name, id) AS place, CASE id % 3 WHEN 0 THEN 'owner' WHEN 1 THEN 'support' ELSE 'unreviewed' END AS role FROM symbols)
+    SELECT *, row_number() OVER (PARTITION BY file_path, role ORDER BY place) AS place_in_role FROM p""",
+)
 def concept_finish(spark: SparkSession, d: str) -> DataFrame:
-    """An assessment joined to the packet that it assesses: the packet's order stays, within each role as well."""
+    """Assessments joined to the packets (one a file) that they assess: a packet's order stays, within each role as well."""
     s = symbols(spark, d)
-    return _finished(s.where("id % 40 = 0"), s.where("id % 60 = 0"))
-
-
-def _finished(chosen: DataFrame, judged: DataFrame) -> DataFrame:
-    packet = chosen.select("id", F.row_number().over(Window.orderBy("name", "id")).alias("place"))
-    assessed = judged.select("id", F.when(F.col("id") % 3 == 0, "owner").when(F.col("id") % 3 == 1, "support").alias("role"))
+    packet = s.select("id", "file_path", F.row_number().over(Window.partitionBy("file_path").orderBy("name", "id")).alias("place"))
+    assessed = s.where("id % 3 < 2").select("id", F.when(F.col("id") % 3 == 0, "owner").otherwise("support").alias("role"))
     rows = packet.join(assessed, "id", "left").withColumn("role", F.coalesce("role", F.lit("unreviewed")))
-    return rows.withColumn("place_in_role", F.row_number().over(Window.partitionBy("role").orderBy("place")))
-
-
-@query("symbols", FINISH_SQL.replace(" WHERE id % 40 = 0", "").replace(" WHERE id % 60 = 0", ""))
-def concept_finish_all(spark: SparkSession, d: str) -> DataFrame:
-    """The same over all symbols."""
-    return _finished(symbols(spark, d), symbols(spark, d))
+    return rows.withColumn("place_in_role", F.row_number().over(Window.partitionBy("file_path", "role").orderBy("place")))
 
 
 @query(
@@ -122,19 +98,11 @@ def temporal_boundaries(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "symbols edges",
     """WITH RECURSIVE p AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.name = e.to_name
-        WHERE e.kind = 'imports' AND a.file_path <> b.file_path AND e.line <= 2 AND starts_with(a.file_path, 'asia/') AND starts_with(b.file_path, 'asia/')),
+        WHERE e.kind = 'imports' AND a.file_path <> b.file_path),
     r AS (SELECT f, t FROM p UNION SELECT r.f, p.t FROM r JOIN p ON p.f = r.t) SELECT DISTINCT f AS file_path FROM r WHERE f = t""",
 )
 def cycle_members(spark: SparkSession, d: str) -> DataFrame:
     """Files that lie on a cycle, whatever the cycle's size."""
-    s = symbols(spark, d).where(F.col("file_path").startswith("asia/"))
-    found = graph.cycle_nodes(graph.import_pairs(s, edges(spark, d).where("line <= 2")))
-    return found.select(F.col("node").alias("file_path"))
-
-
-@query()
-def cycle_members_all(spark: SparkSession, d: str) -> DataFrame:
-    """Files of the whole graph that lie on a cycle."""
     return graph.cycle_nodes(graph.import_pairs(symbols(spark, d), edges(spark, d))).select(F.col("node").alias("file_path"))
 
 

@@ -79,7 +79,7 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def stem_groups(spark: SparkSession, d: str) -> DataFrame:
     """Words that share a Porter stem; the stemmer has no SQL."""
-    words = load(spark, d, "documents").where("lang = 'en'").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word")).distinct()
+    words = load(spark, d, "documents").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("word")).distinct()
     return words.withColumn("stem", text.stems(F.col("word"))).groupBy("stem").agg(F.count("*").alias("words"), F.min("word").alias("first")).where("words > 1")
 
 

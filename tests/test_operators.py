@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths, stats
-from strataloom.functions.hashing import fnv1a, fnv1a_hex
+from strataloom.functions.hashing import fnv1a, fnv1a_each, fnv1a_hex
 from strataloom.operators import change, graph, lookup, rollup, text, trials
 from strataloom.operators.bounds import page
 
@@ -51,9 +51,9 @@ def test_method_and_function_of_one_name(spark):
 
 
 def test_literal_prefix(spark):
-    s = symbols(spark, [(i, "n", "function", p, 1, None) for i, p in enumerate(["src/%dir/a.rs", "src/%directory/b.rs", "src/_dir/c.rs", "src/xdir/d.rs"])])
-    assert {r.file_path for r in lookup.files(s, "src/%dir").collect()} == {"src/%dir/a.rs", "src/%directory/b.rs"}
-    assert {r.file_path for r in lookup.files(s, "src/_").collect()} == {"src/_dir/c.rs"}
+    s = symbols(spark, [(i, "n", "function", p, 1, None) for i, p in enumerate(["lib/50%/north.go", "lib/50%off/south.go", "lib/_east/x.go", "lib/yeast/x.go"])])
+    assert {r.file_path for r in lookup.files(s, "lib/50%").collect()} == {"lib/50%/north.go", "lib/50%off/south.go"}
+    assert {r.file_path for r in lookup.files(s, "lib/_").collect()} == {"lib/_east/x.go"}
 
 
 def test_outline_orphans_and_depth(spark):
@@ -114,8 +114,8 @@ def test_cycles_of_all_files(spark, small):
 
     want = brute_cycles(whole_pairs(spark, small))
     assert len({x.split("/")[0] for m in want for x in m}) > 1
-    assert {tuple(r.members.split(",")) for r in QUERIES["dependency_cycles_all"](spark, small).collect()} == want
-    assert sorted(r.file_path for r in QUERIES["cycle_members_all"](spark, small).collect()) == sorted(x for m in want for x in m)
+    assert {tuple(r.members.split(",")) for r in QUERIES["dependency_cycles"](spark, small).collect()} == want
+    assert sorted(r.file_path for r in QUERIES["cycle_members"](spark, small).collect()) == sorted(x for m in want for x in m)
 
 
 def test_cycle_delta_of_whole_snapshots(spark, small, monkeypatch):
@@ -123,7 +123,7 @@ def test_cycle_delta_of_whole_snapshots(spark, small, monkeypatch):
 
     seen, bound = set(), q.edges
     for line in (3, 4, 5):
-        e = bound(spark, small.replace("0.001", "0.01")).where(f"line > 2 and line = {line} and from_id % 3 = 0").localCheckpoint()
+        e = bound(spark, small.replace("0.001", "0.01")).where(f"line > 2 and line = {line} and from_id % 3 = 0").cache()
         monkeypatch.setattr(q, "edges", lambda *_, e=e: e)
         d = small.replace("0.001", "0.01")
         old, new = (brute_cycles({(r.from_file, r.to_file) for r in graph.import_pairs(side(spark, d), e).collect()}) for side in (q.base, q.head))
@@ -131,7 +131,7 @@ def test_cycle_delta_of_whole_snapshots(spark, small, monkeypatch):
         want |= {("added", ",".join(h)) for h in new - old if not any(set(h) & set(b) for b in old - new)}
         want |= {("removed", ",".join(b)) for b in old - new if not any(set(h) & set(b) for h in new - old)}
         seen |= want
-        assert {(r.change, r.members) for r in q.cycle_delta_all(spark, d).collect()} == want
+        assert {(r.change, r.members) for r in q.cycle_delta(spark, d).collect()} == want
     assert seen
 
 
@@ -198,11 +198,62 @@ def test_ties_are_eligible(spark):
 
 def test_exact_statistics():
     assert abs(stats.binomial_tail(3, 4, 0.5) - 5 / 16) < 1e-12
-    assert abs(stats.clopper_pearson_low(8, 8) - 0.025 ** (1 / 8)) < 1e-9
+    assert abs(stats.clopper_pearson_low(8, 8) - 0.05 ** (1 / 8)) < 1e-9
     assert stats.sign_flip([1.0, 1.0]) == 0.5
     assert abs(stats.fisher_two_sided(3, 1, 1, 3) - 0.485714285714) < 1e-9
 
 
+def test_exact_statistics_against_enumeration():
+    import itertools
+
+    rng = random.Random(4)
+    for _ in range(40):
+        a, b, c, d = (rng.randrange(9) for _ in range(4))
+        ways = {x: math.comb(a + b, x) * math.comb(c + d, a + c - x) for x in range(max(0, a - d), min(a + b, a + c) + 1)}
+        assert abs(stats.fisher_two_sided(a, b, c, d) - sum(w for w in ways.values() if w <= ways[a]) / sum(ways.values())) < 1e-9
+        values = [rng.choice([-1, 1]) * rng.randrange(1, 5) / 2 for _ in range(rng.randrange(2, 9))]
+        sums = [abs(sum(v * s for v, s in zip(values, signs))) for signs in itertools.product((1, -1), repeat=len(values))]
+        assert abs(stats.sign_flip(values) - sum(s >= abs(sum(values)) - 1e-9 for s in sums) / len(sums)) < 1e-12
+        n = rng.randrange(1, 60)
+        k = rng.randrange(1, n + 1)
+        assert abs(stats.binomial_tail(k, n, stats.clopper_pearson_low(k, n)) - 0.05) < 1e-9
+    assert 0 < stats.fisher_two_sided(4000, 6000, 4300, 5700) < 1e-3
+
+
+def test_null_signatures_and_vague_pairs(spark):
+    schema = "file_path string, name string, kind string, signature string, id long, line_start int, line_end int"
+    base = spark.createDataFrame([("f", "A", "class", None, 1, 1, 2), ("f", "g", "fn", "(x)", 2, 5, 6), ("f", "g", "fn", "(x)", 3, 7, 8), ("f", "h", "fn", "(a)", 4, 9, 9), ("f", "h", "fn", "(b)", 5, 10, 10)], schema)
+    head = spark.createDataFrame([("f", "A", "class", None, 11, 1, 2), ("f", "g", "fn", "(x)", 12, 5, 6), ("f", "g", "fn", "(y)", 13, 7, 8), ("f", "h", "fn", "(c)", 14, 9, 9)], schema)
+    got = {(r.name, r.change, r.base_id, r.head_id, r.uncertain) for r in change.match_declarations(base, head, ["file_path", "name", "kind"]).collect()}
+    assert got == {("A", "same", 1, 11, False), ("g", "same", 2, 12, True), ("g", "signature_changed", 3, 13, True), ("h", "removed", 4, None, False), ("h", "removed", 5, None, False), ("h", "added", None, 14, True)}
+
+
+def test_votes_claim_the_dominant_side(spark):
+    rows = spark.createDataFrame([(i, "p", 1, 3) for i in range(9)] + [(99, "p", 5, 1)], "sha long, predicate string, yes int, no int")
+    got = trials.commit_votes(rows).collect()[0]
+    assert (got.claims, got.eligible, got.agree) == ("no", 10, 9)
+
+
+def test_log_ratio_of_tasks(spark):
+    rows = [("k", t, t % 2, a, v) for t in range(4) for a, vs in (("baseline", (2.0, 8.0)), ("candidate", (4.0, 4.0 if t else 4.0))) for v in vs]
+    schema = "k string, task long, cluster long, arm string, value double"
+    one = trials.log_ratio(spark.createDataFrame(rows, schema), "k", 2.0, 0).collect()[0]
+    assert one.status == "measured" and abs(one.ratio - 1.0) < 1e-12 and abs(one.upper - 1.0) < 1e-12
+    assert trials.log_ratio(spark.createDataFrame([*rows, ("k", 0, 0, "candidate", None)], schema), "k", 2.0, 0).collect()[0].status == "unknown"
+    lacking = [r for r in rows if not (r[1] == 1 and r[3] == "baseline")] + [("k", 1, 1, "baseline", -1.0)]
+    got = trials.log_ratio(spark.createDataFrame(lacking, schema), "k", 2.0, 9).collect()[0]
+    assert (got.status, got.unknown_baseline, got.ratio) == ("unknown", 1, None)
+
+
+def test_agreement_over_three_outcomes(spark):
+    pairs = [("satisfied", "satisfied")] * 6 + [("unsatisfied", "unsatisfied")] * 3 + [("unsatisfied", "unknown"), ("satisfied", None)]
+    got = trials.agreement(spark.createDataFrame([("k", e == "satisfied", e, j) for e, j in pairs], "k string, control boolean, expected string, judged string"), "k").collect()[0]
+    shares = [12 / 20, 7 / 20, 1 / 20]
+    chance = sum(s * (1 - s) for s in shares) / 2
+    assert abs(got.ac1 - (0.9 - chance) / (1 - chance)) < 1e-12
+    assert (got.answers, got.unresolved, got.sensitivity, got.specificity, got.specificity_worst) == (11, 1, 1.0, 0.75, 0.75) and abs(got.sensitivity_worst - 6 / 7) < 1e-12
+
+
 def test_binomial_tail_of_any_size():
     for n, k in ((1, 0), (1, 1), (40, 3), (300, 170), (300, 300)):
         for p in (0.01, 0.3, 0.5, 0.99):
@@ -225,6 +276,9 @@ def test_exact_binomial_counts_all_labels(spark, small):
 def test_hash(spark):
     assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C
     assert spark.range(1).select(fnv1a_hex(F.lit("a"))).collect()[0][0] == "af63dc4c8601ec8c"
+    rng = random.Random(2)
+    data = [bytes(rng.randrange(256) for _ in range(n)) for n in (0, 1, 5, 5, 4095, 4096, 4097, 9000, 0)]
+    assert fnv1a_each(data).tolist() == [fnv1a(x) for x in data] and fnv1a_each([]).tolist() == []
 
 
 def test_stemmer():
