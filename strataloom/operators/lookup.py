@@ -11,6 +11,8 @@ from strataloom.plans.bind import compatible
 
 # Seconds of each unit.
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400}
+#: Rows of a search's page, and raw rows that partial declarations are grouped from at most.
+SEARCH_TOP, RAW_WORK_LIMIT = 100, 500
 #: Deepest level of an outline.
 MAX_DEPTH = 64
 
@@ -29,6 +31,23 @@ def search(symbols: DataFrame, name: str, kind: str | None = None, language: str
     return out.where(F.col("language") == language) if language else out
 
 
+def search_grouped(symbols: DataFrame, name: str, top: int = SEARCH_TOP, raw_limit: int = RAW_WORK_LIMIT) -> DataFrame:
+    """A search whose partial declarations count as one, grouped from the first ``raw_limit`` raw rows by place.
+
+    Each row tells how many raw rows there are and were looked at. Where not all were, groups may be incomplete, so
+    neither the total nor the number of a group's locations is known.
+    """
+    raw = search(symbols, name)
+    total = raw.count()
+    whole = total <= raw_limit
+    rows = collapse_partial(raw.orderBy("file_path", "line_start", "id").limit(raw_limit))
+    groups = rows.count()
+    reason = "raw_work_limit" if not whole else "top" if groups > top else None
+    first = rows.orderBy("file_path", "line_start", "id").limit(top).withColumn("locations", F.when(F.lit(whole), F.col("locations")))
+    extra = {"raw_candidate_total": total, "raw_candidates_examined": min(total, raw_limit), "total": groups if whole else None, "returned": min(groups, top)}
+    return first.select("*", *(F.lit(v).cast("long").alias(k) for k, v in extra.items()), F.lit(not whole or groups > top).alias("truncated"), F.lit(reason).cast("string").alias("truncation_reason"))
+
+
 def search_batch(symbols: DataFrame, names: list[str]) -> DataFrame:
     """The definitions of one to eight distinct names, with each name's place in the request."""
     if not 1 <= len(names) <= 8 or len(set(names)) != len(names):

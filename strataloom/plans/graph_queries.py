@@ -11,7 +11,7 @@ from strataloom.functions import paths
 from strataloom.operators import graph, lookup
 from strataloom.operators.bounds import page
 from strataloom.plans.bind import edges, load, resolved, spans, suppliers, symbols
-from strataloom.plans.registry import query
+from strataloom.plans.registry import paged, query
 
 AS_OF = "2024-01-31 00:00:00"
 PLACE = ("file_path", "line_start", "id")
@@ -26,9 +26,24 @@ FIRST = "(SELECT min(to_name) FROM edges WHERE kind = 'calls')"
 OK = "(e.target_kind IS NULL OR e.target_kind = 'scoped' OR (e.target_kind = 'function' AND t.kind <> 'method') OR (e.target_kind = 'method' AND t.kind = 'method'))"
 
 
-@query("symbols edges", f"SELECT id, name, kind, file_path, line_start FROM symbols WHERE name = {FIRST}")
+@query("symbols edges", paged(f"SELECT id, name, kind, file_path, line_start FROM symbols WHERE name = {FIRST}", 100, "file_path, line_start, id"))
 def search(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.search(symbols(spark, d), first_called(spark, d)).select("id", "name", "kind", "file_path", "line_start")
+    return page(lookup.search(symbols(spark, d), first_called(spark, d)).select("id", "name", "kind", "file_path", "line_start"), lookup.SEARCH_TOP, *PLACE)
+
+
+@query(
+    "symbols",
+    """WITH n AS (SELECT name FROM symbols WHERE coalesce(contains(decorators, ',partial,'), false) GROUP BY name ORDER BY count(*) DESC, name LIMIT 1), raw AS (SELECT * FROM symbols WHERE name = (SELECT name FROM n)),
+    p AS (SELECT *, coalesce(contains(decorators, ',partial,'), false) AS part, CASE WHEN part THEN regexp_replace(file_path, '/[^/]*$', '') ELSE id::VARCHAR END AS scope FROM raw),
+    g AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY name, kind, part, scope) AS locations FROM p WINDOW w AS (PARTITION BY name, kind, part, scope ORDER BY file_path, line_start, id)), r AS (SELECT * FROM g WHERE k = 1)
+    SELECT name, kind, file_path, line_start, id, locations, (SELECT count(*) FROM raw) AS raw_candidate_total, (SELECT count(*) FROM raw) AS raw_candidates_examined, (SELECT count(*) FROM r) AS total,
+      (SELECT count(*) FROM r) AS returned, false AS truncated, NULL::VARCHAR AS truncation_reason FROM r""",
+)
+def search_grouped(spark: SparkSession, d: str) -> DataFrame:
+    """The name with the most partial declarations, each folder's as one."""
+    s = symbols(spark, d)
+    name = s.where("decorators like '%,partial,%'").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "name").limit(1).collect()[0]["name"]
+    return lookup.search_grouped(s, name)
 
 
 @query("symbols", "SELECT CASE name WHEN (SELECT min(name) FROM symbols) THEN 0 ELSE 1 END AS ordinal, id, name, file_path FROM symbols WHERE name IN ((SELECT min(name) FROM symbols), (SELECT max(name) FROM symbols))")
@@ -63,14 +78,18 @@ def callers(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "symbols edges",
-    """WITH one AS (SELECT min(s.name) AS name FROM symbols s JOIN edges e ON e.from_id = s.id AND e.kind = 'calls' WHERE s.name IN (SELECT name FROM symbols GROUP BY name HAVING count(*) = 1))
+    paged(
+        """WITH one AS (SELECT min(s.name) AS name FROM symbols s JOIN edges e ON e.from_id = s.id AND e.kind = 'calls' WHERE s.name IN (SELECT name FROM symbols GROUP BY name HAVING count(*) = 1))
     SELECT DISTINCT e.to_name, e.line FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'calls' AND s.name = (SELECT name FROM one)""",
+        5,
+        "line, to_name",
+    ),
 )
 def callees(spark: SparkSession, d: str) -> DataFrame:
     s, e = symbols(spark, d), edges(spark, d)
     single = s.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
     name = single.join(e.where("kind = 'calls'"), F.col("id") == F.col("from_id"), "left_semi").agg(F.min("name")).collect()[0][0]
-    return lookup.callees(s, e, name)
+    return page(lookup.callees(s, e, name), 5, "line", "to_name")
 
 
 @query(
@@ -85,9 +104,9 @@ def explain(spark: SparkSession, d: str) -> DataFrame:
     return lookup.explain(symbols(spark, d), edges(spark, d))
 
 
-@query("symbols", "SELECT file_path, language, count(*) AS symbol_count FROM symbols WHERE starts_with(file_path, 'asia/') AND language = 'rust' GROUP BY ALL")
+@query("symbols", paged("SELECT file_path, language, count(*) AS symbol_count FROM symbols WHERE starts_with(file_path, 'asia/') AND language = 'rust' GROUP BY ALL", 3, "file_path"))
 def files(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.files(symbols(spark, d), "asia/", "rust")
+    return page(lookup.files(symbols(spark, d), "asia/", "rust"), 3, "file_path")
 
 
 @query("symbols", "SELECT id, name, kind, line_start FROM symbols WHERE file_path = (SELECT min(file_path) FROM symbols) ORDER BY line_start, id LIMIT 200")
@@ -110,22 +129,22 @@ def outline(spark: SparkSession, d: str) -> DataFrame:
     return lookup.outline(symbols(spark, d)).withColumn("place", F.array_join(F.transform("place", step), "/"))
 
 
-@query("symbols edges", "SELECT DISTINCT e.to_name AS name, e.line FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'imports' AND s.file_path = (SELECT min(file_path) FROM symbols)")
+@query("symbols edges", paged("SELECT DISTINCT e.to_name AS name, e.line FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'imports' AND s.file_path = (SELECT min(file_path) FROM symbols)", 20, "name, line"))
 def imports(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d)
-    return lookup.imports(s, edges(spark, d), s.agg(F.min("file_path")).collect()[0][0])
+    return page(lookup.imports(s, edges(spark, d), s.agg(F.min("file_path")).collect()[0][0]), 20, "name", "line")
 
 
-@query("symbols edges", "SELECT DISTINCT s.file_path FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'imports' AND e.to_name = (SELECT min(to_name) FROM edges WHERE kind = 'imports')")
+@query("symbols edges", paged("SELECT DISTINCT s.file_path FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind = 'imports' AND e.to_name = (SELECT min(to_name) FROM edges WHERE kind = 'imports')", 5, "file_path"))
 def imported_by(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
-    return lookup.imported_by(symbols(spark, d), e, e.where("kind = 'imports'").agg(F.min("to_name")).collect()[0][0])
+    return page(lookup.imported_by(symbols(spark, d), e, e.where("kind = 'imports'").agg(F.min("to_name")).collect()[0][0]), 5, "file_path")
 
 
-@query("spans", f"SELECT file_path, mtime FROM (SELECT file_path, max(ts) AS mtime FROM spans GROUP BY file_path) WHERE mtime BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY AND TIMESTAMP '{AS_OF}'")
+@query("spans", paged(f"SELECT file_path, mtime FROM (SELECT file_path, max(ts) AS mtime FROM spans GROUP BY file_path) WHERE mtime BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL 10 DAY AND TIMESTAMP '{AS_OF}'", 10, "mtime DESC, file_path"))
 def recent_changes(spark: SparkSession, d: str) -> DataFrame:
     seen = spans(spark, d).groupBy("file_path").agg(F.max("ts").alias("mtime"))
-    return lookup.recent_changes(seen, datetime.datetime.fromisoformat(AS_OF), "10d")
+    return page(lookup.recent_changes(seen, datetime.datetime.fromisoformat(AS_OF), "10d"), 10, F.col("mtime").desc(), "file_path")
 
 
 @query("", "SELECT conv_id, turn, role, text FROM conversations WHERE turn >= 1 AND role = 'user' ORDER BY turn DESC, conv_id LIMIT 20")
@@ -241,12 +260,12 @@ BFS = """WITH RECURSIVE st AS (SELECT DISTINCT from_id, to_id FROM resolved WHER
     m AS (SELECT seed, id, min(depth) AS depth FROM w GROUP BY seed, id)"""
 
 
-@query("symbols resolved", BFS.format(seeds=f"name = {FIRST}") + " SELECT s.id, s.name, s.file_path, min(depth) AS depth FROM m JOIN symbols s USING (id) WHERE s.name <> (SELECT min(to_name) FROM edges WHERE kind = 'calls') GROUP BY ALL")
+@query("symbols resolved", paged(BFS.format(seeds=f"name = {FIRST}") + " SELECT s.id, s.name, s.file_path, min(depth) AS depth FROM m JOIN symbols s USING (id) WHERE s.name <> (SELECT min(to_name) FROM edges WHERE kind = 'calls') GROUP BY ALL", 5000, "depth, file_path, id"))
 def impact(spark: SparkSession, d: str) -> DataFrame:
     s, name = symbols(spark, d), first_called(spark, d)
     seeds = s.where(F.col("name") == name).select(F.col("id").alias("seed"), "id")
     found = graph.impact(s, edges(spark, d), seeds).groupBy("id").agg(F.min("depth").alias("depth"))
-    return s.where(F.col("name") != name).join(found, "id").select("id", "name", "file_path", "depth")
+    return page(s.where(F.col("name") != name).join(found, "id").select("id", "name", "file_path", "depth"), graph.IMPACT_CAP, "depth", "file_path", "id")
 
 
 @query("symbols resolved", BFS.format(seeds="true") + " SELECT seed, id, depth FROM m WHERE depth > 0")
@@ -281,9 +300,9 @@ def cycle_work_limit(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n if n <= 1000 else None, "graph_work_limit" if n > 1000 else None)], "total long, truncation_reason string")
 
 
-@query("symbols resolved", "SELECT s.id, s.name, s.kind, s.file_path, s.line_start, c.in_degree FROM (SELECT to_id, count(DISTINCT from_id) AS in_degree FROM resolved WHERE kind = 'calls' GROUP BY to_id) c JOIN symbols s ON s.id = c.to_id ORDER BY in_degree DESC, file_path, line_start, name, id LIMIT 20")
+@query("symbols resolved", paged("SELECT s.id, s.name, s.kind, s.file_path, s.line_start, c.in_degree FROM (SELECT to_id, count(DISTINCT from_id) AS in_degree FROM resolved WHERE kind = 'calls' GROUP BY to_id) c JOIN symbols s ON s.id = c.to_id", 20, "in_degree DESC, file_path, line_start, name, id"))
 def centrality(spark: SparkSession, d: str) -> DataFrame:
-    return graph.in_degrees(symbols(spark, d), edges(spark, d)).orderBy(F.col("in_degree").desc(), "file_path", "line_start", "name", "id").limit(20)
+    return page(graph.in_degrees(symbols(spark, d), edges(spark, d)), 20, F.col("in_degree").desc(), "file_path", "line_start", "name", "id")
 
 
 @query("resolved", "SELECT to_file AS file_path, count(DISTINCT from_id) AS in_degree FROM resolved WHERE kind = 'calls' GROUP BY to_file")
@@ -293,20 +312,28 @@ def file_in_degrees(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "symbols edges",
-    f"""SELECT t.id, t.name, t.kind, t.file_path FROM symbols t WHERE t.kind <> 'constant' AND t.name <> 'main' AND NOT starts_with(t.name, 'test_') AND NOT coalesce(contains(t.decorators, ',route,'), false)
+    paged(
+        f"""SELECT t.id, t.name, t.kind, t.file_path FROM symbols t WHERE t.kind <> 'constant' AND t.name <> 'main' AND NOT starts_with(t.name, 'test_') AND NOT coalesce(contains(t.decorators, ',route,'), false)
     AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'calls' AND e.to_name = t.name AND {OK})""",
+        100,
+        "file_path, id",
+    ),
 )
 def unreferenced(spark: SparkSession, d: str) -> DataFrame:
-    return graph.unreferenced(symbols(spark, d), edges(spark, d).where("kind = 'calls'")).select("id", "name", "kind", "file_path")
+    return page(graph.unreferenced(symbols(spark, d), edges(spark, d).where("kind = 'calls'")).select("id", "name", "kind", "file_path"), 100, "file_path", "id")
 
 
 @query(
     "symbols resolved",
-    """SELECT s.id, s.name, s.file_path, s.line_start, count(DISTINCT r.from_id) AS users FROM resolved r JOIN symbols s ON s.id = r.to_id JOIN symbols f ON f.id = r.from_id
+    paged(
+        """SELECT s.id, s.name, s.file_path, s.line_start, count(DISTINCT r.from_id) AS users FROM resolved r JOIN symbols s ON s.id = r.to_id JOIN symbols f ON f.id = r.from_id
     WHERE starts_with(s.file_path, 'europe/') AND NOT starts_with(f.file_path, 'europe/') GROUP BY ALL""",
+        100,
+        "users DESC, file_path, line_start, id",
+    ),
 )
 def api_surface(spark: SparkSession, d: str) -> DataFrame:
-    return graph.api_surface(symbols(spark, d), edges(spark, d), "europe/")
+    return page(graph.api_surface(symbols(spark, d), edges(spark, d), "europe/"), 100, F.col("users").desc(), *PLACE)
 
 
 @query(

@@ -32,6 +32,17 @@ def test_page_at_and_beyond_the_cap(spark):
     assert page(rows.where("id < 0"), 3, "id").count() == 0
 
 
+def test_grouped_search_at_and_beyond_the_raw_limit(spark):
+    rows = [(i, "P", "class", f"d{i % 2}/f{i}.py", i, i + 1, None, None, ",partial,", "python") for i in range(6)]
+    s = spark.createDataFrame([*rows, (9, "P", "class", "d0/z.py", 1, 2, None, None, None, "python")], SYMBOL)
+    got = lookup.search_grouped(s, "P", raw_limit=7).collect()
+    assert [(r.file_path, r.locations) for r in got] == [("d0/f0.py", 3), ("d0/z.py", 1), ("d1/f1.py", 3)]
+    assert {(r.total, r.returned, r.truncated, r.truncation_reason) for r in got} == {(3, 3, False, None)}
+    assert {(r.total, r.returned, r.truncation_reason) for r in lookup.search_grouped(s, "P", top=2, raw_limit=7).collect()} == {(3, 2, "top")}
+    over = lookup.search_grouped(s, "P", raw_limit=6).collect()
+    assert {(r.raw_candidate_total, r.raw_candidates_examined, r.total, r.truncation_reason) for r in over} == {(7, 6, None, "raw_work_limit")} and {r.locations for r in over} == {None}
+
+
 def test_impact_depth_and_cycles(spark):
     s, e = chain(spark, 12)
     seeds = s.where("id = 0").select(F.col("id").alias("seed"), "id")
