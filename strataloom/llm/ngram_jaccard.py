@@ -29,8 +29,8 @@ from .shingles import mixed, shingle_sets
 SHINGLE, PERCENT = 4, 85
 #: Leading tokens beyond the least, in hundredths of a set: as many must be shared.
 MORE = 5
-#: Members that a group of the matrix has on average.
-GROUP = 64
+#: Members, and tokens of its members, that a group of the matrix has on average at most.
+GROUP, GROUP_TOKENS = 64, 1 << 18
 #: Identifiers of sets in question up to which they are broadcast to the texts.
 BROADCAST_IDS = 200_000
 #: Rounds of verifying against representatives of families, two at most.
@@ -227,7 +227,7 @@ def by_groups(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ranked = ranked.where(leading > 0).select("set_id", "n", "cls", alone.alias("alone"), F.slice("order", F.lit(1), leading).alias("order"))
     ranked = written(ranked, "open-sets")
     base = ranked.select("set_id", "n", "cls", band(n).alias("band")).join(sets.select("set_id", F.col("keys")[0].alias("key")), "set_id")
-    alike = base.groupBy("band", "key").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
+    alike = base.groupBy("band", "key").agg(F.greatest(F.ceil(F.count("*") / GROUP), F.ceil(F.sum("n") / GROUP_TOKENS)).alias("groups"))
     part = F.struct("band", "key", F.pmod(F.xxhash64("set_id"), F.col("groups")).alias("k"))
     groups = written(base.join(alike, ["band", "key"]).select("set_id", part.alias("part")), "groups")
     first = ranked.select("set_id", "n", "cls", "alone", F.posexplode("order").alias("at", "next"))
@@ -244,8 +244,8 @@ def by_groups(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     asked = asking.join(columns, ["token", "band"]).where((F.col("least") <= F.col("largest")) & (F.col("most") >= F.col("smallest")) & other & (needed(n, partner, percent) <= F.col("left_")))
     asked = written(asked.select("set_id", "n", "cls", "token", "left", "part", partner.alias("partner")), "asked")
     wanted = asked.select("part").distinct()
-    union = groups.join(wanted, "part", "left_semi").join(sets.select("set_id", "tokens"), "set_id").select("part", F.explode("tokens").alias("token"))
-    matrix = union.groupBy("part").agg(F.collect_set("token").alias("union"))
+    held = groups.join(wanted, "part", "left_semi").join(sets.select("set_id", "tokens"), "set_id")
+    matrix = held.groupBy("part").agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
     bounded = asked.groupBy("set_id", "n", "part").agg(F.min("partner").alias("partner")).join(sets.select("set_id", "tokens"), "set_id").join(matrix, "part")
     opened = written(bounded.where(F.size(F.array_intersect("tokens", "union")) >= needed(n, F.col("partner"), percent)).select("set_id", "part"), "opened")
     compared = asked.join(opened, ["set_id", "part"], "left_semi").select(F.col("set_id").alias("a"), F.col("n").alias("n_a"), F.col("cls").alias("cls_a"), F.col("left").alias("left_a"), "token", "part")
