@@ -128,14 +128,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, id_
     spark = docs.sparkSession
     starts = first_rows(cells, total, shards)
     table = F.broadcast(spark.createDataFrame([(c.number, c.below_rows) for c in cells], "cell long, below long"))
-    # the caller's columns travel as one, so that none of their names meets a name of the work
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), size.alias("size"), crc.alias("text_crc32"), h.alias("h"), d.alias("d"))
+    # the caller's columns travel under numbers, so that none of their names meets a name of the work
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)), size.alias("size"), crc.alias("text_crc32"), h.alias("h"), d.alias("d"))
     rows = _probed(rows, rounds, (F.col("h"), F.col("d"))).join(table, "cell")
     rows = rows.withColumn("at", F.col("below") + F.row_number().over(Window.partitionBy("cell").orderBy("h", "d")) - 1)
     first = F.expr(f"array({', '.join(f'{x}L' for x in starts)})")
     shard = F.size(F.filter(first, lambda x: x <= F.col("at"))) - 1
     slot = F.col("at") - F.element_at(first, F.col("shard") + 1)
-    return rows.withColumn("shard", shard.cast("int")).select(*(F.col("row")[c].alias(c) for c in own), "size", "text_crc32", "shard", slot.alias("slot"))
+    return rows.withColumn("shard", shard.cast("int")).select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(own)), "size", "text_crc32", "shard", slot.alias("slot"))
 
 
 def first_rows(cells: list[Cell], total: int, shards: int) -> list[int]:
