@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.operators import search as fts
 from strataloom.operators import text
 from strataloom.plans.bind import load, symbols
-from strataloom.plans.registry import query
+from strataloom.plans.registry import paged, query
 
 SPLIT = r"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 INDEX_SQL = f"w AS (SELECT doc_id, {SPLIT.format(c='text')} AS t FROM documents), ix AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM w) GROUP BY ALL), st AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM w)"
@@ -34,6 +35,74 @@ def docs_partial(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d, terms, text.floors(len(terms))[0]).select("doc_id", "hits", F.round("score", 6).alias("score"))
 
 
+def _leaf_sql(leaf: fts.Leaf) -> str:
+    """How often a leaf occurs in the words ``t`` of a document."""
+    one = lambda p, i: " AND ".join((f"starts_with(coalesce(t[{i} + {k}], ''), '{w}')" if p.prefix and k == len(p.words) - 1 else f"coalesce(t[{i} + {k}], '') = '{w}'") for k, w in enumerate(p.words))
+    if leaf.within is None:
+        return f"len(list_filter(range(1, len(t) + 1), lambda i: {one(leaf.phrases[0], 'i')}))"
+    near = []
+    for a in leaf.phrases:
+        rest = " AND ".join(f"len(list_filter(range(i, least(i + {leaf.within + len(a.words)}, len(t)) + 1), lambda j{k}: {one(b, f'j{k}')})) > 0" for k, b in enumerate(leaf.phrases) if b is not a)
+        near.append(f"len(list_filter(range(1, len(t) + 1), lambda i: {one(a, 'i')} AND {rest}))")
+    return " + ".join(near)
+
+
+def _tree_sql(tree: object) -> str:
+    if isinstance(tree, int):
+        return f"l{tree} > 0"
+    how, left, right = tree
+    return f"({_tree_sql(left)} {'AND NOT' if how == 'not' else how.upper()} {_tree_sql(right)})"
+
+
+def search_sql(asked: str, top: int, kind: str | None = None) -> str:
+    q = fts.parse(asked)
+    words = ", ".join(repr(w) for w in sorted({w for leaf in q.leaves for p in leaf.phrases for w in p.words}))
+    score = " + ".join(f"CASE WHEN l{i} > 0 THEN ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * l{i} * 2.2 / (l{i} + 1.2 * (0.25 + 0.75 * len(t) / mean)) ELSE 0 END" for i in range(len(q.leaves)))
+    found = f"""WITH w AS (SELECT doc_id, source, {SPLIT.format(c='text')} AS t FROM documents), f AS (SELECT *, {", ".join(f"{_leaf_sql(leaf)} AS l{i}" for i, leaf in enumerate(q.leaves))} FROM w),
+    st AS (SELECT count(*) AS docs, avg(len(t)) AS mean, {", ".join(f"count(*) FILTER (l{i} > 0) AS d{i}" for i in range(len(q.leaves)))} FROM f)
+    SELECT doc_id, round({score}, 6) AS score FROM f, st WHERE {_tree_sql(q.tree)}{f" AND source = '{kind}'" if kind else ""}"""
+    lines = f"""ln AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+    best AS (SELECT doc_id, text AS excerpt FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, line) AS k FROM (SELECT *, len(list_intersect(list_distinct({SPLIT.format(c='text')}), [{words}])) AS hits FROM ln) WHERE hits > 0) WHERE k = 1)"""
+    return f"WITH pg AS ({paged(found, top, 'score DESC, doc_id')}), {lines} SELECT pg.*, excerpt FROM pg LEFT JOIN best USING (doc_id)"
+
+
+def _search(spark: SparkSession, d: str, asked: str, top: int, kind: str | None = None) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text", F.col("source").alias("kind"))
+    return fts.search(docs, "doc_id", "text", asked, top, kind)
+
+
+ASKED = {
+    "history_boolean": ("(apache OR mit) licen* NOT idiot", 20, None),
+    "history_near": ('NEAR(apache version, 3) OR NEAR("all rights" reserved, 0)', 50, None),
+    "docs_of_kind": ('"rights reserved" OR released', 10, "src2"),
+    "tasks_hyphenated": ("all-rights reserv* NOT (clown OR trash)", 25, None),
+}
+
+
+@query("", search_sql(*ASKED["history_boolean"]))
+def history_boolean(spark: SparkSession, d: str) -> DataFrame:
+    """OR, NOT and a prefix, with total and excerpt."""
+    return _search(spark, d, *ASKED["history_boolean"])
+
+
+@query("", search_sql(*ASKED["history_near"]))
+def history_near(spark: SparkSession, d: str) -> DataFrame:
+    """Words and phrases near each other."""
+    return _search(spark, d, *ASKED["history_near"])
+
+
+@query("", search_sql(*ASKED["docs_of_kind"]))
+def docs_of_kind(spark: SparkSession, d: str) -> DataFrame:
+    """A phrase among the documents of one kind."""
+    return _search(spark, d, *ASKED["docs_of_kind"])
+
+
+@query("", search_sql(*ASKED["tasks_hyphenated"]))
+def tasks_hyphenated(spark: SparkSession, d: str) -> DataFrame:
+    """A hyphenated word is a phrase; NOT before a parenthesis."""
+    return _search(spark, d, *ASKED["tasks_hyphenated"])
+
+
 FIELDS_SQL = f"""f AS (SELECT id, 'name' AS field, unnest({SPLIT.format(c='name')}) AS term FROM symbols UNION ALL SELECT id, 'path', unnest({SPLIT.format(c='file_path')}) FROM symbols UNION ALL SELECT id, 'signature', unnest({SPLIT.format(c='signature')}) FROM symbols),
     ft AS (SELECT id, field, term, count(*) AS tf FROM f GROUP BY ALL)"""
 
@@ -50,6 +119,34 @@ def concept(spark: SparkSession, d: str) -> DataFrame:
     return text.concept(_fields(spark, d), ["asia", "promo", "brand"]).select("id", "hits", F.col("weight").cast("long").alias("weight"))
 
 
+QUESTION = "the promo brand of asia"
+def _concept_sql(terms: list[str], need: int, least: int) -> str:
+    ranked = "term IN ('promo', 'brand', 'asia')"
+    body = f"""WITH {FIELDS_SQL}, ln AS (SELECT id, sum(tf) AS length FROM ft GROUP BY id), st AS (SELECT count(*) AS docs, avg(length) AS mean FROM ln),
+    h AS (SELECT id, term, sum(CASE field WHEN 'name' THEN 10 WHEN 'path' THEN 4 ELSE 2 END * tf) AS tf FROM ft WHERE term IN ({', '.join(map(repr, terms))}) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+    SELECT id, count(*) AS hits, count(*) FILTER ({ranked}) AS ranked_hits,
+      round(sum(CASE WHEN {ranked} THEN ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) ELSE 0 END), 6) AS score
+    FROM h JOIN df USING (term) JOIN ln USING (id), st GROUP BY id HAVING count(*) >= {need} AND count(*) FILTER ({ranked}) >= {least}"""
+    return paged(body, 20, "hits DESC, score DESC, id")
+
+
+@query("symbols", _concept_sql(QUESTION.split(), 3, 3))
+def concept_question(spark: SparkSession, d: str) -> DataFrame:
+    """Two of the five terms are function words: half of all must occur, and three of those with weight."""
+    return _asked(spark, d, QUESTION)
+
+
+@query("symbols", _concept_sql(["promo", "brand", "asia"], 2, 2))
+def concept_ranked(spark: SparkSession, d: str) -> DataFrame:
+    """Two of three terms; weighted fields in BM25."""
+    return _asked(spark, d, "promo brand asia")
+
+
+def _asked(spark: SparkSession, d: str, question: str) -> DataFrame:
+    rows = _fields(spark, d)
+    return fts.concept(rows.join(rows.groupBy("id", "field").agg(F.sum("tf").alias("n")), ["id", "field"]), question, 20)
+
+
 @query("symbols", f"WITH {FIELDS_SQL} SELECT field, count(DISTINCT id) AS symbols, sum(tf)::BIGINT AS occurrences FROM ft WHERE term IN ('asia', 'promo') GROUP BY field")
 def matched_fields(spark: SparkSession, d: str) -> DataFrame:
     rows = _fields(spark, d).where("term in ('asia', 'promo')")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import paths, stats
 from strataloom.functions.hashing import fnv1a, fnv1a_each, fnv1a_hex
 from strataloom.operators import change, graph, lookup, rollup, text, trials
+from strataloom.operators import search as fts
 from strataloom.operators.bounds import page
 
 SYMBOL = "id long, name string, kind string, file_path string, line_start int, line_end int, signature string, parent_id long, decorators string, language string"
@@ -326,3 +327,45 @@ def test_empty_inputs(spark):
     none = s.where("false")
     for df in (graph.in_degrees(none, e), graph.cycles(graph.import_pairs(none, e)), lookup.outline(none), rollup.coverage(spark.createDataFrame([], "path string, line int, hits long"))):
         assert df.count() == 0
+
+
+def test_boolean_search_against_python(spark):
+    rng = random.Random(3)
+    docs = [(i, " ".join(rng.choice("a b c d alpha alps be".split()) for _ in range(rng.randrange(14))), f"k{i % 2}") for i in range(120)] + [(900, None, "k0"), (901, "", "k1")]
+    df = spark.createDataFrame(docs, "id long, text string, kind string")
+
+    def phrase(t, *words, star=False):
+        ok = lambda i: all((t[i + k].startswith(w) if star and k == len(words) - 1 else t[i + k] == w) for k, w in enumerate(words))
+        return [i for i in range(len(t) - len(words) + 1) if ok(i)]
+
+    near = lambda t, x, y, n: any(0 <= j - i - 1 <= n or 0 <= i - j - 1 <= n for i in phrase(t, x) for j in phrase(t, y))
+    asked = {
+        "a b": lambda t: phrase(t, "a") and phrase(t, "b"),
+        '"a b"': lambda t: phrase(t, "a", "b"),
+        "a-b NOT c": lambda t: phrase(t, "a", "b") and not phrase(t, "c"),
+        "a OR b c": lambda t: phrase(t, "a") or (phrase(t, "b") and phrase(t, "c")),
+        "(a OR b) AND c NOT d": lambda t: (phrase(t, "a") or phrase(t, "b")) and phrase(t, "c") and not phrase(t, "d"),
+        "al*": lambda t: phrase(t, "al", star=True),
+        '"b al"*': lambda t: phrase(t, "b", "al", star=True),
+        "NEAR(c d, 1)": lambda t: near(t, "c", "d", 1),
+    }
+    for q, rule in asked.items():
+        want = {i for i, t, _ in docs if rule((t or "").split())}
+        got = fts.search(df, "id", "text", q, 500).collect()
+        assert {r.id for r in got} == want and len(got) == len(want), q
+        assert {(r.total, r.truncated) for r in got} <= {(len(want), False)}
+        assert [(-r.score, r.id) for r in got] == sorted((-r.score, r.id) for r in got)
+    some = fts.search(df, "id", "text", "a", 3, "k1").collect()
+    assert len(some) == 3 and all(r.id % 2 and r.truncated and "a" in r.excerpt for r in some)
+    for bad in ("", "a OR", "(a", "NOT a", "NEAR(, 2)"):
+        with pytest.raises(ValueError):
+            fts.parse(bad)
+    assert fts.search(df.where("false"), "id", "text", "a", 3).count() == 0
+
+
+def test_questions_need_terms_with_weight(spark):
+    rows = [(1, "name", "parse", 1, 2), (1, "path", "the", 1, 1), (2, "name", "the", 2, 2), (2, "path", "of", 1, 1), (3, "signature", "parsing", 1, 1), (3, "name", "token", 1, 1), (3, "path", "list", 1, 1)]
+    f = spark.createDataFrame(rows, "id long, field string, term string, tf long, n long")
+    ids = lambda q: [r.id for r in fts.concept(f, q, 9).collect()]
+    assert ids("parse") == [1] and ids("parse parses") == [1]  # one stem, one term
+    assert ids("the of") == [2] and ids("the parse list token") == [3] and ids("parse the") == [1]
