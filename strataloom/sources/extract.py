@@ -1,4 +1,4 @@
-"""Symbols and edges of Python sources by the standard parser. Other languages come as extracted rows."""
+"""Symbols and edges of sources: Python by the standard parser, languages with braces by their own walk."""
 
 from __future__ import annotations
 
@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS = "file_path string, local_id int, parent int, name string, kind string, line_start int, line_end int, signature string, decorators string"
-EDGES = "file_path string, from_local int, to_name string, kind string, target_kind string, line int"
+from strataloom.sources import braces
+
+SYMBOLS = "file_path string, language string, local_id int, parent int, name string, kind string, line_start int, line_end int, signature string, decorators string"
+EDGES = "file_path string, language string, from_local int, to_name string, kind string, target_kind string, line int"
 
 
 def parse(text: str) -> tuple[list[tuple], list[tuple]]:
@@ -46,24 +48,42 @@ def parse(text: str) -> tuple[list[tuple], list[tuple]]:
     return symbols, edges
 
 
+def rows_of(text: str, language: str) -> tuple[list[tuple], list[tuple]]:
+    """Rows of one file; a language without an extractor has none."""
+    if language == "python":
+        return parse(text)
+    return braces.parse(text, language) if language in braces.LANGUAGES or language == "vue" else ([], [])
+
+
 def _rows(files: DataFrame, which: int, schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
+    files = files if "language" in files.columns else files.withColumn("language", F.lit("python"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [(p, *r) for p, t in zip(part["path"], part["text"]) for r in parse(t or "")[which]]
+            rows = [(p, g, *r) for p, t, g in zip(part["path"], part["text"], part["language"]) for r in rows_of(t or "", g)[which]]
             yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in names if c in ("local_id", "parent", "line_start", "line_end", "from_local", "line")})
 
-    return files.select("path", "text").mapInPandas(run, schema)
+    return files.select("path", "text", "language").mapInPandas(run, schema)
 
 
-def python_symbols(files: DataFrame) -> DataFrame:
-    """Symbols of (path, text); identifiers are unique over all files by a hash of path and local number."""
+def extracted_symbols(files: DataFrame) -> DataFrame:
+    """Symbols of (path, text, language); identifiers are unique over all files by a hash of path and local number."""
     rows = _rows(files, 0, SYMBOLS)
     key = lambda c: F.when(F.col(c).isNotNull(), F.xxhash64("file_path", c))
-    return rows.select(key("local_id").alias("id"), "name", "kind", "file_path", "line_start", "line_end", "signature", key("parent").alias("parent_id"), "decorators", F.lit("python").alias("language"))
+    return rows.select(key("local_id").alias("id"), "name", "kind", "file_path", "line_start", "line_end", "signature", key("parent").alias("parent_id"), "decorators", "language")
 
 
-def python_edges(files: DataFrame) -> DataFrame:
+def extracted_edges(files: DataFrame) -> DataFrame:
+    """from_id, to_name, kind, line and target_kind of (path, text, language)."""
     rows = _rows(files, 1, EDGES)
     return rows.select(F.xxhash64("file_path", "from_local").alias("from_id"), "to_name", "kind", "line", "target_kind").distinct()
+
+
+def python_symbols(files: DataFrame) -> DataFrame:
+    """The same of Python files (path, text)."""
+    return extracted_symbols(files.select("path", "text"))
+
+
+def python_edges(files: DataFrame) -> DataFrame:
+    return extracted_edges(files.select("path", "text"))
