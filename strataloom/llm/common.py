@@ -36,23 +36,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is filled: its plan's shuffle files are of no more use afterwards and go, and Python workers get few
+#: rows at a time, whose texts are held several times over on both sides.
+FILLING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    Unlike a local checkpoint the table outlives any executor. The shuffle files of the plan that fills it are
-    of no more use and go when it is written.
+    Unlike a local checkpoint the table outlives any executor. ``FILLING`` holds for the session meanwhile.
     """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in FILLING}
+    for k, v in FILLING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(folder)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(folder)
 
 
