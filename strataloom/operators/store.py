@@ -5,18 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder that ``spark.checkpoint.dir`` names.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path for a new table or text in the shared folder that ``spark.checkpoint.dir`` names.
 
     Where that is unset a folder of this session is made, but only if all runs in this process: on a cluster each
     executor would write to a disk of its own, so there it is an error.
     """
-    spark = df.sparkSession
     app = spark.sparkContext.applicationId
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
@@ -25,6 +24,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tables-")
         folder = _OWN[app]
-    path = f"{folder.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{folder.rstrip('/')}/{app}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, which ends its lineage."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

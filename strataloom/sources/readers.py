@@ -40,9 +40,12 @@ SARIF = (
 )
 
 
-def sarif(spark: SparkSession, path: str) -> DataFrame:
-    """(tool, rule, severity, path, line, message); a rule by index where its identifier is left out."""
-    runs = spark.read.schema(SARIF).option("multiLine", "true").json(path).select(F.explode("runs").alias("run"))
+def sarif(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(tool, rule, severity, path, line, message); a rule by index where its identifier is left out.
+
+    A file is one report, or with ``lines`` each of its lines is.
+    """
+    runs = spark.read.schema(SARIF).option("multiLine", str(not lines).lower()).json(path).select(F.explode("runs").alias("run"))
     rows = runs.select(F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
     at = F.try_element_at(F.col("r.locations"), F.lit(1))["physicalLocation"]
     rule = F.coalesce(F.col("r.ruleId"), F.try_element_at(F.col("rules"), F.col("r.ruleIndex") + 1)["id"])
@@ -79,7 +82,7 @@ OTLP = (f"resourceSpans array<struct<scopeSpans:array<struct<spans:{SPANS}>>,ins
 def otlp(spark: SparkSession, path: str) -> DataFrame:
     """(trace_id, span_id, parent_id, name, file_path) of valid spans; the older key of scopes is read as well."""
     rows = spark.read.schema(OTLP).json(path).select(F.explode("resourceSpans").alias("r"))
-    scopes = rows.select(F.explode(F.coalesce("r.scopeSpans", "r.instrumentationLibrarySpans")).alias("s"))
+    scopes = rows.select(F.explode(F.when(F.size("r.scopeSpans") > 0, F.col("r.scopeSpans")).otherwise(F.col("r.instrumentationLibrarySpans"))).alias("s"))
     s = scopes.select(F.explode("s.spans").alias("s")).select("s.*")
     file = F.try_element_at(F.filter("attributes", lambda a: a["key"].isin("code.filepath", "code.file.path")), F.lit(1))["value"]["stringValue"]
     valid = F.col("traceId").rlike("^[0-9a-fA-F]{32}$") & F.col("spanId").rlike("^[0-9a-fA-F]{16}$")
@@ -98,16 +101,28 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     return head.select("sha", "author", p[2].alias("path"), number(p[0]).alias("added"), number(p[1]).alias("removed"), (p[0] == "-").alias("binary"))
 
 
+#: Largest owners file.
+OWNERS_BYTES = 3 << 20
+
+
 def codeowners(spark: SparkSession, path: str) -> DataFrame:
-    """(rule_no, pattern, owners) of an owners file; a bare name matches at any depth, a folder all below it."""
-    lines = spark.sparkContext.wholeTextFiles(path).values().collect()
+    """(rule_no, pattern, owners) of an owners file; a bare name matches at any depth, and what is named also all below it.
+
+    One file, whose size is checked before it is read; a larger one is an error.
+    """
+    size = spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).collect()[0][0]
+    if size > OWNERS_BYTES:
+        raise ValueError(f"{size} bytes of owners, {OWNERS_BYTES} may be")
     rows = []
-    for no, line in enumerate("\n".join(lines).split("\n")):
+    for no, line in enumerate(spark.read.text(path, wholetext=True).collect()[0][0].split("\n") if size else []):
         words = line.split("#")[0].split()
         if not words or any(c in words[0] for c in "[]!"):
             continue
         glob = words[0].lstrip("/") if words[0].startswith("/") or "/" in words[0].rstrip("/") else "**/" + words[0]
-        rows.append((no, paths.glob_regex(glob + "**" if glob.endswith("/") else glob), ",".join(sorted(words[1:]))))
+        pattern = paths.glob_regex(glob + "**" if glob.endswith("/") else glob)
+        if not glob.endswith(("/", "*")):
+            pattern = pattern[:-1] + "(?:/.*)?$"
+        rows.append((no, pattern, ",".join(sorted(words[1:]))))
     return spark.createDataFrame(rows, "rule_no int, pattern string, owners string")
 
 

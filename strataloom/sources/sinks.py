@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 
 class Snapshots:
-    """Immutable snapshots of tables under a root; a pointer names the current one, so readers see one state."""
+    """Immutable snapshots of tables under a root; the last pointer names the current one, so readers see one state.
+
+    Pointers are numbered and never change. A new one is written aside and moved into place by one rename, which fails
+    if another writer was faster.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -19,19 +23,25 @@ class Snapshots:
     def _path(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _pointers(self) -> list[str]:
+        if not self._fs().exists(self._path("_pointers")):
+            return []
+        return sorted(f.getPath().getName() for f in self._fs().listStatus(self._path("_pointers")))
+
     def current(self) -> str | None:
-        if not self._fs().exists(self._path("_CURRENT")):
-            return None
-        return self.spark.read.text(f"{self.root}/_CURRENT").collect()[0][0]
+        found = self._pointers()
+        return self.spark.read.text(f"{self.root}/_pointers/{found[-1]}").collect()[0][0] if found else None
 
     def publish(self, name: str, tables: dict[str, DataFrame]) -> None:
-        """Write all tables, then move the pointer; a reader never sees half of it."""
+        """Write all tables, then add the pointer; a reader never sees half of it."""
+        number = len(self._pointers())
         for table, df in tables.items():
             df.write.mode("errorifexists").parquet(f"{self.root}/{name}/{table}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/_NEXT")
+        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(f"{self.root}/_next/{name}")
         fs = self._fs()
-        fs.delete(self._path("_CURRENT"), True)
-        fs.rename(self._path("_NEXT"), self._path("_CURRENT"))
+        fs.mkdirs(self._path("_pointers"))
+        if fs.exists(self._path(f"_pointers/{number:012d}")) or not fs.rename(self._path(f"_next/{name}"), self._path(f"_pointers/{number:012d}")):
+            raise RuntimeError(f"another snapshot was published before {name}")
 
     def read(self, table: str, name: str | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name or self.current()}/{table}")

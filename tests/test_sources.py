@@ -46,6 +46,14 @@ def test_reports(spark, tmp_path):
     assert {(r.sha, r.author, r.path, r.added, r.binary) for r in readers.git_log(spark, str(tmp_path / "g.log")).collect()} == {("abc1", "Ann", "a.py", 3, False), ("abc1", "Ann", "b.bin", None, True), ("abc2", "Bo", "a.py", 1, False)}
     (tmp_path / "OWNERS").write_text("# all\n*.py @a\n/docs/ @b @c\n![x] @d\n")
     assert [(r.owners, r.rule_no) for r in readers.codeowners(spark, str(tmp_path / "OWNERS")).collect()] == [("@a", 1), ("@b,@c", 2)]
+    (tmp_path / "OWNERS").write_text("/docs @a\n/src/* @b\n")
+    import re
+
+    rules = [r.pattern for r in readers.codeowners(spark, str(tmp_path / "OWNERS")).collect()]
+    assert [[bool(re.match(p, x)) for x in ("docs", "docs/a/b", "docsx", "src/a", "src/a/b")] for p in rules] == [[True, True, False, False, False], [False, False, False, True, False]]
+    older = {"resourceSpans": [{"scopeSpans": [], "instrumentationLibrarySpans": [{"spans": [{"traceId": "c" * 32, "spanId": "d" * 16, "name": "n"}]}]}]}
+    (tmp_path / "p.json").write_text(json.dumps(older))
+    assert readers.otlp(spark, str(tmp_path / "p.json")).count() == 1
 
 
 def test_facts_are_strict(spark, tmp_path):
@@ -78,6 +86,11 @@ def test_snapshots(spark, tmp_path):
     store.publish("two", {"t": store.updated("t", "k", fresh, gone)})
     assert store.current() == "two" and [tuple(r) for r in store.read("t").collect()] == [("a", 2)]
     assert store.read("t", "one").count() == 2
+    late = sinks.Snapshots(spark, str(tmp_path / "s"))
+    late._pointers = lambda: ["0"]
+    with pytest.raises(RuntimeError, match="before three"):
+        late.publish("three", {"t": fresh})
+    assert store.current() == "two"
 
 
 def test_diagram(spark):
