@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import paths
 from strataloom.functions.hashing import fnv1a_hex
+from strataloom.operators import graph
 from strataloom.operators.store import cut
 
 
@@ -71,6 +72,31 @@ def deepest(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     return inside.groupBy("path", "first_line", "last_line").agg(F.max(F.struct("line_start", (-F.col("line_end")).alias("e"), (-F.col("id")).alias("i"))).alias("best")).select("path", "first_line", "last_line", (-F.col("best.i")).alias("id"))
 
 
+#: Seeds and reached rows beyond which a change's impact is not worked out.
+SEED_CAP, ROW_CAP = 200, 5_000
+
+
+def bounded_impact(symbols: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int = 3, seed_cap: int = SEED_CAP, row_cap: int = ROW_CAP) -> DataFrame:
+    """One row: seeds, impacted (distinct symbols), components, deepest and truncation_reason of a change (id).
+
+    More seeds than the cap, or more distinct symbols, are a limit of work: what was not counted is unknown and null.
+    """
+    spark = symbols.sparkSession
+    schema = "seeds long, impacted long, components long, deepest int, truncation_reason string"
+    seeds = changed.select("id").distinct()
+    n = seeds.limit(seed_cap + 1).count()
+    if n > seed_cap:
+        return spark.createDataFrame([(None, None, None, None, "seed_work_limit")], schema)
+    found = graph.impact(symbols, edges, seeds.select(F.col("id").alias("seed"), "id"), max_depth)
+    nearest = found.groupBy("id").agg(F.min("depth").alias("depth")).join(seeds, "id", "left_anti")
+    nearest = cut(nearest.limit(row_cap + 1), "nearest")
+    if nearest.count() > row_cap:
+        return spark.createDataFrame([(n, None, None, None, "graph_work_limit")], schema)
+    rows = nearest.join(symbols.select("id", "file_path"), "id")
+    out = rows.agg(F.lit(n).cast("long").alias("seeds"), F.count("*").alias("impacted"), F.count_distinct(paths.component(F.col("file_path"))).alias("components"), F.max("depth").alias("deepest"))
+    return out.withColumn("truncation_reason", F.lit(None).cast("string"))
+
+
 def crossings(reached: DataFrame, symbols: DataFrame) -> DataFrame:
     """(from_component, to_component, symbols): impact that leaves the component of its seed."""
     own = symbols.select(F.col("id").alias("seed"), paths.component(F.col("file_path")).alias("from_component"))

@@ -118,6 +118,56 @@ def boundary_rule(pairs: DataFrame, owned: DataFrame) -> DataFrame:
     return violations("ownership_boundary", rows.where(~F.arrays_overlap("a", "b")), "from_file", "to_file")
 
 
+def strict_rule(changed: DataFrame, critical: str, held: DataFrame) -> DataFrame:
+    """Changed files (path) that match a critical glob and have no held evidence (path)."""
+    bad = changed.where(F.col("path").rlike(paths.glob_regex(critical))).join(held.select("path").distinct(), "path", "left_anti")
+    return violations("strict_workflow", bad, "path")
+
+
+def unowned_sides(pairs: DataFrame, owned: DataFrame) -> DataFrame:
+    """(rule, code, subject): imports whose boundary cannot be judged as a side has no owners."""
+    known = owned.where("owners <> ''").select("path")
+    sides = pairs.select(F.col("from_file").alias("path")).unionByName(pairs.select(F.col("to_file").alias("path"))).distinct()
+    return sides.join(known, "path", "left_anti").select(F.lit("ownership_boundary").alias("rule"), F.lit("owner_unknown").alias("code"), F.col("path").alias("subject"))
+
+
+#: Violations and diagnostics of a report.
+RESULT_CAP = 1_000
+
+
+def report(found: list[DataFrame], diagnostics: list[DataFrame], cap: int = RESULT_CAP) -> DataFrame:
+    """(rule, code, subject, complete, passed): one bounded report of all rules, in order.
+
+    Only a report without diagnostics is complete, and only a complete one without violations passes; beyond the cap a
+    diagnostic takes the last row's place.
+    """
+    rows = [f.select("rule", F.lit("violation").alias("code"), "subject") for f in found] + [d.select("rule", "code", "subject") for d in diagnostics]
+    every = rows[0]
+    for more in rows[1:]:
+        every = every.unionByName(more)
+    first = every.orderBy("rule", "code", "subject").limit(cap + 1)
+    n = first.count()
+    if n > cap:
+        limit = every.sparkSession.createDataFrame([("~report", "policy_result_limit", f"{cap} results")], "rule string, code string, subject string")
+        first = every.orderBy("rule", "code", "subject").limit(cap - 1).unionByName(limit)
+    complete = F.lit(first.where("code <> 'violation'").isEmpty())
+    return first.select("rule", "code", "subject", complete.alias("complete"), F.lit(n == 0).alias("passed"))
+
+
+#: Files that evidence is asked for.
+RELEVANT_CAP = 1_000
+
+
+def relevant_paths(trace: DataFrame, changed: DataFrame, cap: int = RELEVANT_CAP) -> DataFrame:
+    """(path, origin, truncated): files that a change reaches, then the changed ones, as many as the cap leaves room for."""
+    t = trace.select("path").distinct()
+    c = changed.select("path").distinct().join(t, "path", "left_anti")
+    rows = t.withColumn("origin", F.lit("trace")).unionByName(c.withColumn("origin", F.lit("changed")))
+    rank = F.when(F.col("origin") == "trace", 0).otherwise(1)
+    first = rows.orderBy(rank, "path").limit(cap)
+    return first.withColumn("truncated", F.lit(rows.limit(cap + 1).count() > cap))
+
+
 def acceptance(criteria: DataFrame, receipts: DataFrame) -> DataFrame:
     """(criterion, checks, satisfied): all checks of a criterion are current; a missing receipt is not."""
     rows = criteria.join(receipts, "check_id", "left")
