@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Rows up to which a side of a join is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows; else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def page(rows: DataFrame, top: int, *order: Column | str, work_cap: int | None = None) -> DataFrame:
     """The first ``top`` rows by ``order`` with total, returned, truncated and truncation_reason on each.
 

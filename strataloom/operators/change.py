@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import paths
 from strataloom.functions.hashing import fnv1a_hex
 from strataloom.operators import graph
+from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 
 
@@ -116,7 +117,7 @@ def ranked_tests(reached: DataFrame, symbols: DataFrame, is_test: Column, seeds:
     parts = symbols.join(changed, "id", "left_semi").select(paths.component(F.col("file_path")).alias("part")).distinct()
     own = seeds.select("id").join(depth, "id", "left_semi").unionByName(changed)
     depth = depth.unionByName(own.withColumn("depth", F.lit(0))).groupBy("id").agg(F.min("depth").alias("depth"))
-    rows = tests.join(depth, "id", "left").join(F.broadcast(parts), paths.component(F.col("file_path")) == F.col("part"), "left")
+    rows = tests.join(depth, "id", "left").join(small(parts), paths.component(F.col("file_path")) == F.col("part"), "left")
     rank = F.when(F.col("depth") <= 1, "direct").when(F.col("depth").isNotNull(), "transitive").when(F.col("part").isNotNull(), "heuristic")
     return rows.withColumn("class", rank).where("class is not null").select("id", "name", "file_path", "class", "depth")
 

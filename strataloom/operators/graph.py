@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 from strataloom.plans.bind import compatible, resolved
 
@@ -177,9 +178,13 @@ def skipping_budget(found: DataFrame, budget: int = MEMBER_BUDGET, top: int = 50
 
 def in_degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Symbols with the number of distinct callers, those with none left out."""
-    calls = edges.where("kind = 'calls'").select("from_id", "to_name", "target_kind").distinct()
-    degrees = resolved(calls, symbols).groupBy(F.col("to_id").alias("id")).agg(F.count_distinct("from_id").alias("in_degree"))
-    return symbols.where("name <> '<module>'").join(degrees, "id").select("id", "name", "kind", "file_path", "line_start", "in_degree")
+    # callers are counted once for each name and each of the two sorts of definition that a call may mean, before they
+    # meet the definitions: a common name costs its callers plus its definitions and not their product
+    means = F.array_compact(F.array(F.when(compatible(F.col("target_kind"), F.lit("method")), True), F.when(compatible(F.col("target_kind"), F.lit("function")), False)))
+    calls = edges.where("kind = 'calls'").select("from_id", "to_name", F.explode(means).alias("method"))
+    callers = calls.groupBy("to_name", "method").agg(F.count_distinct("from_id").alias("in_degree"))
+    own = symbols.where("name <> '<module>'").withColumn("method", F.col("kind") == "method")
+    return own.join(callers.withColumnRenamed("to_name", "name"), ["name", "method"]).select("id", "name", "kind", "file_path", "line_start", "in_degree")
 
 
 def file_in_degrees(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -231,7 +236,7 @@ def personal_pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = DAMPI
 def keyword_scores(terms: DataFrame, weights: DataFrame) -> DataFrame:
     """(symbol, score): for asked terms (term, weight) weight times squared hits; rare terms weigh 1024 div (1 + files)."""
     df = terms.groupBy("term").agg(F.count_distinct("file_path").alias("n_files"))
-    hits = terms.join(F.broadcast(weights), "term").groupBy("id", "file_path", "term", "weight").agg(F.sum("tf").alias("hits")).join(df, "term")
+    hits = terms.join(small(weights), "term").groupBy("id", "file_path", "term", "weight").agg(F.sum("tf").alias("hits")).join(df, "term")
     rarity = F.expr("1024 div (1 + n_files)")
     return hits.withColumn("part", F.col("weight") * rarity * F.col("hits") * F.col("hits")).groupBy("id", "file_path").agg(F.sum("part").alias("score"))
 

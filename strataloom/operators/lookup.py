@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators.bounds import small
 from strataloom.plans.bind import compatible
 
 # Seconds of each unit.
@@ -69,7 +70,7 @@ def collapse_partial(symbols: DataFrame) -> DataFrame:
 def callers(symbols: DataFrame, edges: DataFrame, name: str, kind: str = "calls") -> DataFrame:
     """The distinct symbols with an edge of ``kind`` to ``name`` that one of its definitions is compatible with."""
     meant = symbols.where(F.col("name") == name).select(F.col("name").alias("to_name"), F.col("kind").alias("to_kind")).distinct()
-    hits = edges.where((F.col("kind") == kind) & (F.col("to_name") == name)).select("from_id", "to_name", "target_kind").join(F.broadcast(meant), "to_name")
+    hits = edges.where((F.col("kind") == kind) & (F.col("to_name") == name)).select("from_id", "to_name", "target_kind").join(small(meant), "to_name")
     ids = hits.where(compatible(F.col("target_kind"), F.col("to_kind"))).select(F.col("from_id").alias("id")).distinct()
     return symbols.join(ids, "id", "left_semi")
 
@@ -77,7 +78,7 @@ def callers(symbols: DataFrame, edges: DataFrame, name: str, kind: str = "calls"
 def callees(symbols: DataFrame, edges: DataFrame, name: str, kind: str = "calls") -> DataFrame:
     """Distinct (to_name, line) of the one definition of ``name``; nothing where there are several."""
     own = symbols.where(F.col("name") == name).select("id", F.count("*").over(Window.partitionBy("name")).alias("n")).where("n = 1")
-    return edges.where(F.col("kind") == kind).join(F.broadcast(own), F.col("from_id") == F.col("id"), "left_semi").select("to_name", "line").distinct()
+    return edges.where(F.col("kind") == kind).join(small(own), F.col("from_id") == F.col("id"), "left_semi").select("to_name", "line").distinct()
 
 
 def explain(symbols: DataFrame, edges: DataFrame) -> DataFrame:
@@ -122,7 +123,7 @@ def outline(symbols: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
 def imports(symbols: DataFrame, edges: DataFrame, path: str) -> DataFrame:
     own = symbols.where(F.col("file_path") == path).select("id")
-    return edges.where("kind = 'imports'").join(F.broadcast(own), F.col("from_id") == F.col("id"), "left_semi").select(F.col("to_name").alias("name"), "line").distinct()
+    return edges.where("kind = 'imports'").join(small(own), F.col("from_id") == F.col("id"), "left_semi").select(F.col("to_name").alias("name"), "line").distinct()
 
 
 def imported_by(symbols: DataFrame, edges: DataFrame, name: str) -> DataFrame:

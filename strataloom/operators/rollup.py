@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
+from strataloom.operators.bounds import small
+
+#: Rules of an owners file.
+RULES = 50_000
 
 
 def coverage(rows: DataFrame) -> DataFrame:
@@ -58,9 +62,9 @@ def capped_findings(findings: DataFrame, per_file: int = 100, total: int = 5_000
 def owners(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(path, owners, rule_no): the last rule whose pattern matches; an empty list of owners is an answer as well.
 
-    ``rules`` (rule_no, pattern as a regular expression, owners) is a small file; it is broadcast.
+    ``rules`` (rule_no, pattern as a regular expression, owners) come of one file of bounded size.
     """
-    hit = files.join(F.broadcast(rules), F.regexp_like("path", F.col("pattern")), "left")
+    hit = files.join(small(rules, RULES), F.regexp_like("path", F.col("pattern")), "left")
     return hit.groupBy("path").agg(F.max_by("owners", "rule_no").alias("owners"), F.max("rule_no").alias("rule_no"))
 
 
@@ -75,7 +79,7 @@ def mentions(docs: DataFrame, names: DataFrame, per_file: int = 20) -> DataFrame
     Words join with names, so no document is compared with every name.
     """
     words = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("place", "name"))
-    first = words.join(F.broadcast(names), "name").groupBy("name", "doc_id").agg(F.min("place").alias("place"))
+    first = words.join(small(names), "name").groupBy("name", "doc_id").agg(F.min("place").alias("place"))
     return first.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("doc_id"))).where(F.col("k") <= per_file).drop("k")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.operators import search as fts
 from strataloom.operators import text
+from strataloom.operators.bounds import small
 from strataloom.plans.bind import load, symbols
 from strataloom.plans.registry import paged, query
 
@@ -191,4 +192,4 @@ def history_review(spark: SparkSession, d: str) -> DataFrame:
     gone = symbols(spark, d).where("id % 13 = 0").select(F.split("file_path", "/")[0].alias("term")).distinct()
     names = gone.unionByName(spark.createDataFrame([("token",), ("license",)], "term string")).distinct()
     words = load(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
-    return words.join(F.broadcast(names), "term").groupBy("term").agg(F.count("*").alias("documents"))
+    return words.join(small(names), "term").groupBy("term").agg(F.count("*").alias("documents"))
