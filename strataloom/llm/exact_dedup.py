@@ -4,9 +4,10 @@
    a task sees a million times leaves it once (a hot group of copies costs one row a task).
 2. Length and content hash deal the surviving byte strings to owner partitions; there they arrive in byte
    order and the owner inserts them into its own trie. Terminals hold the smallest identifier and the count.
-3. Both tries hold at most ``budget`` bytes of labels. Beyond it whole subtrees are spilled: the input side
-   sends its heaviest ones on (their terminals are partial, the owners add them up), the owner side emits
-   every subtree left of the byte string it has just inserted, which no later string can enter.
+3. Both tries hold at most ``budget`` bytes: labels, and ``NODE_BYTES`` for each node. Beyond it subtrees are
+   spilled: the input side sends its heaviest ones on (their terminals are partial, the owners add them up). On
+   the owner side strings come in byte order, so before a new one all that the trie holds lies left of it and is complete;
+   there every subtree is emitted and the trie starts anew.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import SPACE, parts, text_of
 
 #: Bytes of labels that one trie may hold.
 TRIE_BYTES = 48 << 20
+#: What a node with a table of its children takes beside its label, as measured.
+NODE_BYTES = 400
 BATCH_BYTES = 4 << 20
 
 
@@ -56,7 +59,7 @@ class RadixTrie:
             kid = node.kids.get(key[at])
             if kid is None:
                 kid = node.kids[key[at]] = Node(key[at:])
-                self.size += len(kid.label) + 200
+                self.size += len(kid.label) + NODE_BYTES
                 at = len(key)
             elif key.startswith(kid.label, at):
                 at += len(kid.label)
@@ -65,7 +68,7 @@ class RadixTrie:
                 fork = node.kids[key[at]] = Node(kid.label[:n])
                 kid.label = kid.label[n:]
                 fork.kids[kid.label[0]] = kid
-                self.size += 200
+                self.size += NODE_BYTES
                 kid, at = fork, at + n
             node = kid
         node.count += count
@@ -85,7 +88,7 @@ class RadixTrie:
         total, stack = 0, [node]
         while stack:
             at = stack.pop()
-            total += len(at.label) + 200
+            total += len(at.label) + NODE_BYTES
             stack.extend(at.kids.values())
         return total
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
+
 #: Dimensions of a vector, centroids of a language, and rounds of clustering.
 DIMENSIONS, CENTROIDS, ROUNDS = 1 << 13, 4, 12
 #: Rows that a model is learned from at most, dealt evenly to the languages by a hash of the row.
@@ -76,8 +78,10 @@ class Model:
     idf: np.ndarray
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        m = np.stack([counts_of(t, len(self.idf)) for t in texts])
-        m = np.log1p(m) * self.idf
+        return self.scaled(np.stack([counts_of(t, len(self.idf)) for t in texts]))
+
+    def scaled(self, counts: np.ndarray) -> np.ndarray:
+        m = np.log1p(counts) * self.idf
         return (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
@@ -109,17 +113,16 @@ def clustered(vectors: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def fit(texts: list[str], languages: list[str], dimensions: int = DIMENSIONS, k: int = CENTROIDS) -> Model:
-    rows = [(t, g) for t, g in zip(texts, languages) if g is not None and has_letter(t)]
-    if not rows:
+def fit(counts: np.ndarray, languages: list[str], k: int = CENTROIDS) -> Model:
+    """Centroids of the rows of n-gram counts of each language."""
+    dimensions = counts.shape[1]
+    if not len(counts):
         return Model([], np.zeros((0, dimensions), np.float32), np.zeros(0), np.ones(dimensions))
-    df = np.zeros(dimensions)
-    for t, _ in rows:
-        df += counts_of(t, dimensions) > 0
-    model = Model([], np.zeros(0), np.zeros(0), np.log((1 + len(rows)) / (1 + df)) + 0.05)
+    model = Model([], np.zeros(0), np.zeros(0), np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 0.05)
     names, centres, radii = [], [], []
-    for g in sorted({g for _, g in rows}):
-        vectors = np.concatenate([model.vectors([t]) for t, h in rows if h == g])
+    of = np.array(languages)
+    for g in sorted(set(languages)):
+        vectors = model.scaled(counts[of == g])
         own = clustered(vectors, k)
         near = vectors @ own.T
         mine = near.argmax(axis=1)
@@ -130,18 +133,37 @@ def fit(texts: list[str], languages: list[str], dimensions: int = DIMENSIONS, k:
     return Model(names, np.concatenate(centres).astype(np.float32), np.array(radii), model.idf)
 
 
-def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fit on at most ``sample_rows`` rows of ``labelled``, chosen by a hash of their identifier."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(sample_rows).collect()}
+def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dimensions: int = DIMENSIONS) -> Model:
+    """Fit on at most ``sample_rows`` rows of ``labelled``, chosen by a hash of their identifier.
+
+    Of rows with one identifier and language the smallest text counts, so repeated rows add nothing. Texts stay with the
+    executors; the driver gets the counts of their n-grams, ``dimensions`` numbers of a row at most.
+    """
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()}
     if not counts:
-        return fit([], [])
+        return fit(np.zeros((0, dimensions), np.float32), [])
     each = max(1, sample_rows // len(counts))
-    draw = F.pmod(F.xxhash64(F.lit("language"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("language"), F.col("id")), F.lit(1 << 30)) / float(1 << 30)
     share = F.create_map(*(F.lit(x) for g, n in counts.items() for x in (g, min(1.0, each / n))))
-    picked = rows.where(draw < share[F.col(lang_col)]).select(lang_col, text_col, draw.alias("draw__"), F.col(id_col).alias("id__")).orderBy("draw__", "id__", lang_col).limit(sample_rows)
-    found = picked.collect()
-    return fit([r[1] for r in found], [r[0] for r in found])
+    picked = rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).groupBy("draw", "id", "lang").agg(F.min("text").alias("text"))
+    picked = picked.orderBy("draw", "id", "lang").limit(sample_rows).repartition(min(16, parts(labelled.sparkSession)), "draw", "id", "lang")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for i, text in enumerate(batch.column("text")):
+                if has_letter(text.as_py()):
+                    n = counts_of(text.as_py(), dimensions)
+                    at = np.flatnonzero(n)
+                    found.append((batch.column("draw")[i].as_py(), batch.column("lang")[i].as_py(), at.astype(np.int32), n[at]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate((pa.float64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int64())))], names=["draw", "lang", "at", "n"])
+
+    found = sorted(picked.select("draw", "lang", "text").mapInArrow(count, "draw double, lang string, at array<int>, n array<long>").collect(), key=lambda r: (r["draw"], r["lang"], r["at"], r["n"]))
+    matrix = np.zeros((len(found), dimensions), np.float32)
+    for row, r in zip(matrix, found):
+        row[r["at"]] = r["n"]
+    return fit(matrix, [r["lang"] for r in found])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
