@@ -1,4 +1,9 @@
-"""A corpus pipeline of five stages over ``documents``; each stage works on all rows that the one before it kept."""
+"""A corpus pipeline of five stages over ``documents``; each stage works on all rows that the one before it kept.
+
+Stages read the five columns of ``documents`` and return them (the last one with its own beside them); whatever other columns
+come in, under any name, do not matter. Null columns never drop a row, texts of any length are read whole, and an empty
+table stays empty. What a stage does with rows that repeat is said there.
+"""
 
 from __future__ import annotations
 
@@ -21,7 +26,10 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar, fitted on the labelled rows among them, scores from 0.7 on go."""
+    """Documents that the grammar, fitted on the labelled rows among them, scores from 0.7 on go.
+
+    Rows that repeat a text share its score, so all of them stay or go. Null and empty texts stay.
+    """
     model = toxic.learn(docs, table(spark, sf_dir, "labels"))
     return toxic.score_toxicity(docs, model).where("predicted = 0").select(*COLUMNS)
 
@@ -43,18 +51,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words repeat windows of the benchmark go."""
+    """Documents of which a twentieth or more of the words repeat windows of the benchmark go.
+
+    Rows that repeat a text share its fate. Null and empty texts, which repeat nothing, stay.
+    """
     found = contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.where(~((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it.
+
+    Rows that repeat identifier, source and size are taken equally often; a null source is one source, the last.
+    """
     return repeated(mix_sources(docs), COLUMNS)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every row with its shard of eight and its slot there."""
+    """Every row with its shard of eight and its slot there; rows that repeat have slots of their own."""
     placed = shard_by_bytes(docs, 8)
     return placed.select(*COLUMNS, "size", "text_crc32", "shard", "slot")
 
