@@ -36,26 +36,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: While a table is filled: its plan's shuffle files are of no more use afterwards and go, and Python workers get few
-#: rows at a time, whose texts are held several times over on both sides.
-FILLING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python worker gets at once where the session has the default. A batch is held several times over, by the
+#: executor and by the worker, and texts are long.
+BATCH_ROWS, BATCH_DEFAULT, BATCH_CONF = 512, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Python workers get few rows at a time, unless the session says otherwise. It stays so for the session."""
+    if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it back.
 
-    Unlike a local checkpoint the table outlives any executor. ``FILLING`` holds for the session meanwhile.
+    Unlike a local checkpoint the table outlives any executor. The shuffle files of the plan that fills it are
+    of no more use and go when it is written; that setting holds for the session meanwhile.
     """
     spark = df.sparkSession
     folder = new_folder(spark, name)
-    before = {k: spark.conf.get(k) for k in FILLING}
-    for k, v in FILLING.items():
-        spark.conf.set(k, v)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(folder)
     finally:
-        for k, v in before.items():
-            spark.conf.set(k, v)
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(folder)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, parts, text_of
+from .common import SPACE, bounded_batches, parts, text_of
 
 #: Bytes of labels that one trie may hold.
 TRIE_BYTES = 48 << 20
@@ -172,6 +172,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     identifier. Columns of ``docs`` named like one of the four are replaced. An empty table gives no rows.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     body = F.regexp_replace(text_of(text_col), SPACE, " ")
     found = (
         docs.select(F.col(id_col).cast("long").alias("ident"), body.cast("binary").alias("body"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Lines summed at each position.
 WINDOW = 3
 #: Characters that a window needs for a surge, and at most this share of the fullest window, so that short pages
@@ -351,6 +353,8 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rows get equal texts. Columns of ``pages`` named text or n_chars are replaced.
     """
 
+    bounded_batches(pages.sparkSession)
+
     @F.arrow_udf("string")
     def extracted(page: pa.Array) -> pa.Array:
         return pa.array([main_text(x.as_py()) for x in page], pa.string())

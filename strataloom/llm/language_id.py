@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts
+from .common import bounded_batches, parts
 
 #: Dimensions of a vector, centroids of a language, and rounds of clustering.
 DIMENSIONS, CENTROIDS, ROUNDS = 1 << 13, 4, 12
@@ -140,6 +140,7 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "do
     executors; the driver gets the counts of their n-grams, ``dimensions`` numbers of a row at most.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    bounded_batches(labelled.sparkSession)
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample_rows).collect()}
     if not counts:
         return fit(np.zeros((0, dimensions), np.float32), [])
@@ -173,6 +174,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     that was learned from nothing. Long texts are read whole, span by span. Equal texts get equal answers, and
     of equally near centroids the first by language wins. Columns of ``docs`` with these names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     packed = pickle.dumps((model.languages, model.centroids, model.radii, model.idf))
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")

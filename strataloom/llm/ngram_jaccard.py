@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -266,7 +266,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     are told apart by 64-bit hashes. Other columns of ``docs`` are not read, whatever their names. An empty table
     gives no rows.
     """
-    spark = docs.sparkSession
+    bounded_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     heads = written(texts.mapInArrow(heads_of(k, percent), HEADS).withColumn("row", F.monotonically_increasing_id()), "heads")
     full = heads.where("n > 0")

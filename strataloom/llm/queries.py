@@ -127,12 +127,43 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS own FROM w),
+n AS (SELECT doc_id, len(own) AS n FROM s), e AS (SELECT doc_id, unnest(own) AS g FROM s),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+c AS (SELECT a, least(a, min(b)) AS component_id FROM r GROUP BY a)
+SELECT n.doc_id, n AS n_shingles, coalesce(component_id, n.doc_id) AS component_id FROM n LEFT JOIN c ON c.a = n.doc_id
+"""
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     placed = shard_by_bytes(docs, 8)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def _crc_table() -> list[int]:
+    """CRC-32 of the single bytes, by the reflected polynomial 0xEDB88320."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+OP9_SQL = rf"""
+WITH t AS (SELECT {_crc_table()}::BIGINT[] AS crc), d AS (SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, ''))[1:15] AS h FROM documents),
+b AS (SELECT *, sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS every, list_transform(list_filter(regexp_split_to_array(regexp_replace(hex(encode(text)), '(..)', '\1,', 'g'), ','), lambda x: x <> ''), lambda x: ('0x' || x)::BIGINT) AS bytes FROM d),
+p AS (SELECT *, least(7, ((2 * before + size) * 8) // (2 * every))::INTEGER AS shard FROM b)
+SELECT doc_id, size, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) AS text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, NULL::INTEGER AS grown_shard FROM p, t
+"""
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -153,4 +184,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_sharding": OP9_SQL}

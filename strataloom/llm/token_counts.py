@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import bounded_batches, text_of, written
 
 #: A longer text is encoded piece by piece, cut where the pre-tokenizer always cuts.
 PIECE_CHARS = 1 << 16
@@ -102,6 +102,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
     runs have both appended are equal, and one of them is used.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     with open(tokenizer_path, "rb") as f:
         blob = f.read()
     version = tokenizer_digest(blob)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import bounded_batches, parts, written
 
 #: Labelled rows that a model is fitted on at most, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2000
@@ -272,6 +272,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_toxic: int = SAMPLE_TOXIC,
     the families. ``table`` is the grammar, other than its own for comparison.
     """
     table = grammar() if table is None else table
+    bounded_batches(docs.sparkSession)
     each = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     draw = F.xxhash64(F.lit("toxicity"), F.col("doc_id"))
     chosen = [each.where(F.col("toxic") == y).orderBy(draw, "doc_id").limit(n) for y, n in ((1, sample_toxic), (0, sample_clean))]
@@ -319,6 +320,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, text_c
     Null and empty texts hold no clause and get the score of a text without matches. Long texts are read
     whole. Equal texts get equal scores. Columns of ``docs`` with these names are replaced.
     """
+    bounded_batches(docs.sparkSession)
     packed = pickle.dumps((model.words, model.beginnings, model.curve, model.table))
 
     @F.arrow_udf("double")
