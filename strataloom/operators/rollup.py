@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import paths
 from strataloom.operators.bounds import small
+from strataloom.operators.store import cut
 
 #: Rules of an owners file.
 RULES = 50_000
@@ -149,11 +150,11 @@ def report(found: list[DataFrame], diagnostics: list[DataFrame], cap: int = RESU
     every = rows[0]
     for more in rows[1:]:
         every = every.unionByName(more)
-    first = every.orderBy("rule", "code", "subject").limit(cap + 1)
+    first = cut(every.orderBy("rule", "code", "subject").limit(cap + 1), "report")
     n = first.count()
     if n > cap:
         limit = every.sparkSession.createDataFrame([("~report", "policy_result_limit", f"{cap} results")], "rule string, code string, subject string")
-        first = every.orderBy("rule", "code", "subject").limit(cap - 1).unionByName(limit)
+        first = first.orderBy("rule", "code", "subject").limit(cap - 1).unionByName(limit)
     complete = F.lit(first.where("code <> 'violation'").isEmpty())
     return first.select("rule", "code", "subject", complete.alias("complete"), F.lit(n == 0).alias("passed"))
 

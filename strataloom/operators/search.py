@@ -168,13 +168,17 @@ def search(docs: DataFrame, key: str, column: str, text: str, top: int, kind: st
     return first.join(lines, key, "left").orderBy(F.col("score").desc(), key)
 
 
-def concept(fields: DataFrame, question: str, top: int) -> DataFrame:
+def concept(fields: DataFrame, question: str, top: int, tests: DataFrame | None = None) -> DataFrame:
     """A page of symbols for a question, (id, hits, ranked_hits, score) over ``fields`` (id, field, term, tf, n).
 
+    Symbols of ``tests`` (id) are left out before anything is counted.
+
     Terms with one stem count once. All terms must occur; from three on half of them and two are enough, of which as
     many as that, but three at most, carry weight, as far as there are such. Function words have no weight unless there are no others. Term
     frequencies weigh by field before BM25 dampens them, and more hits come before a higher score.
     """
+    if tests is not None:
+        fields = fields.join(tests.select("id").distinct(), "id", "left_anti")
     asked: dict[str, str] = {}
     every = [w for w in re.split(r"[^\w]+|_", question.lower()) if w]
     for w in dict.fromkeys(every):

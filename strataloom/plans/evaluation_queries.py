@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths, stats
-from strataloom.operators import change, evaluation, graph, mining, rollup, trials
+from strataloom.operators import change, evaluation, graph, mining, policies, rollup, trials
+from strataloom.operators.store import new_folder
 from strataloom.plans.bind import edges, load, suppliers, symbols, touches
-from strataloom.plans.change_queries import REACH_SQL, changed, reached
+from strataloom.plans.change_queries import REACH_SQL, base, changed, reached
 from strataloom.plans.evidence_queries import OWNED_SQL, PAIRS_SQL, RULES_SQL, owned
 from strataloom.plans.mining_queries import TRIAL_SQL, _trials
 from strataloom.plans.registry import query
+from strataloom.sources import policies as policy_files
 
 REVIEW_SQL = f"{TRIAL_SQL}, rv AS (SELECT doc_id AS answer, condition, 'a' AS reviewer, 'outcome' AS dimension, quality AS verdict FROM tr WHERE quality IS NOT NULL UNION ALL SELECT doc_id, condition, 'b', 'outcome', 1 - toxic FROM tr WHERE toxic IS NOT NULL)"
 
@@ -212,6 +214,60 @@ def policy_report(spark: SparkSession, d: str) -> DataFrame:
     return rollup.report(found, [rollup.unowned_sides(pairs, own)])
 
 
+POLICY = """
+version: 1
+rules:
+  - id: east-west  # no way from one to the other
+    from: "asia/**"
+    deny_imports: "europe/*/s*.rs"
+  - id: radius
+    scope: "africa/**"
+    max_blast_radius: 10
+  - id: cycles
+    scope: "america/**"
+    max_new_cycles: 0
+  - id: tests
+    scope: "middle_east/**"
+    require_tests: true
+  - id: held
+    critical: "europe/**"
+    require_workflow: strict
+  - id: owner
+    when: api_surface_changed
+    scope: "asia/nation_1?/*"
+    require_owner: rustlers
+"""
+
+
+@query(
+    "symbols edges resolved files",
+    REACH_SQL
+    + f""", {RULES_SQL}, {OWNED_SQL}, {PAIRS_SQL}, cf AS (SELECT DISTINCT s.file_path AS path FROM changed JOIN symbols s USING (id)),
+    bp AS (SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM edges e JOIN base a ON a.id = e.from_id JOIN base b ON b.name = e.to_name WHERE e.kind = 'imports' AND a.file_path <> b.file_path),
+    m1 AS (SELECT p.from_file, p.to_file FROM pairs p JOIN pairs q ON q.from_file = p.to_file AND q.to_file = p.from_file WHERE p.from_file < p.to_file AND starts_with(p.from_file, 'america/') AND starts_with(p.to_file, 'america/')),
+    m0 AS (SELECT p.from_file, p.to_file FROM bp p JOIN bp q ON q.from_file = p.to_file AND q.to_file = p.from_file WHERE p.from_file < p.to_file), nc AS (SELECT count(*) AS n FROM (SELECT * FROM m1 EXCEPT SELECT * FROM m0)),
+    br AS (SELECT count(DISTINCT (s.file_path, s.line_start, s.name)) AS n FROM reach r JOIN symbols f ON f.id = r.seed AND starts_with(f.file_path, 'africa/') JOIN symbols s ON s.id = r.id),
+    su AS (SELECT DISTINCT s.file_path, s.name FROM resolved r JOIN symbols s ON s.id = r.to_id JOIN symbols f ON f.id = r.from_id WHERE starts_with(s.file_path, 'asia/') AND NOT starts_with(f.file_path, 'asia/')),
+    e AS (SELECT 'east-west' AS rule, from_file || ' -> ' || to_file AS subject FROM pairs WHERE starts_with(from_file, 'asia/') AND regexp_matches(to_file, '^europe/[^/]+/s[^/]*\\.rs$') AND from_file IN (SELECT path FROM cf)
+      UNION ALL SELECT 'cycles', n || ' new cycles' FROM nc WHERE n > 0 UNION ALL SELECT 'radius', n || ' impacted' FROM br WHERE n > 10
+      UNION ALL SELECT 'tests', path FROM cf WHERE starts_with(path, 'middle_east/') AND path NOT IN (SELECT file_path FROM symbols WHERE kind = 'trait')
+      UNION ALL SELECT 'held', path FROM cf WHERE starts_with(path, 'europe/') AND path NOT IN (SELECT file_path FROM files WHERE suppkey % 3 = 0)
+      UNION ALL SELECT 'owner', file_path || ' -> ' || name FROM su WHERE regexp_matches(file_path, '^asia/nation_1[^/]/[^/]*$') AND file_path NOT IN (SELECT path FROM owned WHERE list_contains(string_split(owners, ','), 'rustlers'))),
+    k AS (SELECT count(*) AS n FROM e), r AS (SELECT * FROM (SELECT rule, 'violation' AS code, subject FROM e ORDER BY rule, code, subject LIMIT (SELECT CASE WHEN n > 1000 THEN 999 ELSE 1000 END FROM k)) UNION ALL SELECT '~report', 'policy_result_limit', '1000 results' FROM k WHERE n > 1000)
+    SELECT *, (SELECT n <= 1000 FROM k) AS complete, (SELECT n = 0 FROM k) AS passed FROM r""",
+)
+def policy_file(spark: SparkSession, d: str) -> DataFrame:
+    """A policy file read and held against the change between two snapshots."""
+    folder = new_folder(spark, "policy")
+    spark.createDataFrame([(POLICY,)], "value string").coalesce(1).write.text(folder)
+    s, e, files = symbols(spark, d), edges(spark, d), suppliers(spark, d)
+    moved = s.select("id", F.col("file_path").alias("path")).join(changed(spark, d), "id", "left_semi").select("path").distinct()
+    surface = graph.api_surface(s, e, "asia/").select("file_path", "name").distinct()
+    tested = s.where("kind = 'trait'").select(F.col("file_path").alias("path")).distinct()
+    held = files.where("suppkey % 3 = 0").select(F.col("file_path").alias("path"))
+    return policies.evaluate(policy_files.read(spark, folder), graph.import_pairs(s, e), graph.import_pairs(base(spark, d), e), surface, reached(spark, d), s, moved, tested, owned(spark, d), held)
+
+
 def _exact(rows: DataFrame, schema: str, run) -> DataFrame:
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:

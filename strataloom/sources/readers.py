@@ -5,19 +5,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
+from strataloom.operators.text import redacted
 
 #: Largest source file that is read, and how much of it is searched for a zero byte.
 MAX_BYTES, SNIFF_BYTES = 5 << 20, 8 << 10
 SKIPPED_DIRS = ("/.git/", "/node_modules/", "/target/", "/vendor/", "/dist/", "/build/")
 
 
-def source_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, mtime, length, language, content_sha256, text) of admitted files: known extension, size, no binary."""
+def ignore_rules(text: str) -> list[tuple[str, bool]]:
+    """(pattern over paths from the root, whether it ignores) of an ignore file, in its order."""
+    rules = []
+    for line in text.split("\n"):
+        line = line.rstrip()
+        if not line or line.startswith("#"):
+            continue
+        ignores = not line.startswith("!")
+        glob = line if ignores else line[1:]
+        folder, glob = glob.endswith("/"), glob.rstrip("/")
+        anchored = "/" in glob
+        pattern = paths.glob_regex(glob.lstrip("/"))[1:-1]
+        rules.append((f"^{'' if anchored else '(?:.*/)?'}{pattern}{'/.*' if folder else '(?:/.*)?'}$", ignores))
+    return rules
+
+
+def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    """Whether the last rule that matches a path from the root ignores it."""
+    out = F.lit(False)
+    for pattern, ignores in rules:
+        out = F.when(path.rlike(pattern), F.lit(ignores)).otherwise(out)
+    return out
+
+
+def source_files(spark: SparkSession, root: str, ignore: str = "") -> DataFrame:
+    """(path, mtime, length, language, content_sha256, text) of admitted files: known extension, size, no binary.
+
+    ``ignore`` is the text of an ignore file at the root; what its last matching rule ignores is left out.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    if ignore:
+        below = F.substring_index("path", root.split("://")[-1].rstrip("/") + "/", -1)
+        raw = raw.where(~ignored(below, ignore_rules(ignore)))
     rows = raw.where(F.col("length") <= MAX_BYTES).withColumn("language", paths.language_of(F.col("path"))).where("language <> 'unknown'")
     for part in SKIPPED_DIRS:
         rows = rows.where(~F.col("path").contains(part))
@@ -142,6 +173,28 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("body", F.when(ok, F.col("body")).otherwise(F.raise_error(F.concat(F.lit("digest of "), "source_id"))))
 
 
+#: Largest document of a history, and how many are read; more are an answer that says so.
+HISTORY_BYTES, HISTORY_FILES = 1 << 20, 5_000
+# What a document is by its folder or name.
+HISTORY_KINDS = {"decision": r"(^|/)(adrs?|decisions?)/|(^|/)adr-", "task": r"(^|/)(tasks?|plans?)/", "postmortem": r"(^|/)(postmortems?|incidents?)/"}
+
+
+def markdown_history(spark: SparkSession, root: str, cap: int = HISTORY_FILES) -> DataFrame:
+    """(path, kind, length, text, skipped, truncated) of the Markdown documents under a folder.
+
+    Larger documents are skipped and counted, and so is text that shows a secret; of more documents than ``cap`` the
+    first by path are read, and each row says that this was not all.
+    """
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
+    rows = raw.select("path", "length", F.when(F.col("length") <= HISTORY_BYTES, redacted(F.decode("content", "UTF-8"))).alias("text"))
+    kind = F.lit("document")
+    for name, pattern in reversed(HISTORY_KINDS.items()):
+        kind = F.when(F.lower("path").rlike(pattern), name).otherwise(kind)
+    counted = rows.agg(F.count_if(F.col("text").isNull()).alias("skipped"), F.count("text").alias("n")).collect()[0]
+    first = rows.where("text is not null").orderBy("path").limit(cap)
+    return first.select("path", kind.alias("kind"), "length", "text", F.lit(counted["skipped"]).alias("skipped"), F.lit(counted["n"] > cap).alias("truncated"))
+
+
 #: Sections of a document; later ones are folded into the last.
 MAX_SECTIONS = 128
 

@@ -115,3 +115,23 @@ def test_contrasts_and_the_gate(spark):
     pairs = [("loss", 1, 1, 0, 0), ("open", 0, 1, 1, 1), ("none", 0, 0, 1, 1), ("kept", 1, 1, 1, 1)]
     gate = evaluation.value_gate(spark.createDataFrame(pairs, "k string, b_low int, b_high int, c_low int, c_high int"), "k")
     assert {r.k: r.status for r in gate.collect()} == {"loss": "quality_regression", "open": "unresolved_quality", "none": "no_successful_baseline", "kept": "reviewed_outcomes_preserved"}
+
+
+def test_policy_files():
+    from strataloom.plans.evaluation_queries import POLICY
+    from strataloom.sources.policies import MAX_RULES, PolicyError, parse
+
+    rules = parse(POLICY)
+    assert [r.id for r in rules] == ["cycles", "east-west", "held", "owner", "radius", "tests"]
+    assert rules[0].fields == {"scope": "america/**", "max_new_cycles": 0} and rules[3].pattern("scope") == "^asia/nation_1[^/]/[^/]*$"
+    head = "version: 1\nrules:\n"
+    one = "  - id: a{}\n    scope: x\n    max_blast_radius: 1\n"
+    assert len(parse(head + "".join(one.format(i) for i in range(MAX_RULES)))) == MAX_RULES
+    for bad in (
+        "", "version: 2\nrules:\n" + one.format(1), head, head + one.format(1) * 2, head + "".join(one.format(i) for i in range(MAX_RULES + 1)),
+        head + "  - id: -a\n    scope: x\n    max_blast_radius: 1\n", head + "  - id: a\n    scope: x\n", head + "  - id: a\n    max_blast_radius: 1\n",
+        head + "  - id: a\n    scope: x\n    max_blast_radius: many\n", head + "  - id: a\n    scope: x\n    require_tests: false\n", head + "  - id: a\n    scope: x\n    from: y\n    require_tests: true\n",
+        head + "  - id: a\n    scope: x\n    max_new_cycles: 1\n    require_tests: true\n", "other: 1\n" + head + one.format(1), head + "  what is this\n",
+    ):
+        with pytest.raises(PolicyError):
+            parse(bad)

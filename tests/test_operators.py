@@ -368,4 +368,5 @@ def test_questions_need_terms_with_weight(spark):
     f = spark.createDataFrame(rows, "id long, field string, term string, tf long, n long")
     ids = lambda q: [r.id for r in fts.concept(f, q, 9).collect()]
     assert ids("parse") == [1] and ids("parse parses") == [1]  # one stem, one term
+    assert [r.id for r in fts.concept(f, "parse", 9, tests=spark.createDataFrame([(1,)], "id long")).collect()] == []
     assert ids("the of") == [2] and ids("the parse list token") == [3] and ids("parse the") == [1]

@@ -22,6 +22,29 @@ def test_python_extraction(spark, tmp_path):
     assert {(names[r.from_id], r.to_name, r.kind, r.target_kind) for r in e.collect()} == {("<module>", "os", "imports", None), ("m", "helper", "calls", "function"), ("m", "x", "calls", "method")}
 
 
+def test_ignore_rules(spark, tmp_path):
+    text = "# note\n*.gen.py\n/out/\ndocs/*.py\n!docs/keep.py\ncache\n"
+    cases = {"a.gen.py": True, "x/b.gen.py": True, "out/a.py": True, "x/out/a.py": False, "docs/a.py": True, "docs/keep.py": False, "docs/x/a.py": False, "cache/a.py": True, "x/cache/y/a.py": True, "cached.py": False}
+    got = spark.createDataFrame([(p,) for p in cases], "p string").select("p", readers.ignored(F.col("p"), readers.ignore_rules(text)).alias("i")).collect()
+    assert {r.p: r.i for r in got} == cases
+    for p in ("a.py", "out/b.py"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_text("x = 1\n")
+    assert {r.path.rsplit("/", 1)[1] for r in readers.source_files(spark, str(tmp_path), text).collect()} == {"a.py"}
+
+
+def test_markdown_history(spark, tmp_path):
+    (tmp_path / "adr").mkdir()
+    (tmp_path / "adr" / "one.md").write_text("# One\n")
+    (tmp_path / "z.md").write_text("# Z\n")
+    (tmp_path / "secret.md").write_text("-----BEGIN PRIVATE KEY-----\n")
+    (tmp_path / "large.md").write_text("x" * (readers.HISTORY_BYTES + 1))
+    (tmp_path / "no.txt").write_text("# no")
+    got = readers.markdown_history(spark, str(tmp_path)).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.kind, r.skipped, r.truncated) for r in got] == [("one.md", "decision", 2, False), ("z.md", "document", 2, False)]
+    assert [r.truncated for r in readers.markdown_history(spark, str(tmp_path), cap=1).collect()] == [True]
+
+
 def test_changed_files(spark):
     t = datetime.datetime(2024, 1, 1)
     rows = lambda *p: spark.createDataFrame(list(p), "path string, mtime timestamp")
