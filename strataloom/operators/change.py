@@ -47,6 +47,34 @@ def match_declarations(base: DataFrame, head: DataFrame, scope: list[str]) -> Da
     return one.unionByName(rest).unionByName(same)
 
 
+def match_trees(base: DataFrame, head: DataFrame, max_depth: int = 64) -> DataFrame:
+    """``match_declarations`` of (id, parent_id, file_path, name, kind, signature, lines) from the top of each file down.
+
+    Children are compared only below parents that are the same declaration; below one that came or went all did.
+    A matched pair goes by its head's identifier. One round of joins and a written table for each level.
+    """
+    columns = ["id", "parent_id", "file_path", "name", "kind", "signature", "line_start", "line_end"]
+
+    def top(side: DataFrame) -> DataFrame:
+        known = side.select(F.col("id").alias("parent_id"))
+        return side.join(known, "parent_id", "left_anti").withColumn("under", F.lit(None).cast("long"))
+
+    b, h = top(base.select(columns)), top(head.select(columns))
+    out = None
+    for _ in range(max_depth):
+        scope = [F.col("file_path"), F.coalesce("under", F.lit(-1)).alias("under"), F.col("name"), F.col("kind")]
+        side = lambda df: df.select(*scope, "id", "signature", "line_start", "line_end")  # noqa: E731, B023
+        level = cut(match_declarations(side(b), side(h), ["file_path", "under", "name", "kind"]), "matched-level")
+        if level.isEmpty():
+            break
+        out = level if out is None else out.unionByName(level)
+        pair = level.select("base_id", "head_id", F.coalesce("head_id", "base_id").alias("under"))
+        below = lambda df, end: df.select(columns).join(pair.where(f"{end} is not null").select(F.col(end).alias("parent_id"), "under", F.col("base_id").isNull().alias("new"), F.col("head_id").isNull().alias("gone")), "parent_id")  # noqa: E731, B023
+        # what is below a removed parent must not meet what is below an added one of the same number
+        b, h = (below(base, "base_id").withColumn("under", F.when(F.col("gone"), -2 - F.col("under")).otherwise(F.col("under"))), below(head, "head_id"))
+    return out.drop("under")
+
+
 def body_changes(base: DataFrame, head: DataFrame) -> DataFrame:
     """(path, first_line, last_line): hunks of the new text by a line diff of each file that is on both sides."""
 

@@ -200,4 +200,20 @@ def concept(fields: DataFrame, question: str, top: int, tests: DataFrame | None
     return page(rows, top, F.col("hits").desc(), F.col("score").desc(), "id")
 
 
-__all__ = ["FUNCTION_WORDS", "concept", "holds", "occurrences", "parse", "search"]
+def recall(fields: DataFrame, terms: list[str], weights: dict[str, int], top: int) -> DataFrame:
+    """A page of (id, hits, score) of ``fields`` (id, field, term, tf, n): any of the terms is enough, the best first.
+
+    Term frequencies weigh by field before BM25 dampens them.
+    """
+    weight = F.create_map(*(F.lit(x) for kv in weights.items() for x in kv))[F.col("field")]
+    length = fields.select("id", "field", "n").distinct().groupBy("id").agg(F.sum("n").alias("length"))
+    size = length.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")).collect()[0]
+    hits = fields.where(F.col("term").isin(terms)).groupBy("id", "term").agg(F.sum(weight * F.col("tf")).alias("tf"))
+    rare = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term asked
+    idf = F.log(1 + (size["docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(size["mean"] or 1.0)))
+    rows = hits.join(rare, "term").join(length, "id").groupBy("id").agg(F.count("*").alias("hits"), F.round(F.sum(part), 6).alias("score"))
+    return page(rows, top, F.col("score").desc(), "id")
+
+
+__all__ = ["FUNCTION_WORDS", "concept", "holds", "occurrences", "parse", "recall", "search"]

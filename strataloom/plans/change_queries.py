@@ -51,6 +51,13 @@ def declaration_matching(spark: SparkSession, d: str) -> DataFrame:
     return change.match_declarations(base(spark, d), head(spark, d), ["file_path", "name", "kind"])
 
 
+@query()
+def declaration_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The same from the top of each file down; a loop over levels has no SQL."""
+    parents = symbols(spark, d).select("id", "parent_id")
+    return change.match_trees(base(spark, d).join(parents, "id"), head(spark, d).join(parents, "id"))
+
+
 @query()
 def body_change(spark: SparkSession, d: str) -> DataFrame:
     """Line hunks of documents against themselves without every seventh line; a line diff has no SQL."""

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import paths
 from strataloom.operators import change, graph, rollup, text
+from strataloom.operators import search as fts
 from strataloom.plans.bind import edges, load, resolved, spans, symbols, touches
 from strataloom.plans.change_queries import BASE_SQL, HEAD_SQL, base, head
-from strataloom.plans.registry import query
+from strataloom.plans.registry import paged, query
 from strataloom.sources.sinks import annotations
 
 @query(
@@ -26,21 +27,26 @@ def context_layers(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("conv_id", "layer", "role", "items", "tokens", (F.col("upto") <= 120).alias("kept"), F.when(F.col("upto") > 120, "budget").alias("reason"))
 
 
-BODY = r"list_filter(string_split_regex(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+WORDS = r"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+RECALL_SQL = paged(
+    f"""WITH w AS (SELECT conv_id || '/' || turn AS id, 'role' AS field, unnest({WORDS.format(c='role')}) AS term FROM conversations UNION ALL SELECT conv_id || '/' || turn, 'body', unnest({WORDS.format(c='text')}) FROM conversations),
+    ft AS (SELECT id, field, term, count(*) AS tf FROM w GROUP BY ALL), ln AS (SELECT id, sum(tf) AS length FROM ft GROUP BY id), st AS (SELECT count(*) AS docs, avg(length) AS mean FROM ln), t AS (SELECT DISTINCT term FROM w WHERE field = 'body' AND length(term) = 6 ORDER BY term LIMIT 12),
+    h AS (SELECT id, term, sum(CASE field WHEN 'role' THEN 4 ELSE 1 END * tf) AS tf FROM ft WHERE term IN (SELECT term FROM t) OR term = 'user' GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM h GROUP BY term)
+    SELECT id, count(*) AS hits, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h JOIN df USING (term) JOIN ln USING (id), st GROUP BY id""",
+    64,
+    "score DESC, id",
+)
 
 
-@query(
-    "",
-    f"""WITH w AS (SELECT conv_id, turn, unnest({BODY}) AS term FROM conversations), t AS (SELECT DISTINCT term FROM w WHERE length(term) = 6 ORDER BY term LIMIT 12),
-    h AS (SELECT conv_id, turn, count(DISTINCT term) AS hits, count(*) AS weight FROM w WHERE term IN (SELECT term FROM t) GROUP BY ALL)
-    SELECT conv_id, turn, hits, weight FROM h ORDER BY hits DESC, weight DESC, conv_id, turn LIMIT 64""",
-)
+@query("", RECALL_SQL)
 def body_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Any of the terms is enough; the rows with most of them, 64 at most."""
-    words = load(spark, d, "conversations").select("conv_id", "turn", F.explode(text.tokens(F.col("text"))).alias("term"))
-    asked = words.where(F.char_length("term") == 6).select("term").distinct().orderBy("term").limit(12)
-    rows = words.join(F.broadcast(asked), "term").groupBy("conv_id", "turn").agg(F.count_distinct("term").alias("hits"), F.count("*").alias("weight"))
-    return rows.orderBy(F.col("hits").desc(), F.col("weight").desc(), "conv_id", "turn").limit(64)
+    """Any of the terms is enough; who spoke weighs four times what was said, and 64 rows are a page."""
+    c = load(spark, d, "conversations").withColumn("id", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
+    words = lambda field, column: c.select("id", F.lit(field).alias("field"), F.explode(text.tokens(F.col(column))).alias("term"))
+    rows = words("role", "role").unionByName(words("body", "text")).groupBy("id", "field", "term").agg(F.count("*").alias("tf"))
+    asked = [r["term"] for r in words("body", "text").where(F.char_length("term") == 6).select("term").distinct().orderBy("term").limit(12).collect()]
+    fields = rows.join(rows.groupBy("id", "field").agg(F.sum("tf").alias("n")), ["id", "field"])
+    return fts.recall(fields, [*asked, "user"], {"role": 4, "body": 1}, 64)
 
 
 @query(

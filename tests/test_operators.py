@@ -240,6 +240,15 @@ def test_null_signatures_and_vague_pairs(spark):
     assert got == {("A", "same", 1, 11, False), ("g", "same", 2, 12, True), ("g", "signature_changed", 3, 13, True), ("h", "removed", 4, None, False), ("h", "removed", 5, None, False), ("h", "added", None, 14, True)}
 
 
+def test_children_match_below_their_parents(spark):
+    schema = "id long, parent_id long, file_path string, name string, kind string, signature string, line_start int, line_end int"
+    row = lambda i, p, n, k="method", s="()", line=1: (i, p, "f", n, k, s, line, line)
+    base = spark.createDataFrame([row(1, None, "A", "class", None), row(2, 1, "run"), row(3, 1, "go"), row(4, None, "B", "class", None, 9), row(5, 4, "run"), row(6, 5, "inner", "function"), row(30, 99, "orphan", "function")], schema)
+    head = spark.createDataFrame([row(11, None, "A", "class", None), row(12, 11, "run", s="(x)"), row(14, None, "C", "class", None, 9), row(15, 14, "run"), row(16, 12, "inner", "function"), row(31, 98, "orphan", "function")], schema)
+    got = {(r.name, r.change, r.base_id, r.head_id) for r in change.match_trees(base, head).collect()}
+    assert got == {("A", "same", 1, 11), ("run", "signature_changed", 2, 12), ("go", "removed", 3, None), ("B", "removed", 4, None), ("run", "removed", 5, None), ("inner", "removed", 6, None), ("C", "added", None, 14), ("run", "added", None, 15), ("inner", "added", None, 16), ("orphan", "same", 30, 31)}
+
+
 def test_votes_claim_the_dominant_side(spark):
     rows = spark.createDataFrame([(i, "p", 1, 3) for i in range(9)] + [(99, "p", 5, 1)], "sha long, predicate string, yes int, no int")
     got = trials.commit_votes(rows).collect()[0]
