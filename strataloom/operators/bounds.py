@@ -19,16 +19,13 @@ def page(rows: DataFrame, top: int, *order: Column | str, work_cap: int | None =
     """The first ``top`` rows by ``order`` with total, returned, truncated and truncation_reason on each.
 
     total is exact, or null where more than ``work_cap`` rows came in and counting was given up. The sort is a
-    top-k of each partition, not a sort of all rows.
+    top-k of each partition, not a sort of all rows, and the count is a subquery of the same plan, so both share what
+    is shuffled.
     """
-    total = rows.agg(F.count("*").alias("n")).collect()[0][0] if work_cap is None else rows.limit(work_cap + 1).count()
-    capped = work_cap is not None and total > work_cap
-    reason = "raw_work_limit" if capped else "top" if total > top else None
-    first = rows.orderBy(*order).limit(top)
-    return first.select(
-        "*",
-        F.lit(None if capped else total).cast("long").alias("total"),
-        F.lit(min(top, total)).cast("long").alias("returned"),
-        F.lit(capped or total > top).alias("truncated"),
-        F.lit(reason).cast("string").alias("truncation_reason"),
-    )
+    n = rows if work_cap is None else rows.limit(work_cap + 1)
+    counted = n.agg(F.count("*")).scalar()
+    first = rows.orderBy(*order).limit(top).withColumn("total", counted)
+    over = F.lit(False) if work_cap is None else F.col("total") > work_cap
+    reason = F.when(over, "raw_work_limit").when(F.col("total") > top, "top")
+    first = first.withColumn("returned", F.least(F.lit(top), F.col("total"))).withColumn("truncated", over | (F.col("total") > top)).withColumn("truncation_reason", reason)
+    return first.withColumn("total", F.when(~over, F.col("total")))
