@@ -33,6 +33,8 @@ MORE = 5
 GROUP, GROUP_TOKENS = 64, 1 << 18
 #: Identifiers of sets in question up to which they are broadcast to the texts.
 BROADCAST_IDS = 200_000
+#: Members of a family that meet its consensus in one place; of a larger family each part meets a copy of it.
+FAMILY = 256
 #: Rounds of verifying against representatives of families, two at most.
 ROUNDS = 2
 #: Growth of set sizes from one length band to the next.
@@ -186,9 +188,12 @@ def by_representatives(k: int):
         mixed_up = members.groupBy("family").agg(F.count("*").alias("members"), F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high").select("family", "members")
         members = written(members.join(mixed_up, "family"), "family-members")
         counts = members.select("family", "members", F.explode("tokens").alias("token")).groupBy("family", "token").agg(F.count("*").alias("have"), F.first("members").alias("members"))
-        consensus = counts.where("2 * have > members").groupBy("family").agg(F.collect_list("token").alias("consensus"))
+        shares = F.ceil(F.col("members") / FAMILY)
+        consensus = counts.where("2 * have > members").groupBy("family").agg(F.collect_list("token").alias("consensus"), F.first("members").alias("members"))
+        consensus = consensus.select("family", "consensus", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1)).alias("share"))
+        members = members.withColumn("share", F.pmod(F.xxhash64("set_id"), shares))
         lacks, besides = F.array_except("consensus", "tokens"), F.array_except("tokens", "consensus")
-        apart = members.join(consensus, "family").select("set_id", "n", "cls", "family", F.size("consensus").alias("common"), lacks.alias("lacks"), besides.alias("besides"))
+        apart = members.join(consensus, ["family", "share"]).select("set_id", "n", "cls", "family", F.size("consensus").alias("common"), lacks.alias("lacks"), besides.alias("besides"))
         m, unlike = F.size("lacks"), F.size("lacks") + F.size("besides")
         # of two that link, one within reach of the consensus has the other within twice that
         apart = apart.where((F.col("common") - m) * 100 >= (F.col("common") + F.size("besides")) * (2 * percent - 100))
