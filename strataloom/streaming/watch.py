@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from strataloom.sources.sinks import Snapshots
+
 QUIET, LATE, PENDING = "500 milliseconds", "10 seconds", 4096
 
 
@@ -45,6 +49,42 @@ def watch(events: DataFrame, apply: Callable[[DataFrame, bool], None], checkpoin
     return writer.trigger(**(options or {"processingTime": "1 second"})).start()
 
 
+#: Times that a batch is tried, and seconds before the next try, which double.
+TRIES, WAIT = 3, 0.1
+
+
+def retried(apply: Callable[[DataFrame, bool], None], tries: int = TRIES, wait: float = WAIT) -> Callable[[DataFrame, bool], None]:
+    """``apply`` tried again after an error; the last one stops the query, whose checkpoint keeps the batch."""
+
+    def run(rows: DataFrame, full: bool) -> None:
+        for left in range(tries - 1, -1, -1):
+            try:
+                return apply(rows, full)
+            except Exception:
+                if not left:
+                    raise
+                time.sleep(wait * 2 ** (tries - 1 - left))
+
+    return run
+
+
+def refresher(store: Snapshots, table: str, key: str, read: Callable[[DataFrame | None], DataFrame]) -> Callable[[DataFrame, bool], None]:
+    """Publishes the rows of settled files in place of their former ones; after a deletion all are read anew.
+
+    ``read`` gives the rows of paths (path), or of all files for None. Rows of a path that it no longer gives are gone.
+    """
+
+    def apply(rows: DataFrame, full: bool) -> None:
+        name = f"{table}-{uuid.uuid4().hex[:12]}"
+        if full or store.current() is None:
+            store.publish(name, {table: read(None)})
+        else:
+            touched = rows.select("path").distinct()
+            store.publish(name, {table: store.updated(table, key, read(touched), touched.select(F.col("path").alias(key)))})
+
+    return apply
+
+
 def windows(events: DataFrame, every: str = "1 day", late: str = "1 hour") -> DataFrame:
     """An extension: counts and sums by tumbling window and kind."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "n", "total")

@@ -141,6 +141,34 @@ def test_stream_coalesces_and_overflows(spark, tmp_path):
         q.awaitTermination()
 
 
+def test_settled_files_replace_their_rows(spark, tmp_path):
+    store, files = sinks.Snapshots(spark, str(tmp_path / "s")), {"a": 1, "b": 1}
+    all_rows = lambda: spark.createDataFrame(list(files.items()), "file string, v int")
+    read = lambda paths: all_rows() if paths is None else all_rows().join(paths, F.col("file") == F.col("path"), "left_semi")
+    failures = [RuntimeError("once")]
+
+    def flaky(rows, full):
+        if failures:
+            raise failures.pop()
+        watch.refresher(store, "t", "file", read)(rows, full)
+
+    settled = lambda *p: spark.createDataFrame([(x, 1) for x in p], "path string, events int")
+    apply = watch.retried(flaky, wait=0)
+    apply(settled("a", "b"), False)
+    files["a"] = 2
+    apply(settled("a"), False)
+    assert sorted(map(tuple, store.read("t").collect())) == [("a", 2), ("b", 1)]
+    del files["b"]
+    apply(settled("b"), False)
+    assert sorted(map(tuple, store.read("t").collect())) == [("a", 2)]
+    files.update(c=3)
+    apply(settled("x"), True)
+    assert sorted(map(tuple, store.read("t").collect())) == [("a", 2), ("c", 3)]
+    failures.extend(RuntimeError("again") for _ in range(3))
+    with pytest.raises(RuntimeError, match="again"):
+        apply(settled("a"), False)
+
+
 def test_transcripts(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"session":"s","ts":"2024-01-01T00:00:00Z","role":"user","text":"hi"}\n{"session":"s","role":"assistant","text":"yo"}\n')
     assert [r.text for r in readers.transcripts(spark, str(tmp_path / "t.jsonl")).collect()] == ["hi"]
