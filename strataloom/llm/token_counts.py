@@ -2,7 +2,9 @@
 
 The cache is a table of (content digest, tokenizer digest, n_tokens). Documents are reduced to their digests,
 the distinct ones that the cache lacks pick one document each, only those texts travel and are encoded, and
-their counts are appended. Every document then gets its count by a join with the cache.
+their counts are appended. Every document then gets its count by a join with the cache. Content is normalised only
+in that no text is an empty text: white space, case and composition all change a text's tokens, so a digest of
+anything but the text itself would give one count to texts that have two.
 """
 
 from __future__ import annotations
