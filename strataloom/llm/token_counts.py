@@ -51,9 +51,7 @@ class Counter:
 
     def __init__(self, name: str, blob: bytes):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_str(blob.decode())
         self.fast = None
         spec = json.loads(blob)
         pre = spec.get("pre_tokenizer") or {}
@@ -64,6 +62,10 @@ class Counter:
             ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
             if all(t.get("special") and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in spec.get("added_tokens", ())):
                 self.fast = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        if self.fast is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_str(blob.decode())
 
     def count(self, text: str) -> int:
         if self.fast is None:
@@ -75,14 +77,24 @@ class Counter:
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def encoder(name: str, blob: bytes, tokenizer: str):
+_COUNTERS: dict[str, Counter] = {}
+
+
+def counter_of(tokenizer: str, packed: bytes) -> Counter:
+    """The counter of a worker process, which its tasks share: a vocabulary takes much memory and time to set up."""
+    if tokenizer not in _COUNTERS:
+        _COUNTERS.clear()
+        _COUNTERS[tokenizer] = Counter(tokenizer, base64.b64decode(packed))
+    return _COUNTERS[tokenizer]
+
+
+def encoder(blob: bytes, tokenizer: str):
     schema = pa.schema([("content", pa.string()), ("tokenizer", pa.string()), ("n_tokens", pa.int64())])
     packed = base64.b64encode(blob)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = None
         for batch in batches:
-            counter = counter or Counter(name, base64.b64decode(packed))
+            counter = counter_of(tokenizer, packed)
             counts = [counter.count(x.as_py()) for x in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("content"), pa.array([tokenizer] * len(counts), pa.string()), pa.array(counts, pa.int64())], schema=schema)
 
@@ -120,7 +132,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
     # one document of each missing digest: only its row finds its identifier and digest among the misses
     texts = docs.select(F.col(id_col).cast("string").alias("id"), content.alias("content"), text.alias("text"))
     to_do = texts.join(misses.hint("shuffle_hash"), (texts["id"].eqNullSafe(misses["id"])) & (texts["content"] == misses["content"]), "left_semi")
-    to_do.select("content", "text").mapInArrow(encoder("cached", blob, version), CACHE).write.mode("append").parquet(cache)
+    to_do.select("content", "text").mapInArrow(encoder(blob, version), CACHE).write.mode("append").parquet(cache)
     own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
     rows = docs.select(*own, F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content__"))
     # a plain table: only then can a join split the rows of one very common text
