@@ -11,11 +11,14 @@ from . import language_id, toxicity
 from .common import crc_mod, new_folder, table
 from .decontamination import contamination
 from .exact_dedup import exact_dedup
+from .hard_negatives import hard_negatives
 from .html_extraction import extract_main_text
 from .license_scan import TEMPLATES, scan_licenses
 from .mixing import mix_sources
+from .nearest import nearest
 from .ngram_jaccard import jaccard_components
 from .sharding import shard_by_bytes
+from .spelling import spelling_variants
 from .token_counts import token_counts
 
 
@@ -172,6 +175,51 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives(moved, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95)
+
+
+OP12_SQL = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, e.vec_id, a.label = e.label AS same, list_inner_product(a.v, e.v)::BIGINT AS score FROM e a JOIN e ON a.vec_id <> e.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s WHERE same),
+n AS (SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (anchor_id) WHERE k <= 5 AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_variants(docs, least=6, often=5, ratio=5, every=199)
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE t AS (SELECT {_crc_table()}::BIGINT[] AS crc),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+o AS (SELECT doc_id, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY ALL),
+b AS (SELECT run, n, list_transform(list_filter(regexp_split_to_array(regexp_replace(hex(encode(doc_id || ':' || run)), '(..)', '\1,', 'g'), ','), lambda x: x <> ''), lambda x: ('0x' || x)::BIGINT) AS bytes FROM o),
+h AS (SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1]))) AS h FROM b, t),
+m AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM h),
+w AS (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, spot, left(word, spot - 1) || substr(word, spot + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS spot FROM w)),
+e AS (SELECT x.word, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.spot = y.spot AND x.rest = y.rest AND x.word <> y.word
+  UNION SELECT d.word, w.word, w.n FROM d JOIN w ON d.rest = w.word UNION SELECT w.word, d.word, d.n FROM d JOIN w ON d.rest = w.word),
+k AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k, count(*) OVER (PARTITION BY word) AS n_near FROM e),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * w.n THEN near END AS form, CASE WHEN near_n >= 5 * w.n THEN near_n END AS form_n FROM w LEFT JOIN k ON k.word = w.word AND k = 1),
+c AS (SELECT word, word AS last, form AS onward FROM f UNION ALL SELECT c.word, f.word, f.form FROM c JOIN f ON f.word = c.onward)
+SELECT f.*, c.last AS root FROM f JOIN c ON c.word = f.word WHERE c.onward IS NULL
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -183,5 +231,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_sharding": op9_sharding,
     "op10_token_counts": op10_token_counts,
+    "op11_nearest": op11_nearest,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_spelling": op13_spelling,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_sharding": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op3_license_scan": OP3_SQL, "op5_decontamination": OP5_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_sharding": OP9_SQL, "op12_hard_negatives": OP12_SQL, "op13_spelling": OP13_SQL}
