@@ -30,8 +30,8 @@ OTHER = re.compile("[^A-Za-zÀ-ÿ]")
 Q, KEYED, FIRST = 2, 2, 4
 #: A longer text is read piece by piece, cut outside words; words that a task holds before it gives them on.
 PIECE_CHARS, HELD_WORDS = 1 << 20, 1 << 17
-#: Words of a list that one part holds.
-PART_WORDS = 2048
+#: Words of a list that one part holds, and up to which it is not worth merging.
+PART_WORDS, FEW = 2048, 16
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _COUNTED = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
@@ -47,12 +47,10 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def misspelt(ident: str | None, word: str, every: int) -> str:
-    """The word, or without one letter where ``every`` divides the checksum of identifier and word."""
-    if ident is None or not every:
-        return word
-    h = zlib.crc32(f"{ident}:{word}".encode())
-    return word if h % every else word[: h % len(word)] + word[h % len(word) + 1 :]
+def misspelt(word: str, h: int) -> str:
+    """The word without the letter that its checksum names."""
+    at = h % len(word)
+    return word[:at] + word[at + 1 :]
 
 
 def counter(every: int, least: int):
@@ -60,20 +58,25 @@ def counter(every: int, least: int):
     # a shorter run cannot become a word, for only a letter goes
     run_of = re.compile(f"[A-Za-zÀ-ÿ]{{{least},}}")
 
-    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
+    def rows(counts: dict[str, int]) -> Iterator[pa.RecordBatch]:
         words = [w for w in counts if len(w) >= least]
         for at in range(0, len(words), 1 << 14):
             some = words[at : at + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array([counts[w] for w in some], pa.int64())], schema=_COUNTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        counts: dict[str, int] = {}
         for batch in batches:
             for ident, text in zip(batch.column("ident").to_pylist(), batch.column("text")):
+                head = zlib.crc32(f"{ident}:".encode())
+                deletes = every > 0 and ident is not None
                 for piece in pieces(text.as_py() or ""):
                     for word, n in Counter(run_of.findall(piece)).items():
-                        word = word.lower() if word.isascii() else word.translate(_LOWER)
-                        counts[misspelt(ident, word, every)] += n
+                        if not word.islower():
+                            word = word.translate(_LOWER)
+                        if deletes and not (h := zlib.crc32(word.encode(), head)) % every:
+                            word = misspelt(word, h)
+                        counts[word] = counts.get(word, 0) + n
                     if len(counts) >= HELD_WORDS:
                         yield from rows(counts)
                         counts.clear()
@@ -119,38 +122,56 @@ def keyer(rarity: dict[str, int]):
 
 def near(a: str, b: str) -> bool:
     """Exactly one edit apart; ``a`` is as long as ``b`` or shorter by one."""
-    i = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    if a[:3] != b[:3] and a[-3:] != b[-3:]:
+        return False  # of six letters or more one edit leaves the first three or the last three
+    i = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        i += 1
     return a != b and (a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :])
 
 
 class Postings:
-    """The grams, with their places, of the words of one list, but for the grams of the list's key, which all share."""
+    """The grams, with their places, of the words of one list, but for the grams of the list's key, which all share.
+
+    While the words are few they are verified one by one, which costs less than to merge.
+    """
 
     def __init__(self, key: str):
-        length, *of = key.split(" ")
-        self.bound = int(length) - 2 * Q + 1 - KEYED
-        self.skipped = {(g[:Q], int(g[Q:])) for g in of}
+        self.key = key
         self.words: list[str] = []
         self.lists: dict[tuple[str, int], list[int]] = {}
 
     def add(self, word: str) -> None:
+        self.words.append(word)
+        if len(self.words) == FEW + 1:
+            length, *of = self.key.split(" ")
+            self.bound = int(length) - 2 * Q + 1 - KEYED
+            self.skipped = {(g[:Q], int(g[Q:])) for g in of}
+            for i, w in enumerate(self.words):
+                self._post(w, i)
+        elif len(self.words) > FEW:
+            self._post(word, len(self.words) - 1)
+
+    def _post(self, word: str, number: int) -> None:
         for gram in grams(word):
             if gram not in self.skipped:
-                self.lists.setdefault(gram, []).append(len(self.words))
-        self.words.append(word)
+                self.lists.setdefault(gram, []).append(number)
 
-    def partners(self, word: str) -> Iterator[str]:
+    def partners(self, word: str) -> list[str]:
         """Words of the list, as long or longer by one, whose count of shared grams reaches the bound, verified."""
+        if not self.lists:
+            return [x for x in self.words if near(word, x)]
         shifts = (0,) if len(word) == len(self.words[0]) else (0, 1)
         met = [own for g, i in grams(word) for d in shifts if (own := self.lists.get((g, i + d)))]
-        last, count = -1, 0
-        for number in [*heapq.merge(*met), -1]:
-            if number == last:
-                count += 1
-                continue
-            if last >= 0 and count >= self.bound and near(word, other := self.words[last]):
-                yield other
-            last, count = number, 1
+        out, last, count = [], -1, 0
+        for number in heapq.merge(*met):
+            count = count + 1 if number == last else 1
+            last = number
+            if count == self.bound and near(word, self.words[number]):
+                out.append(self.words[number])
+        return out
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
