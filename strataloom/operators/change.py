@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import paths
 from strataloom.functions.hashing import fnv1a_hex
-from strataloom.operators import graph
+from strataloom.operators import graph, reach
 from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 
@@ -116,8 +116,8 @@ def bounded_impact(symbols: DataFrame, edges: DataFrame, changed: DataFrame, max
     n = seeds.limit(seed_cap + 1).count()
     if n > seed_cap:
         return spark.createDataFrame([(None, None, None, None, "seed_work_limit")], schema)
-    found = graph.impact(symbols, edges, seeds.select(F.col("id").alias("seed"), "id"), max_depth)
-    nearest = found.groupBy("id").agg(F.min("depth").alias("depth")).join(seeds, "id", "left_anti")
+    found = graph.impact_sets(symbols, edges, seeds.select(F.col("id").alias("seed"), "id"), max_depth)
+    nearest = reach.nearest(found).join(seeds, "id", "left_anti")
     nearest = cut(nearest.limit(row_cap + 1), "nearest")
     if nearest.count() > row_cap:
         return spark.createDataFrame([(n, None, None, None, "graph_work_limit")], schema)
@@ -126,22 +126,20 @@ def bounded_impact(symbols: DataFrame, edges: DataFrame, changed: DataFrame, max
     return out.withColumn("truncation_reason", F.lit(None).cast("string"))
 
 
-def crossings(reached: DataFrame, symbols: DataFrame) -> DataFrame:
+def crossings(reached: reach.Reach, symbols: DataFrame) -> DataFrame:
     """(from_component, to_component, symbols): impact that leaves the component of its seed."""
-    own = symbols.select(F.col("id").alias("seed"), paths.component(F.col("file_path")).alias("from_component"))
-    to = symbols.select("id", paths.component(F.col("file_path")).alias("to_component"))
-    rows = reached.join(own, "seed").join(to, "id").where("from_component <> to_component")
-    return rows.groupBy("from_component", "to_component").agg(F.count_distinct("id").alias("symbols"))
+    part = paths.component(F.col("file_path"))
+    return reach.crossings(reached, symbols.select(F.col("id").alias("seed"), part.alias("from_component")), symbols.select("id", part.alias("to_component")))
 
 
-def ranked_tests(reached: DataFrame, symbols: DataFrame, is_test: Column, seeds: DataFrame) -> DataFrame:
+def ranked_tests(reached: reach.Reach, symbols: DataFrame, is_test: Column, seeds: DataFrame) -> DataFrame:
     """Tests by how a change reaches them: direct at depth 0 or 1, transitive beyond, heuristic in a changed component.
 
     What is reached and is itself one of the changed ``seeds`` (id) has depth 0, though nothing may be reached from it.
     """
     tests = symbols.where(is_test)
-    depth = reached.groupBy("id").agg(F.min("depth").alias("depth"))
-    changed = reached.select(F.col("seed").alias("id")).distinct()
+    depth = reach.nearest(reached)
+    changed = reach.reaching(reached).select(F.col("seed").alias("id"))
     parts = symbols.join(changed, "id", "left_semi").select(paths.component(F.col("file_path")).alias("part")).distinct()
     own = seeds.select("id").join(depth, "id", "left_semi").unionByName(changed)
     depth = depth.unionByName(own.withColumn("depth", F.lit(0))).groupBy("id").agg(F.min("depth").alias("depth"))

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators import reach
 from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 from strataloom.plans.bind import compatible, resolved
@@ -20,20 +21,14 @@ DAMPING, ROUNDS = 0.85, 24
 def impact(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 3, kinds: tuple[str, ...] = ("calls", "references")) -> DataFrame:
     """(seed, id, depth): symbols from which edges of ``kinds`` lead to a seed (seed, id), with the least depth.
 
-    Breadth first, one join a level; what a seed has reached is not visited again, so cycles end. Each level is
-    written, so plans stay short.
+    Breadth first over sets of seeds; a seed that has reached a symbol does not visit it again, so cycles end.
     """
-    steps = edges.where(F.col("kind").isin(*kinds)).select("from_id", "to_name", "target_kind").distinct()
-    steps = cut(resolved(steps, symbols).select("from_id", "to_id").distinct(), "impact-steps")
-    seen = seeds.select("seed", "id", F.lit(0).alias("depth"))
-    front = seen
-    for depth in range(1, max(1, min(10, max_depth)) + 1):
-        near = front.select("seed", F.col("id").alias("to_id")).join(steps, "to_id").select("seed", F.col("from_id").alias("id")).distinct()
-        front = cut(near.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(depth)), "impact-front")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    return seen.where("depth > 0")
+    return reach.pairs(impact_sets(symbols, edges, seeds, max_depth, kinds))
+
+
+def impact_sets(symbols: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 3, kinds: tuple[str, ...] = ("calls", "references")) -> reach.Reach:
+    """The same with the seeds of a symbol as bits, for callers that count."""
+    return reach.reach(reach.steps_of(symbols, edges, kinds), seeds, max_depth)
 
 
 def import_pairs(symbols: DataFrame, edges: DataFrame) -> DataFrame:

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import rollup
+from strataloom.operators import reach, rollup
 from strataloom.sources.policies import Rule
 
 
-def evaluate(rules: list[Rule], pairs: DataFrame, base_pairs: DataFrame, surface: DataFrame, reached: DataFrame, symbols: DataFrame, changed: DataFrame, tested: DataFrame, owned: DataFrame, held: DataFrame, cap: int = rollup.RESULT_CAP) -> DataFrame:
+def evaluate(rules: list[Rule], pairs: DataFrame, base_pairs: DataFrame, surface: DataFrame, reached: reach.Reach, symbols: DataFrame, changed: DataFrame, tested: DataFrame, owned: DataFrame, held: DataFrame, cap: int = rollup.RESULT_CAP) -> DataFrame:
     """One bounded report. ``pairs`` and ``base_pairs`` are import pairs of both sides, ``surface`` symbols that others
-    use, ``reached`` (seed, id), ``changed``, ``tested`` and ``held`` paths, ``owned`` (path, owners)."""
+    use, ``reached`` what the changed symbols reach, ``changed``, ``tested`` and ``held`` paths, ``owned`` (path, owners)."""
     found, open_ = [], []
     for rule in rules:
         hit = lambda column, field, rule=rule: F.col(column).rlike(rule.pattern(field))
@@ -26,7 +26,7 @@ def evaluate(rules: list[Rule], pairs: DataFrame, base_pairs: DataFrame, surface
             rows = surface.where(hit("file_path", "scope")).join(mine, "file_path", "left_anti").select(F.concat_ws(" -> ", "file_path", "name").alias("subject"))
         elif rule.action == "max_blast_radius":
             seeds = symbols.where(hit("file_path", "scope")).select(F.col("id").alias("seed"))
-            n = reached.join(seeds, "seed", "left_semi").select("id").distinct().join(symbols, "id").agg(F.count_distinct("file_path", "line_start", "name").alias("n"))
+            n = reach.any_of(reached, seeds).join(symbols, "id").agg(F.count_distinct("file_path", "line_start", "name").alias("n"))
             rows = n.where(F.col("n") > rule.fields["max_blast_radius"]).select(F.concat(F.col("n").cast("string"), F.lit(" impacted")).alias("subject"))
         elif rule.action == "require_tests":
             rows = changed.where(hit("path", "scope")).join(tested, "path", "left_anti").select(F.col("path").alias("subject"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
+from strataloom.operators import reach
 from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 
@@ -111,8 +112,9 @@ def owner_rule(surface: DataFrame, owned: DataFrame) -> DataFrame:
     return violations("api_owner", surface.join(known, "file_path", "left_anti"), "file_path", "name")
 
 
-def radius_rule(reached: DataFrame, symbols: DataFrame, most: int) -> DataFrame:
-    n = reached.join(symbols.select("id", "file_path", "line_start", "name"), "id").groupBy("seed").agg(F.count_distinct("file_path", "line_start", "name").alias("n"))
+def radius_rule(reached: reach.Reach, symbols: DataFrame, most: int) -> DataFrame:
+    """Symbols that reach more than ``most`` places."""
+    n = reach.sizes(reached, symbols.select("id", "file_path", "line_start", "name"), "file_path", "line_start", "name")
     return violations("blast_radius", n.where(F.col("n") > most).select(F.col("seed").cast("string").alias("s"), F.col("n").cast("string").alias("n")), "s", "n")
 
 

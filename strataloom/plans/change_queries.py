@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
-from strataloom.operators import change, graph
+from strataloom.operators import change, graph, reach
 from strataloom.plans.bind import edges, load, suppliers, symbols
 from strataloom.plans.registry import query
 
@@ -90,9 +90,9 @@ def changed(spark: SparkSession, d: str) -> DataFrame:
     return change.snapshot_diff(base(spark, d), head(spark, d), "id", ["signature"]).select("id")
 
 
-def reached(spark: SparkSession, d: str) -> DataFrame:
+def reached(spark: SparkSession, d: str) -> reach.Reach:
     """What the changed symbols reach."""
-    return graph.impact(symbols(spark, d), edges(spark, d), changed(spark, d).select(F.col("id").alias("seed"), "id"))
+    return graph.impact_sets(symbols(spark, d), edges(spark, d), changed(spark, d).select(F.col("id").alias("seed"), "id"))
 
 
 CHANGE_IMPACT_SQL = REACH_SQL + " SELECT split_part(s.file_path, '/', 1) AS component, count(DISTINCT r.id) AS impacted, min(depth) AS nearest, count(DISTINCT seed) AS seeds FROM reach r JOIN symbols s ON s.id = r.id GROUP BY 1"
@@ -100,8 +100,7 @@ CHANGE_IMPACT_SQL = REACH_SQL + " SELECT split_part(s.file_path, '/', 1) AS comp
 
 @query("symbols resolved", CHANGE_IMPACT_SQL)
 def change_impact(spark: SparkSession, d: str) -> DataFrame:
-    rows = reached(spark, d).join(symbols(spark, d).select("id", "file_path"), "id")
-    return rows.groupBy(paths.component(F.col("file_path")).alias("component")).agg(F.count_distinct("id").alias("impacted"), F.min("depth").alias("nearest"), F.count_distinct("seed").alias("seeds"))
+    return reach.groups(reached(spark, d), symbols(spark, d).select("id", paths.component(F.col("file_path")).alias("component")), "component")
 
 
 CROSSINGS_SQL = (

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths, stats
-from strataloom.operators import change, evaluation, graph, mining, policies, rollup, trials
+from strataloom.operators import change, evaluation, graph, mining, policies, reach, rollup, trials
 from strataloom.operators.store import new_folder
 from strataloom.plans.bind import edges, load, suppliers, symbols, touches
 from strataloom.plans.change_queries import REACH_SQL, base, changed, reached
@@ -193,7 +193,7 @@ def seed_work_limit(spark: SparkSession, d: str) -> DataFrame:
 def relevant_paths(spark: SparkSession, d: str) -> DataFrame:
     """Files that evidence is asked for, the reached ones first, under a cap of fifty."""
     files = symbols(spark, d).select("id", F.col("file_path").alias("path"))
-    return rollup.relevant_paths(reached(spark, d).join(files, "id"), changed(spark, d).join(files, "id"), 50)
+    return rollup.relevant_paths(reach.nearest(reached(spark, d)).join(files, "id"), changed(spark, d).join(files, "id"), 50)
 
 
 @query(

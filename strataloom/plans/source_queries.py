@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.operators import change, rollup, text
-from strataloom.operators.store import new_folder
+from strataloom.operators.store import cut, new_folder
 from strataloom.plans.bind import edges, load, spans, suppliers, symbols, touches
 from strataloom.plans.change_queries import BASE_SQL, HEAD_SQL, base, head
 from strataloom.plans.registry import query
+from strataloom.sources import compiler_index as compiler
 from strataloom.sources import extract, readers, sinks
 
 
@@ -203,3 +204,57 @@ def snapshot_update(spark: SparkSession, d: str) -> DataFrame:
 def code_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Words of identifiers, split at camel case and digits, with the whole beside its parts."""
     return symbols(spark, d).select(F.explode(text.code_tokens(F.col("name"))).alias("term")).groupBy("term").agg(F.count("*").alias("symbols"))
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The graph as a compiler index, written in its binary format and read back: a document for each file.
+
+    A symbol is defined at its first line, its body reaches to its last; what it calls occurs inside the body, what it
+    imports carries the role of an import. A symbol implements its parent.
+    """
+    s, e = symbols(spark, d), edges(spark, d)
+    name = lambda c: F.concat(F.lit("scip t . . `"), c, F.lit("`#"))
+    at = lambda line, character, end, last: [line.cast("int").alias("line"), character.cast("int").alias("character"), end.cast("int").alias("end_line"), last.cast("int").alias("end_character")]
+    zero, none = F.lit(0), F.lit(None).cast("int")
+    body = F.struct(*at(F.col("line_start") - 1, zero, F.col("line_end") - 1, F.lit(90)))
+    own = F.struct(name("name").alias("symbol"), F.lit(1).alias("roles"), *at(F.col("line_start") - 1, F.col("id") % 40, F.col("line_start") - 1, F.col("id") % 40 + 3), body.alias("body"), none.alias("owner"))
+    uses = e.where("kind <> 'references'").join(s.select(F.col("id").alias("from_id"), "file_path", "line_start"), "from_id")
+    line = F.col("line_start") - 1 + F.col("line")
+    here = at(line, F.col("from_id") % 50 + 41, line, F.col("from_id") % 50 + 45)
+    used = F.struct(name("to_name").alias("symbol"), F.when(F.col("kind") == "imports", 2).otherwise(0).alias("roles"), *here, F.struct(*here).alias("body"), none.alias("owner"))
+    found = s.select("file_path", own.alias("o")).unionByName(uses.select("file_path", used.alias("o"))).groupBy("file_path").agg(F.array_sort(F.collect_list("o")).alias("occurrences"))
+    parents = s.select(F.col("id").alias("parent_id"), name("name").alias("parent"))
+    relation = F.when(F.col("parent").isNotNull(), F.array(F.struct(F.col("parent").alias("symbol"), F.lit(False).alias("reference"), F.lit(True).alias("implementation"), F.lit(False).alias("type_definition"), F.lit(False).alias("definition")))).otherwise(F.array())
+    kind = F.when(F.col("kind") == "function", 17).when(F.col("kind") == "method", 26).otherwise(7)
+    told = s.join(parents, "parent_id", "left").select("file_path", F.struct(name("name").alias("symbol"), F.lit("").alias("display_name"), kind.alias("kind"), relation.alias("relationships")).alias("s"))
+    told = told.groupBy("file_path").agg(F.array_sort(F.collect_list("s")).alias("symbols"))
+    rows = found.join(told, "file_path").select(F.col("file_path").alias("path"), F.lit("t").alias("language"), F.lit(1).alias("position_encoding"), F.lit(None).cast("string").alias("text"), "occurrences", "symbols", F.lit(False).alias("external"), F.lit(0).cast("long").alias("record"), F.lit(None).cast("string").alias("error"))
+    folder = new_folder(spark, "compiler-index")
+    compiler.write_compiler_index(rows, folder)
+    return compiler.compiler_index(spark, folder)
+
+
+SCIP_SQL = """n AS (SELECT *, 'scip t . . `' || name || '`#' AS symbol, name AS display_name, (id % 40 + 1)::INTEGER AS ch FROM symbols),
+    f AS (SELECT symbol, min((file_path, line_start, ch)) AS at FROM n GROUP BY symbol),
+    o AS (SELECT e.from_id, e.kind, 'scip t . . `' || e.to_name || '`#' AS to_symbol, s.file_path, s.line_start + e.line AS line, e.from_id % 50 + 42 AS ch FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind <> 'references'),
+    u AS (SELECT DISTINCT file_path, line, ch, to_symbol, CASE kind WHEN 'imports' THEN 'import' ELSE 'reference' END AS kind FROM o),
+    w AS (SELECT u.*, n.symbol AS from_symbol, n.line_start AS from_line, n.ch AS from_ch, row_number() OVER (PARTITION BY u.file_path, u.line, u.ch, u.to_symbol, u.kind ORDER BY n.line_start DESC, n.line_end, n.symbol, n.ch) AS k
+      FROM u LEFT JOIN n ON n.file_path = u.file_path AND u.line BETWEEN n.line_start AND n.line_end),
+    ed AS (SELECT from_symbol, file_path AS from_file, coalesce(from_line, line) AS from_line, line AS occurrence_line, to_symbol, kind FROM w WHERE k = 1
+      UNION ALL SELECT DISTINCT c.symbol, f.at[1], f.at[2], f.at[2], p.symbol, 'implementation' FROM n c JOIN n p ON p.id = c.parent_id JOIN f ON f.symbol = c.symbol)"""
+
+
+@query("symbols edges", f"WITH {SCIP_SQL} SELECT kind, from_file, count(*) AS edges, count(from_symbol) AS owned, count(f.at[1]) AS targets, sum(occurrence_line)::BIGINT AS lines, sum(from_line)::BIGINT AS from_lines FROM ed LEFT JOIN f ON f.symbol = to_symbol GROUP BY ALL")
+def compiler_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of the whole index: references and imports from their innermost owner, relationships from a first definition."""
+    index = _index(spark, d)
+    rows = compiler.semantic_edges(index, cut(compiler.definitions(index), "definitions"))
+    return rows.groupBy("kind", "from_file").agg(
+        F.count("*").alias("edges"), F.count("from_symbol").alias("owned"), F.count("to_file").alias("targets"), F.sum("occurrence_line").alias("lines"), F.sum("from_line").alias("from_lines")
+    )
+
+
+@query("symbols", "WITH k AS (SELECT name, file_path, CASE kind WHEN 'function' THEN 17 WHEN 'method' THEN 26 ELSE 7 END AS code FROM symbols), c AS (SELECT name, arg_min(code, (file_path, code)) AS code FROM k GROUP BY name) SELECT 'scip t . . `' || name || '`#' AS symbol, name AS display_name, CASE c.code WHEN 17 THEN 'Function' WHEN 26 THEN 'Method' ELSE 'Class' END AS kind, file_path AS file, line_start AS line, (id % 40 + 1)::INTEGER AS character FROM symbols JOIN c USING (name)")
+def compiler_definitions(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions of the whole index, with names from their last descriptors."""
+    return compiler.definitions(_index(spark, d)).select("symbol", "display_name", "kind", "file", F.col("line"), "character")
