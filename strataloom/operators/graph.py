@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.operators import reach
+from strataloom.operators import components, reach
 from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 from strataloom.plans.bind import compatible, resolved
@@ -103,50 +103,9 @@ def cycles(pairs: DataFrame, cap: int = PAIR_CAP) -> DataFrame:
     return pairs.groupBy(F.lit(1).alias("one")).applyInPandas(run, schema)
 
 
-def peeled(pairs: DataFrame) -> DataFrame:
-    """``pairs`` without those that start where none ends or end where none starts; no cycle has such a pair."""
-    starts, ends = pairs.select(F.col("from_file").alias("to_file")).distinct(), pairs.select(F.col("to_file").alias("from_file")).distinct()
-    return pairs.join(starts, "to_file", "left_semi").join(ends, "from_file", "left_semi").select("from_file", "to_file")
-
-
 def cycle_nodes(pairs: DataFrame) -> DataFrame:
-    """(root, node): nodes that lie on a cycle of two or more, root being the smallest node that each other reach.
-
-    Without a cap. Each round peels once and gives every node the smallest node that reaches it; pairs between two
-    labels lie on no cycle. Of one label, what leads back to the node that named it is that node's component and
-    leaves; the rest goes on. Every step is a join whose result is written.
-    """
-    left = cut(pairs.select("from_file", "to_file").where("from_file <> to_file").distinct(), "cycle-pairs")
-    found = left.select(F.col("from_file").alias("root"), F.col("from_file").alias("node")).where("false")
-    while True:
-        left = cut(peeled(left), "cycle-pairs")
-        if left.isEmpty():
-            break
-        labels = left.select(F.col("from_file").alias("node")).union(left.select("to_file")).distinct().select("node", F.col("node").alias("root"))
-        while True:
-            near = left.join(labels, F.col("from_file") == F.col("node")).groupBy(F.col("to_file").alias("at")).agg(F.min("root").alias("near"))
-            after = labels.join(near, F.col("node") == F.col("at"), "left").select("node", F.col("root").alias("before"), F.least("root", F.coalesce("near", "root")).alias("root"))
-            after = cut(after, "cycle-labels")
-            labels = after.select("node", "root")
-            if after.where("before <> root").isEmpty():
-                break
-        ends = labels.select(F.col("node").alias("end"), F.col("root").alias("end_root"))
-        left = left.join(labels, F.col("from_file") == F.col("node")).join(ends, (F.col("to_file") == F.col("end")) & (F.col("root") == F.col("end_root")))
-        left = cut(left.select("from_file", "to_file", "root"), "cycle-pairs")
-        front = cut(labels.where("node = root"), "cycle-back")
-        back = front
-        while not front.isEmpty():
-            near = left.join(front.select("node"), F.col("to_file") == F.col("node")).select("root", F.col("from_file").alias("node")).distinct()
-            front = cut(near.join(back, "node", "left_anti"), "cycle-back")
-            back = back.unionByName(front)
-        back = cut(back, "cycle-back")
-        big = back.groupBy("root").agg(F.count("*").alias("size")).where("size > 1").select("root")
-        found = found.unionByName(cut(back.join(big, "root", "left_semi").select("root", "node"), "cycle-nodes"))
-        left = left.select("from_file", "to_file")
-        for end in ("from_file", "to_file"):
-            left = left.join(back.select(F.col("node").alias(end)), end, "left_anti")
-        left = left.select("from_file", "to_file")
-    return found
+    """(root, node): nodes that lie on a cycle of two or more, root being the smallest node that each other reach."""
+    return components.strong_nodes(pairs)
 
 
 def all_cycles(pairs: DataFrame) -> DataFrame:
@@ -158,7 +117,32 @@ def all_cycles(pairs: DataFrame) -> DataFrame:
 def within_budget(found: DataFrame, budget: int = MEMBER_BUDGET) -> DataFrame:
     """The largest cycles whole, up to ``budget`` members; it stops at the first that does not fit."""
     w = Window.orderBy(F.col("size").desc(), "members").rowsBetween(Window.unboundedPreceding, 0)
-    return found.withColumn("so_far", F.sum("size").over(w)).where(F.col("so_far") <= budget).drop("so_far")
+    # a cycle has two members or more, so no more cycles than half the budget can fit
+    first = found.orderBy(F.col("size").desc(), "members").limit(budget // 2 + 1)
+    return first.withColumn("so_far", F.sum("size").over(w)).where(F.col("so_far") <= budget).drop("so_far")
+
+
+def cycles_answer(pairs: DataFrame, top: int | None = None, budget: int = MEMBER_BUDGET, cap: int = PAIR_CAP) -> DataFrame:
+    """A page of whole cycles, the largest first: size, members, total, total_members, truncated, truncation_reason.
+
+    It stops at ``top`` cycles or before the first that would pass ``budget`` members. Above ``cap`` pairs no cycle is
+    looked for: one row without members has null totals and says so. Without cycles there is no row.
+    """
+    spark = pairs.sparkSession
+    schema = "size long, members array<string>, total long, total_members long, truncated boolean, truncation_reason string"
+    if pairs.limit(cap + 1).count() > cap:
+        return spark.createDataFrame([(None, None, None, None, True, "graph_work_limit")], schema)
+    nodes = cut(cycle_nodes(pairs), "cycle-nodes")
+    sizes = nodes.groupBy("root").agg(F.count("*").alias("size"))
+    total, members = sizes.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).collect()[0]
+    top = total if top is None else top
+    w = Window.orderBy(F.col("size").desc(), "root")  # no more cycles than half the budget
+    first = sizes.orderBy(F.col("size").desc(), "root").limit(min(top, budget // 2 + 1)).withColumn("so_far", F.sum("size").over(w))
+    chosen = first.where(F.col("so_far") <= budget)
+    n = chosen.count()
+    reason = None if n == total else "top" if n == top else "member_limit"
+    rows = nodes.join(F.broadcast(chosen.select("root", "size")), "root").groupBy("root", "size").agg(F.array_sort(F.collect_list("node")).alias("members"))
+    return rows.select("size", "members", F.lit(total).alias("total"), F.lit(members).cast("long").alias("total_members"), F.lit(n < total).alias("truncated"), F.lit(reason).cast("string").alias("truncation_reason"))
 
 
 def skipping_budget(found: DataFrame, budget: int = MEMBER_BUDGET, top: int = 50) -> list[tuple[int, list[str]]]:

@@ -139,14 +139,20 @@ def occurrences(docs: DataFrame, key: str, column: str, query: Query) -> DataFra
     for i, leaf in enumerate(query.leaves):
         if leaf.within is None:
             continue
-        here = starts.where(F.col("leaf") == i)
-        for size in sorted({len(p.words) for p in leaf.phrases}):
-            reach = Window.partitionBy(key).orderBy("start").rangeBetween(0, leaf.within + size)
-            near = here.withColumn("all", F.size(F.collect_set("phrase").over(reach))).where((F.col("all") == len(leaf.phrases)) & (F.col("size") == size))
-            found = found.unionByName(near.select(key, "n", "leaf"))
+        found = found.unionByName(near_each_other(starts.where(F.col("leaf") == i), key, leaf).select(key, "n", "leaf"))
     return found.groupBy(key, "n", "leaf").agg(F.count("*").alias("tf"))
 
 
+def near_each_other(starts: DataFrame, key: str, leaf: Leaf) -> DataFrame:
+    """Of the ``starts`` (key, start, phrase, size) of a leaf's phrases those from which all are met in reach."""
+    found = None
+    for size in sorted({len(p.words) for p in leaf.phrases}):
+        reach = Window.partitionBy(key).orderBy("start").rangeBetween(0, leaf.within + size)
+        near = starts.withColumn("all", F.size(F.collect_set("phrase").over(reach))).where((F.col("all") == len(leaf.phrases)) & (F.col("size") == size))
+        found = near if found is None else found.unionByName(near)
+    return found
+
+
 def search(docs: DataFrame, key: str, column: str, text: str, top: int, kind: str | None = None) -> DataFrame:
     """A page of the documents that a query admits, the best first, with score, excerpt and the exact total.
 

@@ -288,6 +288,26 @@ def dependency_cycles(spark: SparkSession, d: str) -> DataFrame:
     return found.select("size", F.array_join("members", ",").alias("members"))
 
 
+CYCLES_SQL = """WITH RECURSIVE p AS (SELECT DISTINCT a.file_path AS f, b.file_path AS t FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.name = e.to_name
+        WHERE e.kind = 'imports' AND a.file_path <> b.file_path AND {where}),
+    r AS (SELECT f, t FROM p UNION SELECT r.f, p.t FROM r JOIN p ON p.f = r.t),
+    k AS (SELECT a.f AS n, list_sort(list(DISTINCT b.f)) AS members FROM r a JOIN r b ON a.t = b.f AND b.t = a.f GROUP BY a.f),
+    c AS (SELECT DISTINCT len(members) AS size, members FROM k WHERE len(members) > 1),
+    s AS (SELECT *, count(*) OVER () AS total, sum(size) OVER ()::BIGINT AS total_members, sum(size) OVER (ORDER BY size DESC, members ROWS UNBOUNDED PRECEDING) AS so_far, row_number() OVER (ORDER BY size DESC, members) AS k FROM c),
+    b AS (SELECT * FROM s WHERE so_far <= {budget} AND k <= {top}), m AS (SELECT count(*) AS n FROM b)
+    SELECT size, array_to_string(members, ',') AS members, total, total_members, n < total AS truncated, CASE WHEN n = total THEN NULL WHEN n = {top} THEN 'top' ELSE 'member_limit' END AS truncation_reason FROM b, m"""
+
+
+@query("symbols edges", CYCLES_SQL.format(where="abs(a.line_start - b.line_start) % 25 = 0", budget=60, top=4))
+def cycles_within_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Whole cycles, the largest first, of files whose importing and imported lines agree modulo 25; 4 cycles and 60 members at most."""
+    s, e = symbols(spark, d), edges(spark, d).where("kind = 'imports'")
+    own = s.select(F.col("id").alias("from_id"), F.col("file_path").alias("from_file"), F.col("line_start").alias("a"))
+    to = s.select(F.col("name").alias("to_name"), F.col("file_path").alias("to_file"), F.col("line_start").alias("b"))
+    pairs = e.join(own, "from_id").join(to, "to_name").where("from_file <> to_file and abs(a - b) % 25 = 0").select("from_file", "to_file").distinct()
+    return graph.cycles_answer(pairs, 4, 60, 500_000).withColumn("members", F.array_join("members", ","))
+
+
 @query(
     "symbols edges",
     """WITH n AS (SELECT count(*) AS n FROM (SELECT DISTINCT a.file_path, b.file_path FROM edges e JOIN symbols a ON a.id = e.from_id JOIN symbols b ON b.name = e.to_name WHERE e.kind = 'imports' AND a.file_path <> b.file_path))
