@@ -78,7 +78,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_of(column: str = "text") -> Column:
     """Null counts as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
+    return F.coalesce(F.col(quoted(column)), F.lit(""))
+
+
+def quoted(name: str) -> str:
+    """A column of any name, one with a dot or a backtick included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def carried(docs: DataFrame, *replaced: str) -> tuple[list[Column], list[Column]]:
+    """(in, back): the caller's columns but for ``replaced``, under numbers on the way in and under their names on the way back.
+
+    So no name of theirs meets a name of the work, whatever it is.
+    """
+    own = [c for c in docs.columns if c not in replaced]
+    return [F.col(quoted(c)).alias(f"own_{i}") for i, c in enumerate(own)], [F.col(f"own_{i}").alias(c) for i, c in enumerate(own)]
 
 
 def crc_mod(column: str, n: int) -> Column:

@@ -17,7 +17,7 @@ import string
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import carried, text_of, written
 
 #: Words of a window; rarest places of a window whose lists are intersected; words that a near match may be off.
 WINDOW, RAREST, SLOP = 13, 3, 3
@@ -159,9 +159,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, share:
     parts = hits.select("id", "hash", "n_hit", *(F.lit(None).cast(t).alias(c) for c, t in (("n_items", "long"), ("items", "string"), ("n_near", "long"))))
     parts = parts.unionByName(named, allowMissingColumns=True).unionByName(near, allowMissingColumns=True)
     per_row = parts.groupBy(F.col("id").alias("id__"), F.col("hash").alias("hash__")).agg(*(F.max(c).alias(c) for c in ("n_hit", "n_items", "items", "n_near")))
-    own = [c for c in docs.columns if c not in ("n_words", "n_hit", "n_items", "items", "n_near", "contaminated")]
+    own, back = carried(docs, "n_words", "n_hit", "n_items", "items", "n_near", "contaminated")
     rows = docs.select(*own, F.col("doc_id").alias("own_id__"), F.xxhash64(text_of()).alias("own_hash__"), F.size(words_of(text_of())).cast("long").alias("n_words"))
     joined = rows.join(per_row, F.col("own_id__").eqNullSafe(F.col("id__")) & (F.col("own_hash__") == F.col("hash__")), "left")
     zero = F.lit(0).cast("long")
-    counted = joined.select(*own, "n_words", *(F.coalesce(c, F.lit("") if c == "items" else zero).alias(c) for c in ("n_hit", "n_items", "items", "n_near")))
-    return counted.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share) - 1e-9))
+    counted = joined.select(*back, "n_words", *(F.coalesce(c, F.lit("") if c == "items" else zero).alias(c) for c in ("n_hit", "n_items", "items", "n_near")))
+    hit = (F.col("n_hit") > 0) & (F.col("n_hit") >= F.col("n_words") * F.lit(share) - 1e-9)
+    return counted.withColumn("contaminated", hit)

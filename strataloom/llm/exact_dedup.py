@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, bounded_batches, parts, text_of
+from .common import SPACE, bounded_batches, carried, parts, quoted, text_of
 
 #: Bytes of labels that one trie may hold.
 TRIE_BYTES = 48 << 20
@@ -175,7 +175,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bounded_batches(spark)
     body = F.regexp_replace(text_of(text_col), SPACE, " ")
     found = (
-        docs.select(F.col(id_col).cast("long").alias("ident"), body.cast("binary").alias("body"))
+        docs.select(F.col(quoted(id_col)).cast("long").alias("ident"), body.cast("binary").alias("body"))
         .mapInArrow(gather(budget), "body binary, least long, count long")
         .select("*", F.length("body").alias("n_bytes"), F.xxhash64("body").alias("content_hash"))
         .repartition(parts(spark), "n_bytes", "content_hash")
@@ -183,8 +183,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select("body", "least", "count")
         .mapInArrow(own(budget), "text_sha256 string, keep_id long, group_size long")
     )
-    own_columns = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(*own_columns, F.sha2(body, 256).alias("text_sha256"))
-    return rows.join(found, "text_sha256").select(
-        *(rows[c] for c in own_columns), "keep_id", "group_size", F.col(id_col).cast("long").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    own_columns, back = carried(docs, "keep_id", "group_size", "kept", "text_sha256")
+    ident = F.col(quoted(id_col)).cast("long")
+    rows = docs.select(*own_columns, ident.alias("ident"), F.sha2(body, 256).alias("text_sha256"))
+    return rows.join(found, "text_sha256").select(*back, "keep_id", "group_size", F.col("ident").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, carried, quoted
 
 #: Lines summed at each position.
 WINDOW = 3
@@ -359,6 +359,6 @@ def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     def extracted(page: pa.Array) -> pa.Array:
         return pa.array([main_text(x.as_py()) for x in page], pa.string())
 
-    own = [c for c in pages.columns if c not in ("text", "n_chars")]
-    found = pages.select(*own, extracted(F.col(html_col)).alias("text"))
-    return found.select(*own, "text", F.char_length("text").cast("long").alias("n_chars"))
+    own, back = carried(pages, "text", "n_chars")
+    found = pages.select(*own, extracted(F.col(quoted(html_col))).alias("text"))
+    return found.select(*back, "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, parts
+from .common import bounded_batches, carried, parts, quoted
 
 #: Dimensions of a vector, centroids of a language, and rounds of clustering.
 DIMENSIONS, CENTROIDS, ROUNDS = 1 << 13, 4, 12
@@ -184,5 +184,5 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             rows = [r for at in range(0, len(texts), CHUNK) for r in own.predict(texts.slice(at, CHUNK).to_pylist())]
             yield pa.StructArray.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))], names=["lang_pred", "score", "rejected"])
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
-    return docs.select(*own, predicted(F.col(text_col)).alias("p__")).select(*own, "p__.lang_pred", "p__.score", "p__.rejected")
+    own, back = carried(docs, "lang_pred", "score", "rejected")
+    return docs.select(*own, predicted(F.col(quoted(text_col))).alias("p__")).select(*back, "p__.lang_pred", "p__.score", "p__.rejected")

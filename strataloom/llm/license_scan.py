@@ -12,7 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import carried, quoted, text_of
 
 THRESHOLD = 0.8
 #: Template bigrams up to which their table is broadcast.
@@ -93,7 +93,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         F.transform(F.split(F.col("clean"), rf"[\n{MARK}]"), lambda line, i: F.struct(F.lit("line").alias("kind"), i.alias("span"), line.alias("body"))),
         F.transform(blocks, lambda block, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("span"), block.alias("body"))),
     )
-    each = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), clean.alias("clean")).select("doc_id", "text_hash", F.explode(spans).alias("s"))
+    each = docs.select(F.col(quoted(id_col)).alias("doc_id"), F.xxhash64(text).alias("text_hash"), clean.alias("clean")).select("doc_id", "text_hash", F.explode(spans).alias("s"))
     words = each.select("doc_id", "text_hash", "s.kind", "s.span", F.split(F.trim(F.regexp_replace("s.body", r"[ \n]+", " ")), " ").alias("words"))
     words = words.where((F.size("words") > 1) & F.arrays_overlap("words", F.array(*map(F.lit, keys))))
     sized = words.withColumn("own", bigrams(F.col("words"))).withColumn("n", F.size("own"))
@@ -119,7 +119,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
         .groupBy(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"))
         .agg(best.alias("best"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.count_distinct("kind", "span").alias("n_spans"))
     )
-    own = [c for c in docs.columns if c not in ("license", "dice", "licenses", "n_spans")]
-    rows = docs.select(*own, F.xxhash64(text_of(text_col)).alias("own_hash__"), F.col(id_col).alias("own_id__"))
+    own, back = carried(docs, "license", "dice", "licenses", "n_spans")
+    rows = docs.select(*own, F.xxhash64(text_of(text_col)).alias("own_hash__"), F.col(quoted(id_col)).alias("own_id__"))
     joined = rows.join(per_row, F.col("own_id__").eqNullSafe(F.col("id__")) & (F.col("own_hash__") == F.col("hash__")), "left")
-    return joined.select(*own, F.col("best.which.license").alias("license"), F.col("best.dice").alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
+    return joined.select(*back, F.col("best.which.license").alias("license"), F.col("best.dice").alias("dice"), F.coalesce("licenses", F.lit("")).alias("licenses"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"))

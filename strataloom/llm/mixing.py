@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, text_of, written
+from .common import NOT_SPACE, carried, quoted, text_of, written
 
 #: Units of a block, and blocks whose leftovers meet in one block of the next level.
 BLOCK, MERGED = 1000, 500
@@ -130,9 +130,9 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     names are replaced.
     """
     names = ("size", "source_size", "target", "copies", "taken")
-    own = [c for c in docs.columns if c not in names]
+    own, back = carried(docs, *names)
     size = F.regexp_count(text_of(text_col), F.lit(NOT_SPACE)).cast("long")
-    keyed = docs.select(F.col(source_col).cast("string").alias("source"), F.col(id_col).cast("long").alias("doc_id"), size.alias("size"))
+    keyed = docs.select(F.col(quoted(source_col)).cast("string").alias("source"), F.col(quoted(id_col)).cast("long").alias("doc_id"), size.alias("size"))
     units = written(keyed.groupBy("source", "doc_id", "size").agg(F.count("*").alias("copies")), "mix-units")
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count("*").alias("units"))
     sources = written(targets(sources, weights, cap), "mix-sources")
@@ -160,13 +160,13 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
         extra = extra.unionByName(more)
     extra = extra.select(F.col("source").alias("source_b"), F.col("doc_id").alias("id_b"), F.col("size").alias("size_b"), F.col("p").cast("long").alias("extra__"))
     named = sources.select(F.col("source").alias("source_c"), "source_size", "target")
-    rows = docs.select(*own, F.col(source_col).cast("string").alias("source__"), F.col(id_col).cast("long").alias("id__"), size.alias("size"))
+    rows = docs.select(*own, F.col(quoted(source_col)).cast("string").alias("source__"), F.col(quoted(id_col)).cast("long").alias("id__"), size.alias("size"))
     rows = rows.join(extra, F.col("source__").eqNullSafe(F.col("source_b")) & F.col("id__").eqNullSafe(F.col("id_b")) & (F.col("size") == F.col("size_b")))
     rows = rows.join(small(named), F.col("source__").eqNullSafe(F.col("source_c")))
     copies = (F.floor(rate) + F.col("extra__")).cast("long")
-    return rows.select(*own, "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
+    return rows.select(*back, "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The mix itself: each row as often as it is taken."""
-    return mixed.where("copies > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+    return mixed.where("copies > 0").withColumn("copy__", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*(F.col(quoted(c)) for c in columns))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, quoted, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -272,7 +272,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT
     gives no rows.
     """
     bounded_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     heads = written(texts.mapInArrow(heads_of(k, percent), HEADS).withColumn("row", F.monotonically_increasing_id()), "heads")
     full = heads.where("n > 0")
     # the first row of each set stands for it and numbers it

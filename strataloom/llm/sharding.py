@@ -14,7 +14,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import carried, quoted, text_of, written
 
 #: Probes of the first round and of each refined cell; rows of a cell, and cells, that are aimed at.
 PROBES, REFINED = 1024, 256
@@ -119,23 +119,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, tolerance: float = 0.0, id_
     """
     text = text_of(text_col)
     h = F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_DIGITS), 16, 10).cast("long")
-    d = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID))
+    d = F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(NULL_ID))
     size = (F.octet_length(text) + 1).cast("long")
     crc = F.crc32(text.cast("binary"))
-    own = [c for c in docs.columns if c not in ("size", "text_crc32", "shard", "slot")]
+    own, back = carried(docs, "size", "text_crc32", "shard", "slot")
     keys = written(docs.select(h.alias("h"), d.alias("d"), size.alias("size")), "shard-keys")
     rounds, cells, total = splitters(keys, shards, tolerance)
     spark = docs.sparkSession
     starts = first_rows(cells, total, shards)
     table = F.broadcast(spark.createDataFrame([(c.number, c.below_rows) for c in cells], "cell long, below long"))
-    # the caller's columns travel under numbers, so that none of their names meets a name of the work
-    rows = docs.select(*(F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(own)), size.alias("size"), crc.alias("text_crc32"), h.alias("h"), d.alias("d"))
+    rows = docs.select(*own, size.alias("size"), crc.alias("text_crc32"), h.alias("h"), d.alias("d"))
     rows = _probed(rows, rounds, (F.col("h"), F.col("d"))).join(table, "cell")
     rows = rows.withColumn("at", F.col("below") + F.row_number().over(Window.partitionBy("cell").orderBy("h", "d")) - 1)
     first = F.expr(f"array({', '.join(f'{x}L' for x in starts)})")
     shard = F.size(F.filter(first, lambda x: x <= F.col("at"))) - 1
     slot = F.col("at") - F.element_at(first, F.col("shard") + 1)
-    return rows.withColumn("shard", shard.cast("int")).select(*(F.col(f"own_{i}").alias(c) for i, c in enumerate(own)), "size", "text_crc32", "shard", slot.alias("slot"))
+    return rows.withColumn("shard", shard.cast("int")).select(*back, "size", "text_crc32", "shard", slot.alias("slot"))
 
 
 def first_rows(cells: list[Cell], total: int, shards: int) -> list[int]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_of, written
+from .common import bounded_batches, carried, quoted, text_of, written
 
 #: A longer text is encoded piece by piece, cut where the pre-tokenizer always cuts.
 PIECE_CHARS = 1 << 16
@@ -127,14 +127,14 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache: str, id_col: str =
 
     text = text_of(text_col)
     content = F.sha2(text, 256)
-    chosen = docs.select(content.alias("content"), F.col(id_col).cast("string").alias("id")).groupBy("content").agg(F.min("id").alias("id"))
+    chosen = docs.select(content.alias("content"), F.col(quoted(id_col)).cast("string").alias("id")).groupBy("content").agg(F.min("id").alias("id"))
     misses = chosen.join(stored(), "content", "left_anti")
     # one document of each missing digest: only its row finds its identifier and digest among the misses
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), content.alias("content"), text.alias("text"))
+    texts = docs.select(F.col(quoted(id_col)).cast("string").alias("id"), content.alias("content"), text.alias("text"))
     to_do = texts.join(misses.hint("shuffle_hash"), (texts["id"].eqNullSafe(misses["id"])) & (texts["content"] == misses["content"]), "left_semi")
     to_do.select("content", "text").mapInArrow(encoder(blob, version), CACHE).write.mode("append").parquet(cache)
-    own = [c for c in docs.columns if c not in ("n_bytes", "n_tokens")]
+    own, back = carried(docs, "n_bytes", "n_tokens")
     rows = docs.select(*own, F.octet_length(text).cast("long").alias("n_bytes"), content.alias("content__"))
     # a plain table: only then can a join split the rows of one very common text
     counts = written(stored().withColumnRenamed("content", "content__"), "token-counts")
-    return rows.join(counts, "content__").select(*(rows[c] for c in own), "n_bytes", "n_tokens")
+    return rows.join(counts, "content__").select(*back, "n_bytes", "n_tokens")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, parts, written
+from .common import bounded_batches, carried, parts, quoted, written
 
 #: Labelled rows that a model is fitted on at most, of each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1200, 2000
@@ -329,5 +329,5 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.7, text_c
         for texts in columns:
             yield pa.array([own.score(t.as_py()) for t in texts], pa.float64())
 
-    own = [c for c in docs.columns if c not in ("score", "predicted")]
-    return docs.select(*own, scored(F.col(text_col)).alias("score")).select(*own, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    own, back = carried(docs, "score", "predicted")
+    return docs.select(*own, scored(F.col(quoted(text_col))).alias("score")).select(*back, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
