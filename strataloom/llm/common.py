@@ -37,15 +37,20 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Rows that a Python worker gets at once where the session has the default. A batch is held several times over, by the
-#: executor and by the worker, and texts are long.
+#: Rows and bytes that a Python worker gets at once where the session has the default. A batch is held several times over,
+#: by the executor and by the worker, and texts are long.
 BATCH_ROWS, BATCH_DEFAULT, BATCH_CONF = 512, "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES, BYTES_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Have Python workers get few rows at a time, unless the session says otherwise. It stays so for the session."""
+    """Have Python workers get little at a time, unless the session says otherwise.
+
+    It stays so for the session: what an operator returns runs only when its caller asks for it.
+    """
     if spark.conf.get(BATCH_CONF) == BATCH_DEFAULT:
         spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+        spark.conf.set(BYTES_CONF, str(BATCH_BYTES))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

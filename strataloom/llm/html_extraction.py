@@ -25,8 +25,6 @@ WINDOW = 3
 SURGE_CHARS, SURGE_SHARE = 86, 0.5
 #: What a line gains where its page marks it as part of an article: a window of such lines is a surge.
 LIFT = -(-SURGE_CHARS // WINDOW)
-#: Characters outside links from which a line weighs although its element's name has a word of doubt.
-DENSE = 80
 
 NAME = re.compile(r"/?[a-zA-Z][a-zA-Z0-9:-]*")
 STOP = re.compile(r"""["'>]""")
@@ -51,11 +49,13 @@ INSIDE_WORDS = frozenset(
     "related newsletter pagination pager toolbar widget widgets ad-banner ad-container ad-slot ad-unit comment-form comment-list comment-respond comments-area cookie-banner cookie-notice "
     "newsletter-form newsletter-signup post-comments related-articles related-links related-posts share-bar share-buttons social-links social-share".split()
 )
+# Of these the ones that mark nothing beside words of another kind.
+MARKS_ALONE = frozenset({"related"})
 # Words that tell what an element is wherever they stand in its name; the others leave a doubt in a longer name.
 SURE_WORDS = BOILER_WORDS - frozenset("share sharing social related discussion legal copyright search login signup reply replies notice notices alert aside skip recommended header menu subscription pager toolbar".split())
 ARTICLE_WORDS = frozenset("article articlebody post postbody entry story content main maincontent maintext".split())
 P_CLOSERS = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd tr figure figcaption details".split())
-RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved)", re.I)
+RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4})|all rights reserved\b\W*$)", re.I)
 COMMENTS = re.compile(r"(?:\d+ )?(?:reader )?(?:comments?|kommentare?|commentaires?|comentarios?|leave a (?:reply|comment)|responses|replies)(?: \(\d+\))?:?", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -64,12 +64,11 @@ CLOSERS = {name: re.compile(rf"</{name}\b", re.I) for name in SKIPPED}
 
 
 class Line:
-    __slots__ = ("article", "around", "boiler", "heading", "listed", "text", "weight")
+    __slots__ = ("article", "around", "boiler", "doubt", "heading", "holder", "listed", "text", "weight")
 
-    def __init__(self, text: str, linked: int, boiler: bool, doubt: bool, article: int, around: int, listed: bool, heading: bool):
-        self.text, self.boiler, self.article, self.around, self.listed, self.heading = text, boiler, article, around, listed, heading
-        plain = len(text) - linked
-        self.weight = 0 if boiler or plain < (DENSE if doubt else 0) else plain
+    def __init__(self, text: str, linked: int, boiler: bool, doubt: bool, article: int, around: int, listed: bool, heading: bool, holder: int):
+        self.text, self.boiler, self.doubt, self.article, self.around, self.listed, self.heading, self.holder = text, boiler, doubt, article, around, listed, heading, holder
+        self.weight = 0 if boiler else len(text) - linked
 
 
 def _kind(name: str, attributes: str, inside: int) -> tuple[bool, bool, bool]:
@@ -95,6 +94,8 @@ def _kind(name: str, attributes: str, inside: int) -> tuple[bool, bool, bool]:
                 boiler = True
         if name not in ("html", "body"):
             if name not in ("article", "main") and not (inside and name in ("h1", "h2", "header")):
+                if whole & MARKS_ALONE and not whole <= INSIDE_WORDS:
+                    whole -= MARKS_ALONE  # a section about related work is not a list of related pages
                 boiler = boiler or bool(whole & INSIDE_WORDS if inside else whole & (BOILER_WORDS | INSIDE_WORDS) or words & SURE_WORDS)
                 doubt = not inside and not boiler and bool(words & BOILER_WORDS)
             elif whole & {"comment", "comments", "reply", "related", "ad", "ads", "sponsored", "promo"}:
@@ -185,22 +186,30 @@ class Open:
         return self.blocks[-1] if self.blocks else -1
 
 
-def lines_of(page: str) -> list[Line]:
-    """Strip the markup: one line for each run of text between block elements."""
+def lines_of(page: str) -> tuple[list[Line], dict[int, int]]:
+    """Strip the markup: one line for each run of text between block elements, and where each line's container ends.
+
+    A line's container is the block element around the one that the line is the text of.
+    """
     lines: list[Line] = []
     tags, elements = Tags(page), Open()
     pieces: list[str] = []
     linked: list[str] = []
     boilers = doubts = links = lists = forms = titles = 0
     articles: list[tuple[int, bool, int]] = []  # number, whether an article element, number of the container around it
-    numbered = 0
+    numbered = opened = 0
+    serials: list[int] = []
+    ends: dict[int, int] = {}
+
+    def holder() -> int:
+        return serials[elements.blocks[-2]] if len(elements.blocks) > 1 else 0
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
                 whole = boilers > 0 or (forms > 0 and not articles)
-                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), whole, doubts > 0, articles[-1][0] if articles else 0, articles[-1][2] if articles else 0, lists > 0, titles > 0))
+                lines.append(Line(text, len(" ".join(entities.unescape(" ".join(linked)).split())), whole, doubts > 0, articles[-1][0] if articles else 0, articles[-1][2] if articles else 0, lists > 0, titles > 0, holder()))
             pieces.clear()
         linked.clear()
 
@@ -208,6 +217,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal boilers, doubts, links, lists, forms, titles
         while len(elements.stack) > upto:
             name, boiler, article, doubt = elements.pop()
+            ends[serials.pop()] = len(lines)
             boilers -= boiler
             doubts -= doubt
             forms -= name == "form" and not boiler
@@ -269,6 +279,8 @@ def lines_of(page: str) -> list[Line]:
         elif name == "form":
             boiler = True
         elements.push(name, boiler, article, doubt)
+        opened += 1
+        serials.append(opened)
         boilers += boiler
         doubts += doubt
         titles += name == "h1"
@@ -282,11 +294,14 @@ def lines_of(page: str) -> list[Line]:
             else:
                 articles.append(articles[-1])
     flush()
-    return lines
+    return lines, ends
+
 
+def runs(weights: list[int], threshold: float, heads: list[bool], doubts: list[bool]) -> list[tuple[int, int]]:
+    """From each surge point to its dive point, as half-open ranges of lines.
 
-def runs(weights: list[int], threshold: float, heads: list[bool]) -> list[tuple[int, int]]:
-    """From each surge point to its dive point, as half-open ranges of lines; none reaches back beyond a heading."""
+    A run reaches back over lines with weight, but not beyond a heading nor to lines in an element of doubtful name.
+    """
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     found, i, n = [], 0, len(weights)
     while i < n:
@@ -294,7 +309,7 @@ def runs(weights: list[int], threshold: float, heads: list[bool]) -> list[tuple[
             i += 1
             continue
         start = i
-        while start and weights[start - 1] and not heads[start]:  # lines before the surge that already carry text
+        while start and weights[start - 1] and not heads[start] and not doubts[start - 1]:  # lines before the surge that already carry text
             start -= 1
         for k in range(i, min(i + WINDOW, n)):  # a heading within the window of the surge, where what stands before it is none
             if heads[k] and not any(heads[start:k]) and sum(weights[start:k]) < threshold:
@@ -305,16 +320,21 @@ def runs(weights: list[int], threshold: float, heads: list[bool]) -> list[tuple[
     return found
 
 
-def between(lines: list[Line], weights: list[int]) -> list[Line]:
-    """The lines with weight between the surge and dive points of these lines."""
+def between(lines: list[Line], weights: list[int], marked: bool = False) -> list[Line]:
+    """The lines between the surge and dive points of these lines: those with weight, and paragraphs that are mostly links.
+
+    Where a page marks its article, what stands in it before a heading is part of it as well.
+    """
     top = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
-    kept = runs(weights, max(1, min(SURGE_CHARS, SURGE_SHARE * top)), [line.heading for line in lines])
-    return [lines[i] for a, b in kept for i in range(a, b) if weights[i]]
+    heads = [line.heading and not marked for line in lines]
+    kept = runs(weights, max(1, min(SURGE_CHARS, SURGE_SHARE * top)), heads, [line.doubt for line in lines])
+    prose = [not (line.boiler or line.listed or line.doubt or marked or RIGHTS.match(line.text)) and line.weight > 0 for line in lines]
+    return [lines[i] for a, b in kept for i in range(a, b) if weights[i] or prose[i]]
 
 
 def main_text(page: str | None) -> str:
     """The article of a page, its blocks joined by a blank line; empty if there is none."""
-    lines = lines_of(page or "")
+    lines, ends = lines_of(page or "")
     by_article: dict[int, int] = {}
     inner: dict[int, int] = {}
     for line in lines:
@@ -323,26 +343,28 @@ def main_text(page: str | None) -> str:
             inner[line.around] = inner.get(line.around, 0) + len(line.text)
     # every container counts, but for what only stands around heavier article elements
     marked = {k for k, n in by_article.items() if n > inner.get(k, 0)}
-    total = sum(line.weight for line in lines)
-    if marked and 4 * max(by_article[k] for k in marked) < total - sum(by_article[k] for k in marked):
-        marked = set()  # teasers; the text is elsewhere
+    title = {line.article > 0 for line in lines if line.heading and not line.boiler}
+    if len(marked) > 1 and title == {False}:
+        marked = set()  # teasers of other articles: the page's title stands outside them
     if marked:
         # each article has surges of its own; boilerplate between its lines, however long, is one line without weight
         of: dict[int, list[int]] = {}
-        weights = [0 if line.boiler or (line.weight == 0 and line.listed) else line.weight + LIFT for line in lines]
+        weights = [0 if line.boiler else line.weight + LIFT for line in lines]
         for i, line in enumerate(lines):
             if line.article in marked:
                 mine = of.setdefault(line.article, [])
                 if weights[i] or not mine or weights[mine[-1]]:
                     mine.append(i)
         place = {id(line): i for i, line in enumerate(lines)}
-        kept = sorted(place[id(line)] for mine in of.values() for line in between([lines[i] for i in mine], [weights[i] for i in mine]))
+        kept = sorted(place[id(line)] for mine in of.values() for line in between([lines[i] for i in mine], [weights[i] for i in mine], True))
         return "\n\n".join(lines[i].text for i in kept)
     weights = [line.weight if line.weight * 2 >= len(line.text) and not RIGHTS.match(line.text) else 0 for line in lines]
+    readers = 0
     for i, line in enumerate(lines):
-        if i and COMMENTS.fullmatch(line.text):  # what follows is by readers
-            weights[i:] = [0] * (len(lines) - i)
-            break
+        if i and i >= readers and COMMENTS.fullmatch(line.text):  # what follows in the same container is by readers
+            readers = ends.get(line.holder, len(lines))
+        if i < readers:
+            weights[i], line.boiler = 0, True
     return "\n\n".join(line.text for line in between(lines, weights))
 
 

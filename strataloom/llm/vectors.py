@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import BATCH_BYTES, BYTES_CONF, written
 
 #: Rows of a block, questions of a group, rows of the sample that cells are fitted on, most cells, rows aimed at in one.
 BLOCK_ROWS, GROUP_ROWS = 1024, 256
 SAMPLE_ROWS, CELLS, CELL_ROWS = 8192, 1024, 1024
-BATCH_BYTES, BYTES_CONF = 16 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 @contextmanager

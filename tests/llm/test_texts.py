@@ -51,6 +51,27 @@ def test_no_part_of_an_article_is_lost():
         assert main_text(f"<article><p>{p}</p><div {name}><p>{end}</p></div></article>") == p, name
 
 
+P = ("Some words of a paragraph that is long enough to be read as an article's own. " * 5).strip()
+WHOLE = [
+    (f"<article><p>Kicker line</p><h1>Title</h1><p>{P}</p></article>", f"Kicker line\n\nTitle\n\n{P}"),
+    (f"<article><p>{P}</p><ul><li><a href=x>First linked item</a></li><li>plain item</li></ul></article>", f"{P}\n\nFirst linked item\n\nplain item"),
+    (f"<div><p>{P}</p><p>See <a href=x>{P}</a></p><p>{P}</p></div>", f"{P}\n\nSee {P}\n\n{P}"),
+    (f"<div><p>{P}</p><p>Copyright law is the topic. {P}</p></div>", f"{P}\n\nCopyright law is the topic. {P}"),
+    (f"<div><p>{P}</p></div><div>Copyright 2024 Some Company</div>", P),
+    (f"<div><div><p>{P}</p><div><h3>Comments</h3><p>nice one {P}</p></div></div><p>{P}</p></div>", f"{P}\n\n{P}"),
+    (f'<article><p>{P}</p><div class="related work"><p>{P}</p></div><div class="related"><p>{P}</p></div></article>', f"{P}\n\n{P}"),
+    (f"<p>{P} {P} {P} {P} {P}</p><main><h1>T</h1><p>{P}</p></main>", f"T\n\n{P}"),
+    (f"<h1>T</h1><p>{P}</p><p>{P}</p><article><p>a teaser {P}</p></article><article><p>b teaser {P}</p></article>", None),
+    *((f'<div class="big-header"><p>{"x" * n}</p><p>{P}</p></div>', f"{'x' * n}\n\n{P}") for n in (87, 90)),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), WHOLE)
+def test_no_text_of_an_article_is_lost(page, text):
+    found = html_extraction.main_text(page)
+    assert found == text if text is not None else P in found and found.startswith("T")
+
+
 def test_extraction_of_pages(spark, small):
     pages = spark.read.parquet(f"{small}/pages.parquet").withColumn("text", F.lit("clash"))
     none = spark.createDataFrame([(-1, None, None, None)], "page_id long, url string, html string, text string")
