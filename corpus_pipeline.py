@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.llm import toxicity as toxic
@@ -45,8 +45,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     empty = F.length(F.regexp_replace(text_of(), r"[\x20\x09-\x0D]+", "")) == 0
     by_id = docs.join(kept.hint("shuffle_hash"), F.col("doc_id") == F.col("kept__"), "left_semi")
     rows = by_id.where(~empty).unionByName(docs.where(F.col("doc_id").isNull() & ~empty).select(*by_id.columns))
-    alike = Window.partitionBy("doc_id", "text").orderBy(*COLUMNS[2:])
-    one = rows.withColumn("place__", F.row_number().over(alike)).where("place__ = 1")
+    # rows that repeat are put together inside the tasks first, under a digest and not their whole text
+    first = F.min(F.struct(*COLUMNS[2:], "text")).alias("row")
+    one = rows.groupBy("doc_id", F.sha2("text", 256).alias("digest")).agg(first).select("doc_id", "row.*")
     return one.select(*COLUMNS).unionByName(docs.where(empty).select(*COLUMNS))
 
 
