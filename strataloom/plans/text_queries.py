@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataloom.operators import inverted
 from strataloom.operators import search as fts
 from strataloom.operators import text
 from strataloom.operators.bounds import small
@@ -193,3 +194,64 @@ def history_review(spark: SparkSession, d: str) -> DataFrame:
     names = gone.unionByName(spark.createDataFrame([("token",), ("license",)], "term string")).distinct()
     words = load(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
     return words.join(small(names), "term").groupBy("term").agg(F.count("*").alias("documents"))
+
+
+# The stemmer has no SQL, so its oracle names the words that share a stem: what is asked, and all of its forms.
+FORMS = {"licens": r"licens(e|ed|es|ing)?", "apach": "apache", "mit": "mit", "reserv": r"reserv(e|ed|es|ing)", "right": "rights?", "releas": r"releas(e|ed|es|ing)", "asia": "asia", "promo": "promos?", "brand": r"brand(s|ed|ing)?"}
+STEM_CASE = "CASE " + " ".join(f"WHEN regexp_full_match(term, '{form}') THEN '{stem}'" for stem, form in FORMS.items()) + " ELSE term END"
+
+
+def _index(spark: SparkSession, d: str) -> inverted.Index:
+    return inverted.build(load(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lit("body").alias("field"), "text"))
+
+
+def _stem_sql(terms: list[str]) -> str:
+    return f"""w AS (SELECT doc_id, {SPLIT.format(c='text')} AS t FROM documents), st AS (SELECT count(*) AS docs, avg(coalesce(len(t), 0)) AS mean FROM w),
+    ix AS (SELECT doc_id, n, {STEM_CASE} AS stem, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM w) GROUP BY ALL),
+    a AS (SELECT * FROM ix WHERE stem IN ({", ".join(map(repr, terms))})), df AS (SELECT stem, count(*) AS df FROM a GROUP BY stem),
+    sc AS (SELECT a.doc_id, count(*) AS hits, sum(ln(1 + (st.docs - df.df + 0.5) / (df.df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / st.mean))) AS score FROM a JOIN df USING (stem), st GROUP BY a.doc_id)"""
+
+
+def _stem_page(terms: list[str], need: int, top: int, hits: bool = False) -> str:
+    return paged(f"WITH {_stem_sql(terms)} SELECT doc_id AS key, {'hits, ' if hits else ''}round(score, 6) AS score FROM sc WHERE hits >= {need}", top, "score DESC, key")
+
+
+@query("", _stem_page(["licens", "apach"], 2, 20))
+def stemmed_history(spark: SparkSession, d: str) -> DataFrame:
+    """Other forms of the words are found: "licensing" means "licensed"."""
+    return inverted.search(_index(spark, d), "licensing apache", 20)
+
+
+@query("", _stem_page(["licens", "mit", "apach", "reserv"], 1, 25, True))
+def stemmed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Any of the words, the best first; shards whose bound is too low are not scored."""
+    return inverted.recall(_index(spark, d), ["licenses", "mit", "apache", "reserving"], 25)
+
+
+@query("", paged(f"WITH w AS (SELECT doc_id, ' ' || array_to_string({SPLIT.format(c='text')}, ' ') || ' ' AS t, len({SPLIT.format(c='text')}) AS n FROM documents), f AS (SELECT *, len(regexp_extract_all(t, ' rights? (?=reserv(e|ed|es|ing) )')) AS tf FROM w), st AS (SELECT count(*) AS docs, avg(coalesce(n, 0)) AS mean, count(*) FILTER (tf > 0) AS df FROM f) SELECT doc_id AS key, round(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM f, st WHERE tf > 0".replace("(?=reserv(e|ed|es|ing) )", "reserv(?:e|ed|es|ing) "), 30, "score DESC, key"))
+def stemmed_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """Stems side by side, from the positions of the index."""
+    return inverted.search(_index(spark, d), '"right reserves"', 30)
+
+
+def _updated_sql() -> str:
+    return _stem_page(["releas"], 1, 15).replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || ' Releasing' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0)")
+
+
+@query("", _updated_sql())
+def stemmed_update(spark: SparkSession, d: str) -> DataFrame:
+    """The next generation of the index, after a third of the texts has changed and a seventh is gone."""
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("key"), F.lit("body").alias("field"), "text")
+    now = docs.where("key % 7 <> 0").withColumn("text", F.when(F.col("key") % 3 == 0, F.concat("text", F.lit(" Releasing"))).otherwise(F.col("text")))
+    return inverted.search(inverted.updated(inverted.build(docs), now), "released", 15)
+
+
+STEM_FIELDS_SQL = FIELDS_SQL.replace("ft AS (SELECT id, field, term, count(*) AS tf FROM f GROUP BY ALL)", f"ft AS (SELECT id, field, {STEM_CASE} AS term, count(*) AS tf FROM f GROUP BY ALL)")
+
+
+@query("symbols", _concept_sql(["promo", "brand", "asia"], 2, 2).replace(FIELDS_SQL, STEM_FIELDS_SQL).replace("SELECT id, count(*) AS hits", "SELECT id AS key, count(*) AS hits").replace("hits DESC, score DESC, id", "hits DESC, score DESC, key"))
+def stemmed_concept(spark: SparkSession, d: str) -> DataFrame:
+    """A question in other forms than the fields have, on an index of three fields."""
+    s = symbols(spark, d)
+    fields = [s.select(F.col("id").alias("key"), F.lit(f).alias("field"), F.col(c).alias("text")) for f, c in (("name", "name"), ("path", "file_path"), ("signature", "signature"))]
+    return inverted.concept(inverted.build(fields[0].unionByName(fields[1]).unionByName(fields[2])), "promos branded asia", 20)
