@@ -298,14 +298,11 @@ CYCLES_SQL = """WITH RECURSIVE p AS (SELECT DISTINCT a.file_path AS f, b.file_pa
     SELECT size, array_to_string(members, ',') AS members, total, total_members, n < total AS truncated, CASE WHEN n = total THEN NULL WHEN n = {top} THEN 'top' ELSE 'member_limit' END AS truncation_reason FROM b, m"""
 
 
-@query("symbols edges", CYCLES_SQL.format(where="abs(a.line_start - b.line_start) % 25 = 0", budget=60, top=4))
+@query("symbols edges", CYCLES_SQL.format(where="regexp_replace(a.file_path, '/[^/]*$', '') = regexp_replace(b.file_path, '/[^/]*$', '')", budget=500, top=20))
 def cycles_within_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Whole cycles, the largest first, of files whose importing and imported lines agree modulo 25; 4 cycles and 60 members at most."""
-    s, e = symbols(spark, d), edges(spark, d).where("kind = 'imports'")
-    own = s.select(F.col("id").alias("from_id"), F.col("file_path").alias("from_file"), F.col("line_start").alias("a"))
-    to = s.select(F.col("name").alias("to_name"), F.col("file_path").alias("to_file"), F.col("line_start").alias("b"))
-    pairs = e.join(own, "from_id").join(to, "to_name").where("from_file <> to_file and abs(a - b) % 25 = 0").select("from_file", "to_file").distinct()
-    return graph.cycles_answer(pairs, 4, 60, 500_000).withColumn("members", F.array_join("members", ","))
+    """Whole cycles of imports inside a folder, the largest first, 20 cycles and 500 members at most."""
+    pairs = graph.import_pairs(symbols(spark, d), edges(spark, d)).where(paths.parent(F.col("from_file")) == paths.parent(F.col("to_file")))
+    return graph.cycles_answer(pairs, 20).withColumn("members", F.array_join("members", ","))
 
 
 @query(

@@ -258,3 +258,23 @@ def compiler_edges(spark: SparkSession, d: str) -> DataFrame:
 def compiler_definitions(spark: SparkSession, d: str) -> DataFrame:
     """Definitions of the whole index, with names from their last descriptors."""
     return compiler.definitions(_index(spark, d)).select("symbol", "display_name", "kind", "file", F.col("line"), "character")
+
+
+SEMANTIC_SQL = f"""WITH {SCIP_SQL}, stale AS (SELECT file_path FROM spans GROUP BY file_path HAVING count(*) % 2 = 1), one AS (SELECT 'scip t . . `' || min(to_name) || '`#' AS symbol FROM edges WHERE kind = 'calls'),
+    d AS (SELECT 'definition' AS what, file_path AS file, line_start AS line, NULL::VARCHAR AS to_file, file_path IN (FROM stale) AS old FROM n WHERE symbol = (FROM one)),
+    e AS (SELECT kind AS what, from_file AS file, occurrence_line AS line, f.at[1] AS to_file, from_file IN (FROM stale) OR coalesce(f.at[1] IN (FROM stale), false) AS old FROM ed LEFT JOIN f ON f.symbol = to_symbol WHERE from_symbol = (FROM one) OR to_symbol = (FROM one)),
+    a AS (SELECT * FROM d UNION ALL SELECT * FROM e), c AS (SELECT what = 'definition' AS defines, count(*) AS total, count(*) FILTER (NOT old) AS returned, count(*) FILTER (old) AS omitted_stale FROM a GROUP BY 1)
+    SELECT what, file, line, to_file, total, returned, omitted_stale, omitted_stale > 0 AS truncated, CASE WHEN omitted_stale > 0 THEN 'stale_documents' END AS truncation_reason FROM a JOIN c ON c.defines = (a.what = 'definition') WHERE NOT old"""
+
+
+@query("symbols edges spans", SEMANTIC_SQL)
+def semantic_symbol(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions and edges of one compiler symbol, without those that touch a document which has changed since."""
+    index = _index(spark, d)
+    defined = cut(compiler.definitions(index), "definitions")
+    first = edges(spark, d).where("kind = 'calls'").agg(F.min("to_name")).collect()[0][0]
+    stale = spans(spark, d).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("n")).where("n % 2 = 1").select("path")
+    of, touching = compiler.semantic(defined, compiler.semantic_edges(index, defined), f"scip t . . `{first}`#", stale)
+    answer = ("total", "returned", "omitted_stale", "truncated", "truncation_reason")
+    of = of.select(F.lit("definition").alias("what"), "file", "line", F.lit(None).cast("string").alias("to_file"), *answer)
+    return of.unionByName(touching.select(F.col("kind").alias("what"), F.col("from_file").alias("file"), F.col("occurrence_line").alias("line"), "to_file", *answer))
