@@ -238,7 +238,7 @@ SCIP_SQL = """n AS (SELECT *, 'scip t . . `' || name || '`#' AS symbol, name AS
     f AS (SELECT symbol, min((file_path, line_start, ch)) AS at FROM n GROUP BY symbol),
     o AS (SELECT e.from_id, e.kind, 'scip t . . `' || e.to_name || '`#' AS to_symbol, s.file_path, s.line_start + e.line AS line, e.from_id % 50 + 42 AS ch FROM edges e JOIN symbols s ON s.id = e.from_id WHERE e.kind <> 'references'),
     u AS (SELECT DISTINCT file_path, line, ch, to_symbol, CASE kind WHEN 'imports' THEN 'import' ELSE 'reference' END AS kind FROM o),
-    w AS (SELECT u.*, n.symbol AS from_symbol, n.line_start AS from_line, n.ch AS from_ch, row_number() OVER (PARTITION BY u.file_path, u.line, u.ch, u.to_symbol, u.kind ORDER BY n.line_start DESC, n.line_end, n.symbol, n.ch) AS k
+    w AS (SELECT u.*, n.symbol AS from_symbol, n.line_start AS from_line, n.ch AS from_ch, row_number() OVER (PARTITION BY u.file_path, u.line, u.ch, u.to_symbol, u.kind ORDER BY n.line_start DESC, n.line_end, n.symbol DESC, n.ch DESC) AS k
       FROM u LEFT JOIN n ON n.file_path = u.file_path AND u.line BETWEEN n.line_start AND n.line_end),
     ed AS (SELECT from_symbol, file_path AS from_file, coalesce(from_line, line) AS from_line, line AS occurrence_line, to_symbol, kind FROM w WHERE k = 1
       UNION ALL SELECT DISTINCT c.symbol, f.at[1], f.at[2], f.at[2], p.symbol, 'implementation' FROM n c JOIN n p ON p.id = c.parent_id JOIN f ON f.symbol = c.symbol)"""
