@@ -29,3 +29,10 @@ def page(rows: DataFrame, top: int, *order: Column | str, work_cap: int | None =
     reason = F.when(over, "raw_work_limit").when(F.col("total") > top, "top")
     first = first.withColumn("returned", F.least(F.lit(top), F.col("total"))).withColumn("truncated", over | (F.col("total") > top)).withColumn("truncation_reason", reason)
     return first.withColumn("total", F.when(~over, F.col("total")))
+
+
+def counted(first: DataFrame, every: DataFrame) -> DataFrame:
+    """``first``, rows chosen from ``every`` by more than one cap, with total, returned and truncated on each."""
+    total, returned = every.agg(F.count("*")).scalar(), first.agg(F.count("*")).scalar()
+    rows = first.withColumn("total", total).withColumn("returned", returned)
+    return rows.withColumn("truncated", F.col("total") > F.col("returned"))

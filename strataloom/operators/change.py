@@ -47,7 +47,7 @@ def match_declarations(base: DataFrame, head: DataFrame, scope: list[str]) -> Da
     return one.unionByName(rest).unionByName(same)
 
 
-def match_trees(base: DataFrame, head: DataFrame, max_depth: int = 64) -> DataFrame:
+def match_trees(base: DataFrame, head: DataFrame) -> DataFrame:
     """``match_declarations`` of (id, parent_id, file_path, name, kind, signature, lines) from the top of each file down.
 
     Children are compared only below parents that are the same declaration; below one that came or went all did.
@@ -61,13 +61,13 @@ def match_trees(base: DataFrame, head: DataFrame, max_depth: int = 64) -> DataFr
 
     b, h = top(base.select(columns)), top(head.select(columns))
     out = None
-    for _ in range(max_depth):
+    while True:
         scope = [F.col("file_path"), F.coalesce("under", F.lit(-1)).alias("under"), F.col("name"), F.col("kind")]
         side = lambda df: df.select(*scope, "id", "signature", "line_start", "line_end")  # noqa: E731, B023
         level = cut(match_declarations(side(b), side(h), ["file_path", "under", "name", "kind"]), "matched-level")
-        if level.isEmpty():
-            break
         out = level if out is None else out.unionByName(level)
+        if level.isEmpty():  # the first level stays, empty or not, for its columns
+            break
         pair = level.select("base_id", "head_id", F.coalesce("head_id", "base_id").alias("under"))
         below = lambda df, end: df.select(columns).join(pair.where(f"{end} is not null").select(F.col(end).alias("parent_id"), "under", F.col("base_id").isNull().alias("new"), F.col("head_id").isNull().alias("gone")), "parent_id")  # noqa: E731, B023
         # what is below a removed parent must not meet what is below an added one of the same number
@@ -183,13 +183,14 @@ def disciplines(files: DataFrame, sample: int = 20) -> DataFrame:
 
 
 # Names of entry files and their priority.
-ENTRY_POINTS = [("main", 1), ("index", 2), ("app", 3), ("s1", 4)]
+ENTRY_POINTS = {1: "main.rs main.go main.py __main__.py", 2: "Program.cs Main.java index.php", 3: "app.py index.ts index.tsx index.js index.jsx", 4: "lib.rs mod.rs"}
 
 
 def entry_points(files: DataFrame) -> DataFrame:
-    table = F.broadcast(files.sparkSession.createDataFrame(ENTRY_POINTS, "stem string, priority int"))
-    stem = F.regexp_replace(paths.basename(F.col("file_path")), r"\.[^.]*$", "")
-    return files.withColumn("stem", stem).join(table, "stem").select("file_path", "priority")
+    """(file_path, priority) of files whose name is that of an entry file, letter case included."""
+    table = [(name, priority) for priority, names in ENTRY_POINTS.items() for name in names.split()]
+    known = F.broadcast(files.sparkSession.createDataFrame(table, "name string, priority int"))
+    return files.select("file_path", paths.basename(F.col("file_path")).alias("name")).join(known, "name").select("file_path", "priority")
 
 
 def cycle_delta(base: DataFrame, head: DataFrame) -> DataFrame:

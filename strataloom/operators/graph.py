@@ -193,12 +193,18 @@ def api_surface(symbols: DataFrame, edges: DataFrame, prefix: str) -> DataFrame:
 def personal_pagerank(pairs: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
     """(node, score) by power iteration on the undirected graph of ``pairs`` (a, b); seeds (node) get the jumps.
 
-    Mass of nodes without neighbours goes back to the seeds. A fixed number of rounds; written every six.
+    Mass of nodes without neighbours goes back to the seeds. A fixed number of rounds; written every six. Seeds may bring
+    their weight (a share of the jumps) in a column ``weight``. Without seeds, or without a pair of two nodes, there is
+    nothing to walk on, and the seeds' own shares are the answer.
     """
     links = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "pagerank-links")
     degree = links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("degree"))
-    n = seeds.count()
-    jump = seeds.select("node", F.lit(1.0 / n).alias("jump"))
+    weight = F.col("weight").cast("double") if "weight" in seeds.columns else F.lit(1.0)
+    jump = cut(seeds.select("node", weight.alias("jump")).groupBy("node").agg(F.sum("jump").alias("jump")), "pagerank-seeds")
+    whole = jump.agg(F.coalesce(F.sum("jump"), F.lit(0.0))).collect()[0][0]
+    if whole <= 0 or links.isEmpty():
+        return jump.select("node", (F.col("jump") / (whole or 1.0)).alias("score"))
+    jump = jump.select("node", (F.col("jump") / whole).alias("jump"))
     nodes = cut(degree.join(jump, "node", "full_outer").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("jump", F.lit(0.0)).alias("jump")), "pagerank-nodes")
     rank = nodes.select("node", F.col("jump").alias("score"))
     for k in range(rounds):

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataloom.operators.store import cut
 from strataloom.operators.bounds import small
 from strataloom.plans.bind import compatible
 
@@ -57,14 +58,42 @@ def search_batch(symbols: DataFrame, names: list[str]) -> DataFrame:
     return symbols.join(F.broadcast(asked), "name")
 
 
-def collapse_partial(symbols: DataFrame) -> DataFrame:
-    """Partial declarations of one name, kind and file folder as one row: its first place, and how many there are."""
+# Kinds that are part of the identity of what they hold.
+NAMESPACES = ("namespace", "module")
+
+
+def enclosing_names(symbols: DataFrame, kinds: tuple[str, ...] = NAMESPACES) -> DataFrame:
+    """(id, namespace): the names of a symbol's ancestors of some kinds, the outermost first; no row without any.
+
+    Pointers to ancestors double with each join, so a chain of any depth takes a logarithm of steps.
+    """
+    rows = symbols.select("id", "parent_id", F.when(F.col("kind").isin(*kinds), F.col("name")).alias("own"))
+    parents = rows.select(F.col("id").alias("parent_id"), F.array_compact(F.array("own")).alias("names"), F.col("parent_id").alias("up"))
+    at = cut(rows.select("id", "parent_id").join(parents, "parent_id").select("id", "names", "up"), "namespaces")
+    while not at.where("up is not null").isEmpty():
+        # what spans up to an ancestor goes on with what that ancestor's own pointer spans
+        further = at.select(F.col("id").alias("up"), F.col("names").alias("more"), F.col("up").alias("on"))
+        roots = parents.select(F.col("parent_id").alias("up"), F.col("names").alias("root_names"))
+        met = at.join(roots, "up", "left").join(further, "up", "left")
+        after = F.concat(F.coalesce("more", F.array().cast("array<string>")), F.coalesce("root_names", F.array().cast("array<string>")), "names")
+        at = cut(met.select("id", F.when(F.col("up").isNull(), F.col("names")).otherwise(after).alias("names"), F.col("on").alias("up")), "namespaces")
+    return at.where("size(names) > 0").select("id", F.array_join("names", ".").alias("namespace"))
+
+
+def collapse_partial(symbols: DataFrame, kinds: tuple[str, ...] = NAMESPACES) -> DataFrame:
+    """Partial declarations of one name, kind and namespace as one row, their first place, with the list of all places.
+
+    Where the namespace is not known the file stands for it, so that a name alone never puts declarations together.
+    """
     place = F.struct("file_path", "line_start", "id")
-    partial = F.coalesce(F.col("decorators").contains(",partial,"), F.lit(False))
-    folder = F.regexp_replace("file_path", r"/[^/]*$", "")
-    merged = symbols.where(partial).groupBy("name", "kind", folder.alias("scope")).agg(F.min(place).alias("first"), F.count("*").alias("locations"))
-    merged = merged.select("name", "kind", "first.file_path", "first.line_start", "first.id", "locations")
-    return merged.unionByName(symbols.where(~partial).select("name", "kind", "file_path", "line_start", "id", F.lit(1).cast("long").alias("locations")))
+    is_partial = F.coalesce(F.col("decorators").contains(",partial,"), F.lit(False))
+    some = symbols.where(is_partial).join(enclosing_names(symbols, kinds), "id", "left")
+    known = F.coalesce("namespace", F.concat(F.lit("\0file:"), "file_path"))
+    merged = some.groupBy("name", "kind", known.alias("scope")).agg(F.array_sort(F.collect_list(place)).alias("places"))
+    first = F.col("places")[0]
+    all_places = F.transform("places", lambda p: F.concat(p["file_path"], F.lit(":"), p["line_start"].cast("string")))
+    merged = merged.select("name", "kind", *(first[c].alias(c) for c in ("file_path", "line_start", "id")), all_places.alias("locations"))
+    return merged.unionByName(symbols.where(~is_partial).select("name", "kind", "file_path", "line_start", "id", F.array().cast("array<string>").alias("locations")))
 
 
 def callers(symbols: DataFrame, edges: DataFrame, name: str, kind: str = "calls") -> DataFrame:
@@ -152,14 +181,32 @@ def enclosing(references: DataFrame, ranges: DataFrame) -> DataFrame:
     return inside.groupBy("ref_id", "file_path", "line").agg(best.alias("best")).select("ref_id", "file_path", "line", (-F.col("best.c")).alias("owner_id"))
 
 
-# How far an edge of each language can be trusted.
-PRECISION = [("rust", "medium", "name"), ("python", "low", "name"), ("typescript", "medium", "name"), ("go", "medium", "name")]
+# For each language its file endings, how sure an edge is, how it was resolved, and what is not.
+ANY = "name-based candidates only; compiler/type resolution absent"
+PRECISION = [
+    ("rs", "medium", "syntactic", "trait-object and function-pointer dispatch not resolved; macros not expanded; macro-body and function-value references do not prove invocation; "
+     "unsupported or over-budget macro bodies may omit references; wildcard-imported function values not resolved"),
+    ("go", "medium", "syntactic", "interface and function-value dispatch not resolved; reflection and generated code not tracked"),
+    ("java", "medium", "syntactic", "reflection not tracked; generics and overloads not resolved at call sites"),
+    ("cs", "medium", "syntactic", "reflection not tracked; delegates and overloads not resolved"),
+    ("py pyi", "medium", "heuristic", "obj.method() matched by leaf name only — no type inference; dynamic attributes not tracked"),
+    ("ts tsx", "medium", "syntactic", "no type-based dispatch resolution; dynamic imports not tracked"),
+    ("js jsx mjs cjs", "medium", "heuristic", "no type resolution; dynamic calls not tracked"),
+    ("vue", "medium", "syntactic", "template attribute expressions not parsed; auto-imported components produce no edge; no type-based dispatch resolution"),
+    ("php phtml", "medium", "syntactic", "dynamic dispatch not tracked"),
+    ("c cc cpp cxx h hpp hh hxx ipp tpp", "low", "syntactic", "macros not expanded; includes not followed; overload resolution absent"),
+]
+UNKNOWN = ("unknown", "unknown", "unknown", "unsupported or unrecognized language")
 
 
 def edge_precision(edges: DataFrame, symbols: DataFrame) -> DataFrame:
-    table = F.broadcast(edges.sparkSession.createDataFrame(PRECISION, "language string, confidence string, resolution string"))
-    rows = edges.join(symbols.select("id", "language"), F.col("from_id") == F.col("id")).join(table, "language", "left")
-    return rows.groupBy("language", "kind", F.coalesce("confidence", F.lit("unknown")).alias("confidence"), F.coalesce("resolution", F.lit("unknown")).alias("resolution")).agg(F.count("*").alias("edges"))
+    """(extension, kind, confidence, resolution, target_resolution, limitations, edges) by the ending of the file that refers."""
+    table = [(e, c, r, "name_based_candidates", f"{ANY}; {limits}") for endings, c, r, limits in PRECISION for e in endings.split()]
+    known = F.broadcast(edges.sparkSession.createDataFrame(table, "extension string, confidence string, resolution string, target_resolution string, limitations string"))
+    ending = F.lower(F.regexp_extract("file_path", r"[^/]\.([^./]*)$", 1))
+    rows = edges.join(symbols.select("id", ending.alias("extension")), F.col("from_id") == F.col("id")).groupBy("extension", "kind").agg(F.count("*").alias("edges"))
+    names = ("confidence", "resolution", "target_resolution", "limitations")
+    return rows.join(known, "extension", "left").select("extension", "kind", *(F.coalesce(n, F.lit(u)).alias(n) for n, u in zip(names, UNKNOWN)), "edges")
 
 
 def merged_ranges(ranges: DataFrame) -> DataFrame:
@@ -179,7 +226,28 @@ def status(indexed: DataFrame, disk: DataFrame) -> DataFrame:
     return a.join(b, F.col("path") == F.col("d_path"), "full_outer").groupBy(state.alias("state")).agg(F.count("*").alias("files"))
 
 
-def effort_route(tasks: DataFrame) -> DataFrame:
-    """A decision table over a task's size: files touched and crossings."""
-    route = F.when((F.col("files") <= 1) & (F.col("crossings") == 0), "direct").when(F.col("files") <= 3, "plan").otherwise("staged")
-    return tasks.withColumn("route", route)
+# Families of tasks that may be routed low.
+LOW_FAMILIES = ("callees_trace", "source_read_reuse", "task_phase_trace")
+
+
+def effort_route(tasks: DataFrame, prefix: str = "") -> DataFrame:
+    """``tasks`` with effort and reason, by the first rule that holds.
+
+    An effort that the user names counts; else anything but a low risk, another duty than research (``agent``, with or
+    without ``prefix``), a family that is not listed, or an incomplete context is high; the rest is low. Names of more than
+    80 bytes are invalid: effort is null.
+    """
+    agent = F.when(F.col("agent").startswith(prefix), F.substring("agent", len(prefix) + 1, 80)).otherwise(F.col("agent"))
+    whole = F.col("read_only") & F.col("bounded_scope") & F.col("stable_inputs") & F.col("lexical_repo_map")
+    invalid = (F.octet_length("agent") > 80) | (F.octet_length("task_family") > 80)
+    reason = (
+        F.when(invalid, "invalid_request")
+        .when(F.col("user_effort").isNotNull(), "explicit_user_effort")
+        .when(~F.col("risk").eqNullSafe("low"), "risk_high_or_unknown")
+        .when(~agent.eqNullSafe("researcher"), "agent_not_allowlisted")
+        .when(~F.coalesce(F.col("task_family").isin(*LOW_FAMILIES), F.lit(False)), "task_family_not_allowlisted")
+        .when(~F.coalesce(whole, F.lit(False)), "research_context_incomplete")
+        .otherwise("allowlisted_bounded_research_pilot")
+    )
+    effort = F.when(reason == "invalid_request", None).when(reason == "explicit_user_effort", F.col("user_effort")).when(reason == "allowlisted_bounded_research_pilot", "low").otherwise("high")
+    return tasks.withColumn("effort", effort).withColumn("reason", reason)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.operators import reach, rollup
+from strataloom.operators import components, reach, rollup
+from strataloom.operators.store import cut
 from strataloom.sources.policies import Rule
 
 
@@ -18,8 +19,8 @@ def evaluate(rules: list[Rule], pairs: DataFrame, base_pairs: DataFrame, surface
         if rule.action == "deny_imports":
             rows = pairs.where(hit("from_file", "from") & hit("to_file", "deny_imports")).join(changed.select(F.col("path").alias("from_file")), "from_file", "left_semi").select(F.concat_ws(" -> ", "from_file", "to_file").alias("subject"))
         elif rule.action == "max_new_cycles":
-            both = lambda p, hit=hit: p.where(hit("from_file", "scope") & hit("to_file", "scope")).join(p.select(F.col("to_file").alias("from_file"), F.col("from_file").alias("to_file")), ["from_file", "to_file"], "left_semi").where("from_file < to_file")
-            fresh = both(pairs).join(both(base_pairs), ["from_file", "to_file"], "left_anti").agg(F.count("*").alias("n"))
+            mine = new_cycles(pairs, base_pairs, changed).where(hit("node", "scope")).select("root").distinct()
+            fresh = mine.agg(F.count("*").alias("n"))
             rows = fresh.where(F.col("n") > rule.fields["max_new_cycles"]).select(F.concat(F.col("n").cast("string"), F.lit(" new cycles")).alias("subject"))
         elif rule.action == "require_owner":
             mine = owned.where(F.array_contains(F.split("owners", ","), str(rule.fields["require_owner"]))).select(F.col("path").alias("file_path"))
@@ -38,3 +39,20 @@ def evaluate(rules: list[Rule], pairs: DataFrame, base_pairs: DataFrame, surface
             rows = changed.where(hit("path", "critical")).join(held, "path", "left_anti").select(F.col("path").alias("subject"))
         found.append(rows.select(F.lit(rule.id).alias("rule"), "subject"))
     return rollup.report(found, open_, cap)
+
+
+def new_cycles(pairs: DataFrame, base_pairs: DataFrame, changed: DataFrame) -> DataFrame:
+    """(root, node): members of the cycles of ``pairs`` with a ``changed`` (path) file that are no cycle of the base.
+
+    A cycle is known if the base, among the files of all such cycles, has one of exactly the same members.
+    """
+    now = cut(components.strong_nodes(pairs), "cycles-now")
+    touched = now.join(changed.select(F.col("path").alias("node")).distinct(), "node", "left_semi").select("root").distinct()
+    now = cut(now.join(touched, "root", "left_semi"), "cycles-touched")
+    members = now.select("node")
+    inside = base_pairs.join(members.withColumnRenamed("node", "from_file"), "from_file", "left_semi").join(members.withColumnRenamed("node", "to_file"), "to_file", "left_semi")
+    was = components.strong_nodes(inside.select("from_file", "to_file"))
+    sizes = was.groupBy("root").agg(F.count("*").alias("base_size")).withColumnRenamed("root", "base_root")
+    met = now.join(was.select("node", F.col("root").alias("base_root")), "node", "left").groupBy("root").agg(F.count("*").alias("size"), F.count("base_root").alias("n_met"), F.count_distinct("base_root").alias("n_roots"), F.min("base_root").alias("base_root"))
+    known = met.join(sizes, "base_root").where("n_roots = 1 and n_met = size and base_size = size").select("root")
+    return now.join(known, "root", "left_anti").select("root", "node")

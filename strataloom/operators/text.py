@@ -13,13 +13,29 @@ K1, B = 1.2, 0.75
 FIELD_WEIGHTS = {"name": 10, "path": 4, "signature": 2, "documentation": 1}
 # Words that carry no weight in a question unless there are no others.
 FUNCTION_WORDS = frozenset("a an and are as at by does for from how in is it of on or that the this to what where which with".split())
-# Signs of secrets that a document must not be shown with.
-SECRETS = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "aws": r"\bAKIA[0-9A-Z]{16}\b",
-    "bearer": r"(?i)\bbearer\s+[A-Za-z0-9._-]{16,}",
-    "assignment": r"""(?i)\b(password|passwd|secret|token|api_key)\s*[=:]\s*["'][^"'\s]{8,}["']""",
-}
+# Values that stand for a secret without being one, and what the name of a secret ends with.
+PLACEHOLDERS = "placeholder redacted changeme change_me change-me dummy fake test none null value todo secret_here token_here password_here api_key_here".split()
+PLACEHOLDER_STARTS = ["${", "{{", "<", "example_", "example-", "your_", "your-"]
+SECRET_NAMES = "apikey secret token password".split()
+
+
+def _secret_patterns() -> list[str]:
+    """Patterns of a private key, an access key, a bearer and an assigned secret, each within one line."""
+    blank, stop = r"[^\S\n]", r"""\s"'`,;)\]}"""
+    ends = rf"(?=[{stop}]|$)"
+    stands_for = "|".join([*(re.escape(s) for s in PLACEHOLDER_STARTS), rf"(?:{'|'.join(map(re.escape, [*PLACEHOLDERS, 'example']))}){ends}", rf"[x*_.\-]*{ends}"])
+    value = rf"(?!{stands_for})[^{stop}]"
+    spelt = lambda gap: "|".join(gap.join(w) for w in SECRET_NAMES)
+    # before a colon the name is all of the line's beginning, before an equals sign its last word
+    of_line, of_word = r"[^A-Za-z0-9\s]*", r"[^A-Za-z0-9\s,;({]*"
+    colon = rf"^{blank}*[-*+>`]*{blank}*\S*?(?:{spelt(of_line)}){of_line}{blank}*:"
+    equals = rf"(?:^|[\s,;({{])[^\s,;({{]*?(?:{spelt(of_word)}){of_word}{blank}*="
+    return [
+        r"(?is)-----begin .*private key-----",
+        r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+        rf"""(?im)(?<![a-z0-9_])authorization{blank}*["'`]?{blank}*[:=]{blank}*["'`]*bearer{blank}+{value}""",
+        rf"""(?im)(?:{colon}|{equals}){blank}*["'`]*{value}""",
+    ]
 
 
 def tokens(column: Column) -> Column:
@@ -98,7 +114,7 @@ def phrase_docs(docs: DataFrame, key: str, column: str, words: list[str]) -> Dat
 def redacted(column: Column) -> Column:
     """The text, or null where it shows a secret."""
     found = F.lit(False)
-    for pattern in SECRETS.values():
+    for pattern in _secret_patterns():
         found = found | column.rlike(pattern)
     return F.when(~found, column)
 

@@ -176,9 +176,18 @@ def project_map(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupingSets([[c], [c, g], [g]], c, g).agg(F.count_distinct("file_path").alias("files"), F.count("*").alias("symbols"))
 
 
-@query("files", "SELECT file_path, 4 AS priority FROM files WHERE regexp_matches(file_path, '/s1\\.[a-z]+$')")
+@query(
+    "files",
+    """WITH n AS (SELECT regexp_replace(file_path, '[^/]*$', '') || CASE suppkey % 9 WHEN 0 THEN 'main' WHEN 1 THEN 'lib' WHEN 2 THEN 'mod' WHEN 3 THEN 'app' WHEN 4 THEN 'index' WHEN 5 THEN 'Main' WHEN 6 THEN '__main__' ELSE 'other' END || '.' || regexp_extract(file_path, '[^.]*$') AS file_path FROM files),
+    e AS (SELECT DISTINCT file_path, CASE regexp_extract(file_path, '[^/]*$') WHEN 'main.rs' THEN 1 WHEN 'main.go' THEN 1 WHEN 'main.py' THEN 1 WHEN '__main__.py' THEN 1 WHEN 'app.py' THEN 3 WHEN 'index.ts' THEN 3 WHEN 'lib.rs' THEN 4 WHEN 'mod.rs' THEN 4 END AS priority FROM n)
+    SELECT file_path, priority FROM e WHERE priority IS NOT NULL""",
+)
 def entry_points(spark: SparkSession, d: str) -> DataFrame:
-    return change.entry_points(suppliers(spark, d).select("file_path"))
+    """The files under other names, some of which are those of entry files of their language and some of another one's."""
+    f = suppliers(spark, d)
+    names = F.array(*map(F.lit, ("main", "lib", "mod", "app", "index", "Main", "__main__", "other", "other")))
+    name = F.concat(paths.parent(F.col("file_path")), F.lit("/"), F.element_at(names, (F.col("suppkey") % 9 + 1).cast("int")), F.lit("."), F.regexp_extract("file_path", r"[^.]*$", 0))
+    return change.entry_points(f.select(name.alias("file_path")).distinct())
 
 
 COMPONENT_SQL = "SELECT split_part(file_path, '/', 1) || '/' || split_part(file_path, '/', 2) AS component, count(*) AS symbols, count(DISTINCT kind) AS kinds FROM {t} GROUP BY 1"

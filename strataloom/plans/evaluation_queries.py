@@ -13,7 +13,7 @@ from strataloom.operators import change, evaluation, graph, mining, policies, re
 from strataloom.operators.store import new_folder
 from strataloom.plans.bind import edges, load, suppliers, symbols, touches
 from strataloom.plans.change_queries import REACH_SQL, base, changed, reached
-from strataloom.plans.evidence_queries import OWNED_SQL, PAIRS_SQL, RULES_SQL, owned
+from strataloom.plans.evidence_queries import OWNED_SQL, PAIRS_SQL, RULES_SQL, new_cycles_sql, owned
 from strataloom.plans.mining_queries import TRIAL_SQL, _trials
 from strataloom.plans.registry import query
 from strataloom.sources import policies as policy_files
@@ -244,8 +244,7 @@ rules:
     REACH_SQL
     + f""", {RULES_SQL}, {OWNED_SQL}, {PAIRS_SQL}, cf AS (SELECT DISTINCT s.file_path AS path FROM changed JOIN symbols s USING (id)),
     bp AS (SELECT DISTINCT a.file_path AS from_file, b.file_path AS to_file FROM edges e JOIN base a ON a.id = e.from_id JOIN base b ON b.name = e.to_name WHERE e.kind = 'imports' AND a.file_path <> b.file_path),
-    m1 AS (SELECT p.from_file, p.to_file FROM pairs p JOIN pairs q ON q.from_file = p.to_file AND q.to_file = p.from_file WHERE p.from_file < p.to_file AND starts_with(p.from_file, 'america/') AND starts_with(p.to_file, 'america/')),
-    m0 AS (SELECT p.from_file, p.to_file FROM bp p JOIN bp q ON q.from_file = p.to_file AND q.to_file = p.from_file WHERE p.from_file < p.to_file), nc AS (SELECT count(*) AS n FROM (SELECT * FROM m1 EXCEPT SELECT * FROM m0)),
+    {new_cycles_sql('pairs', 'bp', 'cf')}, nc AS (SELECT count(*) AS n FROM fresh WHERE len(list_filter(m, lambda x: starts_with(x, 'america/'))) > 0),
     br AS (SELECT count(DISTINCT (s.file_path, s.line_start, s.name)) AS n FROM reach r JOIN symbols f ON f.id = r.seed AND starts_with(f.file_path, 'africa/') JOIN symbols s ON s.id = r.id),
     su AS (SELECT DISTINCT s.file_path, s.name FROM resolved r JOIN symbols s ON s.id = r.to_id JOIN symbols f ON f.id = r.from_id WHERE starts_with(s.file_path, 'asia/') AND NOT starts_with(f.file_path, 'asia/')),
     e AS (SELECT 'east-west' AS rule, from_file || ' -> ' || to_file AS subject FROM pairs WHERE starts_with(from_file, 'asia/') AND regexp_matches(to_file, '^europe/[^/]+/s[^/]*\\.rs$') AND from_file IN (SELECT path FROM cf)

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
-from strataloom.operators import graph, rollup
+from strataloom.operators import graph, policies, rollup
+from strataloom.operators.bounds import counted, page
 from strataloom.plans.bind import edges, load, spans, suppliers, symbols, touches
-from strataloom.plans.registry import query
+from strataloom.plans.registry import paged, query
 
 # Rules in the order of their file; the last match wins, the third has no owner on purpose.
 RULES = [(0, "**", "core"), (1, "asia/**", "east,core"), (2, "asia/nation_2/*", ""), (3, "**/s*2.rs", "rustlers"), (4, "europe/**/s?.py", "west")]
@@ -64,22 +65,23 @@ def bus_factor(spark: SparkSession, d: str) -> DataFrame:
     return rollup.bus_factor(touches(spark, d), suppliers(spark, d).select(paths.component_at(F.col("file_path"), 2).alias("component")).distinct())
 
 
-@query("touches resolved", "WITH c AS (SELECT path, count(DISTINCT sha) AS commits FROM touches GROUP BY path), g AS (SELECT to_file AS path, count(DISTINCT from_id) AS in_degree FROM resolved WHERE kind = 'calls' GROUP BY to_file) SELECT path, commits, in_degree, commits * in_degree AS score FROM c JOIN g USING (path) ORDER BY score DESC, path LIMIT 20")
+@query("touches resolved", paged("WITH c AS (SELECT path, count(DISTINCT sha) AS commits FROM touches GROUP BY path), g AS (SELECT to_file AS path, count(DISTINCT from_id) AS in_degree FROM resolved WHERE kind = 'calls' GROUP BY to_file) SELECT path, commits, in_degree, commits * in_degree AS score FROM c JOIN g USING (path)", 20, "score DESC, path"))
 def change_hotspots(spark: SparkSession, d: str) -> DataFrame:
     found = rollup.hotspots(rollup.churn(touches(spark, d)), graph.file_in_degrees(symbols(spark, d), edges(spark, d)))
-    return found.orderBy(F.col("score").desc(), "path").limit(20)
+    return page(found, 20, F.col("score").desc(), "path")
 
 
-@query("symbols", "SELECT file_path, count(*) AS symbols, max(line_end) AS last_line FROM symbols GROUP BY file_path ORDER BY symbols DESC, file_path LIMIT 10")
+@query("symbols", paged("SELECT file_path, count(*) AS symbols, max(line_end) AS last_line FROM symbols GROUP BY file_path", 10, "symbols DESC, file_path"))
 def largest_files(spark: SparkSession, d: str) -> DataFrame:
-    return symbols(spark, d).groupBy("file_path").agg(F.count("*").alias("symbols"), F.max("line_end").alias("last_line")).orderBy(F.col("symbols").desc(), "file_path").limit(10)
+    sizes = symbols(spark, d).groupBy("file_path").agg(F.count("*").alias("symbols"), F.max("line_end").alias("last_line"))
+    return page(sizes, 10, F.col("symbols").desc(), "file_path")
 
 
-@query("files", "WITH f AS (SELECT f.file_path AS path, l_linenumber AS line, l_orderkey || '/' || l_partkey AS rule, row_number() OVER (PARTITION BY f.file_path ORDER BY l_linenumber, l_orderkey || '/' || l_partkey) AS k FROM lineitem JOIN files f ON f.suppkey = l_suppkey) SELECT path, line, rule FROM f WHERE k <= 100 ORDER BY path, line, rule LIMIT 5000")
+@query("files", "WITH f AS (SELECT f.file_path AS path, l_linenumber AS line, l_orderkey || '/' || l_partkey AS rule, row_number() OVER (PARTITION BY f.file_path ORDER BY l_linenumber, l_orderkey || '/' || l_partkey) AS k, count(*) OVER () AS total FROM lineitem JOIN files f ON f.suppkey = l_suppkey), c AS (SELECT * FROM f WHERE k <= 100 ORDER BY path, line, rule LIMIT 5000) SELECT path, line, rule, total, (SELECT count(*) FROM c) AS returned, total > (SELECT count(*) FROM c) AS truncated FROM c")
 def findings_cap(spark: SparkSession, d: str) -> DataFrame:
     li, f = load(spark, d, "lineitem"), suppliers(spark, d)
     rows = li.join(f, F.col("l_suppkey") == F.col("suppkey")).select(F.col("file_path").alias("path"), F.col("l_linenumber").alias("line"), F.concat(F.col("l_orderkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string")).alias("rule"))
-    return rollup.capped_findings(rows)
+    return counted(rollup.capped_findings(rows), rows)
 
 
 @query("files", f"WITH {RULES_SQL}, {OWNED_SQL} SELECT path, owners, rule_no FROM owned")
@@ -110,10 +112,10 @@ def first_names(spark: SparkSession, d: str) -> DataFrame:
     return rollup.first_names(rows, ["file_path"], "to_name")
 
 
-@query("symbols", "WITH k AS (SELECT split_part(file_path, '/', 2) AS component, id, name, line_start, row_number() OVER (PARTITION BY split_part(file_path, '/', 2) ORDER BY line_start DESC, id) AS k FROM symbols) SELECT component, id, name, line_start FROM k WHERE k <= 20 ORDER BY component, line_start DESC, id LIMIT 400")
+@query("symbols", "WITH k AS (SELECT split_part(file_path, '/', 2) AS component, id, name, line_start, row_number() OVER (PARTITION BY split_part(file_path, '/', 2) ORDER BY line_start DESC, id) AS k, count(*) OVER () AS total FROM symbols), c AS (SELECT * FROM k WHERE k <= 20 ORDER BY component, line_start DESC, id LIMIT 400) SELECT component, id, name, line_start, total, (SELECT count(*) FROM c) AS returned, total > (SELECT count(*) FROM c) AS truncated FROM c")
 def top_per_component(spark: SparkSession, d: str) -> DataFrame:
     rows = symbols(spark, d).select(F.split("file_path", "/")[1].alias("component"), "id", "name", "line_start")
-    return rollup.per_group(rows, "component", [F.col("line_start").desc(), "id"], 20, 400)
+    return counted(rollup.per_group(rows, "component", [F.col("line_start").desc(), "id"], 20, 400), rows)
 
 
 @query("spans", "SELECT name AS source, CASE name WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'note' END AS severity, count(*) AS facts, count(DISTINCT file_path) AS files FROM spans GROUP BY name ORDER BY CASE name WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END, name")
@@ -123,12 +125,14 @@ def fact_counts(spark: SparkSession, d: str) -> DataFrame:
     return spans(spark, d).groupBy(F.col("name").alias("source"), severity.alias("severity")).agg(F.count("*").alias("facts"), F.count_distinct("file_path").alias("files")).orderBy(rank, "source")
 
 
-@query("spans", "SELECT span_id, name, file_path FROM (SELECT *, CASE name WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS r FROM spans WHERE file_path NOT IN (SELECT file_path FROM files WHERE suppkey % 4 = 0)) ORDER BY r, span_id LIMIT 200")
+@query("spans", paged("SELECT span_id, name, file_path, CASE name WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 ELSE 2 END AS severity FROM spans WHERE file_path NOT IN (SELECT file_path FROM files WHERE suppkey % 4 = 0)", 200, "severity, span_id").replace("SELECT *, (SELECT count(*) FROM every_row) AS total", "SELECT *, (SELECT count(*) > 0 FROM spans WHERE file_path IN (SELECT file_path FROM files WHERE suppkey % 4 = 0)) AS partial, (SELECT count(*) FROM every_row) AS total"))
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    """Facts of current sources, the severest first."""
+    """Facts of current sources, the severest first; the answer is partial if a source was left out as stale."""
     stale = suppliers(spark, d).where("suppkey % 4 = 0").select("file_path")
+    every = spans(spark, d)
     rank = F.when(F.col("name") == "error", 0).when(F.col("name") == "purchase", 1).otherwise(2)
-    return spans(spark, d).join(stale, "file_path", "left_anti").orderBy(rank, "span_id").limit(200).select("span_id", "name", "file_path")
+    found = page(every.join(stale, "file_path", "left_anti").select("span_id", "name", "file_path", rank.alias("severity")), 200, "severity", "span_id")
+    return found.withColumn("partial", every.join(stale, "file_path", "left_semi").agg(F.count("*") > 0).scalar())
 
 
 @query("touches", "SELECT path, coalesce(n.commits, 0) AS commits, coalesce(s.spans, 0) AS spans FROM (SELECT path, count(DISTINCT sha) AS commits FROM touches GROUP BY path) n FULL JOIN (SELECT f.file_path AS path, count(*) AS spans FROM events e CROSS JOIN (SELECT count(*) AS k FROM supplier) c JOIN files f ON f.suppkey = e.event_id % c.k GROUP BY 1) s USING (path)")
@@ -172,17 +176,30 @@ def policy_related_tests(spark: SparkSession, d: str) -> DataFrame:
     return rollup.violations("related_tests", s.select("file_path").distinct().join(s.where("kind = 'trait' and id % 3 = 0"), "file_path", "left_anti"), "file_path")
 
 
-CYCLE_BUDGET_SQL = f"WITH {PAIRS_SQL}, m AS (SELECT DISTINCT least(a.from_file, a.to_file) AS x, greatest(a.from_file, a.to_file) AS y FROM pairs a JOIN pairs b ON a.from_file = b.to_file AND a.to_file = b.from_file) SELECT count(*) AS new_cycles, count(*) > 3 AS violated FROM m WHERE x NOT LIKE '%.rs'"
+def components_sql(name: str, pairs: str) -> str:
+    """CTEs: the components of two or more files of ``pairs`` as lists ``m`` of ``name``."""
+    return f"""{name}_r AS (SELECT from_file AS f, to_file AS t FROM {pairs} UNION SELECT r.f, p.to_file FROM {name}_r r JOIN {pairs} p ON p.from_file = r.t),
+    {name} AS (SELECT DISTINCT m FROM (SELECT a.f, list_sort(list(DISTINCT b.f)) AS m FROM {name}_r a JOIN {name}_r b ON a.t = b.f AND b.t = a.f GROUP BY a.f) WHERE len(m) > 1)"""
+
+
+def new_cycles_sql(pairs: str, base: str, changed: str) -> str:
+    """CTEs: ``fresh`` (m), the components of ``pairs`` with a file of ``changed`` (path) that the base does not have."""
+    return f"""{components_sql('now_c', pairs)}, hit AS (SELECT m FROM now_c WHERE list_has_any(m, (SELECT list(path) FROM {changed}))), mem AS (SELECT DISTINCT unnest(m) AS p FROM hit),
+    inside AS (SELECT from_file, to_file FROM {base} WHERE from_file IN (FROM mem) AND to_file IN (FROM mem)), {components_sql('was_c', 'inside')}, fresh AS (SELECT m FROM hit WHERE m NOT IN (SELECT m FROM was_c))"""
+
+
+CYCLE_BUDGET_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, fp AS (SELECT from_file, to_file FROM pairs WHERE regexp_replace(from_file, '/[^/]*$', '') = regexp_replace(to_file, '/[^/]*$', '')),
+    bp AS (SELECT * FROM fp WHERE NOT ends_with(from_file, '.go')), cf AS (SELECT file_path AS path FROM files WHERE ends_with(file_path, '.go')), {new_cycles_sql('fp', 'bp', 'cf')}
+    SELECT count(*) AS new_cycles, count(*) > 3 AS violated FROM fresh"""
 
 
 @query("symbols edges", CYCLE_BUDGET_SQL)
 def policy_cycle_budget(spark: SparkSession, d: str) -> DataFrame:
-    """Mutual imports that the baseline (those of one language) does not have, against a budget of three."""
-    p = graph.import_pairs(symbols(spark, d), edges(spark, d))
-    back = p.select(F.col("to_file").alias("f"), F.col("from_file").alias("t"))
-    both = p.join(back, (F.col("from_file") == F.col("f")) & (F.col("to_file") == F.col("t"))).select(F.least("from_file", "to_file").alias("x"), F.greatest("from_file", "to_file").alias("y")).distinct()
-    known = both.where(F.col("x").endswith(".rs"))
-    return both.join(known, ["x", "y"], "left_anti").agg(F.count("*").alias("new_cycles")).withColumn("violated", F.col("new_cycles") > 3)
+    """Cycles inside folders that a baseline without the imports of one language does not have, against a budget of three."""
+    p = graph.import_pairs(symbols(spark, d), edges(spark, d)).where(paths.parent(F.col("from_file")) == paths.parent(F.col("to_file")))
+    go = suppliers(spark, d).where("file_path like '%.go'").select(F.col("file_path").alias("path"))
+    found = policies.new_cycles(p, p.where("from_file not like '%.go'"), go).select("root").distinct()
+    return found.agg(F.count("*").alias("new_cycles")).withColumn("violated", F.col("new_cycles") > 3)
 
 
 ACCEPTANCE_SQL = "SELECT o_orderpriority AS criterion, count(*) AS checks, bool_and(coalesce(s.status = 'current', false)) AS satisfied FROM (SELECT o_orderpriority, o_orderkey FROM orders) o LEFT JOIN (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'stale' ELSE 'current' END AS status FROM orders WHERE o_orderpriority <> '5-LOW') s USING (o_orderkey) GROUP BY 1"

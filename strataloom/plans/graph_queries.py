@@ -55,13 +55,16 @@ def search_batch(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "symbols",
-    """WITH p AS (SELECT *, regexp_replace(file_path, '/[^/]*$', '') AS scope, row_number() OVER (PARTITION BY name, kind, regexp_replace(file_path, '/[^/]*$', '') ORDER BY file_path, line_start, id) AS k,
-      count(*) OVER (PARTITION BY name, kind, regexp_replace(file_path, '/[^/]*$', '')) AS n FROM symbols WHERE coalesce(contains(decorators, ',partial,'), false))
-    SELECT name, kind, file_path, line_start, id, n AS locations FROM p WHERE k = 1
-    UNION ALL SELECT name, kind, file_path, line_start, id, 1 FROM symbols WHERE NOT coalesce(contains(decorators, ',partial,'), false)""",
+    """WITH RECURSIVE up AS (SELECT id, parent_id AS above, []::VARCHAR[] AS names FROM symbols UNION ALL SELECT up.id, s.parent_id, CASE WHEN s.kind IN ('class', 'struct', 'trait') THEN list_prepend(s.name, names) ELSE names END FROM up JOIN symbols s ON s.id = up.above),
+    ns AS (SELECT id, array_to_string(names, '.') AS namespace FROM up WHERE above IS NULL AND len(names) > 0),
+    p AS (SELECT s.*, coalesce(namespace, 'file:' || file_path) AS scope FROM symbols s LEFT JOIN ns USING (id) WHERE coalesce(contains(decorators, ',partial,'), false)),
+    g AS (SELECT name, kind, scope, min((file_path, line_start, id)) AS f, array_to_string(list(file_path || ':' || line_start ORDER BY file_path, line_start, id), ',') AS locations FROM p GROUP BY ALL)
+    SELECT name, kind, f[1] AS file_path, f[2] AS line_start, f[3] AS id, locations FROM g
+    UNION ALL SELECT name, kind, file_path, line_start, id, '' FROM symbols WHERE NOT coalesce(contains(decorators, ',partial,'), false)""",
 )
 def collapse_partial(spark: SparkSession, d: str) -> DataFrame:
-    return lookup.collapse_partial(symbols(spark, d))
+    """Partial declarations by what encloses them; the fixture has no namespaces, so types stand for them."""
+    return lookup.collapse_partial(symbols(spark, d), ("class", "struct", "trait")).withColumn("locations", F.array_join("locations", ","))
 
 
 @query(
@@ -109,11 +112,11 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     return page(lookup.files(symbols(spark, d), "asia/", "rust"), 3, "file_path")
 
 
-@query("symbols", "SELECT id, name, kind, line_start FROM symbols WHERE file_path = (SELECT min(file_path) FROM symbols) ORDER BY line_start, id LIMIT 200")
+@query("symbols", paged("SELECT id, name, kind, line_start FROM symbols WHERE file_path = (SELECT min(file_path) FROM symbols)", 200, "line_start, id"))
 def symbols_in_file(spark: SparkSession, d: str) -> DataFrame:
     s = symbols(spark, d)
     path = s.agg(F.min("file_path")).collect()[0][0]
-    return s.where(F.col("file_path") == path).select("id", "name", "kind", "line_start").orderBy("line_start", "id").limit(200)
+    return page(s.where(F.col("file_path") == path).select("id", "name", "kind", "line_start"), 200, "line_start", "id")
 
 
 @query(
@@ -147,10 +150,10 @@ def recent_changes(spark: SparkSession, d: str) -> DataFrame:
     return page(lookup.recent_changes(seen, datetime.datetime.fromisoformat(AS_OF), "10d"), 10, F.col("mtime").desc(), "file_path")
 
 
-@query("", "SELECT conv_id, turn, role, text FROM conversations WHERE turn >= 1 AND role = 'user' ORDER BY turn DESC, conv_id LIMIT 20")
+@query("", paged("SELECT conv_id, turn, role, text FROM conversations WHERE turn >= 1 AND role = 'user'", 20, "turn DESC, conv_id"))
 def scratchpad_read(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "conversations").select("conv_id", F.col("turn").alias("ts"), F.col("role").alias("agent"), "text")
-    return lookup.notes(rows, since=1, agent="user").orderBy(F.col("ts").desc(), "conv_id").limit(20).select("conv_id", F.col("ts").alias("turn"), F.col("agent").alias("role"), "text")
+    return page(lookup.notes(rows, since=1, agent="user").select("conv_id", F.col("ts").alias("turn"), F.col("agent").alias("role"), "text"), 20, F.col("turn").desc(), "conv_id")
 
 
 @query(
@@ -180,8 +183,12 @@ def owner_for_reference(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "symbols edges",
-    """SELECT language, e.kind, CASE language WHEN 'python' THEN 'low' ELSE 'medium' END AS confidence, 'name' AS resolution, count(*) AS edges
-    FROM edges e JOIN symbols s ON s.id = e.from_id GROUP BY ALL""",
+    """WITH x AS (SELECT s.id, regexp_extract(s.file_path, '[^/]\\.([^./]*)$', 1) AS extension FROM symbols s),
+    p(extension, resolution, limits) AS (VALUES ('rs', 'syntactic', 'trait-object and function-pointer dispatch not resolved; macros not expanded; macro-body and function-value references do not prove invocation; unsupported or over-budget macro bodies may omit references; wildcard-imported function values not resolved'),
+      ('go', 'syntactic', 'interface and function-value dispatch not resolved; reflection and generated code not tracked'), ('ts', 'syntactic', 'no type-based dispatch resolution; dynamic imports not tracked'),
+      ('py', 'heuristic', 'obj.method() matched by leaf name only — no type inference; dynamic attributes not tracked'))
+    SELECT extension, e.kind, 'medium' AS confidence, resolution, 'name_based_candidates' AS target_resolution, 'name-based candidates only; compiler/type resolution absent; ' || limits AS limitations, count(*) AS edges
+    FROM edges e JOIN x ON x.id = e.from_id JOIN p USING (extension) GROUP BY ALL""",
 )
 def edge_precision(spark: SparkSession, d: str) -> DataFrame:
     return lookup.edge_precision(edges(spark, d), symbols(spark, d).drop("kind"))
@@ -209,14 +216,23 @@ def status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    "symbols edges",
-    """WITH t AS (SELECT e.from_id, count(DISTINCT x.file_path) AS files, count(DISTINCT split_part(x.file_path, '/', 1)) - 1 AS crossings FROM edges e JOIN symbols x ON x.name = e.to_name GROUP BY e.from_id)
-    SELECT route, count(*) AS tasks FROM (SELECT CASE WHEN files <= 1 AND crossings = 0 THEN 'direct' WHEN files <= 3 THEN 'plan' ELSE 'staged' END AS route FROM t) GROUP BY route""",
+    "",
+    """WITH t AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'medium' END AS user_effort, o_orderpriority, o_custkey, o_orderkey FROM orders)
+    SELECT CASE WHEN user_effort IS NOT NULL THEN user_effort WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') AND o_custkey % 3 = 0 AND o_orderkey % 5 < 3 AND o_custkey % 4 > 0 THEN 'low' ELSE 'high' END AS effort,
+      CASE WHEN user_effort IS NOT NULL THEN 'explicit_user_effort' WHEN o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW') THEN 'risk_high_or_unknown' WHEN o_custkey % 3 > 0 THEN 'agent_not_allowlisted'
+        WHEN o_orderkey % 5 >= 3 THEN 'task_family_not_allowlisted' WHEN o_custkey % 4 = 0 THEN 'research_context_incomplete' ELSE 'allowlisted_bounded_research_pilot' END AS reason, count(*) AS tasks
+    FROM t GROUP BY ALL""",
 )
 def effort_route(spark: SparkSession, d: str) -> DataFrame:
-    to = symbols(spark, d).select(F.col("name").alias("to_name"), "file_path")
-    tasks = edges(spark, d).join(to, "to_name").groupBy("from_id").agg(F.count_distinct("file_path").alias("files"), (F.count_distinct(paths.component(F.col("file_path"))) - 1).alias("crossings"))
-    return lookup.effort_route(tasks).groupBy("route").agg(F.count("*").alias("tasks"))
+    """Orders as tasks: duty by customer, family by order, risk by priority, one part of the context by customer."""
+    o, yes = load(spark, d, "orders"), F.lit(True)
+    family = F.element_at(F.array(*map(F.lit, (*lookup.LOW_FAMILIES, "refactor", "release"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    agent = F.when(F.col("o_custkey") % 3 == 0, F.when(F.col("o_custkey") % 2 == 0, "own-researcher").otherwise("researcher")).otherwise("writer")
+    tasks = o.select(
+        F.when(F.col("o_orderstatus") == "P", "medium").alias("user_effort"), F.when(F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW"), "low").when(F.col("o_orderpriority") == "1-URGENT", "high").alias("risk"),
+        agent.alias("agent"), family.alias("task_family"), yes.alias("read_only"), (F.col("o_custkey") % 4 > 0).alias("bounded_scope"), yes.alias("stable_inputs"), yes.alias("lexical_repo_map"),
+    )
+    return lookup.effort_route(tasks, "own-").groupBy("effort", "reason").agg(F.count("*").alias("tasks"))
 
 
 @query("symbols", "SELECT name, count(*) AS definitions, count(DISTINCT file_path) AS files FROM symbols GROUP BY name HAVING count(*) > 1")
@@ -436,11 +452,17 @@ def runtime_edges(spark: SparkSession, d: str) -> DataFrame:
     return pairs.groupBy("from_file", F.col("file_path").alias("to_file")).agg(F.count("*").alias("calls"), F.count_distinct("trace_id").alias("traces"))
 
 
-@query("spans", "SELECT trace_id, span_id, name, file_path FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, name ORDER BY ts DESC, span_id DESC) AS k FROM spans) WHERE k = 1")
+@query(
+    "spans",
+    """WITH r AS (SELECT trace_id, span_id, name, file_path, 0 AS place FROM spans UNION ALL SELECT trace_id, span_id, name || ' again', file_path, 1 FROM spans WHERE name = 'error')
+    SELECT trace_id, span_id, name, file_path, n > 1 AS repeated FROM (SELECT *, row_number() OVER (PARTITION BY trace_id, span_id ORDER BY place DESC) AS k, count(*) OVER (PARTITION BY trace_id, span_id) AS n FROM r) WHERE k = 1""",
+)
 def last_wins(spark: SparkSession, d: str) -> DataFrame:
-    """Of spans with one key the last counts."""
-    w = Window.partitionBy("trace_id", "name").orderBy(F.col("ts").desc(), F.col("span_id").desc())
-    return spans(spark, d).withColumn("k", F.row_number().over(w)).where("k = 1").select("trace_id", "span_id", "name", "file_path")
+    """Spans of errors are sent twice: of one trace and span the last record counts, and says that it was not the only one."""
+    s = spans(spark, d).select("trace_id", "span_id", "name", "file_path", F.lit(0).alias("place"))
+    again = s.where("name = 'error'").withColumn("name", F.concat("name", F.lit(" again"))).withColumn("place", F.lit(1))
+    rows = s.unionByName(again).groupBy("trace_id", "span_id").agg(F.max_by(F.struct("name", "file_path"), "place").alias("last"), (F.count("*") > 1).alias("repeated"))
+    return rows.select("trace_id", "span_id", "last.*", "repeated")
 
 
 @query(

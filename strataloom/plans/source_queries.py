@@ -99,12 +99,12 @@ def otlp_edges(spark: SparkSession, d: str) -> DataFrame:
 
 @query("touches", "SELECT path, count(DISTINCT sha) AS commits, count(DISTINCT author) AS authors, sum(added)::BIGINT AS added FROM touches GROUP BY path")
 def git_log_churn(spark: SparkSession, d: str) -> DataFrame:
-    """A log with numstat, one record a commit."""
-    t = touches(spark, d)
+    """A log with numstat, one record a commit; paths and authors with the word that begins a record do not split it."""
+    t = touches(spark, d).withColumn("path", F.concat(F.lit("commit notes/"), "path")).withColumn("author", F.concat(F.col("author").cast("string"), F.lit(" commit bot")))
     stats = F.array_join(F.collect_list(F.concat(F.col("added").cast("string"), F.lit("\t0\t"), "path")), "\n")
     log = t.groupBy("sha", "author").agg(stats.alias("stats"))
     log = log.select(F.concat(F.lit("commit "), F.lower(F.lpad(F.hex(F.col("sha").cast("long")), 40, "0")), F.lit("\nauthor "), F.col("author").cast("string"), F.lit("\n\n"), "stats"))
-    return rollup.churn(readers.git_log(spark, _written(log, "git-log")))
+    return rollup.churn(readers.git_log(spark, _written(log, "git-log")).withColumn("path", F.regexp_replace("path", "^commit notes/", "")))
 
 
 # An owners file and, for each of its rules, what it matches.

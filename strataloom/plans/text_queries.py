@@ -160,7 +160,18 @@ def phrase(spark: SparkSession, d: str) -> DataFrame:
     return text.phrase_docs(load(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", ["all", "rights", "reserved"])
 
 
-@query("", "SELECT doc_id, regexp_matches(text, '(?i)\\b(password|passwd|secret|token|api_key)\\s*[=:]\\s*[\"''][^\"''\\s]{8,}[\"'']') OR regexp_matches(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----') OR regexp_matches(text, '\\bAKIA[0-9A-Z]{16}\\b') OR regexp_matches(text, '(?i)\\bbearer\\s+[A-Za-z0-9._-]{16,}') AS withheld FROM documents")
+STAND_INS = ", ".join(map(repr, [*text.PLACEHOLDERS, "example"]))
+REAL_SQL = rf"""v <> '' AND v NOT IN ({STAND_INS}) AND NOT starts_with(v, '${{') AND NOT starts_with(v, '{{{{') AND v[1] <> '<' AND NOT regexp_matches(v, '^(example|your)[_-]') AND NOT regexp_full_match(v, '[x*_.-]*')"""
+SECRET_SQL = rf"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents), i AS (SELECT doc_id, line, unnest(range(1, length(line) + 1)) AS i FROM l WHERE regexp_matches(line, '[=:]')),
+    a AS (SELECT doc_id, CASE line[i] WHEN ':' THEN left(line, i - 1) ELSE regexp_extract(regexp_replace(left(line, i - 1), '\s+$', ''), '[^\s,;(\x7B]*$') END AS l, regexp_replace(substr(line, i + 1), '^\s+', '') AS r FROM i WHERE line[i] IN ('=', ':')),
+    k AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(l, '^\s+|\s+$', '', 'g'), '^[-*+>`]+', ''), '^\s+|\s+$', '', 'g'), '^["''`]+|["''`]+$', '', 'g') AS k, lower(regexp_extract(regexp_replace(r, '^["''`]+', ''), '^[^\s"''`,;)\]\x7D]*')) AS v FROM a),
+    w AS (SELECT doc_id FROM k WHERE NOT regexp_matches(k, '\s') AND regexp_matches(lower(regexp_replace(k, '[^A-Za-z0-9]', '', 'g')), '(apikey|secret|token|password)$') AND {REAL_SQL}),
+    b AS (SELECT doc_id, unnest(regexp_extract_all(lower(line), '(?:^|[^a-z0-9_])authorization\s*["''`]?\s*[:=]\s*["''`]*bearer\s+([^\s"''`,;)\]\x7D]*)', 1)) AS v FROM l),
+    x AS (SELECT doc_id FROM w UNION SELECT doc_id FROM b WHERE {REAL_SQL} UNION SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9])(AKIA|ASIA)[A-Z0-9]{{16}}([^A-Za-z0-9]|$)') OR (contains(lower(text), '-----begin ') AND contains(lower(text), 'private key-----')))
+    SELECT doc_id, text IS NULL OR doc_id IN (FROM x) AS withheld FROM documents"""
+
+
+@query("", SECRET_SQL)
 def secret_redaction(spark: SparkSession, d: str) -> DataFrame:
     return load(spark, d, "documents").select("doc_id", text.redacted(F.col("text")).isNull().alias("withheld"))
 

@@ -123,9 +123,10 @@ def otlp(spark: SparkSession, path: str) -> DataFrame:
 def git_log(spark: SparkSession, path: str) -> DataFrame:
     """(sha, author, path, added, removed, binary) of a log with lines ``commit SHA``, ``author NAME`` and numstat.
 
-    One record a commit, so commits of any number are read in parallel.
+    One record a commit, so commits of any number are read in parallel. A record begins with ``commit`` at the beginning
+    of a line, where no line of statistics and no author can begin.
     """
-    records = spark.read.option("lineSep", "commit ").text(path).where("length(trim(value)) > 0")
+    records = spark.read.option("lineSep", "\ncommit ").text(path).select(F.regexp_replace("value", "^commit ", "").alias("value")).where("length(trim(value)) > 0")
     head = records.select(F.regexp_extract("value", r"^([0-9a-f]+)", 1).alias("sha"), F.regexp_extract("value", r"(?m)^author (.*)$", 1).alias("author"), F.explode(F.regexp_extract_all("value", F.lit(r"(?m)^(\S+\t\S+\t.+)$"), 1)).alias("stat"))
     p = F.split("stat", "\t")
     number = lambda c: F.try_to_number(c, F.lit("9999999999")).cast("long")
