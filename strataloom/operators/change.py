@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strataloom.functions import paths
 from strataloom.functions.hashing import fnv1a_hex
-from strataloom.operators import graph, reach
+from strataloom.operators import graph, intervals, reach
 from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 
@@ -96,9 +96,9 @@ def body_changes(base: DataFrame, head: DataFrame) -> DataFrame:
 
 def deepest(hunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """The declaration that starts last among those around a hunk's first line."""
-    s = symbols.select("id", F.col("file_path").alias("path"), "line_start", "line_end")
-    inside = hunks.join(s, "path").where(F.col("first_line").between(F.col("line_start"), F.col("line_end")))
-    return inside.groupBy("path", "first_line", "last_line").agg(F.max(F.struct("line_start", (-F.col("line_end")).alias("e"), (-F.col("id")).alias("i"))).alias("best")).select("path", "first_line", "last_line", (-F.col("best.i")).alias("id"))
+    ranges = symbols.select("id", F.col("file_path").alias("path"), F.col("line_start").alias("first"), F.col("line_end").alias("last"))
+    found = intervals.innermost(ranges, hunks.select("path", F.col("first_line").alias("at")), "path")
+    return hunks.distinct().join(found.withColumnRenamed("at", "first_line"), ["path", "first_line"]).select("path", "first_line", "last_line", "id")
 
 
 #: Seeds and reached rows beyond which a change's impact is not worked out.

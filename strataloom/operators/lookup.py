@@ -7,8 +7,9 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.operators.store import cut
+from strataloom.operators import intervals
 from strataloom.operators.bounds import small
+from strataloom.operators.store import cut
 from strataloom.plans.bind import compatible
 
 # Seconds of each unit.
@@ -175,10 +176,9 @@ def notes(rows: DataFrame, since=None, agent: str | None = None, kind: str | Non
 
 def enclosing(references: DataFrame, ranges: DataFrame) -> DataFrame:
     """The innermost range of the same file around each reference: the latest start, then the earliest end."""
-    r = ranges.select(F.col("id").alias("owner_id"), F.col("file_path").alias("r_file"), F.col("line_start").alias("r_start"), F.col("line_end").alias("r_end"))
-    inside = references.join(r, (F.col("file_path") == F.col("r_file")) & F.col("line").between(F.col("r_start"), F.col("r_end")))
-    best = F.max(F.struct(F.col("r_start").alias("a"), (-F.col("r_end")).alias("b"), (-F.col("owner_id")).alias("c")))
-    return inside.groupBy("ref_id", "file_path", "line").agg(best.alias("best")).select("ref_id", "file_path", "line", (-F.col("best.c")).alias("owner_id"))
+    r = ranges.select("id", "file_path", F.col("line_start").alias("first"), F.col("line_end").alias("last"))
+    found = intervals.innermost(r, references.select("file_path", F.col("line").alias("at")))
+    return references.select("ref_id", "file_path", "line").distinct().join(found.select("file_path", F.col("at").alias("line"), F.col("id").alias("owner_id")), ["file_path", "line"]).select("ref_id", "file_path", "line", "owner_id")
 
 
 # For each language its file endings, how sure an edge is, how it was resolved, and what is not.

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
-from strataloom.operators import graph, policies, rollup
+from strataloom.operators import graph, mentions, policies, rollup
 from strataloom.operators.bounds import counted, page
 from strataloom.plans.bind import edges, load, spans, suppliers, symbols, touches
 from strataloom.plans.registry import paged, query
@@ -231,3 +231,19 @@ def document_graph_check(spark: SparkSession, d: str) -> DataFrame:
     links = links.join(state.select(F.col("file_path").alias("from_file"), F.col("same").alias("same_a")), "from_file", "left").join(state.select(F.col("file_path").alias("to_file"), F.col("same").alias("same_b")), "to_file", "left")
     review = ~(F.coalesce("same_a", F.lit(False)) & F.coalesce("same_b", F.lit(False)))
     return links.groupBy("from_file", "to_file", review.alias("needs_review"), F.lit("unverified").alias("verification")).agg(F.count("*").alias("links"))
+
+
+MENTIONS_SQL = """WITH m AS (SELECT DISTINCT sha AS doc, 'log/' || (sha % 10) || '/' || sha || '.md' AS artifact, subject AS kind, path FROM touches WHERE added % 3 > 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY artifact, kind, doc) AS k, (SELECT count(*) FROM m) AS total FROM m), c AS (SELECT * FROM k WHERE k <= 20 ORDER BY artifact, kind, doc, path LIMIT 500)
+    SELECT artifact, kind, doc, path, total, (SELECT count(*) FROM c) AS returned, total > (SELECT count(*) FROM c) AS truncated FROM c"""
+
+
+@query("touches", MENTIONS_SQL)
+def path_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Commits as texts that name their files: as they are, with backslashes, or as part of a longer name, which is none."""
+    t = touches(spark, d)
+    spelt = F.when(F.col("added") % 3 == 0, F.concat(F.lit("not in "), "path", F.lit("x, "))).when(F.col("added") % 3 == 1, F.concat(F.lit("see ("), F.replace("path", F.lit("/"), F.lit("\\")), F.lit("); "))).otherwise(F.concat(F.lit("in "), "path", F.lit(". ")))
+    docs = t.groupBy(F.col("sha").alias("doc"), F.col("subject").alias("kind")).agg(F.array_join(F.array_sort(F.collect_list(spelt)), "").alias("body"))
+    names = docs.select("doc", "kind", F.concat(F.lit("log/"), (F.col("doc") % 10).cast("string"), F.lit("/"), F.col("doc").cast("string"), F.lit(".md")).alias("artifact"))
+    found = mentions.path_mentions(docs, suppliers(spark, d).select(F.col("file_path").alias("path"))).join(names, "doc")
+    return mentions.capped_mentions(found.select("artifact", "kind", "doc", "path"), ["artifact", "kind", "doc"])
