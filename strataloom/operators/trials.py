@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import stats
+from strataloom.operators.store import cut
 
 
 def commit_votes(tallies: DataFrame) -> DataFrame:
@@ -134,3 +137,37 @@ def latest(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
     """The last event of each key; what it replaces is superseded."""
     w = Window.partitionBy(*key).orderBy(*(F.col(c).desc() for c in order))
     return rows.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+
+
+#: Draws of cases, cases that a bound needs, and the share of draws below it.
+DRAWS, LEAST_CASES, BELOW = 2_000, 5, 0.05
+# Chances of a Poisson count of mean 1 that is at most 0, 1, 2, ...: the sums of e^-1 / k!.
+POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
+
+
+def multiplicity(*of: Column) -> Column:
+    """How often a case counts in a draw: a Poisson number of mean 1 by a hash of both, so reruns agree."""
+    share = F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in of)).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
+    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= share))
+
+
+def agreement_bound(rows: DataFrame, key: str, draws: int = DRAWS, least_cases: int = LEAST_CASES) -> DataFrame:
+    """(key, cases, ac1_lower): the 5 % point of AC1 over draws of whole cases; null with fewer cases than ``least_cases``.
+
+    ``rows`` are (key, case, expected, judged); those without a verdict are left out. Cases are counted once each, and a draw
+    weighs their counts, so the answers themselves are read once and no draw holds them.
+    """
+    settled = rows.where(F.col("judged").isNotNull())
+    counts = [F.count("*").alias("n"), F.count_if(F.col("judged") == F.col("expected")).alias("same"), *((F.count_if(F.col("judged") == o) + F.count_if(F.col("expected") == o)).alias(f"of_{o}") for o in OUTCOMES)]
+    cases = cut(settled.groupBy(key, "case").agg(*counts), "agreement-cases")
+    enough = cases.groupBy(key).agg(F.count("*").alias("cases"))
+    each = cases.join(enough.where(F.col("cases") >= least_cases).select(key), key, "left_semi").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    each = each.withColumn("times", multiplicity(F.col("case"), F.col("draw"))).where("times > 0")
+    sums = each.groupBy(key, "draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "same", *(f"of_{o}" for o in OUTCOMES))))
+    shares = [F.col(f"of_{o}") / (2 * F.col("n")) for o in OUTCOMES]
+    chance = sum((s * (1 - s) for s in shares), F.lit(0.0)) / (len(OUTCOMES) - 1)
+    drawn = sums.select(key, F.when(chance < 1, (F.col("same") / F.col("n") - chance) / (1 - chance)).alias("ac1")).where("ac1 is not null")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("ac1")) - 1
+    n = F.count("*").over(Window.partitionBy(key))
+    lower = drawn.withColumn("place", place).withColumn("n", n).where(F.col("place") == F.floor(F.lit(BELOW) * F.col("n"))).select(key, F.col("ac1").alias("ac1_lower"))
+    return enough.join(lower, key, "left")

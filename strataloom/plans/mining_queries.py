@@ -220,3 +220,21 @@ def event_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("symbols", "WITH h AS (SELECT id, kind, sum(CASE WHEN decorators IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY kind ORDER BY id ROWS UNBOUNDED PRECEDING) AS decorated FROM symbols) SELECT kind, max(decorated)::BIGINT AS decorated, count(*) AS symbols FROM h GROUP BY kind")
 def decorator_counts(spark: SparkSession, d: str) -> DataFrame:
     return symbols(spark, d).groupBy("kind").agg(F.count("decorators").alias("decorated"), F.count("*").alias("symbols"))
+
+
+BOUND_SQL = f"""WITH {TRIAL_SQL}, j AS (SELECT condition, doc_id // 20 AS kase, CASE quality WHEN 1 THEN 'satisfied' ELSE 'unsatisfied' END AS e, CASE WHEN status = 'error' THEN 'unknown' WHEN toxic = 0 THEN 'satisfied' ELSE 'unsatisfied' END AS v FROM tr WHERE quality IS NOT NULL AND chars IS NOT NULL),
+    k AS (SELECT condition, kase, count(*) AS n, count(*) FILTER (v = e) AS same, count(*) FILTER (v = 'satisfied') + count(*) FILTER (e = 'satisfied') AS a, count(*) FILTER (v = 'unsatisfied') + count(*) FILTER (e = 'unsatisfied') AS b, count(*) FILTER (v = 'unknown') AS c FROM j GROUP BY ALL),
+    x AS (SELECT k.*, draw, len(list_filter({trials.POISSON}::DOUBLE[], lambda p: p <= ('0x' || substr(md5(kase || '|' || draw), 1, 13))::BIGINT / 16::DOUBLE ** 13)) AS times FROM k, range(300) d(draw)),
+    s AS (SELECT condition, draw, sum(n * times) AS n, sum(same * times) AS same, sum(a * times) AS a, sum(b * times) AS b, sum(c * times) AS c FROM x WHERE times > 0 GROUP BY ALL),
+    h AS (SELECT condition, same / n AS same, (a / (2 * n) * (1 - a / (2 * n)) + b / (2 * n) * (1 - b / (2 * n)) + c / (2 * n) * (1 - c / (2 * n))) / 2 AS chance FROM s),
+    o AS (SELECT condition, (same - chance) / (1 - chance) AS ac1 FROM h WHERE chance < 1), r AS (SELECT condition, ac1, row_number() OVER (PARTITION BY condition ORDER BY ac1) - 1 AS place, count(*) OVER (PARTITION BY condition) AS n FROM o),
+    m AS (SELECT condition, count(*) AS cases FROM k GROUP BY condition) SELECT condition, cases, round(CASE WHEN cases >= 5 THEN ac1 END, 6) AS ac1_lower FROM m LEFT JOIN (SELECT condition, ac1 FROM r WHERE place = floor(0.05 * n)) USING (condition)"""
+
+
+@query("", BOUND_SQL)
+def judge_agreement_bound(spark: SparkSession, d: str) -> DataFrame:
+    """A lower bound of agreement by 300 draws of cases, twenty neighbouring documents being one."""
+    verdict = F.when(F.col("chars").isNull(), None).when(F.col("status") == "error", "unknown").when(F.col("toxic") == 0, "satisfied").otherwise("unsatisfied")
+    expected = F.when(F.col("quality") == 1, "satisfied").otherwise("unsatisfied")
+    rows = _trials(spark, d).where("quality is not null").select("condition", F.floor(F.col("doc_id") / 20).alias("case"), expected.alias("expected"), verdict.alias("judged"))
+    return trials.agreement_bound(rows, "condition", draws=300).withColumn("ac1_lower", F.round("ac1_lower", 6))

@@ -84,3 +84,28 @@ def test_log_records_begin_at_a_line(spark, tmp_path):
     (tmp_path / "g.log").write_text("commit ab12\nauthor Bo commit bot\n\n3\t1\tdocs/commit notes.md\n1\t0\ta.py\ncommit cd34\nauthor Al\n\n-\t-\tb.bin\n")
     got = {(r.sha, r.author, r.path, r.added) for r in readers.git_log(spark, str(tmp_path / "g.log")).collect()}
     assert got == {("ab12", "Bo commit bot", "docs/commit notes.md", 3), ("ab12", "Bo commit bot", "a.py", 1), ("cd34", "Al", "b.bin", None)}
+
+
+def test_agreement_bound(spark):
+    """Reruns agree, multiplicities are Poisson, and the bound lies below the value in about the share that it claims."""
+    import random
+
+    from strataloom.operators import trials
+
+    counts = [r.t for r in spark.range(20_000).select(trials.multiplicity(F.col("id"), F.lit(7)).alias("t")).collect()]
+    assert abs(sum(counts) / 20_000 - 1) < 0.03 and abs(counts.count(0) / 20_000 - 0.3679) < 0.02
+    rng = random.Random(11)
+    rows = []
+    for k in range(60):  # 60 judges of one true agreement, 40 cases each
+        for case in range(40):
+            expected = rng.choice(["satisfied", "unsatisfied"])
+            rows.append((f"j{k:02d}", k * 1000 + case, expected, expected if rng.random() < 0.85 else "unknown"))
+    df = spark.createDataFrame([*rows, ("few", 1, "satisfied", "satisfied"), ("few", 2, "satisfied", None)], "key string, case long, expected string, judged string")
+    got = {r.key: r.ac1_lower for r in trials.agreement_bound(df, "key", 200).collect()}
+    again = {r.key: r.ac1_lower for r in trials.agreement_bound(df.repartition(5), "key", 200).collect()}
+    assert got == again and got.pop("few") is None
+    values = {r.key: r.ac1 for r in trials.agreement(df.withColumn("control", F.col("expected") == "satisfied"), "key").collect()}
+    assert all(got[k] <= values[k] for k in got)
+    s = [0.5 * 0.85 / 2 + 0.25, 0.5 * 0.85 / 2 + 0.25, 0.15 / 2]
+    chance = sum(x * (1 - x) for x in s) / 2
+    assert sum(v <= (0.85 - chance) / (1 - chance) for v in got.values()) >= 0.85 * len(got)
