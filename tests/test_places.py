@@ -56,3 +56,30 @@ def test_path_mentions(spark, shard):
                     at = body.find(spelt, at + 1)
     assert got == want
     assert {(0, "src/a.rs"), (1, "src/a.rs"), (2, "src/a.rs.bak"), (2, "a.rs"), (6, "x y/ü.md"), (10, "src")} <= set(want) and not any(i in (3, 7) for i, _ in want)
+
+
+def test_owner_trie_equals_patterns(spark, tmp_path):
+    """Random rules and paths: the trie gives what the pattern of the last matching rule gives."""
+    import re
+
+    from strataloom.functions import paths
+    from strataloom.operators import owner_trie
+
+    rng = random.Random(9)
+    parts = ["a", "b", "ab", "*", "a*", "?", "*b", "**", "x.rs", "*.rs"]
+    for _ in range(150):
+        rules = []
+        for n in range(rng.randrange(1, 8)):
+            glob = "/".join(rng.choice(parts) for _ in range(rng.randrange(1, 4)))
+            rules.append((n, glob, not glob.endswith("*") and rng.random() < 0.5))
+        trie = owner_trie.OwnerTrie(rules)
+        patterns = [(n, re.compile(paths.glob_regex(g)[:-1] + ("(?:/.*)?$" if below else "$"))) for n, g, below in rules]
+        for _ in range(30):
+            path = "/".join(rng.choice(["a", "b", "ab", "c", "x.rs", "ba"]) for _ in range(rng.randrange(1, 5)))
+            assert trie.match(path) == max((n for n, p in patterns if p.match(path)), default=-1), (rules, path)
+    (tmp_path / "OWNERS").write_text("﻿# c\n* core\n/src/ a b\n*.rs r\n!no x\n/x[1] y\ndocs\n/\n")
+    rules, diagnostics = owner_trie.owner_rules(spark, str(tmp_path / "OWNERS"))
+    assert [(r.line, r.code) for r in diagnostics.collect()] == [(5, "invalid_codeowner_pattern"), (6, "invalid_codeowner_pattern"), (8, "invalid_codeowner_pattern")]
+    files = spark.createDataFrame([(p,) for p in ("src/a.py", "src/a.rs", "z/docs/deep/x", "docs", None)], "path string")
+    got = {r.path: (r.owners, r.rule_no) for r in owner_trie.resolve_owners(files, rules).collect()}
+    assert got == {"src/a.py": ("a,b", 2), "src/a.rs": ("r", 3), "z/docs/deep/x": ("", 6), "docs": ("", 6), None: (None, None)}
