@@ -34,16 +34,20 @@ def search(symbols: DataFrame, name: str, kind: str | None = None, language: str
     return out.where(F.col("language") == language) if language else out
 
 
-def search_grouped(symbols: DataFrame, name: str, top: int = SEARCH_TOP, raw_limit: int = RAW_WORK_LIMIT) -> DataFrame:
+def search_grouped(symbols: DataFrame, name: str, top: int = SEARCH_TOP, raw_limit: int = RAW_WORK_LIMIT, namespaces: DataFrame | None = None) -> DataFrame:
     """A search whose partial declarations count as one, grouped from the first ``raw_limit`` raw rows by place.
 
+    With ``namespaces`` (id, namespace, as of ``enclosing_names``) a namespace is part of what is one, and locations is the
+    list of places; without, for sources that have none, the folder stands for it and locations is a count.
+
     Each row tells how many raw rows there are and were looked at. Where not all were, groups may be incomplete, so
     neither the total nor the number of a group's locations is known.
     """
     raw = search(symbols, name)
     total = raw.count()
     whole = total <= raw_limit
-    rows = collapse_partial(raw.orderBy("file_path", "line_start", "id").limit(raw_limit))
+    some = raw.orderBy("file_path", "line_start", "id").limit(raw_limit)
+    rows = by_folder(some) if namespaces is None else by_namespace(some, namespaces)
     groups = rows.count()
     reason = "raw_work_limit" if not whole else "top" if groups > top else None
     first = rows.orderBy("file_path", "line_start", "id").limit(top).withColumn("locations", F.when(F.lit(whole), F.col("locations")))
@@ -81,14 +85,29 @@ def enclosing_names(symbols: DataFrame, kinds: tuple[str, ...] = NAMESPACES) ->
     return at.where("size(names) > 0").select("id", F.array_join("names", ".").alias("namespace"))
 
 
+def by_folder(symbols: DataFrame) -> DataFrame:
+    """Partial declarations of one name, kind and folder as one row: its first place, and how many there are."""
+    place = F.struct("file_path", "line_start", "id")
+    partial = F.coalesce(F.col("decorators").contains(",partial,"), F.lit(False))
+    folder = F.regexp_replace("file_path", r"/[^/]*$", "")
+    merged = symbols.where(partial).groupBy("name", "kind", folder.alias("scope")).agg(F.min(place).alias("first"), F.count("*").alias("locations"))
+    merged = merged.select("name", "kind", "first.file_path", "first.line_start", "first.id", "locations")
+    return merged.unionByName(symbols.where(~partial).select("name", "kind", "file_path", "line_start", "id", F.lit(1).cast("long").alias("locations")))
+
+
 def collapse_partial(symbols: DataFrame, kinds: tuple[str, ...] = NAMESPACES) -> DataFrame:
+    """``by_namespace`` of all ``symbols``, whose ancestors of some kinds are the namespaces."""
+    return by_namespace(symbols, enclosing_names(symbols, kinds))
+
+
+def by_namespace(symbols: DataFrame, namespaces: DataFrame) -> DataFrame:
     """Partial declarations of one name, kind and namespace as one row, their first place, with the list of all places.
 
     Where the namespace is not known the file stands for it, so that a name alone never puts declarations together.
     """
     place = F.struct("file_path", "line_start", "id")
     is_partial = F.coalesce(F.col("decorators").contains(",partial,"), F.lit(False))
-    some = symbols.where(is_partial).join(enclosing_names(symbols, kinds), "id", "left")
+    some = symbols.where(is_partial).join(namespaces, "id", "left")
     known = F.coalesce("namespace", F.concat(F.lit("\0file:"), "file_path"))
     merged = some.groupBy("name", "kind", known.alias("scope")).agg(F.array_sort(F.collect_list(place)).alias("places"))
     first = F.col("places")[0]

@@ -53,6 +53,23 @@ def search_batch(spark: SparkSession, d: str) -> DataFrame:
     return lookup.search_batch(s, names).select("ordinal", "id", "name", "file_path")
 
 
+@query(
+    "symbols",
+    """WITH RECURSIVE n AS (SELECT name FROM symbols WHERE coalesce(contains(decorators, ',partial,'), false) GROUP BY name ORDER BY count(*) DESC, name LIMIT 1), raw AS (SELECT * FROM symbols WHERE name = (SELECT name FROM n)),
+    up AS (SELECT id, parent_id AS above, []::VARCHAR[] AS names FROM raw UNION ALL SELECT up.id, s.parent_id, CASE WHEN s.kind IN ('class', 'struct', 'trait') THEN list_prepend(s.name, names) ELSE names END FROM up JOIN symbols s ON s.id = up.above),
+    ns AS (SELECT id, array_to_string(names, '.') AS namespace FROM up WHERE above IS NULL AND len(names) > 0),
+    p AS (SELECT r.*, CASE WHEN coalesce(contains(decorators, ',partial,'), false) THEN coalesce(namespace, 'file:' || file_path) ELSE '#' || id END AS scope, coalesce(contains(decorators, ',partial,'), false) AS part FROM raw r LEFT JOIN ns USING (id)),
+    g AS (SELECT name, kind, min((file_path, line_start, id)) AS f, array_to_string(list(file_path || ':' || line_start ORDER BY file_path, line_start, id) FILTER (part), ',') AS locations FROM p GROUP BY name, kind, part, scope)
+    SELECT name, kind, f[1] AS file_path, f[2] AS line_start, f[3] AS id, coalesce(locations, '') AS locations, (SELECT count(*) FROM g) AS total FROM g""",
+)
+def search_by_namespace(spark: SparkSession, d: str) -> DataFrame:
+    """The name with the most partial declarations, those of one enclosing type as one, with the list of their places."""
+    s = symbols(spark, d)
+    name = s.where("decorators like '%,partial,%'").groupBy("name").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "name").limit(1).collect()[0]["name"]
+    found = lookup.search_grouped(s, name, namespaces=lookup.enclosing_names(s, ("class", "struct", "trait")))
+    return found.select("name", "kind", "file_path", "line_start", "id", F.array_join("locations", ",").alias("locations"), F.col("total").cast("long").alias("total"))
+
+
 @query(
     "symbols",
     """WITH RECURSIVE up AS (SELECT id, parent_id AS above, []::VARCHAR[] AS names FROM symbols UNION ALL SELECT up.id, s.parent_id, CASE WHEN s.kind IN ('class', 'struct', 'trait') THEN list_prepend(s.name, names) ELSE names END FROM up JOIN symbols s ON s.id = up.above),
