@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from strataloom.operators import search as fts
 from strataloom.operators.bounds import page
@@ -26,7 +27,7 @@ from strataloom.operators.text import B, FIELD_WEIGHTS, K1, floors, porter, ques
 BUCKETS, SHARD_DOCS = 64, 4096
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def stems_of(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict[str, str] = {}
 
