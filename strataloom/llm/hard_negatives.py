@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors
+from .common import BATCH_BYTES
 from .vectors import field, finite, matrix, numbers
 
 #: Turns of k-means on the sample; below this product of norms doubles hold every inner product exactly.
@@ -106,7 +107,10 @@ def visits(cells: np.ndarray, centres: np.ndarray, radii: np.ndarray, low: int,
                 for bottom, top, kth in own:
                     asked[i] |= (most[i] >= max(bottom, kth)) & (least[i] <= top)
             row, cell = np.nonzero(asked)
-            yield pa.RecordBatch.from_arrays([pa.array(cells[cell], pa.int32()), *(batch.column(c).take(pa.array(row)) for c in batch.schema.names)], names=["cell", *batch.schema.names])
+            # an anchor comes out once for each list, so what goes out is many times what came in and has a bound of its own
+            step = max(1, BATCH_BYTES * batch.num_rows // max(1, batch.nbytes))
+            for i in range(0, max(1, len(row)), step):
+                yield pa.RecordBatch.from_arrays([pa.array(cells[cell[i : i + step]], pa.int32()), *(batch.column(c).take(pa.array(row[i : i + step])) for c in batch.schema.names)], names=["cell", *batch.schema.names])
 
     return run
 

@@ -145,6 +145,19 @@ def test_bounds_skip_lists():
     assert wanted <= met and len(met) < 400 * len(cells) / 3
 
 
+def test_visits_come_out_in_bounded_batches(monkeypatch):
+    """A batch of anchors that each visit every list goes out in pieces, all of them together the same rows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(hard_negatives, "BATCH_BYTES", 1 << 14)
+    n, lists = 200, 50
+    windows = pa.array([[{"score": None, "kth": None}]] * n, pa.list_(pa.struct([("score", pa.int64()), ("kth", pa.int64())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.array(np.ones((n, 8), int).tolist()), windows], names=["anchor_id", "vector", "windows"])
+    out = list(hard_negatives.visits(np.arange(lists, dtype=np.int32), np.ones((lists, 8)), np.ones(lists), 50, 95)([batch]))
+    assert len(out) > 10 and max(b.num_rows for b in out) <= (1 << 14) * n // batch.nbytes
+    assert sorted((a, c) for b in out for a, c in zip(b.column("anchor_id").to_pylist(), b.column("cell").to_pylist())) == [(a, c) for a in range(n) for c in range(lists)]
+
+
 def test_large_components():
     big = np.array([[2**40, 3], [-(2**62), 1]], np.int64)
     assert hard_negatives.scores(big, big).tolist() == [[hard_negatives.MOST, hard_negatives.LEAST], [hard_negatives.LEAST, hard_negatives.MOST]]
