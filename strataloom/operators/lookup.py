@@ -34,25 +34,26 @@ def search(symbols: DataFrame, name: str, kind: str | None = None, language: str
     return out.where(F.col("language") == language) if language else out
 
 
-def search_grouped(symbols: DataFrame, name: str, top: int = SEARCH_TOP, raw_limit: int = RAW_WORK_LIMIT, namespaces: DataFrame | None = None) -> DataFrame:
+def search_grouped(symbols: DataFrame, name: str, top: int | None = SEARCH_TOP, raw_limit: int | None = RAW_WORK_LIMIT, namespaces: DataFrame | None = None) -> DataFrame:
     """A search whose partial declarations count as one, grouped from the first ``raw_limit`` raw rows by place.
 
     With ``namespaces`` (id, namespace, as of ``enclosing_names``) a namespace is part of what is one, and locations is the
     list of places; without, for sources that have none, the folder stands for it and locations is a count.
 
-    Each row tells how many raw rows there are and were looked at. Where not all were, groups may be incomplete, so
+    Without a ``raw_limit`` all raw rows are grouped, and without a ``top`` all groups are the answer. Each row tells how many raw rows there are and were looked at. Where not all were, groups may be incomplete, so
     neither the total nor the number of a group's locations is known.
     """
     raw = search(symbols, name)
     total = raw.count()
-    whole = total <= raw_limit
-    some = raw.orderBy("file_path", "line_start", "id").limit(raw_limit)
+    whole = raw_limit is None or total <= raw_limit
+    some = raw if whole else raw.orderBy("file_path", "line_start", "id").limit(raw_limit)
     rows = by_folder(some) if namespaces is None else by_namespace(some, namespaces)
     groups = rows.count()
-    reason = "raw_work_limit" if not whole else "top" if groups > top else None
-    first = rows.orderBy("file_path", "line_start", "id").limit(top).withColumn("locations", F.when(F.lit(whole), F.col("locations")))
-    extra = {"raw_candidate_total": total, "raw_candidates_examined": min(total, raw_limit), "total": groups if whole else None, "returned": min(groups, top)}
-    return first.select("*", *(F.lit(v).cast("long").alias(k) for k, v in extra.items()), F.lit(not whole or groups > top).alias("truncated"), F.lit(reason).cast("string").alias("truncation_reason"))
+    reason = "raw_work_limit" if not whole else "top" if top is not None and groups > top else None
+    first = rows if top is None else rows.orderBy("file_path", "line_start", "id").limit(top)
+    first = first.withColumn("locations", F.when(F.lit(whole), F.col("locations")))
+    extra = {"raw_candidate_total": total, "raw_candidates_examined": total if whole else raw_limit, "total": groups if whole else None, "returned": groups if top is None else min(groups, top)}
+    return first.select("*", *(F.lit(v).cast("long").alias(k) for k, v in extra.items()), F.lit(reason is not None).alias("truncated"), F.lit(reason).cast("string").alias("truncation_reason"))
 
 
 def search_batch(symbols: DataFrame, names: list[str]) -> DataFrame:
