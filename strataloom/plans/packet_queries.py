@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import paths
 from strataloom.operators import change, graph, rollup, text
 from strataloom.operators import search as fts
-from strataloom.plans.bind import edges, load, resolved, spans, symbols, touches
+from strataloom.plans.bind import edges, load, spans, symbols, touches
 from strataloom.plans.change_queries import BASE_SQL, HEAD_SQL, base, head
 from strataloom.plans.registry import paged, query
 from strataloom.sources.sinks import annotations
@@ -94,9 +94,8 @@ def temporal_boundaries(spark: SparkSession, d: str) -> DataFrame:
     e = edges(spark, d)
 
     def side(s: DataFrame) -> DataFrame:
-        own = s.select(F.col("id").alias("from_id"), paths.component(F.col("file_path")).alias("a"))
-        rows = resolved(e, s).join(own, "from_id").withColumn("b", paths.component(F.col("to_file"))).where("a <> b")
-        return rows.groupBy(F.concat("a", F.lit(" -> "), "b").alias("boundary")).agg(F.count("*").alias("observations"))
+        rows = graph.boundary_counts(s, e, paths.component(F.col("file_path")))
+        return rows.select(F.concat("a", F.lit(" -> "), "b").alias("boundary"), "observations")
 
     return change.snapshot_diff(side(base(spark, d)), side(head(spark, d)), "boundary", ["observations"])
 
@@ -109,7 +108,7 @@ def temporal_boundaries(spark: SparkSession, d: str) -> DataFrame:
 )
 def cycle_members(spark: SparkSession, d: str) -> DataFrame:
     """Files that lie on a cycle, whatever the cycle's size."""
-    return graph.cycle_nodes(graph.import_pairs(symbols(spark, d), edges(spark, d))).select(F.col("node").alias("file_path"))
+    return graph.cycle_nodes(graph.imports_of(symbols(spark, d), edges(spark, d))).select(F.col("node").alias("file_path"))
 
 
 @query(
