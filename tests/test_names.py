@@ -96,3 +96,28 @@ def test_pairs_up_to(spark):
     n = graph.import_pairs(s, e).count()
     assert graph.pairs_up_to(graph.imports_of(s, e), n) == n > 0 and graph.pairs_up_to(graph.imports_of(s, e), n - 1) > n - 1
     assert graph.pairs_up_to(graph.imports_of(s, e.where("false")), 5) == 0
+
+
+def test_reach_of_all_by_classes(spark, monkeypatch):
+    s, e = graph_of(spark)
+    steps = reach.steps_of(s, e, ("calls", "references"))
+    plain = {(r.from_id, r.to_id) for r in resolved(e.where("kind <> 'imports'"), s.withColumn("language", F.lit("py"))).collect()}
+    want = walks(plain, range(40), 3)
+    found = reach.kin(steps, 3)
+    assert {(r.seed, r.id): r.depth for r in reach.kin_pairs(found).collect()} == want != {}
+    # places hold one, two or three symbols, so a seed's own place may hold others as well
+    of_id = s.select("id", F.expr("case when id < 20 then id when id < 30 then id div 2 else id div 3 end").alias("place"))
+    place = {r.id: r.place for r in of_id.collect()}
+    sizes = {y: len({place[x] for z, x in want if z == y}) for y, _ in want}
+    assert {r.seed: r.n for r in reach.kin_sizes(found, of_id, "place").collect()} == sizes
+
+
+def test_seeds_alike_are_one_seed(spark, monkeypatch):
+    """300 symbols of one name that all call it: as seeds of their own they took five words of bits for each symbol."""
+    s = spark.range(300).selectExpr("id", "'hot' as name", "'class' as kind", "concat('f', id) as file_path")
+    e = spark.range(300).selectExpr("id as from_id", "'hot' as to_name", "'calls' as kind", "1 as line", "cast(null as string) as target_kind")
+    rows, cut = [], reach.cut
+    monkeypatch.setattr(reach, "cut", lambda df, name: rows.append((t := cut(df, name)).count()) or t)
+    found = reach.kin(reach.steps_of(s, e, ("calls",)), 2)
+    assert reach.kin_pairs(found).count() == 300 * 299 and found.found.levels.count() == 1
+    assert max(rows) <= 600
