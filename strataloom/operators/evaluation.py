@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.operators import graph
 from strataloom.operators.store import cut
 
 
@@ -74,15 +75,23 @@ def pooled(rows: DataFrame) -> DataFrame:
     return per.groupBy("condition").agg(F.count("*").alias("cases"), F.sum("attempts").alias("attempts"), F.avg("mean").alias("mean"), F.when(F.count("total") == F.count("*"), F.sum("total")).alias("total"))
 
 
-def reachable(starts: DataFrame, steps: DataFrame, bad: DataFrame | None = None) -> DataFrame:
+def reachable(starts: DataFrame, steps: DataFrame | graph.Imports, bad: DataFrame | None = None) -> DataFrame:
     """(state, depth, parent, bad): every state that ``steps`` (state, next) lead to, the fewest steps and the smallest
-    predecessor on such a path; from a bad state the parents lead back to a start, which is its counterexample."""
-    steps = cut(steps.distinct(), "steps")
+    predecessor on such a path; from a bad state the parents lead back to a start, which is its counterexample.
+
+    ``Imports`` are walked through their names, so no pair of files is made.
+    """
+    through = isinstance(steps, graph.Imports)
+    steps = steps if through else cut(steps.distinct(), "steps")
     seen = cut(starts.select("state").distinct().withColumn("depth", F.lit(0)).withColumn("parent", F.lit(None).cast(starts.schema["state"].dataType)), "states")
     front, depth = seen, 0
     while not front.isEmpty():
         depth += 1
-        near = front.select("state").join(steps, "state").groupBy("next").agg(F.min("state").alias("parent"))
+        if through:
+            names = front.select(F.col("state").alias("file")).join(steps.uses, "file").groupBy("name").agg(F.min("file").alias("parent"))
+            near = names.join(steps.gives, "name").groupBy(F.col("file").alias("next")).agg(F.min("parent").alias("parent"))
+        else:
+            near = front.select("state").join(steps, "state").groupBy("next").agg(F.min("state").alias("parent"))
         front = cut(near.join(seen.select(F.col("state").alias("next")), "next", "left_anti").select(F.col("next").alias("state"), F.lit(depth).alias("depth"), "parent"), "states")
         seen = seen.unionByName(front)
     return seen if bad is None else seen.join(bad.select("state").distinct().withColumn("bad", F.lit(True)), "state", "left").withColumn("bad", F.coalesce("bad", F.lit(False)))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from strataloom.operators import change, graph, lookup, reach
+from strataloom.operators import change, evaluation, graph, lookup, reach
 from strataloom.plans.bind import resolved
 
 SYMBOL = "id long, name string, kind string, file_path string, line_start int, line_end int, parent_id long, decorators string"
@@ -121,3 +121,47 @@ def test_seeds_alike_are_one_seed(spark, monkeypatch):
     found = reach.kin(reach.steps_of(s, e, ("calls",)), 2)
     assert reach.kin_pairs(found).count() == 300 * 299 and found.found.levels.count() == 1
     assert max(rows) <= 600
+
+
+def imports_plain(s, e):
+    own, gives = {r.id: r.file_path for r in s.collect()}, {}
+    for r in s.collect():
+        gives.setdefault(r.name, set()).add(r.file_path)
+    return {(own[r.from_id], f) for r in e.where("kind = 'imports'").collect() for f in gives.get(r.to_name, ()) if f != own[r.from_id]}
+
+
+def copies(s, e, k=3):
+    """The graph with each of its symbols ``k`` times, in as many files."""
+    more = F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    s = s.withColumn("k", more).withColumn("id", F.col("id") + 1000 * F.col("k")).withColumn("file_path", F.concat("file_path", F.lit("."), F.col("k").cast("string"))).drop("k")
+    return s, e.withColumn("k", more).withColumn("from_id", F.col("from_id") + 1000 * F.col("k")).drop("k")
+
+
+def test_imports_by_classes_of_files(spark):
+    s, e = copies(*graph_of(spark, 40, 9))
+    plain = imports_plain(s, e)
+    files = {r.file_path for r in s.collect()}
+    by = graph.alike_files(graph.imports_of(s, e))
+    assert sorted((r.from_file, r.to_file) for r in graph.pairs_of(by).collect()) == sorted(plain) and plain
+    assert by.links.count() * 3 < len(plain)  # before, all pairs were shuffled
+    assert {r.file_path for r in graph.mutual_files(by).collect()} == {a for a, b in plain if (b, a) in plain}
+    assert {r.file for r in graph.importers(graph.imports_of(s, e)).collect()} == {a for a, _ in plain}
+    seeds = spark.createDataFrame([(f,) for f in sorted(files)[:4]] + [("alone",)], "node string")
+    pairs = spark.createDataFrame(sorted(plain), "a string, b string")
+    want = {r.node: round(r.score, 9) for r in graph.personal_pagerank(pairs, seeds, rounds=5).collect()}
+    assert {r.node: round(r.score, 9) for r in graph.file_ranks(by, seeds, rounds=5).collect()} == want and "alone" in want
+    start = spark.createDataFrame([(min(plain)[0],)], "state string")
+    steps = pairs.select(F.col("a").alias("state"), F.col("b").alias("next"))
+    rows = lambda df: sorted((r.state, r.depth, r.parent or "") for r in df.collect())
+    assert rows(evaluation.reachable(start, graph.imports_of(s, e))) == rows(evaluation.reachable(start, steps))
+
+
+def test_users_by_name_and_by_class(spark):
+    s, e = copies(*graph_of(spark))
+    met = resolved(e, s.withColumn("language", F.lit("py"))).collect()
+    got = {r.file_path: r.in_degree for r in graph.file_in_degrees(s, e).collect()}
+    calls = {(r.to_file, r.from_id) for r in met if r.kind == "calls"}
+    assert got == {f: len({i for g, i in calls if g == f}) for f, _ in calls} != {}
+    own = {r.id: r.file_path for r in s.collect()}
+    hits = {(r.to_id, r.from_id) for r in met if own[r.to_id].startswith("p1/") and not own[r.from_id].startswith("p1/")}
+    assert {r.id: r.users for r in graph.api_surface(s, e, "p1/").collect()} == {x: len({i for y, i in hits if y == x}) for x, _ in hits} != {}
