@@ -165,3 +165,30 @@ def test_users_by_name_and_by_class(spark):
     own = {r.id: r.file_path for r in s.collect()}
     hits = {(r.to_id, r.from_id) for r in met if own[r.to_id].startswith("p1/") and not own[r.from_id].startswith("p1/")}
     assert {r.id: r.users for r in graph.api_surface(s, e, "p1/").collect()} == {x: len({i for y, i in hits if y == x}) for x, _ in hits} != {}
+
+
+def test_hashing_many_strings_holds_few_of_them():
+    import tracemalloc
+
+    from strataloom.functions.hashing import fnv1a, fnv1a_each
+
+    data = [b"%d" % i for i in range(10_000)]
+    tracemalloc.start()
+    got = fnv1a_each(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [fnv1a(x) for x in data]
+    assert peak < 16 << 20  # before, 4,096 places of eight bytes for each of them
+
+
+def test_a_batch_of_documents_is_bounded(spark):
+    from strataloom.operators import change, store
+
+    s, e = graph_of(spark)
+    before = spark.conf.get(store.BATCH_CONF)
+    try:
+        spark.conf.set(store.BATCH_CONF, store.BATCH_DEFAULT)
+        change.fingerprints(s.selectExpr("*", "'py' as language", "'' as signature"), e)
+        assert spark.conf.get(store.BATCH_CONF) == str(store.BATCH_ROWS)
+    finally:
+        spark.conf.set(store.BATCH_CONF, before)
