@@ -141,14 +141,18 @@ def latest(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
 
 #: Draws of cases, cases that a bound needs, and the share of draws below it.
 DRAWS, LEAST_CASES, BELOW = 2_000, 5, 0.05
+#: Draws of cases that a task makes.
+TASK_DRAWS = 2_000_000
 # Chances of a Poisson count of mean 1 that is at most 0, 1, 2, ...: the sums of e^-1 / k!.
 POISSON = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(13)]
 
 
 def multiplicity(*of: Column) -> Column:
     """How often a case counts in a draw: a Poisson number of mean 1 by a hash of both, so reruns agree."""
-    share = F.conv(F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in of)).cast("binary")), 1, 13), 16, 10).cast("double") / float(16**13)
-    return F.size(F.filter(F.array(*map(F.lit, POISSON)), lambda p: p <= share))
+    share = F.substring(F.md5(F.concat_ws("|", *(c.cast("string") for c in of)).cast("binary")), 1, 13)
+    # 13 hexadecimal digits are a share of 16^13, and digits of one length are in order as texts
+    least = [math.ceil(p * 16**13) for p in POISSON]
+    return F.transform(F.array(share), lambda x: sum(((x >= f"{n:013x}").cast("int") for n in least if n < 16**13), F.lit(0)))[0]
 
 
 def agreement_bound(rows: DataFrame, key: str, draws: int = DRAWS, least_cases: int = LEAST_CASES) -> DataFrame:
@@ -161,7 +165,10 @@ def agreement_bound(rows: DataFrame, key: str, draws: int = DRAWS, least_cases:
     counts = [F.count("*").alias("n"), F.count_if(F.col("judged") == F.col("expected")).alias("same"), *((F.count_if(F.col("judged") == o) + F.count_if(F.col("expected") == o)).alias(f"of_{o}") for o in OUTCOMES)]
     cases = cut(settled.groupBy(key, "case").agg(*counts), "agreement-cases")
     enough = cases.groupBy(key).agg(F.count("*").alias("cases"))
-    each = cases.join(enough.where(F.col("cases") >= least_cases).select(key), key, "left_semi").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    # cases are few bytes and many draws: they are dealt by the number of draws, as their bytes would fill a task or two
+    each = cases.join(enough.where(F.col("cases") >= least_cases).select(key), key, "left_semi")
+    tasks = max(cases.sparkSession.sparkContext.defaultParallelism, -(-cases.count() * draws // TASK_DRAWS))
+    each = each.repartition(tasks, key, "case").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     each = each.withColumn("times", multiplicity(F.col("case"), F.col("draw"))).where("times > 0")
     sums = each.groupBy(key, "draw").agg(*(F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "same", *(f"of_{o}" for o in OUTCOMES))))
     shares = [F.col(f"of_{o}") / (2 * F.col("n")) for o in OUTCOMES]
