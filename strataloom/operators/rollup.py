@@ -26,13 +26,21 @@ def tests(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(count("passed").alias("passed"), count("failed").alias("failed"), count("skipped").alias("skipped"), F.sum("seconds").alias("seconds"))
 
 
-def churn(touches: DataFrame) -> DataFrame:
-    """(path, commits, authors, added): a commit counts once for a path."""
+def churn(touches: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(path, commits, authors, added): a commit counts once for a path.
+
+    If ``tasks`` are given, paths are dealt to them, and the first row of a commit and of an author stands for it.
+    """
+    if tasks is not None:
+        first = lambda c: F.row_number().over(Window.partitionBy("path", c).orderBy(c)) == 1
+        rows = touches.repartition(tasks, "path").select("path", "sha", "author", "added").withColumn("a", first("sha")).withColumn("b", first("author"))
+        return rows.groupBy("path").agg(F.count_if(F.col("a") & F.col("sha").isNotNull()).alias("commits"), F.count_if(F.col("b") & F.col("author").isNotNull()).alias("authors"), F.sum("added").alias("added"))
     return touches.groupBy("path").agg(F.count_distinct("sha").alias("commits"), F.count_distinct("author").alias("authors"), F.sum("added").alias("added"))
 
 
-def contributors(touches: DataFrame, top: int = 5) -> DataFrame:
-    """(path, names): the first authors of a path by commits, then name."""
+def contributors(touches: DataFrame, top: int = 5, tasks: int | None = None) -> DataFrame:
+    """(path, names): the first authors of a path by commits, then name. Authors of paths are dealt to ``tasks``, if given."""
+    touches = touches if tasks is None else touches.repartition(tasks, "path", "author")
     n = touches.groupBy("path", "author").agg(F.count_distinct("sha").alias("commits"))
     order = Window.partitionBy("path").orderBy(F.col("commits").desc(), "author")
     kept = n.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)

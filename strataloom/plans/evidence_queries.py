@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataloom.functions import paths
 from strataloom.operators import graph, mentions, policies, reach, rollup
 from strataloom.operators.bounds import counted, page
-from strataloom.plans.bind import edges, load, spans, suppliers, symbols, touches
+from strataloom.plans.bind import edges, load, spans, suppliers, symbols, tasks_for, touches
 from strataloom.plans.registry import paged, query
 
 # Rules in the order of their file; the last match wins, the third has no owner on purpose.
@@ -46,12 +46,12 @@ def runtime_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("touches", "SELECT path, count(DISTINCT sha) AS commits, count(DISTINCT author) AS authors, sum(added)::BIGINT AS added FROM touches GROUP BY path")
 def churn(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.churn(touches(spark, d))
+    return rollup.churn(touches(spark, d), tasks_for(load(spark, d, "lineitem")))
 
 
 @query("touches", "WITH n AS (SELECT path, author, count(DISTINCT sha) AS c FROM touches GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY c DESC, author) AS k FROM n) SELECT path, string_agg(author::VARCHAR, ',' ORDER BY k) AS names FROM k WHERE k <= 5 GROUP BY path")
 def contributors(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.contributors(touches(spark, d))
+    return rollup.contributors(touches(spark, d), tasks=tasks_for(load(spark, d, "lineitem")))
 
 
 @query(
@@ -138,7 +138,7 @@ def facts(spark: SparkSession, d: str) -> DataFrame:
 @query("touches", "SELECT path, coalesce(n.commits, 0) AS commits, coalesce(s.spans, 0) AS spans FROM (SELECT path, count(DISTINCT sha) AS commits FROM touches GROUP BY path) n FULL JOIN (SELECT f.file_path AS path, count(*) AS spans FROM events e CROSS JOIN (SELECT count(*) AS k FROM supplier) c JOIN files f ON f.suppkey = e.event_id % c.k GROUP BY 1) s USING (path)")
 def file_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Roll-ups of one file side by side, also where one of them has nothing."""
-    a = touches(spark, d).groupBy("path").agg(F.count_distinct("sha").alias("commits"))
+    a = touches(spark, d).repartition(tasks_for(load(spark, d, "lineitem")), "path").groupBy("path").agg(F.count_distinct("sha").alias("commits"))
     b = spans(spark, d).groupBy(F.col("file_path").alias("path")).agg(F.count("*").alias("spans"))
     return a.join(b, "path", "full_outer").select("path", F.coalesce("commits", F.lit(0)).alias("commits"), F.coalesce("spans", F.lit(0)).alias("spans"))
 
