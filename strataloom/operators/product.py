@@ -8,6 +8,7 @@ items. What is shuffled are packed blocks, each as often as the other side has b
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.operators.bounds import small
-from strataloom.operators.store import cut
+from strataloom.operators.store import bounded_batches, cut
 
 #: Items of a block, of one that is only counted, and below which a block is not cut for the sake of more tasks.
 ROWS, COUNTED, LEAST = 8_192, 65_536, 256
@@ -57,6 +58,7 @@ def each_two(left: DataFrame, right: DataFrame, run: Callable[[dict, dict], Iter
     a = left.select(F.col("block").alias("i"), F.struct("*").alias("l"))
     b = right.select(F.col("block").alias("j"), F.struct("*").alias("r"))
     n = min(TASKS, max(1, left.count() * right.count()))
+    bounded_batches(left.sparkSession)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,20 +138,23 @@ def without_own(met: np.ndarray, l: dict, r: dict) -> np.ndarray:  # noqa: E741
     return met
 
 
-def pairs(left: DataFrame, right: DataFrame, value: str, a: str, b: str, apart: bool = True) -> DataFrame:
+def pairs(left: DataFrame, right: DataFrame, value: str, a: str, b: str, apart: bool = True, unless: DataFrame | None = None) -> DataFrame:
     """(a, b): items of ``left`` (a, value) with those of ``right`` (b, value) that have a value in common, each pair once.
 
-    If ``apart``, an item is no pair with itself.
+    If ``apart``, an item is no pair with itself. Two items that share a mark of ``unless`` (item, mark) are no pair.
     """
     ids = value_ids(left, right, value)
     uses, gives = (rows.join(small(ids), value).select(F.col(c).alias("item"), "value").distinct() for rows, c in ((left, a), (right, b)))
     uses, gives = cut(uses, "product-left"), cut(gives, "product-right")
     items = dealt(uses.select("item").union(gives.select("item")).distinct(), "item")
-    every = packed(items, "item", "item", uses=uses, gives=gives)
-    kind = dict(left.dtypes)[a]
+    marks = {} if unless is None else {"marks": unless.join(value_ids(unless, unless, "mark"), "mark")}
+    every = packed(items, "item", "item", uses=uses, gives=gives, **marks)
+    kind, marked = dict(left.dtypes)[a], bool(marks)
 
     def run(l: dict, r: dict) -> Iterator[pa.RecordBatch]:  # noqa: E741
         met = bits(l["uses"], len(l["items"]), r["gives"], len(r["items"]))
+        if marked:
+            met &= ~bits(l["marks"], len(l["items"]), r["marks"], len(r["items"]))
         for rows, cols in set_places(without_own(met, l, r) if apart else met):
             yield pa.RecordBatch.from_arrays([l["items"].take(pa.array(rows)), r["items"].take(pa.array(cols))], [a, b])
 
@@ -169,3 +174,76 @@ def counts(left: DataFrame, right: DataFrame, values: list[str], a: str, b: str,
 
     met = each_two(*blocks, run, f"block int, at int, {n} long").groupBy("block", "at").agg(F.sum(n).alias(n))
     return mine.join(met.where(F.col(n) > 0), ["block", "at"]).select(a, n)
+
+
+@dataclass
+class Links:
+    """Blocks of items with sizes, each item standing for so many alike, that ``uses`` and ``gives`` (key, values) link with each other."""
+
+    items: DataFrame
+    key: str
+    blocks: DataFrame
+
+    def mutual(self) -> DataFrame:
+        """(key): items linked both ways with another one, or with one alike."""
+
+        def run(l: dict, r: dict) -> Iterator[pa.RecordBatch]:  # noqa: E741
+            n = len(l["items"]), len(r["items"])
+            met = bits(l["uses"], n[0], r["gives"], n[1]) & bits(l["gives"], n[0], r["uses"], n[1])
+            if l["block"] == r["block"]:
+                k = np.flatnonzero(l["items"].to_numpy() == 1)
+                met[k, k >> 3] &= ~(1 << (k & 7)).astype(np.uint8)
+            at = np.flatnonzero(met.any(axis=1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), l["block"], np.int32)), pa.array(at)], ["block", "at"])
+
+        found = each_two(self.blocks, self.blocks, run, "block int, at int").distinct()
+        return self.items.join(found, ["block", "at"], "left_semi").select(self.key)
+
+    def matrix(self) -> DataFrame:
+        """(i, j, bits): a row of bits for each item of a block, the items of the other block that it is linked with either way."""
+
+        def run(l: dict, r: dict) -> Iterator[pa.RecordBatch]:  # noqa: E741
+            n = len(l["items"]), len(r["items"])
+            met = bits(l["uses"], n[0], r["gives"], n[1]) | bits(l["gives"], n[0], r["uses"], n[1])
+            yield pa.RecordBatch.from_arrays([pa.array([l["block"]], pa.int32()), pa.array([r["block"]], pa.int32()), pa.array([met.tobytes()], pa.binary())], ["i", "j", "bits"])
+
+        return cut(each_two(self.blocks, self.blocks, run, "i int, j int, bits binary"), "product-matrix")
+
+    def onward(self, matrix: DataFrame, sent: DataFrame) -> DataFrame:
+        """(key, got): for each item the sum of what is ``sent`` (key, share) by all that it is linked with, but itself."""
+        lists = F.array_sort(F.collect_list(F.struct("at", F.coalesce("share", F.lit(0.0)).alias("share"), "size")))
+        each = self.items.join(sent, self.key, "left").groupBy(F.col("block").alias("j")).agg(lists.alias("l"))
+        each = each.select("j", F.col("l.share").alias("share"), F.transform("l", lambda x: x["share"] * x["size"]).alias("whole"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    i, j, bits, own, whole = (batch.column(c)[k] for c in ("i", "j", "bits", "share", "whole"))
+                    whole = whole.values.to_numpy()
+                    width = -(-len(whole) // 64) * 8
+                    met = np.frombuffer(bits.as_py(), np.uint8).reshape(-1, width)
+                    # what a byte of bits stands for at each place
+                    sums = np.pad(whole, (0, width * 8 - len(whole))).reshape(width, 8) @ BYTES
+                    got, places = np.empty(len(met)), np.arange(width, dtype=np.int32) * 256
+                    for begin in range(0, len(met), 512):
+                        got[begin : begin + 512] = sums.ravel()[places + met[begin : begin + 512]].sum(axis=1)
+                    if i == j:
+                        at = np.arange(len(met))
+                        got -= ((met[at, at >> 3] >> (at & 7)) & 1) * own.values.to_numpy()
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), i.as_py(), np.int32)), pa.array(np.arange(len(met), dtype=np.int32)), pa.array(got)], ["block", "at", "got"])
+
+        got = matrix.join(F.broadcast(each), "j").select("i", "j", "bits", "share", "whole").mapInArrow(run, "block int, at int, got double")
+        got = got.groupBy("block", "at").agg(F.sum("got").alias("got"))
+        return self.items.join(got, ["block", "at"]).select(self.key, "got")
+
+
+#: The bits of each byte.
+BYTES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").T.astype(np.float64)
+
+
+def links(sizes: DataFrame, key: str, uses: DataFrame, gives: DataFrame, value: str) -> Links:
+    """Items (key, size) and what they use and give (key, value)."""
+    ids = value_ids(uses, gives, value)
+    items = dealt(sizes.select(key, "size"), key)
+    sides = {name: rows.join(small(ids), value).select(key, "value") for name, rows in (("uses", uses), ("gives", gives))}
+    return Links(items, key, packed(items, key, "size", **sides))
