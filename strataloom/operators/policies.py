@@ -12,14 +12,16 @@ from strataloom.operators.store import cut
 from strataloom.sources.policies import Rule
 
 
-def evaluate(rules: list[Rule], pairs: DataFrame, imports: graph.Imports, base_imports: graph.Imports, surface: DataFrame, reached: Callable[[DataFrame], DataFrame], symbols: DataFrame, changed: DataFrame, tested: DataFrame, owned: DataFrame, held: DataFrame, cap: int = rollup.RESULT_CAP) -> DataFrame:
-    """One bounded report. ``pairs`` are import pairs, ``imports`` and ``base_imports`` the imports of both sides, ``surface``
+def evaluate(rules: list[Rule], imports: graph.Imports, base_imports: graph.Imports, surface: DataFrame, reached: Callable[[DataFrame], DataFrame], symbols: DataFrame, changed: DataFrame, tested: DataFrame, owned: DataFrame, held: DataFrame, cap: int = rollup.RESULT_CAP) -> DataFrame:
+    """One bounded report. ``imports`` and ``base_imports`` the imports of both sides, ``surface``
     symbols that others use, ``reached`` gives what the changed ones among some symbols (id) reach, ``changed``, ``tested`` and ``held`` paths, ``owned`` (path, owners)."""
     found, open_ = [], []
     for rule in rules:
         hit = lambda column, field, rule=rule: F.col(column).rlike(rule.pattern(field))
         if rule.action == "deny_imports":
-            rows = pairs.where(hit("from_file", "from") & hit("to_file", "deny_imports")).join(changed.select(F.col("path").alias("from_file")), "from_file", "left_semi").select(F.concat_ws(" -> ", "from_file", "to_file").alias("subject"))
+            inside = imports.where(hit("file", "from"), hit("file", "deny_imports"))
+            inside = graph.Imports(inside.uses.join(changed.select(F.col("path").alias("file")), "file", "left_semi"), inside.gives)
+            rows = graph.file_pairs(inside).select(F.concat_ws(" -> ", "from_file", "to_file").alias("subject"))
         elif rule.action == "max_new_cycles":
             mine = new_cycles(imports, base_imports, changed).where(hit("node", "scope")).select("root").distinct()
             fresh = mine.agg(F.count("*").alias("n"))
@@ -34,7 +36,7 @@ def evaluate(rules: list[Rule], pairs: DataFrame, imports: graph.Imports, base_i
         elif rule.action == "require_tests":
             rows = changed.where(hit("path", "scope")).join(tested, "path", "left_anti").select(F.col("path").alias("subject"))
         elif rule.action == "deny_ownership_crossings":
-            inside = pairs.where(hit("from_file", "scope"))
+            inside = imports.where(hit("file", "scope"), F.lit(True))
             rows = rollup.boundary_rule(inside, owned).select("subject")
             open_.append(rollup.unowned_sides(inside, owned).withColumn("rule", F.lit(rule.id)))
         else:

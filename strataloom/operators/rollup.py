@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strataloom.functions import paths
-from strataloom.operators import reach
+from strataloom.operators import graph, reach
 from strataloom.operators.bounds import small
 from strataloom.operators.store import cut
 
@@ -108,9 +108,9 @@ def violations(rule: str, rows: DataFrame, *columns: str) -> DataFrame:
     return rows.select(F.lit(rule).alias("rule"), F.concat_ws(" -> ", *columns).alias("subject"))
 
 
-def dependency_rule(pairs: DataFrame, source: str, forbidden: str) -> DataFrame:
+def dependency_rule(imports: graph.Imports, source: str, forbidden: str) -> DataFrame:
     """Imports from files that match one glob to files that match another."""
-    bad = pairs.where(F.col("from_file").rlike(paths.glob_regex(source)) & F.col("to_file").rlike(paths.glob_regex(forbidden)))
+    bad = graph.file_pairs(imports.where(F.col("file").rlike(paths.glob_regex(source)), F.col("file").rlike(paths.glob_regex(forbidden))))
     return violations("dependency", bad, "from_file", "to_file")
 
 
@@ -126,11 +126,11 @@ def radius_rule(reached: reach.Kin, symbols: DataFrame, most: int) -> DataFrame:
     return violations("blast_radius", n.where(F.col("n") > most).select(F.col("seed").cast("string").alias("s"), F.col("n").cast("string").alias("n")), "s", "n")
 
 
-def boundary_rule(pairs: DataFrame, owned: DataFrame) -> DataFrame:
+def boundary_rule(imports: graph.Imports, owned: DataFrame) -> DataFrame:
     """Imports between files whose owners have nobody in common; a side without owners is left to another rule."""
-    o = owned.where("owners <> ''").select("path", F.split("owners", ",").alias("o"))
-    rows = pairs.join(o.select(F.col("path").alias("from_file"), F.col("o").alias("a")), "from_file").join(o.select(F.col("path").alias("to_file"), F.col("o").alias("b")), "to_file")
-    return violations("ownership_boundary", rows.where(~F.arrays_overlap("a", "b")), "from_file", "to_file")
+    o = cut(owned.where("owners <> ''").select(F.col("path").alias("file"), F.explode(F.split("owners", ",")).alias("mark")), "owned")
+    known = o.select("file").distinct()
+    return violations("ownership_boundary", graph.file_pairs(imports.between(known, known), o.withColumnRenamed("file", "item")), "from_file", "to_file")
 
 
 def strict_rule(changed: DataFrame, critical: str, held: DataFrame) -> DataFrame:
@@ -139,10 +139,10 @@ def strict_rule(changed: DataFrame, critical: str, held: DataFrame) -> DataFrame
     return violations("strict_workflow", bad, "path")
 
 
-def unowned_sides(pairs: DataFrame, owned: DataFrame) -> DataFrame:
+def unowned_sides(imports: graph.Imports, owned: DataFrame) -> DataFrame:
     """(rule, code, subject): imports whose boundary cannot be judged as a side has no owners."""
     known = owned.where("owners <> ''").select("path")
-    sides = pairs.select(F.col("from_file").alias("path")).unionByName(pairs.select(F.col("to_file").alias("path"))).distinct()
+    sides = graph.importers(imports).union(graph.imported(imports)).distinct().withColumnRenamed("file", "path")
     return sides.join(known, "path", "left_anti").select(F.lit("ownership_boundary").alias("rule"), F.lit("owner_unknown").alias("code"), F.col("path").alias("subject"))
 
 

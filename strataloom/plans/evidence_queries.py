@@ -145,7 +145,7 @@ def file_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("symbols edges", f"WITH {PAIRS_SQL} SELECT 'dependency' AS rule, from_file || ' -> ' || to_file AS subject FROM pairs WHERE starts_with(from_file, 'asia/') AND regexp_matches(to_file, '^europe/[^/]+/s[^/]*\\.rs$')")
 def policy_dependency(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.dependency_rule(graph.import_pairs(symbols(spark, d), edges(spark, d)), "asia/**", "europe/*/s*.rs")
+    return rollup.dependency_rule(graph.imports_of(symbols(spark, d), edges(spark, d)), "asia/**", "europe/*/s*.rs")
 
 
 @query("symbols resolved", f"WITH {RULES_SQL}, {OWNED_SQL}, u AS (SELECT DISTINCT s.id, s.name, s.file_path FROM resolved r JOIN symbols s ON s.id = r.to_id JOIN symbols f ON f.id = r.from_id WHERE starts_with(s.file_path, 'asia/') AND NOT starts_with(f.file_path, 'asia/')) SELECT 'api_owner' AS rule, u.file_path || ' -> ' || name AS subject FROM u WHERE file_path NOT IN (SELECT path FROM owned WHERE owners <> '')")
@@ -167,7 +167,7 @@ def policy_blast_radius(spark: SparkSession, d: str) -> DataFrame:
 
 @query("symbols edges", f"WITH {RULES_SQL}, {OWNED_SQL}, {PAIRS_SQL} SELECT 'ownership_boundary' AS rule, from_file || ' -> ' || to_file AS subject FROM pairs JOIN owned a ON a.path = from_file JOIN owned b ON b.path = to_file WHERE a.owners <> '' AND b.owners <> '' AND NOT list_has_any(string_split(a.owners, ','), string_split(b.owners, ','))")
 def policy_ownership_boundary(spark: SparkSession, d: str) -> DataFrame:
-    return rollup.boundary_rule(graph.import_pairs(symbols(spark, d), edges(spark, d)), owned(spark, d))
+    return rollup.boundary_rule(graph.imports_of(symbols(spark, d), edges(spark, d)), owned(spark, d))
 
 
 @query("symbols", "SELECT 'related_tests' AS rule, f.file_path AS subject FROM files f WHERE f.file_path IN (SELECT file_path FROM symbols) AND f.file_path NOT IN (SELECT file_path FROM symbols WHERE kind = 'trait' AND id % 3 = 0)")

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from strataloom.operators import product
+from strataloom.operators import graph, product, rollup
 
 
 @pytest.mark.parametrize("n", [1, 70, 700])
@@ -47,3 +47,30 @@ def test_no_row_for_each_shared_value(spark, monkeypatch):
     rows = spark.range(100).select(F.format_string("f%d", "id").alias("file"), F.explode(F.sequence(F.lit(0), F.lit(49))).alias("name"))
     assert product.pairs(rows, rows.withColumnRenamed("file", "giver"), "name", "file", "giver").count() == 9_900
     assert max(written) == 5_000
+
+
+def unlike(spark, n=60):
+    """Imports of files of which no two use or define the same names, and nearly every two are linked."""
+    rows = spark.range(n).select(F.format_string("d%d/f%d", F.col("id") % 3, "id").alias("file"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"))
+    name = lambda s: F.concat(F.lit("n"), F.pmod(F.xxhash64(F.lit(s), "file", "k"), F.lit(60)).cast("string"))
+    return graph.Imports(rows.select("file", name("uses").alias("name")).distinct(), rows.where("k < 10").select(name("gives").alias("name"), "file").distinct())
+
+
+def test_ranks_and_mutual_files_write_no_pairs(spark, monkeypatch):
+    imports = unlike(spark)
+    plain = {(r.from_file, r.to_file) for r in imports.uses.withColumnRenamed("file", "from_file").join(imports.gives.withColumnRenamed("file", "to_file"), "name").where("from_file <> to_file").collect()}
+    written, cut = [], product.cut
+    for module in (graph, product):
+        monkeypatch.setattr(module, "cut", lambda df, name: written.append((t := cut(df, name)).count()) or t)
+    by = graph.alike_files(imports)
+    assert {r.file_path for r in graph.mutual_files(by).collect()} == {a for a, b in plain if (b, a) in plain} != set()
+    graph.file_ranks(by, spark.createDataFrame([("d0/f0",)], "node string"), rounds=1).collect()
+    assert max(written) < 2_000 < len(plain)
+
+
+def test_boundary_of_owners_who_share_nobody(spark):
+    imports = unlike(spark, 20)
+    owned = {f"d{i % 3}/f{i}": ("a", "a,b", "b,c", "")[i % 4] for i in range(20)}
+    pairs = {(r.from_file, r.to_file) for r in graph.file_pairs(imports).collect()}
+    got = rollup.boundary_rule(imports, spark.createDataFrame(sorted(owned.items()), "path string, owners string")).collect()
+    assert sorted(r.subject for r in got) == sorted(f"{x} -> {y}" for x, y in pairs if owned[x] and owned[y] and not set(owned[x].split(",")) & set(owned[y].split(","))) != []
