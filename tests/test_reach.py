@@ -105,3 +105,10 @@ def test_cycles_answer(spark):
     assert rows(budget=8) == [(3, 3, 9, True, "member_limit"), (4, 3, 9, True, "member_limit")]
     assert rows(cap=8) == [(None, None, None, True, "graph_work_limit")]
     assert graph.cycles_answer(pairs.where("false")).count() == 0
+
+
+def test_pairs_of_classes_are_not_shuffled(spark):
+    steps = reach.Named(spark.range(200).selectExpr("id as from_id", "concat('n', id % 7) as to_name", "2 as means"), spark.range(200).selectExpr("concat('n', id % 5) as to_name", "2 as means", "id as to_id"))
+    rows = reach.kin_pairs(reach.kin(steps, 2))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count() > 20_000 and "sequence(" not in plan and "explode(filter" not in plan
